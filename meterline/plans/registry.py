@@ -6,7 +6,7 @@ from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
-GROUPS = ["catalog_rows", "catalog_dq"]
+GROUPS = ["catalog_rows", "catalog_dq", "catalog_warehouse"]
 
 QUERIES: dict = {}
 ORACLE: dict = {}
