@@ -48,8 +48,8 @@ def e3_dim_scd2(spark, sf):
         F.when(F.col("s_suppkey") % 5 != 0, F.col("s_suppkey") % 6).alias("site_type"),
         F.lit("2024-01-01").cast("date").alias("valid_from"), F.lit(None).cast("date").alias("valid_to"), F.lit(True).alias("is_current"),
     )
-    snapshot = c.filter(F.col("c_custkey") % 3 != 0).select(
-        F.col("c_custkey").alias("site_key"),
+    snapshot = c.select(
+        (F.col("c_custkey") * 2).alias("site_key"),
         F.when(F.col("c_custkey") % 2 == 0, F.col("c_nationkey")).alias("country"),
         F.when(F.col("c_custkey") % 5 != 0, F.col("c_custkey") % 6).alias("site_type"),
     )
@@ -212,8 +212,8 @@ ORACLE = {
      coalesce(CAST(emissions_num AS DOUBLE), 0) AS emissions_co2e, file_name AS source_file_name FROM staged
      WHERE validation_status = 'VALID' AND site_id IN (SELECT site_id FROM sites)""",
     "e3_dim_scd2": """WITH h AS (SELECT s_suppkey AS k, s_nationkey AS country, CASE WHEN s_suppkey % 5 <> 0 THEN s_suppkey % 6 END AS t FROM supplier),
-     s AS (SELECT c_custkey AS k, CASE WHEN c_custkey % 2 = 0 THEN c_nationkey END AS country,
-      CASE WHEN c_custkey % 5 <> 0 THEN c_custkey % 6 END AS t FROM customer WHERE c_custkey % 3 <> 0),
+     s AS (SELECT c_custkey * 2 AS k, CASE WHEN c_custkey % 2 = 0 THEN c_nationkey END AS country,
+      CASE WHEN c_custkey % 5 <> 0 THEN c_custkey % 6 END AS t FROM customer),
      j AS (SELECT h.k AS hk, h.country AS hc, h.t AS ht, s.k AS sk, s.country AS sc, s.t AS st, h.k IS NOT NULL AND s.k IS NOT NULL AND
       (h.country IS DISTINCT FROM s.country OR h.t IS DISTINCT FROM s.t) AS changed FROM h FULL JOIN s ON h.k = s.k)
      SELECT hk AS site_key, CAST(hc AS BIGINT) AS country, ht AS site_type, '2024-01-01' AS valid_from, CASE WHEN changed THEN '2025-05-31' END AS valid_to,

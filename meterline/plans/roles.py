@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from meterline.config import Check, Config, Delivery, FeedRules, default_config
 from meterline.functions.times import make_batch_id
+from meterline.schemas import TABLES
 
 EVENT_TYPES = ["click", "view", "purchase", "error", "signup"]
 INCIDENT_TYPES = [
@@ -23,7 +24,7 @@ CHECK_OF_EVENT = {
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spark.read.schema(TABLES[name]).parquet(f"{sf_dir}/{name}.parquet")
 
 
 def readings_config() -> Config:
