@@ -86,7 +86,7 @@ ALERTS = INCIDENTS + """, alerts AS (
   incident_number % 3 = 0 AS acknowledged_flag FROM incidents)"""
 
 TRANSITIONS = """transitions AS (
- SELECT user_id AS incident_id, ts AS at, event_id AS seq, CASE event_type WHEN 'click' THEN 'IN_PROGRESS'
+ SELECT user_id AS incident_id, ts AS moment, event_id AS seq, CASE event_type WHEN 'click' THEN 'IN_PROGRESS'
   WHEN 'view' THEN 'RESOLVED' WHEN 'purchase' THEN 'CLOSED' WHEN 'error' THEN 'OPEN' ELSE 'IN_PROGRESS' END AS to_status
  FROM events)"""
 
