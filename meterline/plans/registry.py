@@ -6,7 +6,7 @@ from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
-GROUPS = ["catalog_rows", "catalog_dq", "catalog_warehouse", "catalog_sites", "catalog_ops", "catalog_incidents"]
+GROUPS = ["catalog_rows", "catalog_dq", "catalog_warehouse", "catalog_sites", "catalog_ops", "catalog_incidents", "catalog_files"]
 
 QUERIES: dict = {}
 ORACLE: dict = {}
