@@ -6,7 +6,10 @@ from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
-GROUPS = ["catalog_rows", "catalog_dq", "catalog_warehouse", "catalog_sites", "catalog_ops", "catalog_incidents", "catalog_files"]
+GROUPS = [
+    "catalog_rows", "catalog_dq", "catalog_warehouse", "catalog_sites", "catalog_ops", "catalog_incidents", "catalog_files",
+    "catalog_streams",
+]
 
 QUERIES: dict = {}
 ORACLE: dict = {}

@@ -47,7 +47,11 @@ def pick(options: list[str], index: Column) -> Column:
 
 def feed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Raw text feed with planted defects, one file per day."""
-    e = table(spark, sf_dir, "events")
+    return feed_of(table(spark, sf_dir, "events"))
+
+
+def feed_of(e: DataFrame) -> DataFrame:
+    """The feed columns of an events table or stream."""
     i = F.col("event_id")
     value = F.col("value").cast("decimal(18,2)")
     iso = F.date_format("ts", "yyyy-MM-dd")

@@ -77,10 +77,10 @@ def field_count(raw: Column) -> Column:
     return F.length(bare) - F.length(F.replace(bare, F.lit(","), F.lit(""))) + 1
 
 
-def _records(spark: SparkSession, folder: str, glob: str, quoted_newlines: bool) -> DataFrame:
-    """Non-blank records with their file, block and running id inside the scan partition."""
+def raw_records(spark: SparkSession, folder: str, glob: str = "*.csv", quoted_newlines: bool = False) -> DataFrame:
+    """Records of all feed files as raw text with their path and split."""
     if quoted_newlines:
-        # One declared column makes every delivered row "malformed", which keeps its raw text.
+        # Three declared columns make every delivered row "malformed", which keeps its raw text.
         reader = spark.read.schema("_first string, _second string, _raw string").option("columnNameOfCorruptRecord", "_raw")
         rows = (
             reader.option("multiLine", "true").option("quote", '"').option("escape", '"').option("mode", "PERMISSIVE")
@@ -91,37 +91,32 @@ def _records(spark: SparkSession, folder: str, glob: str, quoted_newlines: bool)
     else:
         rows = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", glob).text(folder)
         raw = F.col("value")
-    text = F.regexp_replace(raw, r"[\r\n]+$", "")
-    kept = rows.select(
-        F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"), text.alias("raw")
-    ).filter(F.trim("raw") != "")
-    return kept.withColumn("mid", F.monotonically_increasing_id())
+    return rows.select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"), raw.alias("raw"))
 
 
-def read_feed(
-    spark: SparkSession, folder: str, name: Column | None = None, glob: str = "*.csv", quoted_newlines: bool = False
-) -> tuple[DataFrame, DataFrame]:
-    """All feed files of a folder as rows of text fields, and one profile row per file.
+def index_records(records: DataFrame, name: Column | None = None) -> tuple[DataFrame, DataFrame]:
+    """Split records into fields, number the data rows of each file and profile the files.
 
-    Rows carry the 0-based data row number of their file. A file may span many
-    splits: rows are counted per split, the counts of earlier splits are added,
-    and the position inside the split gives the rest, so no window ever covers a
-    file. Feeds that declare quoted newlines are read one file per task, as any
-    multi-line CSV must be.
+    A file may span many splits: rows are counted per split, the counts of
+    earlier splits are added, and the position inside the split gives the rest,
+    so no window ever covers a file. Blank lines do not count.
 
-    Rows: file_name, row_index, header, fields, n_fields.
+    Rows: file_name, row_index (0-based), header, fields, n_fields.
     Profiles: file_name, header, lines (non-blank, header included).
     """
-    lines = _records(spark, folder, glob, quoted_newlines)
+    text = F.regexp_replace("raw", r"[\r\n]+$", "")
+    lines = records.select("path", "block", text.alias("raw")).filter(F.trim("raw") != "")
+    lines = lines.withColumn("mid", F.monotonically_increasing_id())
     blocks = lines.groupBy("path", "block").agg(
         F.count(F.lit(1)).alias("n"), F.min("mid").alias("first_mid"), F.min_by("raw", "mid").alias("first_raw")
     )
     earlier = Window.partitionBy("path").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.partitionBy("path").orderBy("block").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    bare = F.regexp_replace("header_raw", '^\ufeff|"', "")
     placed = blocks.select(
         "path", "block", "first_mid", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"),
         F.first("first_raw").over(whole).alias("header_raw"), F.sum("n").over(whole).alias("lines"),
-    ).withColumn("header", F.transform(F.split(F.regexp_replace("header_raw", '^﻿|"', ""), ","), lambda h: F.trim(h)))
+    ).withColumn("header", F.transform(F.split(bare, ","), lambda h: F.trim(h)))
 
     widest = placed.agg(F.max(F.size("header"))).first()[0] or 1
     side = F.broadcast(placed) if fits_broadcast(placed) else placed
@@ -146,6 +141,17 @@ def read_feed(
     return rows, profiles
 
 
+def read_feed(
+    spark: SparkSession, folder: str, name: Column | None = None, glob: str = "*.csv", quoted_newlines: bool = False
+) -> tuple[DataFrame, DataFrame]:
+    """Numbered rows and file profiles of a feed folder.
+
+    Feeds that declare quoted newlines are read one file per task, as any
+    multi-line CSV must be.
+    """
+    return index_records(raw_records(spark, folder, glob, quoted_newlines), name)
+
+
 def field_of(column: str) -> Column:
     """Text of a named field, blank when the header or a short row lacks it."""
     at = F.array_position("header", column)
