@@ -7,7 +7,7 @@ from importlib import import_module
 from pyspark.sql import DataFrame, SparkSession
 
 GROUPS = [
-    "catalog_rows", "catalog_dq", "catalog_warehouse", "catalog_sites", "catalog_ops", "catalog_incidents", "catalog_files",
+    "catalog_flagship", "catalog_rows", "catalog_dq", "catalog_warehouse", "catalog_sites", "catalog_ops", "catalog_incidents", "catalog_files",
     "catalog_streams",
 ]
 
@@ -35,4 +35,4 @@ QUERIES = {name: _utc(query) for name, query in QUERIES.items()}
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return QUERIES["c5_first_reason"](spark, sf_dir)
+    return QUERIES["accepted_readings_by_day"](spark, sf_dir)
