@@ -49,9 +49,8 @@ def parse_number(text: Column | str) -> Column:
 
 def number_text(value: Column | str) -> Column:
     """Shortest plain text of a double: -12.5, -12, 0.25."""
-    text = col_of(value).cast("string")
-    plain = F.when(text.contains("E"), col_of(value).cast("decimal(38,10)").cast("string")).otherwise(text)
-    return F.regexp_replace(plain, r"^(-?[0-9]+(?:\.[0-9]*[1-9])?)\.?0*$", "$1")
+    plain = col_of(value).cast("decimal(38,18)").cast("string")
+    return F.coalesce(F.regexp_replace(plain, r"^(-?[0-9]+(?:\.[0-9]*[1-9])?)\.?0*$", "$1"), col_of(value).cast("string"))
 
 
 def pad_left(value: Column | str, width: int) -> Column:

@@ -12,9 +12,12 @@ BATCH_ID = r"^B-([0-9]{4})([0-9]{2})([0-9]{2})-"  # fixed value
 
 
 def strict_date(text: Column | str) -> Column:
-    """A real calendar day written exactly yyyy-MM-dd, else null."""
+    """A real calendar day written exactly yyyy-MM-dd, else null.
+
+    The cast alone would also take 2025-2-3 and timestamps.
+    """
     text = col_of(text)
-    return F.when(text.rlike(ISO_DATE), F.try_to_date(text, "yyyy-MM-dd"))
+    return F.when(text.rlike(ISO_DATE), text.try_cast("date"))
 
 
 def batch_date(batch_id: Column | str) -> Column:

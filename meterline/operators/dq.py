@@ -6,7 +6,7 @@ feeds and kinds union into one table.
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Iterable, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from meterline.config import INCIDENT_RUNBOOK, Config, FeedRules
 from meterline.functions.joins import lookup_join, number_rows
-from meterline.functions.numbers import half_up, pad_left
+from meterline.functions.numbers import pad_left
 from meterline.functions.times import batch_date
 
 TEXT_FIELDS = [
@@ -187,13 +187,22 @@ def orphan_counts(staged: DataFrame, known_sites: DataFrame) -> DataFrame:
 
 
 def staging_checks(
-    stats: DataFrame, config: Config, violations: DataFrame | None = None, orphans: DataFrame | None = None
+    stats: DataFrame, config: Config, violations: DataFrame | None = None, orphans: DataFrame | None = None,
+    names: Sequence[str] | None = None,
 ) -> DataFrame:
-    """All per-feed checks of every batch in `stats`, in one pass over it.
+    """The per-feed checks (all, or the named ones) of every batch in `stats`, in one pass over it.
 
     `stats` has a row per batch and feed; feeds that delivered nothing may be
     present with zero counts and then skip the rejected-share check.
     """
+    builders = {
+        "null_check_mandatory": null_check,
+        "duplicate_record_check": duplicate_check,
+        "date_validity_check": date_check,
+        "numeric_range_check": range_check,
+        "referential_integrity_check": orphan_check,
+        "rejected_threshold_check": lambda: rejected_share_check(config.settings.rejected_threshold_pct),
+    }
     spark = stats.sparkSession
     base = stats if "business_date" in stats.columns else stats.withColumn("business_date", batch_date("batch_id"))
     base = base.join(F.broadcast(rules_columns(config.feeds.values(), spark)), "dataset")
@@ -202,10 +211,7 @@ def staging_checks(
             base = base.withColumn(name, F.lit(0).cast("long"))
         else:
             base = base.join(extra, ["batch_id", "dataset"], "left")
-    return emit(
-        base, null_check(), duplicate_check(), date_check(), range_check(), orphan_check(),
-        rejected_share_check(config.settings.rejected_threshold_pct),
-    )
+    return emit(base, *[build() for name, build in builders.items() if names is None or name in names])
 
 
 # ---- batch-level checks -------------------------------------------------------------------------

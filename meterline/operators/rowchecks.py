@@ -6,7 +6,7 @@ key, bad date, bad energy, bad emissions. The first failing test is the reason.
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Iterable, Sequence
 from dataclasses import replace
 from functools import reduce
 
@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from meterline.config import FeedRules
 from meterline.functions.joins import mark_repeats, number_rows
-from meterline.functions.numbers import is_number, number_text, parse_number
+from meterline.functions.numbers import number_text, parse_number
 from meterline.functions.times import strict_date
 
 # Fixed value: only these columns can carry a mandatory-value rejection.
@@ -44,23 +44,26 @@ def date_reason(df: DataFrame, rules: FeedRules) -> Column:
 
 def range_reason(df: DataFrame, rules: FeedRules, column: str) -> Column:
     """Cast and range test of one configured column; blanks pass."""
+    text = text_of(df, column)
+    return _range_reason(rules, column, text, parse_number(text))
+
+
+def _range_reason(rules: FeedRules, column: str, text: Column, number: Column) -> Column:
     limits = rules.numeric_range.get(column)
     if limits is None or rules.is_dimension:
         return F.lit(None).cast("string")
-    text, number = text_of(df, column), parse_number(text_of(df, column))
     outside = F.lit(False)
     if limits.get("min") is not None:
         outside = outside | (number < float(limits["min"]))
     if limits.get("max") is not None:
         outside = outside | (number > float(limits["max"]))
-    return (
-        F.when(text == "", F.lit(None))
-        .when(~is_number(text), F.lit(f"invalid_value:{column}"))
-        .when(outside, F.concat(F.lit(f"range_violation:{column}="), number_text(number)))
+    bad_text = F.when(text != "", F.lit(f"invalid_value:{column}"))
+    return F.when(number.isNull(), bad_text).when(
+        outside, F.concat(F.lit(f"range_violation:{column}="), number_text(number))
     )
 
 
-def _per_dataset(rules: list[FeedRules], dataset: str, build) -> Column:
+def _per_dataset(rules: list[FeedRules], dataset: str, build, kind: str = "string") -> Column:
     """One expression that applies each feed's own rule; feeds with equal rules share a branch."""
     groups: dict[str, list[FeedRules]] = {}
     for rule in rules:
@@ -68,7 +71,7 @@ def _per_dataset(rules: list[FeedRules], dataset: str, build) -> Column:
     return reduce(
         lambda acc, same: F.when(F.col(dataset).isin([r.name for r in same]), build(same[0])).otherwise(acc),
         groups.values(),
-        F.lit(None).cast("string"),
+        F.lit(None).cast(kind),
     )
 
 
@@ -83,40 +86,60 @@ def validate_rows(
 
     The repeated-key test looks at all earlier rows of the file, rejected ones
     included. It is the only test that moves data, and it moves only keys that
-    occur more than once.
+    occur more than once. Text is trimmed, and dates and numbers are parsed,
+    once per row.
     """
     rules = list(rules)
-    key = _per_dataset(rules, dataset, lambda r: text_of(df, r.primary_key[0]))
-    marked = mark_repeats(df.withColumn("_pk", key), [file, "_pk"], position, "_repeat").drop("_pk")
-
-    def stage(build) -> Column:
-        return _per_dataset(rules, dataset, build)
-
-    out = (
-        marked.withColumn("null_reason", stage(lambda r: null_reason(df, r)))
-        .withColumn("repeat_reason", F.when(F.col("_repeat"), F.lit(DUPLICATE)))
-        .withColumn("date_reason", stage(lambda r: date_reason(df, r)))
-        .withColumn("energy_reason", stage(lambda r: range_reason(df, r, "energy_kwh")))
-        .withColumn("emissions_reason", stage(lambda r: range_reason(df, r, "emissions_co2e")))
+    used = [c for c in dict.fromkeys(c for r in rules for c in (*r.required_columns, *r.mandatory_not_null, r.date_column)) if c in df.columns]
+    clean = df.withColumns({c: text_of(df, c) for c in used})
+    keys = {r.primary_key[0] for r in rules}
+    if len(keys) == 1:
+        key, marked = next(iter(keys)), clean
+    else:
+        key = "_pk"
+        pick = _per_dataset(rules, dataset, lambda r: F.col(r.primary_key[0]) if r.primary_key[0] in df.columns else F.lit(""))
+        marked = clean.withColumn(key, pick)
+    marked = mark_repeats(marked, [file, key], position, "_repeat").drop("_pk")
+
+    def column(name: str) -> Column:
+        return F.col(name) if name in df.columns else F.lit("")
+
+    def stage(build, kind: str = "string") -> Column:
+        return _per_dataset(rules, dataset, build, kind)
+
+    parsed = marked.withColumns(
+        {
+            "_day": stage(lambda r: strict_date(column(r.date_column)), "date"),
+            "_energy": parse_number(column("energy_kwh")),
+            "_emissions": parse_number(column("emissions_co2e")),
+        }
     )
-    before_numbers = F.coalesce("null_reason", "repeat_reason", "date_reason")
-    return (
-        out.withColumn(
-            "rejection_reason", F.coalesce(before_numbers, F.col("energy_reason"), F.col("emissions_reason"))
-        )
-        .withColumn(
-            "validation_status", F.when(F.col("rejection_reason").isNull(), "VALID").otherwise("REJECTED")
-        )
-        .withColumn("_dated", F.coalesce(F.col("null_reason"), F.col("repeat_reason")).isNull())
-        .withColumn("_energy_reached", before_numbers.isNull())
-        .withColumn("_emissions_reached", before_numbers.isNull() & F.col("energy_reason").isNull())
-        .drop("_repeat")
+
+    def blank(r: FeedRules) -> Column:
+        tests = [F.when(column(c) == "", F.lit(f"null:{c}")) for c in r.mandatory_not_null if c in NULL_TESTED]
+        return F.coalesce(*tests, F.lit(None).cast("string"))
+
+    tested = parsed.withColumns(
+        {
+            "null_reason": stage(blank),
+            "repeat_reason": F.when(F.col("_repeat"), F.lit(DUPLICATE)),
+            "date_reason": F.when(F.col("_day").isNull(), F.lit(BAD_DATE)),
+            "energy_reason": stage(lambda r: _range_reason(r, "energy_kwh", column("energy_kwh"), F.col("_energy"))),
+            "emissions_reason": stage(lambda r: _range_reason(r, "emissions_co2e", column("emissions_co2e"), F.col("_emissions"))),
+        }
     )
+    reason = F.coalesce("null_reason", "repeat_reason", "date_reason", "energy_reason", "emissions_reason")
+    judged = tested.withColumn("rejection_reason", reason)
+    return judged.withColumn(
+        "validation_status", F.when(F.col("rejection_reason").isNull(), "VALID").otherwise("REJECTED")
+    ).drop("_repeat")
 
 
-def _number_if(df: DataFrame, rules: list[FeedRules], dataset: str, column: str, reached: str) -> Column:
+def _number_if(rules: list[FeedRules], dataset: str, column: str, parsed: str, passed: Sequence[str]) -> Column:
+    """The parsed number, where the test sequence got as far as this column."""
     ranged = [r.name for r in rules if column in r.numeric_range and not r.is_dimension]
-    return F.when(F.col(reached) & F.col(dataset).isin(ranged), parse_number(text_of(df, column)))
+    reached = F.coalesce(*[F.col(p) for p in passed]).isNull()
+    return F.when(reached & F.col(dataset).isin(ranged), F.col(parsed))
 
 
 def stage_readings(
@@ -132,18 +155,18 @@ def stage_readings(
     whenever the text is a real date. `position` is the 0-based data row.
     """
     rules = list(rules)
-    record = text_of(validated, "record_id")
-    site = text_of(validated, "site_id")
+    record, site = F.col("record_id"), F.col("site_id")
     file_row = (F.col(position) + 2).cast("string")
+    earlier = ["null_reason", "repeat_reason", "date_reason"]
     return validated.select(
         "batch_id",
         dataset,
         F.col(position).alias("row_index"),
         F.when(record != "", record).otherwise(F.concat(F.lit("UNKNOWN-"), file_row)).alias("record_id"),
         F.when(site != "", site).alias("site_id"),
-        strict_date(text_of(validated, "reading_date")).alias("reading_date"),
-        _number_if(validated, rules, dataset, "energy_kwh", "_energy_reached").alias("energy_kwh"),
-        _number_if(validated, rules, dataset, "emissions_co2e", "_emissions_reached").alias("emissions_co2e"),
+        F.col("_day").alias("reading_date"),
+        _number_if(rules, dataset, "energy_kwh", "_energy", earlier).alias("energy_kwh"),
+        _number_if(rules, dataset, "emissions_co2e", "_emissions", [*earlier, "energy_reason"]).alias("emissions_co2e"),
         F.col("file_name").alias("source_file_name"),
         (source_system if source_system is not None else F.lit("UNKNOWN")).alias("source_system"),
         "validation_status",
@@ -154,7 +177,7 @@ def stage_readings(
 def stage_sites(validated: DataFrame, position: str = "row_index", default_date: str = "2023-01-01") -> DataFrame:
     """Project validated site-master rows; blank ids and bad dates take fixed stand-ins."""
     site = text_of(validated, "site_id")
-    reached = F.when(F.col("_dated"), strict_date(text_of(validated, "effective_from_date")))
+    reached = F.when(F.coalesce("null_reason", "repeat_reason").isNull(), F.col("_day"))
     return validated.select(
         "batch_id",
         F.col(position).alias("row_index"),
@@ -206,8 +229,8 @@ def rejected_rows(validated: DataFrame, position: str = "row_index") -> DataFram
         F.when(record != "", record).otherwise(file_row).alias("record_id"),
         F.when(site != "", site).alias("site_id"),
         F.when(day != "", day).alias("reading_date"),
-        parse_number(text_of(validated, "energy_kwh")).alias("energy_kwh"),
-        parse_number(text_of(validated, "emissions_co2e")).alias("emissions_co2e"),
+        F.col("_energy").alias("energy_kwh"),
+        F.col("_emissions").alias("emissions_co2e"),
         F.col("rejection_reason"),
         F.col("file_name").alias("source_file"),
     )

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from meterline.operators import dq
 from meterline.operators import rowchecks as rc
 from meterline.plans import roles
-from meterline.plans.catalog_rows import RULES, staged, validated
+from meterline.plans.catalog_rows import RULES, validated
 from meterline.plans.oracle_roles import CHECKS, DELIVERIES, FACT, SITES, STAGED, with_roles
 from meterline.plans.shape import flat
 
@@ -15,13 +15,12 @@ CONFIG = roles.readings_config()
 SHOWN = ["batch_id", "dataset", "status", "column_name", "expected_value", "actual_value", "threshold_value", "error_details"]
 
 
-def _stats(spark, sf):
-    return rc.load_stats(validated(spark, sf), ["batch_id", "dataset"], RULES)
-
-
-def _check(spark, sf, name, **extra):
-    found = dq.staging_checks(_stats(spark, sf), CONFIG, **extra)
-    return found.filter(F.col("check_name") == name).select(*SHOWN)
+def _check(spark, sf, name, extra=None):
+    """One named check; `extra` builds further inputs from the written feed."""
+    rows = validated(spark, sf)
+    stats = rc.load_stats(rows, ["batch_id", "dataset"], RULES)
+    inputs = extra(rc.stage_readings(rows, RULES)) if extra else {}
+    return dq.staging_checks(stats, CONFIG, **inputs, names=[name]).select(*SHOWN)
 
 
 def d1_null_check_mandatory(spark, sf):
@@ -37,12 +36,12 @@ def d3_date_validity_check(spark, sf):
 
 
 def d4_numeric_range_check(spark, sf):
-    return _check(spark, sf, "numeric_range_check", violations=dq.staged_violations(staged(spark, sf), RULES))
+    return _check(spark, sf, "numeric_range_check", lambda staged: {"violations": dq.staged_violations(staged, RULES)})
 
 
 def d5_referential_integrity(spark, sf):
-    orphans = dq.orphan_counts(staged(spark, sf), roles.sites(spark, sf))
-    return _check(spark, sf, "referential_integrity_check", orphans=orphans)
+    known = roles.sites(spark, sf)
+    return _check(spark, sf, "referential_integrity_check", lambda staged: {"orphans": dq.orphan_counts(staged, known)})
 
 
 def d6_rejected_threshold(spark, sf):

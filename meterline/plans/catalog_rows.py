@@ -9,15 +9,26 @@ from meterline.operators import rowchecks as rc
 from meterline.plans import roles
 from meterline.plans.oracle_roles import FEED, SITES, STAGED, with_roles
 from meterline.plans.shape import flat
+from meterline.session import cut_lineage
 
 RULES = list(roles.readings_config().feeds.values())
 ENERGY_RULE = RULES[0]
 
 
-def validated(spark, sf) -> DataFrame:
+def judged(spark, sf) -> DataFrame:
+    """Every feed row with its tests, not yet written."""
     return rc.validate_rows(roles.feed(spark, sf), RULES)
 
 
+def validated(spark, sf) -> DataFrame:
+    """The validated feed as a written table.
+
+    Later steps filter on the outcome; reading it back keeps Spark from running
+    the row tests again inside each filter.
+    """
+    return cut_lineage(judged(spark, sf))
+
+
 def staged(spark, sf) -> DataFrame:
     return rc.stage_readings(validated(spark, sf), RULES)
 
@@ -50,7 +61,7 @@ def c4_numeric_cast_range(spark, sf):
 
 
 def c5_first_reason(spark, sf):
-    return validated(spark, sf).select("row_index", "validation_status", "rejection_reason")
+    return judged(spark, sf).select("row_index", "validation_status", "rejection_reason")
 
 
 def c6_staging_project(spark, sf):
