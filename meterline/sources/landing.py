@@ -80,14 +80,14 @@ def field_count(raw: Column) -> Column:
 def raw_records(spark: SparkSession, folder: str, glob: str = "*.csv", quoted_newlines: bool = False) -> DataFrame:
     """Records of all feed files as raw text with their path and split."""
     if quoted_newlines:
-        # Three declared columns make every delivered row "malformed", which keeps its raw text.
-        reader = spark.read.schema("_first string, _second string, _raw string").option("columnNameOfCorruptRecord", "_raw")
+        # With one declared column every delivered row is "malformed", which keeps its raw text.
+        reader = spark.read.schema("_only string, _raw string").option("columnNameOfCorruptRecord", "_raw")
         rows = (
             reader.option("multiLine", "true").option("quote", '"').option("escape", '"').option("mode", "PERMISSIVE")
             .option("recursiveFileLookup", "true").option("pathGlobFilter", glob).csv(folder)
         )
-        pair = F.concat_ws(",", F.coalesce("_first", F.lit("")), F.coalesce("_second", F.lit("")))
-        raw = F.coalesce(F.col("_raw"), pair)
+        single = F.concat(F.lit('"'), F.replace(F.coalesce("_only", F.lit("")), F.lit('"'), F.lit('""')), F.lit('"'))
+        raw = F.coalesce(F.col("_raw"), F.when(F.col("_only").isNull(), F.lit("")).otherwise(single))
     else:
         rows = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", glob).text(folder)
         raw = F.col("value")
