@@ -267,6 +267,7 @@ def likely_causes(incidents: DataFrame, checks: DataFrame, considered: int = 8,
         F.count(F.lit(1)).alias("considered"),
         F.sort_array(F.collect_list(F.when(F.col("place") <= shown, F.struct("place", line.alias("line"))))).alias("lines"),
     )
+    per_batch = cut_lineage(per_batch)
     joined = lookup_join(incidents.select("incident_id", "batch_id"), per_batch, ["batch_id"], "left", ["incident_id"])
     none = "- No failed DQ checks were recorded for this batch"
     text = F.array_join(F.transform("lines", lambda x: x["line"]), "\n")

@@ -7,10 +7,11 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from meterline.functions.joins import lookup_join, number_rows, running_total
+from meterline.functions.joins import fits_broadcast, lookup_join, number_rows, running_total, spread_left_join
 from meterline.functions.numbers import exact, exact_sum, pad_left
 from meterline.session import cut_lineage
 
+MART_COLUMNS = ["reading_date", "site_id", "region", "daily_total_kwh", "avg_intensity", "meter_count", "region_rank"]
 SITE_FIELDS = ["site_name", "country", "region", "site_type", "effective_from_date"]
 
 
@@ -146,15 +147,17 @@ def mart_daily_energy(fact: DataFrame, dim: DataFrame) -> DataFrame:
         placed.select(
             "reading_date", "site_id", "region", "daily_total_kwh",
             (F.col("_emissions").cast("double") / F.col("meter_count")).alias("avg_intensity"), "meter_count",
+            F.coalesce("region", F.lit("")).alias("_place"),
         )
     )
-    totals = mart.groupBy("region", "daily_total_kwh").agg(F.count(F.lit(1)).alias("n"))
-    ranked = running_total(totals, ["region"], [F.col("daily_total_kwh").desc()], F.col("n"), "upto")
-    places = ranked.select(
-        F.col("region").alias("_region"), F.col("daily_total_kwh").alias("_total"), (F.col("upto") - F.col("n") + 1).alias("region_rank")
-    )
-    same = F.col("region").eqNullSafe(F.col("_region")) & (F.col("daily_total_kwh") == F.col("_total"))
-    return mart.join(places, same, "left").drop("_region", "_total")
+    totals = mart.groupBy("_place", "daily_total_kwh").agg(F.count(F.lit(1)).alias("n"))
+    ranked = running_total(totals, ["_place"], [F.col("daily_total_kwh").desc()], F.col("n"), "upto")
+    places = cut_lineage(ranked.withColumn("region_rank", F.col("upto") - F.col("n") + 1).drop("upto"))
+    keys = ["_place", "daily_total_kwh"]
+    if fits_broadcast(places):
+        return mart.join(F.broadcast(places.drop("n")), keys).select(*MART_COLUMNS)
+    # Many rows may share one total (idle meters at 0), so the join is spread by its row count.
+    return spread_left_join(mart, places, keys, "n", ["site_id", "reading_date"]).select(*MART_COLUMNS)
 
 
 def lineage_edges(accepted: DataFrame, file: str, position: str, transform_id: str, stage: str = "STAGING") -> DataFrame:
@@ -174,33 +177,44 @@ def lineage_trace(starts: DataFrame, stages: Sequence[DataFrame], id_column: str
     An edge applies when the path's last id equals its source or starts with
     it (a `*` in the source is dropped). Of several matches in a stage the
     lowest edge number wins and later edges of that stage may continue the path.
-    Ids are short, so their prefixes turn the match into an equality join.
+    Only prefixes as long as some source are tried, so the match is an equality
+    join on a handful of prefixes per id.
     """
     path = starts.select(
-        id_column, F.col(id_column).alias("last_id"), F.array(F.col(id_column)).alias("path"), F.lit(-1).cast("long").alias("at")
+        id_column, F.col(id_column).alias("last_id"), F.array(F.col(id_column)).alias("path"),
+        F.lit(-1).cast("long").alias("at"), F.lit(False).alias("done"),
     )
     for edges in stages:
         keyed = edges.select(
-            F.regexp_replace("source_id", r"\*", "").alias("prefix"), F.col("edge_number").alias("number"), "target_id"
+            F.regexp_replace("source_id", r"\*", "").alias("prefix"), F.struct(F.col("edge_number").alias("number"), "target_id").alias("edge")
         )
+        # At most one number per possible id length.
+        lengths = [r[0] for r in keyed.select(F.length("prefix").alias("n")).distinct().collect()]
+        first_edges = cut_lineage(keyed.groupBy("prefix").agg(F.min("edge").alias("edge")))
+        path, first = cut_lineage(path), True
         while True:
-            path = cut_lineage(path)
-            prefixes = F.transform(
-                F.sequence(F.lit(1), F.length("last_id")), lambda n: F.substring(F.col("last_id"), F.lit(1), n)
-            )
-            reach = path.select(id_column, "at", F.explode(prefixes).alias("prefix"))
-            hit = reach.join(keyed, "prefix").filter(F.col("number") > F.col("at"))
-            found = hit.groupBy(id_column).agg(F.min(F.struct("number", "target_id")).alias("hop"))
-            found = cut_lineage(found)
+            cuts = F.array(*[F.when(F.length("last_id") >= n, F.substring("last_id", 1, n)) for n in lengths]).cast("array<string>")
+            prefixes = F.array_compact(cuts)
+            reach = path.filter("not done").select(id_column, "at", F.explode(prefixes).alias("prefix"))
+            if first:
+                hit = lookup_join(reach, first_edges, ["prefix"], "inner", [id_column])
+            else:
+                hit = reach.join(keyed, "prefix").filter(F.col("edge.number") > F.col("at"))
+            found = cut_lineage(hit.groupBy(id_column).agg(F.min("edge").alias("hop")))
             if found.isEmpty():
                 break
-            path = path.join(found, id_column, "left").select(
-                id_column,
-                F.coalesce("hop.target_id", "last_id").alias("last_id"),
-                F.when(F.col("hop").isNotNull(), F.array_append("path", F.col("hop.target_id"))).otherwise(F.col("path")).alias("path"),
-                F.when(F.col("hop").isNotNull(), F.col("hop.number")).otherwise(F.lit(2**62)).alias("at"),
+            moved = F.col("hop").isNotNull()
+            path = cut_lineage(
+                path.join(found, id_column, "left").select(
+                    id_column,
+                    F.coalesce("hop.target_id", "last_id").alias("last_id"),
+                    F.when(moved, F.array_append("path", F.col("hop.target_id"))).otherwise(F.col("path")).alias("path"),
+                    F.when(moved, F.col("hop.number")).otherwise(F.col("at")).alias("at"),
+                    (~moved).alias("done"),
+                )
             )
-        path = path.withColumn("at", F.lit(-1).cast("long"))
+            first = False
+        path = path.withColumn("at", F.lit(-1).cast("long")).withColumn("done", F.lit(False))
     return path.select(id_column, "path")
 
 

@@ -13,7 +13,6 @@ from pyspark.sql import functions as F
 
 from meterline.config import Config
 from meterline.functions.joins import lookup_join
-from meterline.functions.numbers import exact_sum
 from meterline.operators import dq, filechecks, incidents, ops, recon
 from meterline.operators import rowchecks as rc
 from meterline.session import cut_lineage
@@ -184,7 +183,7 @@ def run_batches(
     accepted = known_now.filter(
         (F.col("validation_status") == "VALID") & (F.col("dataset") == ENERGY) & (F.col("since") <= F.col("batch_id"))
     )
-    fact = accepted.join(going.select("batch_id"), "batch_id", "left_semi").select(
+    fact = lookup_join(accepted, going.select("batch_id"), ["batch_id"], "left_semi", ["record_id"]).select(
         "batch_id", "record_id", "site_id", "reading_date", F.coalesce("energy_kwh", F.lit(0.0)).alias("energy_kwh"),
         F.coalesce("emissions_co2e", F.lit(0.0)).alias("emissions_co2e"), "source_file_name", "source_system",
     )

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from meterline.functions.joins import fits_broadcast
 from meterline.schemas import SIDECAR
+from meterline.session import cut_lineage
 
 SIDECAR_SUFFIX = ".manifest.json"  # fixed value
 LISTING = "path string, size_bytes long, received_at timestamp"
@@ -117,6 +118,7 @@ def index_records(records: DataFrame, name: Column | None = None) -> tuple[DataF
         "path", "block", "first_mid", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"),
         F.first("first_raw").over(whole).alias("header_raw"), F.sum("n").over(whole).alias("lines"),
     ).withColumn("header", F.transform(F.split(bare, ","), lambda h: F.trim(h)))
+    placed = cut_lineage(placed)  # a row per split, read several times below
 
     widest = placed.agg(F.max(F.size("header"))).first()[0] or 1
     side = F.broadcast(placed) if fits_broadcast(placed) else placed
