@@ -29,6 +29,17 @@ def half_up(value: Column | str, digits: int = 2) -> Column:
     return scaled.cast("double") / F.lit(scale)
 
 
+def sql_round(value: Column | str, digits: int = 2) -> Column:
+    """Double rounding as analytic SQL engines do it: scale, halves away from zero, scale back.
+
+    Spark's own round works on the decimal text of the double and differs for
+    values such as 1.005.
+    """
+    x, scale = col_of(value).cast("double"), float(10**digits)
+    size = F.floor(F.abs(x) * F.lit(scale) + F.lit(0.5)).cast("double") / F.lit(scale)
+    return F.when(x < 0, -size).otherwise(size)
+
+
 def half_up_int(value: Column | str) -> Column:
     return F.floor(col_of(value).cast("double") + F.lit(0.5)).cast("long")
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from meterline.config import Settings
-from meterline.functions.numbers import half_up_int, percent
+from meterline.functions.numbers import half_up_int, percent, sql_round
 
 
 def throughput(records: Column, duration_ms: Column) -> Column:
@@ -29,7 +29,7 @@ def quality_metrics(staging: DataFrame, moment: str = "load_timestamp") -> DataF
         total.alias("total_records"),
         valid.alias("valid_records"),
         (total - valid).alias("rejected_records"),
-        F.round(F.lit(100.0) * valid / total, 2).alias("quality_score"),
+        sql_round(F.lit(100.0) * valid / total).alias("quality_score"),
         F.transform(issues, lambda i: F.struct(i["issue"].alias("issue"), i["count"].alias("count"))).alias("top_issues"),
     )
 

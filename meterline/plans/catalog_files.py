@@ -377,7 +377,7 @@ ORACLE = {
     "b8_quarantine_decision": with_roles(DELIVERIES)
     + f"SELECT file_name, CASE WHEN reason IS NULL THEN 'VALIDATED' ELSE 'QUARANTINED' END AS file_status, reason AS error_message FROM ({_DECIDED})",
     "b9_hours_late": with_roles(DELIVERIES)
-    + """SELECT batch_id, file_name, CAST(round(CAST(date_diff('second', expected_arrival_at, received_at) / 3600.0 AS DECIMAL(28,10)), 2) AS DOUBLE) AS hours_late FROM deliveries""",
+    + """SELECT batch_id, file_name, round(CAST(date_diff('second', expected_arrival_at, received_at) AS DOUBLE) / 3600.0, 2) AS hours_late FROM deliveries""",
     "b10_recent_deliveries": with_roles(DELIVERIES)
     + """SELECT dataset, file_name, position FROM (SELECT *, row_number() OVER (PARTITION BY dataset ORDER BY expected_arrival_at DESC, file_name DESC) AS position
      FROM deliveries) WHERE position <= 7""",

@@ -96,8 +96,7 @@ def two(x: str, scale: float = 100.0) -> str:
 
 
 def sql_round(x: str) -> str:
-    """Decimal rounding, as the double's shortest text would round."""
-    return f"CAST(round(CAST({x} AS DECIMAL(28,10)), 2) AS DOUBLE)"
+    return f"round(CAST({x} AS DOUBLE), 2)"
 
 
 TOTALS = f""", totals AS (SELECT t.site_id, coalesce(site_name, t.site_id) AS site_name, coalesce(country, '-') AS country,

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from meterline.config import FeedRules
+from meterline.functions.numbers import sql_round
 from meterline.operators import rowchecks as rc
 from meterline.sources import landing, sinks
 
@@ -81,7 +82,7 @@ def rolling_quality(readings: DataFrame, rules: FeedRules, event_time: str, dela
     )
     return counts.select(
         F.to_date("window.start").alias("load_date"), "dataset", "total_records", "valid_records",
-        F.round(F.lit(100.0) * F.col("valid_records") / F.col("total_records"), 2).alias("quality_score"),
+        sql_round(F.lit(100.0) * F.col("valid_records") / F.col("total_records")).alias("quality_score"),
     )
 
 
