@@ -89,15 +89,13 @@ def apply_transitions(
         else:
             grouped = grouped.join(start.select("k", F.col("pos").alias("chunk"), F.col("s").alias("s0")), ["k", "chunk"])
         states = F.aggregate(
-            "fs",
-            F.array(F.struct(F.lit(-1).cast("long").alias("pos"), F.col("s0").alias("s"))),
-            lambda acc, g: F.array_append(
-                acc, F.struct(g["pos"].alias("pos"), F.element_at(g["f"], F.element_at(acc, -1)["s"] + 1).alias("s"))
-            ),
+            "fs", F.array("s0"), lambda acc, g: F.array_append(acc, F.element_at(g["f"], F.element_at(acc, -1) + 1))
+        )
+        # Item i starts in the state that item i-1 left behind; the state after the last item pairs with nothing.
+        paired = F.explode(F.arrays_zip(F.col("fs"), states)).alias("z")
+        start = grouped.select("k", paired).filter("z.fs is not null").select(
+            "k", F.col("z.fs.pos").alias("pos"), F.col("z").getField("1").alias("s")
         )
-        # Item i starts in the state that item i-1 left behind.
-        before = F.transform(F.col("fs"), lambda g, i: F.struct(g["pos"].alias("pos"), F.element_at(states, i + 1)["s"].alias("s")))
-        start = grouped.select("k", F.explode(before).alias("b")).select("k", "b.pos", "b.s")
     if start is None:
         start = leaf.select("k", "pos", F.lit(0).alias("s"))
 
