@@ -20,14 +20,20 @@ def fits_broadcast(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> bool:
 
 
 def spread_left_join(
-    rows: DataFrame, lookup: DataFrame, keys: Sequence[str], weight: str, spread_by: Sequence[str | Column]
+    rows: DataFrame,
+    lookup: DataFrame,
+    keys: Sequence[str],
+    weight: str,
+    spread_by: Sequence[str | Column],
+    matchless: Column | None = None,
 ) -> DataFrame:
     """Left join `rows` to a lookup with unique keys, spreading hot keys.
 
     `weight` counts the rows of each key. A key heavier than a thousandth of the
     total weight is hot; there can be at most a thousand of those, so they are
     broadcast. Their rows then take a salt that the shuffled lookup never has,
-    which scatters them over all reducers instead of one.
+    which scatters them over all reducers instead of one. The same goes for rows
+    that cannot match: null keys and those for which `matchless` holds.
     """
     keys = list(keys)
     values = [c for c in lookup.columns if c not in keys and c != weight]
@@ -35,7 +41,12 @@ def spread_left_join(
     is_hot = F.col(weight) * MAX_HOT_KEYS > total
     hot = lookup.filter(is_hot).select(*keys, F.lit(True).alias("_hot"), *[F.col(v).alias(f"_hot_{v}") for v in values])
     cold = lookup.filter(~is_hot).select(*keys, F.lit(0).alias("_salt"), *values)
-    salt = F.when(F.col("_hot"), F.pmod(F.xxhash64(*spread_by), F.lit(SPREAD)).cast("int") + 1).otherwise(0)
+    scatter = F.col("_hot").isNotNull()
+    for key in keys:
+        scatter = scatter | F.col(key).isNull()
+    if matchless is not None:
+        scatter = scatter | matchless
+    salt = F.when(scatter, F.pmod(F.xxhash64(*spread_by), F.lit(SPREAD)).cast("int") + 1).otherwise(0)
     joined = (
         rows.join(F.broadcast(hot), keys, "left").withColumn("_salt", salt).join(cold, [*keys, "_salt"], "left")
     )
@@ -53,17 +64,19 @@ def lookup_join(
 ) -> DataFrame:
     """Join rows to a dimension with unique keys: `left`, `inner`, `left_semi` or `left_anti`.
 
-    Broadcast when the dimension is proven small; otherwise weigh the keys with
-    a pre-aggregated count and use the spreading join.
+    Broadcast when the dimension is proven small; otherwise weigh the keys of
+    the rows with a pre-aggregated count, hot keys missing from the dimension
+    included, and use the spreading join.
     """
     keys = list(keys)
     if fits_broadcast(dim, max_rows):
         return rows.join(F.broadcast(dim), keys, how)
     weights = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_weight"))
-    marked = dim.withColumn("_found", F.lit(True)).join(weights, keys, "inner")
+    attributes = dim.withColumn("_found", F.lit(True))
     if how in ("left_semi", "left_anti"):
-        marked = marked.select(*keys, "_found", "_weight")
-    joined = spread_left_join(rows, marked, keys, "_weight", spread_by or rows.columns)
+        attributes = attributes.select(*keys, "_found")
+    weighed = weights.join(attributes, keys, "left")
+    joined = spread_left_join(rows, weighed, keys, "_weight", spread_by or rows.columns)
     if how in ("inner", "left_semi"):
         joined = joined.filter("_found")
     elif how == "left_anti":
@@ -120,5 +133,5 @@ def mark_repeats(df: DataFrame, keys: Sequence[str], position: str, out: str) ->
     if fits_broadcast(firsts):
         joined = df.join(F.broadcast(firsts.drop("_weight")), list(keys), "left")
     else:
-        joined = spread_left_join(df, firsts, keys, "_weight", [position])
+        joined = spread_left_join(df, firsts, keys, "_weight", [position], ~F.coalesce(present, F.lit(False)))
     return joined.withColumn(out, F.coalesce(F.col(position) > F.col("_first"), F.lit(False))).drop("_first")

@@ -59,7 +59,7 @@ def a1_landing_scan(spark, sf):
 def a2_manifest_read(spark, sf):
     d = roles.deliveries(spark, sf)
     good = F.to_json(F.struct("file_name", "dataset", F.col("expected_rows"), F.col("manifest_checksum").alias("checksum_sha256")))
-    text = F.when(F.length("manifest_checksum").isNull(), "not json").otherwise(good)
+    text = F.when(F.col("manifest_checksum").isNull(), "not json").otherwise(good)
     path = new_path(spark, "sidecars")
     d.select(F.col("file_name").alias("feed"), text.alias("value")).repartition("feed").write.partitionBy("feed").text(path)
     found = landing.read_sidecars(spark, path, feed_dir(), "*.txt")
@@ -156,8 +156,7 @@ def a13_report_csv(spark, sf):
 
 
 def a13_report_md(spark, sf):
-    lines = sinks.report_lines(h10_daily_ops_report(spark, sf))
-    return flat(lines.filter("line_number = 3"))
+    return flat(sinks.report_lines(h10_daily_ops_report(spark, sf)))
 
 
 def a14_incident_csv(spark, sf):
@@ -308,10 +307,21 @@ ORACLE = {
     + """SELECT batch_id, record_id, nullif(site_id, '') AS site_id, reading_date, TRY_CAST(nullif(energy_kwh, '1d') AS DOUBLE) AS energy_kwh,
      CAST(emissions_co2e AS DOUBLE) AS emissions_co2e, rejection_reason, file_name AS source_file FROM staged WHERE rejection_reason IS NOT NULL""",
     "a13_report_csv": OPS_ORACLE["h10_daily_ops_report"],
-    "a13_report_md": "SELECT report_date, CAST(3 AS BIGINT) AS line_number, files_received || '/' || files_expected || ' expected feeds received; ' || jobs_succeeded || '/' "
-    "|| jobs_executed || ' jobs succeeded; ' || dq_checks_passed || '/' || dq_checks_executed || ' validation checks passed; ' || open_incidents || "
-    "' open incident(s) (' || p1_incidents || ' P1, ' || p2_incidents || ' P2). Reconciliation: ' || reconciliation_status || '.' AS line FROM ("
-    + OPS_ORACLE["h10_daily_ops_report"] + ")",
+    "a13_report_md": "WITH r AS (" + OPS_ORACLE["h10_daily_ops_report"] + """), l AS (SELECT report_date, [
+      '# Daily operations report ' || report_date, '**Overall health: ' || overall_health || '**', '',
+      files_received || '/' || files_expected || ' expected feeds received; ' || jobs_succeeded || '/' || jobs_executed || ' jobs succeeded; ' ||
+       dq_checks_passed || '/' || dq_checks_executed || ' validation checks passed; ' || open_incidents || ' open incident(s) (' || p1_incidents || ' P1, ' ||
+       p2_incidents || ' P2). Reconciliation: ' || reconciliation_status || '.',
+      '', '## File ingestion', '| Metric | Value |', '|---|---|', '| Files expected | ' || files_expected || ' |', '| Files received | ' || files_received || ' |',
+      '| Files quarantined | ' || files_quarantined || ' |',
+      '', '## Pipeline runs', '| Metric | Value |', '|---|---|', '| Jobs executed | ' || jobs_executed || ' |', '| Jobs succeeded | ' || jobs_succeeded || ' |',
+      '| Jobs failed | ' || jobs_failed || ' |',
+      '', '## Data quality', '| Metric | Value |', '|---|---|', '| Checks executed | ' || dq_checks_executed || ' |', '| Checks passed | ' || dq_checks_passed || ' |',
+      '| Checks failed | ' || dq_checks_failed || ' |',
+      '', '## Incidents', '| Metric | Value |', '|---|---|', '| Open incidents | ' || open_incidents || ' |', '| P1 incidents | ' || p1_incidents || ' |',
+      '| P2 incidents | ' || p2_incidents || ' |',
+      '', '## Reconciliation', 'Source-to-target status: **' || reconciliation_status || '**'] AS lines FROM r)
+     SELECT report_date, n - 1 AS line_number, lines[n] AS line FROM (SELECT *, unnest(range(1, len(lines) + 1)) AS n FROM l)""",
     "a14_incident_csv": with_roles(INCIDENTS)
     + """SELECT incident_id, batch_id, severity, short_description, affected_check, CAST(escalated_flag AS VARCHAR) AS escalated,
      greatest(0, date_diff('minute', created_at, TIMESTAMP '2001-08-02')) AS age_minutes FROM incidents""",

@@ -172,15 +172,26 @@ def _feed_batches(spark, sf):
     return t, i
 
 
-def h21_batch_lineage(spark, sf):
+def _lineage(spark, sf):
     tasks, incidents = _feed_batches(spark, sf)
     rows = staged(spark, sf)
     fact = rows.filter("validation_status = 'VALID' and dataset = 'click' and energy_kwh < 400")
-    found = ops.batch_lineage(
+    return ops.batch_lineage(
         tasks, file_log(spark, sf), rows, roles.checks(spark, sf), incidents, fact, incidents.select("batch_id"),
         energy="click", carbon="view",
     )
-    return flat(found)
+
+
+def h21_batch_lineage(spark, sf):
+    return flat(_lineage(spark, sf))
+
+
+def h21_incident_counts(spark, sf):
+    li = roles.table(spark, sf, "lineitem")
+    c = roles.table(spark, sf, "customer")
+    notes = li.select(F.concat(F.lit("INC-"), F.col("l_orderkey").cast("string")).alias("incident_id"))
+    evidence = c.select(F.concat(F.lit("INC-"), F.col("c_custkey").cast("string")).alias("incident_id"))
+    return ops.incident_counts(roles.incidents(spark, sf), notes, evidence)
 
 
 def h21_rejection_reasons(spark, sf):
@@ -194,6 +205,11 @@ def h22_batch_compare(spark, sf):
     return ops.check_diff(roles.checks(spark, sf), LEFT, RIGHT)
 
 
+def h22_compare_metrics(spark, sf):
+    lineage = _lineage(spark, sf)
+    return flat(ops.compare_batches(lineage, LEFT, RIGHT).drop("started_at"))
+
+
 def h22_batch_sides(spark, sf):
     side = ops.batch_side(roles.tasks(spark, sf))
     return flat(side.drop("ended_at"))
@@ -203,6 +219,16 @@ def h23_shift_context(spark, sf):
     return ops.shift_context(roles.tasks(spark, sf), AS_OF)
 
 
+def h23_shift_summary(spark, sf):
+    return ops.shift_summary(
+        roles.tasks(spark, sf), roles.incidents(spark, sf), roles.alerts(spark, sf), roles.checks(spark, sf), AS_OF
+    )
+
+
+def h24_queue_lines(spark, sf):
+    return flat(ops.queue_lines(ops.queue_summary(roles.incidents(spark, sf))))
+
+
 def h24_queue_summary(spark, sf):
     return ops.queue_summary(roles.incidents(spark, sf))
 
@@ -251,7 +277,8 @@ QUERIES = {
         h7_batch_timeline, h8_health_rollup, h9_sla_status_today, h10_daily_ops_report, h11_day_over_day, h12_rolling_pass_rate,
         h13_check_history, h13_check_trend, h14_mttr, h15_incident_age, h15_mean_age, h16_alert_stats, h16_alerts_by_severity,
         h17_subscription_preview, h18_status_filters, h18_file_status_counts, h19_incident_calendar, h20_pass_rate,
-        h21_batch_lineage, h21_rejection_reasons, h22_batch_compare, h22_batch_sides, h23_shift_context, h24_queue_summary,
+        h21_batch_lineage, h21_incident_counts, h21_rejection_reasons, h22_batch_compare, h22_compare_metrics, h22_batch_sides,
+        h23_shift_context, h23_shift_summary, h24_queue_summary, h24_queue_lines,
         h25_escalation_remaining, h26_perf_summary, h27_metric_sla_violations, h28_quality_trend, h29_last_load,
     )
 }
@@ -425,6 +452,9 @@ ORACLE = {
      coalesce(sc, 0) AS sites_covered, CASE WHEN coalesce(ev, 0) = coalesce(tc, 0) AND abs(coalesce(se, 0) - coalesce(te, 0)) <= 0.01 THEN 'PASS' ELSE 'FAIL' END
       AS recon_status FROM k LEFT JOIN t USING (batch_id) LEFT JOIN f USING (batch_id) LEFT JOIN i USING (batch_id) LEFT JOIN s USING (batch_id)
      LEFT JOIN c USING (batch_id)""",
+    "h21_incident_counts": with_roles(INCIDENTS)
+    + """SELECT batch_id, incident_id, incident_type, severity, status, (SELECT count(*) FROM lineitem WHERE l_orderkey = incident_number) AS work_notes,
+     (SELECT count(*) FROM customer WHERE c_custkey = incident_number) AS evidence_items FROM incidents""",
     "h21_rejection_reasons": with_roles(STAGED)
     + "SELECT DISTINCT batch_id, rejection_reason FROM staged WHERE rejection_reason IS NOT NULL",
     "h22_batch_compare": with_roles(CHECKS)
@@ -443,6 +473,18 @@ ORACLE = {
     "h23_shift_context": with_roles(TASKS)
     + f"""SELECT batch_id, CASE WHEN bool_or(status = 'FAILED') THEN 'FAILED' ELSE 'SUCCESS' END AS status, count(*) AS tasks FROM tasks
      WHERE start_time >= TIMESTAMP '{AS_OF}' - INTERVAL 24 HOUR GROUP BY 1""",
+    "h23_shift_summary": with_roles(TASKS, ALERTS, CHECKS)
+    + f""", b AS (SELECT batch_id, bool_or(status = 'FAILED') AS f FROM tasks WHERE start_time >= TIMESTAMP '{AS_OF}' - INTERVAL 24 HOUR GROUP BY 1)
+     SELECT count(*) AS dq_executed, count(*) FILTER (status = 'FAIL') AS dq_failed, count(*) FILTER (status = 'WARN') AS dq_warn,
+     (SELECT count(*) FROM b) AS batches, (SELECT count(*) FROM b WHERE f) AS batches_failed,
+     (SELECT count(*) FROM incidents WHERE {_OPEN}) AS active_incidents, (SELECT count(*) FROM alerts) AS alerts,
+     (SELECT count(*) FROM alerts WHERE NOT acknowledged_flag) AS alerts_unacknowledged FROM checks""",
+    "h24_queue_lines": with_roles(INCIDENTS)
+    + f""", q AS (SELECT count(*) AS n, count(*) FILTER ({_OPEN}) AS a, {', '.join(f"count(*) FILTER (severity = 'P{i}') AS p{i}" for i in (1, 2, 3, 4))},
+      count(*) FILTER (escalated_flag) AS e FROM incidents)
+     SELECT CAST(0 AS BIGINT) AS line_number, '- **Incidents in view:** ' || n || ' (' || a || ' active)' AS line FROM q UNION ALL
+     SELECT 1, '- **By severity:** P1 ' || p1 || ' · P2 ' || p2 || ' · P3 ' || p3 || ' · P4 ' || p4 FROM q UNION ALL
+     SELECT 2, '- **Escalated to L2:** ' || e FROM q""",
     "h24_queue_summary": with_roles(INCIDENTS)
     + f"""SELECT count(*) AS in_view, count(*) FILTER ({_OPEN}) AS active, {', '.join(f"count(*) FILTER (severity = 'P{i}') AS P{i}" for i in (1, 2, 3, 4))},
      count(*) FILTER (escalated_flag) AS escalated FROM incidents""",
@@ -464,3 +506,9 @@ ORACLE = {
     + """SELECT strftime(max(loaded_at), '%Y-%m-%d %H:%M:%S') AS last_load_time, arg_max(batch_id, (loaded_at, batch_id)) AS last_batch_id,
      strftime(max(reading_date), '%Y-%m-%d') AS latest_reading_date, count(*) AS fact_rows, (SELECT count(*) FROM supplier) AS sites FROM fact""",
 }
+
+ORACLE["h22_compare_metrics"] = (
+    f"SELECT * EXCLUDE (started_at), CASE WHEN batch_id = '{LEFT}' THEN 'left' ELSE 'right' END AS side FROM ("
+    + ORACLE["h21_batch_lineage"]
+    + f") WHERE batch_id IN ('{LEFT}', '{RIGHT}')"
+)
