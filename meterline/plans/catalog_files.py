@@ -100,7 +100,10 @@ def a7_staging_sink(spark, sf):
 
 
 def a8_zone_route(spark, sf):
-    return fc.quarantine_decision(roles.deliveries(spark, sf), CONFIG).select("file_name", "file_status", "zone", "checksum_status")
+    decided = fc.quarantine_decision(roles.deliveries(spark, sf), CONFIG).select("file_name", "file_status", "checksum_status", "zone")
+    path = new_path(spark, "zones")
+    sinks.write_batches(decided, path, ("zone",))
+    return spark.read.schema(decided.schema).parquet(path)
 
 
 def a9_query_export_csv(spark, sf):

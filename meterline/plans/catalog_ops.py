@@ -149,6 +149,18 @@ def h18_status_filters(spark, sf):
     )
 
 
+def h18_alert_filters(spark, sf):
+    return ops.facet_filter(roles.alerts(spark, sf), severity="P1", alert_type="ALL", acknowledged_flag="UNACKED").select("alert_id", "alert_type")
+
+
+def h18_run_filters(spark, sf):
+    return ops.facet_filter(roles.tasks(spark, sf), status="FAILED", task_id="1-URGENT", batch_id="ALL").select("run_id", "batch_id")
+
+
+def h18_check_filters(spark, sf):
+    return ops.facet_filter(roles.checks(spark, sf), status="WARN", check_name="file_arrival_check").select("check_id", "severity")
+
+
 def h18_file_status_counts(spark, sf):
     return ops.facet_counts(file_log(spark, sf), "file_status")
 
@@ -276,7 +288,8 @@ QUERIES = {
         h1_jobs_24h, h1_files_24h, h2_open_by_severity, h3_daily_trend, h4_batch_summary, h5_check_summary, h6_fails_by_severity,
         h7_batch_timeline, h8_health_rollup, h9_sla_status_today, h10_daily_ops_report, h11_day_over_day, h12_rolling_pass_rate,
         h13_check_history, h13_check_trend, h14_mttr, h15_incident_age, h15_mean_age, h16_alert_stats, h16_alerts_by_severity,
-        h17_subscription_preview, h18_status_filters, h18_file_status_counts, h19_incident_calendar, h20_pass_rate,
+        h17_subscription_preview, h18_status_filters, h18_alert_filters, h18_run_filters, h18_check_filters,
+        h18_file_status_counts, h19_incident_calendar, h20_pass_rate,
         h21_batch_lineage, h21_incident_counts, h21_rejection_reasons, h22_batch_compare, h22_compare_metrics, h22_batch_sides,
         h23_shift_context, h23_shift_summary, h24_queue_summary, h24_queue_lines,
         h25_escalation_remaining, h26_perf_summary, h27_metric_sla_violations, h28_quality_trend, h29_last_load,
@@ -415,6 +428,9 @@ ORACLE = {
     + """SELECT count(*) FILTER (s) AS shown, count(*) FILTER (NOT s) AS hidden FROM (SELECT alert_type IN ('FILE_MISSING', 'SCHEMA_DRIFT', 'SLA_BREACH')
      AND severity IN ('P1', 'P2') AS s FROM alerts)""",
     "h18_status_filters": with_roles(INCIDENTS) + f"SELECT incident_id, status, severity FROM incidents WHERE {_OPEN} AND severity = 'P2'",
+    "h18_alert_filters": with_roles(ALERTS) + "SELECT alert_id, alert_type FROM alerts WHERE severity = 'P1' AND NOT acknowledged_flag",
+    "h18_run_filters": with_roles(TASKS) + "SELECT run_id, batch_id FROM tasks WHERE status = 'FAILED' AND task_id = '1-URGENT'",
+    "h18_check_filters": with_roles(CHECKS) + "SELECT check_id, severity FROM checks WHERE status = 'WARN' AND check_name = 'file_arrival_check'",
     "h18_file_status_counts": with_roles(FILES) + "SELECT file_status, count(*) AS count FROM files GROUP BY 1",
     "h19_incident_calendar": _BATCHES
     + """, d AS (SELECT strftime(created_at, '%Y-%m-%d') AS day, count(*) AS incidents FROM incidents GROUP BY 1)
