@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from meterline.llm.bitpack import token_file_report
+from meterline.llm.packing import pack_documents
 from meterline.llm.rules import rule_report
 from meterline.llm.sharding import stratified_shards
 
@@ -16,16 +18,26 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op5_bitpacked_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_file_report(spark, table(spark, sf_dir, "documents"))
+
+
 def op6_stratified_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stratified_shards(table(spark, sf_dir, "documents"))
 
 
+def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(table(spark, sf_dir, "documents"))
+
+
 def op9_rule_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rule_report(table(spark, sf_dir, "documents")).drop("failed_rule")
 
 
 QUERIES: dict[str, Query] = {
+    "op5_bitpacked_tokens": op5_bitpacked_tokens,
     "op6_stratified_shards": op6_stratified_shards,
+    "op8_best_fit_packing": op8_best_fit_packing,
     "op9_rule_cascade": op9_rule_cascade,
 }
 
