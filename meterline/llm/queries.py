@@ -10,6 +10,7 @@ from meterline.llm.bitpack import token_file_report
 from meterline.llm.packing import pack_documents
 from meterline.llm.rules import rule_report
 from meterline.llm.sharding import stratified_shards
+from meterline.llm.simhash import simhash_report
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -18,6 +19,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_report(table(spark, sf_dir, "documents"))
+
+
 def op5_bitpacked_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_file_report(spark, table(spark, sf_dir, "documents"))
 
@@ -35,6 +40,7 @@ def op9_rule_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op2_simhash_near_dedup": op2_simhash_near_dedup,
     "op5_bitpacked_tokens": op5_bitpacked_tokens,
     "op6_stratified_shards": op6_stratified_shards,
     "op8_best_fit_packing": op8_best_fit_packing,
