@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from meterline.session import cut_lineage
+
 MAX_BUCKETS = 65_536
 BUCKET_ROWS = 500
 
@@ -18,6 +20,17 @@ def pick(df: DataFrame, *names: str) -> DataFrame:
     return df.toDF(*labels).select(*[F.col(place[name]).alias(name) for name in names])
 
 
+def written(df: DataFrame) -> DataFrame:
+    """`df` written to the shared folder and read back; the shuffle files of the write go when it ends."""
+    conf, key = df.sparkSession.conf, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = conf.get(key)
+    conf.set(key, "true")
+    try:
+        return cut_lineage(df)
+    finally:
+        conf.set(key, before)
+
+
 def bucket_count(rows: int) -> int:
     """Buckets of about `BUCKET_ROWS` rows, never more than `MAX_BUCKETS`."""
     return max(1, min(MAX_BUCKETS, rows // BUCKET_ROWS))

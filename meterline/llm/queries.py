@@ -11,6 +11,7 @@ from meterline.llm.packing import pack_documents
 from meterline.llm.rules import rule_report
 from meterline.llm.sharding import stratified_shards
 from meterline.llm.simhash import simhash_report
+from meterline.llm.substrings import repeat_report
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -23,6 +24,10 @@ def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_report(table(spark, sf_dir, "documents"))
 
 
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeat_report(table(spark, sf_dir, "documents"))
+
+
 def op5_bitpacked_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_file_report(spark, table(spark, sf_dir, "documents"))
 
@@ -41,6 +46,7 @@ def op9_rule_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op2_simhash_near_dedup": op2_simhash_near_dedup,
+    "op4_suffix_dedup": op4_suffix_dedup,
     "op5_bitpacked_tokens": op5_bitpacked_tokens,
     "op6_stratified_shards": op6_stratified_shards,
     "op8_best_fit_packing": op8_best_fit_packing,
