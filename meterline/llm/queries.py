@@ -8,10 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 from meterline.llm.bitpack import token_file_report
 from meterline.llm.packing import pack_documents
+from meterline.llm.quality import quality_report
 from meterline.llm.rules import rule_report
 from meterline.llm.sharding import stratified_shards
 from meterline.llm.simhash import simhash_report
 from meterline.llm.substrings import repeat_report
+from meterline.llm.toxicity import toxicity_report
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -36,6 +38,10 @@ def op6_stratified_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stratified_shards(table(spark, sf_dir, "documents"))
 
 
+def op7_gru_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"))
 
@@ -44,13 +50,19 @@ def op9_rule_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rule_report(table(spark, sf_dir, "documents")).drop("failed_rule")
 
 
+def op10_empirical_bayes_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Query] = {
     "op2_simhash_near_dedup": op2_simhash_near_dedup,
     "op4_suffix_dedup": op4_suffix_dedup,
     "op5_bitpacked_tokens": op5_bitpacked_tokens,
     "op6_stratified_shards": op6_stratified_shards,
+    "op7_gru_toxicity": op7_gru_toxicity,
     "op8_best_fit_packing": op8_best_fit_packing,
     "op9_rule_cascade": op9_rule_cascade,
+    "op10_empirical_bayes_quality": op10_empirical_bayes_quality,
 }
 
 ORACLE: dict[str, str] = {}
