@@ -10,6 +10,7 @@ from meterline.llm.bitpack import token_file_report
 from meterline.llm.packing import pack_documents
 from meterline.llm.quality import quality_report
 from meterline.llm.rules import rule_report
+from meterline.llm.secrets import secret_report
 from meterline.llm.sharding import stratified_shards
 from meterline.llm.simhash import simhash_report
 from meterline.llm.substrings import repeat_report
@@ -26,6 +27,10 @@ def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_report(table(spark, sf_dir, "documents"))
 
 
+def op3_crf_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_report(table(spark, sf_dir, "documents"))
+
+
 def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeat_report(table(spark, sf_dir, "documents"))
 
@@ -56,6 +61,7 @@ def op10_empirical_bayes_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op2_simhash_near_dedup": op2_simhash_near_dedup,
+    "op3_crf_secret_scan": op3_crf_secret_scan,
     "op4_suffix_dedup": op4_suffix_dedup,
     "op5_bitpacked_tokens": op5_bitpacked_tokens,
     "op6_stratified_shards": op6_stratified_shards,
