@@ -10,39 +10,66 @@ from __future__ import annotations
 
 import os
 import re
+import string
 import sys
+import unicodedata
 from array import array
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
-from itertools import chain
 
-CACHE_PIECES = 800_000
-CHUNK_CHARS = 2_000_000
-UNSAFE = re.compile(r"(?:^|\s) | (?:\s|$)")
+CACHE_PIECES = 900_000
+CHUNK_CHARS = 4_000_000
 SAFE_SPACE = re.compile(r"(?<=\S) (?=\S)")
+ASCII_SPACE = re.compile(r"[ \t\n\x0b\x0c\r]+")
+RARE_SPACES = "\t\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2028\u2029\u202f\u205f\u3000" + "".join(map(chr, range(0x2000, 0x200B)))
+
+
+ENDS = "".join(c for c in string.punctuation if c != "'")
+
+
+def plain_word(word: str) -> bool:
+    """Latin letters only, none of which becomes two in lower case."""
+    return word.isalpha() and (word.isascii() or (max(word) < "\u0250" and "\u0130" not in word))
 
 
 class Encoder:
-    """Ids of texts as little-endian unsigned 16-bit or 32-bit bytes."""
+    """Ids of texts as little-endian unsigned 16-bit or 32-bit bytes.
+
+    For byte-level BPE, with or without spaces kept. The cache has two generations of at most `cache_pieces` pieces each: a full
+    young one becomes the old one, from which pieces in use come back.
+    """
 
     def __init__(self, name: str, spaced: bool, cache_pieces: int = CACHE_PIECES):
         import public_tokenizers
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_file(public_tokenizers.path(name) if os.sep not in name else name)
         self.vocabulary = self.tokenizer.get_vocab_size()
-        self.spaced = spaced
+        self.lead = " " if spaced else ""
         self.cache_pieces = cache_pieces
         self.code = "H" if self.vocabulary <= 1 << 16 else "I"
         self.dtype = "<u2" if self.code == "H" else "<u4"
-        self.cache: dict[str, bytes] = {"": b""}
+        self.tokenize = self.tokenizer.model.tokenize
+        level = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        self.letters = {k: level.pre_tokenize_str(chr(k))[0][0] for k in range(0x80, 0x250)}
+        self.mark = level.pre_tokenize_str(" ")[0][0] if spaced else ""
+        self.tails: dict[str, bytes] = {}
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
 
     def cut(self, text: str) -> list[str]:
-        if not self.spaced:
-            return [word.decode("utf-8") for word in text.encode("utf-8").split()] if not text.isascii() else text.split()
-        parts = SAFE_SPACE.split(text) if UNSAFE.search(text) else text.split(" ")
-        return [parts[0], *[" " + part for part in parts[1:]]]
+        """Pieces of a text.
+
+        If the tokenizer keeps spaces, all pieces but the first follow a space
+        that belongs to them or start with a line break that stands alone.
+        """
+        rare = any(space in text for space in RARE_SPACES)
+        if not self.lead:
+            return [word for word in ASCII_SPACE.split(text) if word] if rare else text.split()
+        if rare or "  " in text or " \n" in text or "\n " in text or "\n\n" in text or text != text.strip(" \n"):
+            return SAFE_SPACE.split(text)
+        return text.replace("\n", " \n").split(" ")
 
     def pack(self, ids: list[int]) -> bytes:
         packed = array(self.code, ids)
@@ -50,22 +77,56 @@ class Encoder:
             packed.byteswap()
         return packed.tobytes()
 
-    def learn(self, pieces: Iterable[str]) -> None:
-        """Encode unknown pieces; full stops and commas after a letter are pieces of their own."""
-        cache, stems, whole = self.cache, {}, []
+    def alone(self, texts: list[str]) -> list[bytes]:
+        return [self.pack(found.ids) for found in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def modelled(self, word: str) -> bytes:
+        """Ids of one plain word straight from the library's model, which sees it as the pre-tokenizer would hand it over."""
+        if not self.lead:
+            word = unicodedata.normalize("NFC", word).lower()
+        if not word.isascii():
+            word = word.translate(self.letters)
+        if word[0] == "\n":
+            return self.ends("\n") + self.pack([token.id for token in self.tokenize(word[1:])])
+        return self.pack([token.id for token in self.tokenize(self.mark + word)])
+
+    def learn(self, pieces: set[str]) -> dict[str, bytes]:
+        """Ids of pieces that the young generation lacks; punctuation after a letter is encoded on its own.
+
+        A piece with such an end is only kept if its word was known before.
+        """
+        young, old = self.young, self.old
+        known: dict[str, bytes] = {}
+        others = []
         for piece in pieces:
-            stem = piece.rstrip(".,")
-            if len(stem) < len(piece) and stem and stem[-1].isalpha():
-                stems[piece] = (stem, piece[len(stem) :])
-            else:
-                whole.append(piece)
-        wanted = list({*whole, *chain.from_iterable(stems.values())}.difference(cache))
-        for at in range(0, len(wanted), 10_000):
-            some = wanted[at : at + 10_000]
-            for piece, found in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
-                cache[piece] = self.pack(found.ids)
-        for piece, (stem, tail) in stems.items():
-            cache[piece] = cache[stem] + cache[tail]
+            ids = old.get(piece)
+            if ids is None:
+                stem = piece.rstrip(ENDS)
+                if not plain_word(stem[1:] if stem[:1] == "\n" else stem):
+                    others.append(piece)
+                    continue
+                ids = young.get(stem)
+                fresh = ids is None
+                if fresh:
+                    ids = young[stem] = old.get(stem) or self.modelled(stem)
+                if len(stem) == len(piece):
+                    known[piece] = ids
+                    continue
+                ids += self.ends(piece[len(stem) :])
+                if fresh:
+                    known[piece] = ids
+                    continue
+            known[piece] = young[piece] = ids
+        for at in range(0, len(others), 10_000):
+            some = others[at : at + 10_000]
+            known.update(zip(some, self.alone([piece if piece[:1] == "\n" else self.lead + piece for piece in some]), strict=True))
+            young.update((piece, known[piece]) for piece in some)
+        return known
+
+    def ends(self, tail: str) -> bytes:
+        if tail not in self.tails:
+            self.tails[tail] = self.alone([tail])[0]
+        return self.tails[tail]
 
     def encode(self, texts: Iterable[str | None]) -> Iterator[bytes]:
         """Ids of each text; a null text counts as empty. Works on about `CHUNK_CHARS` characters at a time."""
@@ -80,12 +141,18 @@ class Encoder:
         yield from self._flush(held)
 
     def _flush(self, held: list[list[str]]) -> Iterator[bytes]:
-        if len(self.cache) > self.cache_pieces:
-            self.cache = {"": b""}
-        self.learn(set(chain.from_iterable(held)).difference(self.cache))
-        get = self.cache.__getitem__
-        for pieces in held:
-            yield b"".join(map(get, pieces))
+        if len(self.young) > self.cache_pieces:
+            self.young, self.old, self.tails = {}, self.young, {}
+        firsts = self.alone([pieces[0] for pieces in held if pieces]) if self.lead else []
+        rest = [pieces[1:] for pieces in held] if self.lead else held
+        found = [list(map(self.young.get, pieces)) for pieces in rest]
+        gaps = [[i for i, x in enumerate(ids) if x is None] if None in ids else () for ids in found]
+        known = self.learn({pieces[i] for pieces, places in zip(rest, gaps, strict=True) for i in places})
+        first = iter(firsts)
+        for pieces, ids, places in zip(rest, found, gaps, strict=True):
+            for i in places:
+                ids[i] = known[pieces[i]]
+            yield (next(first) if self.lead else b"") + b"".join(ids)
 
 
 @lru_cache(maxsize=4)
