@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from meterline.llm.bitpack import token_file_report
+from meterline.llm.decontaminate import leak_report
 from meterline.llm.packing import pack_documents
 from meterline.llm.quality import quality_report
 from meterline.llm.rules import rule_report
@@ -23,6 +24,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_latent_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leak_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_report(table(spark, sf_dir, "documents"))
 
@@ -60,6 +65,7 @@ def op10_empirical_bayes_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op1_latent_decontamination": op1_latent_decontamination,
     "op2_simhash_near_dedup": op2_simhash_near_dedup,
     "op3_crf_secret_scan": op3_crf_secret_scan,
     "op4_suffix_dedup": op4_suffix_dedup,
