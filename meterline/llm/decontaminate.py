@@ -29,10 +29,10 @@ RANK = 64
 PASSAGE = 48
 LENGTH_STEP = 1.5
 LONGEST = 96
-OTHER_BUCKETS = 1 << 16
-LEAST_WEIGHT = 0.5
-KNOWN_SHARE = 0.3
-COSINE = 0.5
+OTHER_BUCKETS = 1 << 15
+LEAST_WEIGHT = 1.0
+KNOWN_SHARE = 0.36
+COSINE = 0.4
 COPY = 0.8
 PARAPHRASE = 0.6
 ANSWER = 0.8
@@ -84,80 +84,93 @@ class Vocabulary:
         return np.array(found, np.int64)
 
 
-def batches_of(batch: pa.RecordBatch) -> Iterator[tuple[list, list[list[str]]]]:
-    """Ids and words of some documents at a time, about `BATCH_WORDS` words."""
-    ids, texts, held = [], [], 0
-    for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
-        words = text.split()
+def numbered(docs: DataFrame, words: list[str]) -> DataFrame:
+    """doc_id, row and the word numbers of every text as little-endian bytes, written once for all passes."""
+    shared = docs.sparkSession.sparkContext.broadcast(words)
+    kind = number_type(words)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vocabulary = Vocabulary(shared.value)
+        for batch in batches:
+            ids = [vocabulary.of(text.split()).astype(kind).tobytes() for text in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("row"), pa.array(ids, pa.binary())], names=["doc_id", "row", "ids"])
+
+    return written(docs.mapInArrow(run, "doc_id long, row long, ids binary"))
+
+
+def number_type(words: list[str]) -> str:
+    return "<u2" if len(words) + OTHER_BUCKETS <= 1 << 16 else "<u4"
+
+
+def batches_of(batch: pa.RecordBatch, kind: str) -> Iterator[tuple[list, list, np.ndarray, np.ndarray]]:
+    """doc_id, row, lengths and all word numbers of some documents at a time, about `BATCH_WORDS` words."""
+    ids, keys, texts, held = [], [], [], 0
+    columns = (batch.column(c).to_pylist() for c in ("doc_id", "row", "ids"))
+    for doc_id, key, packed in zip(*columns, strict=True):
         ids.append(doc_id)
-        texts.append(words)
-        held += len(words)
-        if held >= BATCH_WORDS:
-            yield ids, texts
-            ids, texts, held = [], [], 0
+        keys.append(key)
+        texts.append(packed)
+        held += len(packed)
+        if held >= BATCH_WORDS * int(kind[-1]):
+            yield ids, keys, np.array([len(t) // int(kind[-1]) for t in texts]), np.frombuffer(b"".join(texts), kind).astype(np.int64)
+            ids, keys, texts, held = [], [], [], 0
     if ids:
-        yield ids, texts
+        yield ids, keys, np.array([len(t) // int(kind[-1]) for t in texts]), np.frombuffer(b"".join(texts), kind).astype(np.int64)
 
 
-def document_frequencies(docs: DataFrame, words: list[str]) -> tuple[np.ndarray, int]:
+def document_frequencies(ids: DataFrame, words: list[str]) -> tuple[np.ndarray, int]:
     """Documents that hold each benchmark word or bucket of other words, and the number of documents."""
-    shared = docs.sparkSession.sparkContext.broadcast(words)
+    size, kind = len(words) + OTHER_BUCKETS, number_type(words)
 
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary = Vocabulary(shared.value)
-        total = np.zeros(vocabulary.size + OTHER_BUCKETS + 1, np.int64)
+        total = np.zeros(size + 1, np.int64)
         for batch in batches:
-            for _, texts in batches_of(batch):
-                total[-1] += len(texts)
-                for words in texts:
-                    if words:
-                        total[np.unique(vocabulary.of(words))] += 1
+            for _, _, lengths, number in batches_of(batch, kind):
+                total[-1] += len(lengths)
+                pairs = np.sort(np.repeat(np.arange(len(lengths)), lengths) * size + number)
+                fresh = pairs[np.flatnonzero(np.diff(pairs, prepend=-1))] % size
+                total[:-1] += np.bincount(fresh, minlength=size)
         held = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(held), pa.array(total[held])], names=["word", "n"])
 
-    counts = docs.mapInArrow(count, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).collect()
-    df = np.zeros(len(words) + OTHER_BUCKETS + 1, np.int64)
+    counts = ids.select("doc_id", "row", "ids").mapInArrow(count, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).collect()
+    df = np.zeros(size + 1, np.int64)
     for row in counts:
         df[row[0]] = row[1]
     return df[:-1], int(df[-1])
 
 
-def passage_sketch(docs: DataFrame, words: list[str], weights: np.ndarray, directions: np.ndarray) -> np.ndarray:
+def passage_sketch(ids: DataFrame, words: list[str], weights: np.ndarray, directions: np.ndarray) -> np.ndarray:
     """A^T A directions for the TF-IDF matrix A of all passages, one row per benchmark word."""
-    shared = docs.sparkSession.sparkContext.broadcast((words, weights, directions))
-    width = directions.shape[1]
+    weights = weights[: len(words)].astype(np.float32)
+    shared = ids.sparkSession.sparkContext.broadcast((weights, (directions * weights[:, None]).astype(np.float32)))
+    width, kind = directions.shape[1], number_type(words)
 
     def sketch(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, weights, directions = shared.value
-        vocabulary = Vocabulary(words)
-        sums = np.zeros((vocabulary.size, width), np.float32)
-        scaled = directions * weights[: vocabulary.size, None]
+        weights, scaled = shared.value
+        sums = np.zeros((len(weights), width))
+        useful = np.concatenate([weights > 0, np.zeros(OTHER_BUCKETS, bool)])
         for batch in batches:
-            for _, texts in batches_of(batch):
-                tokens = [token for text in texts for token in text]
-                if not tokens:
-                    continue
-                lengths = np.array([len(text) for text in texts])
+            for _, _, lengths, number in batches_of(batch, kind):
                 passages = -(-lengths // PASSAGE)
                 place = np.arange(lengths.sum()) - np.repeat(np.cumsum(lengths) - lengths, lengths)
                 passage = place // PASSAGE + np.repeat(np.cumsum(passages) - passages, lengths)
-                number = vocabulary.of(tokens)
-                known = np.flatnonzero((number < vocabulary.size) & (weights[number] > 0))
+                known = np.flatnonzero(useful[number])
                 if not len(known):
                     continue
                 number, passage = number[known], passage[known]
-                first = np.flatnonzero(np.diff(passage, prepend=-1))
-                projected = np.add.reduceat(scaled[number], first, axis=0)
+                turns = np.diff(passage, prepend=-1) > 0
+                projected = np.add.reduceat(scaled[number], np.flatnonzero(turns), axis=0)
                 order = np.argsort(number, kind="stable")
-                owner = (np.cumsum(np.diff(passage, prepend=passage[0]) > 0))[order]
+                owner = (np.cumsum(turns) - 1)[order]
                 found, start = np.unique(number[order], return_index=True)
                 sums[found] += np.add.reduceat(projected[owner], start, axis=0) * weights[found, None]
         held = np.flatnonzero(sums.any(axis=1))
-        columns = [pa.array(held), *[pa.array(sums[held, k].astype(np.float64)) for k in range(width)]]
+        columns = [pa.array(held), *[pa.array(sums[held, k]) for k in range(width)]]
         yield pa.RecordBatch.from_arrays(columns, names=["word", *[f"y{k}" for k in range(width)]])
 
     schema = "word long, " + ", ".join(f"y{k} double" for k in range(width))
-    total = docs.mapInArrow(sketch, schema).groupBy("word").agg(*[F.sum(f"y{k}").alias(f"y{k}") for k in range(width)])
+    total = ids.mapInArrow(sketch, schema).groupBy("word").agg(*[F.sum(f"y{k}").alias(f"y{k}") for k in range(width)])
     out = np.zeros((len(words), width))
     for row in total.collect():
         out[row[0]] = row[1:]
@@ -212,68 +225,65 @@ class Searcher:
 
     def __init__(self, index: Index):
         self.index = index
-        self.vocabulary = Vocabulary(index.words)
-        self.vectors = (index.latent * index.weights[: self.vocabulary.size, None]).astype(np.float32)
+        self.size = len(index.words)
+        place = {word: i for i, word in enumerate(index.words)}
+        self.items = [[place[word] for word in item.words] for item in index.items]
+        self.answers = [[place[word] for word in item.answer] for item in index.items]
+        self.vectors = np.zeros((self.size + 1, index.latent.shape[1]), np.float32)
+        self.vectors[:-1] = index.latent * index.weights[: self.size, None]
         self.mass = index.weights.astype(np.float64) ** 2
         self.queries = {}
         for length, members in window_lengths(index.items).items():
             rows, owners = [], []
             for i in members:
-                numbers = self.vocabulary.of(index.items[i].words)
+                numbers = self.items[i]
                 for at in range(0, max(1, len(numbers) - LONGEST // 2), LONGEST // 2):
                     rows.append(self.vectors[numbers[at : at + LONGEST]].sum(axis=0))
                     owners.append(i)
             matrix = np.array(rows, np.float32)
             self.queries[length] = (matrix / (np.linalg.norm(matrix, axis=1, keepdims=True) + 1e-9), np.array(owners))
 
-    def leaks(self, texts: list[list[str]]) -> Iterator[tuple[int, int, int, int, float, float, bool]]:
+    def leaks(self, lengths: np.ndarray, number: np.ndarray) -> Iterator[tuple[int, int, int, int, float, float, bool]]:
         """Document, item, first word, end, cosine, share of the item in order, and whether its answer occurs."""
-        tokens = [token for text in texts for token in text]
-        if not tokens:
+        if not len(number):
             return
-        lengths = np.array([len(text) for text in texts])
         starts = np.cumsum(lengths) - lengths
-        number = self.vocabulary.of(tokens)
-        known = number < self.vocabulary.size
+        known = np.minimum(number, self.size)
         mass = self.mass[number]
         all_mass = np.concatenate([[0.0], np.cumsum(mass)])
-        known_mass = np.concatenate([[0.0], np.cumsum(np.where(known, mass, 0.0))])
+        known_mass = np.concatenate([[0.0], np.cumsum(np.where(number < self.size, mass, 0.0))])
         best: dict[tuple[int, int], tuple] = {}
         for length, (queries, owners) in self.queries.items():
             step = max(1, length // 4)
             windows = np.maximum(1, -(-(lengths - length) // step) + 1) * (lengths > 0)
-            doc = np.repeat(np.arange(len(texts)), windows)
+            doc = np.repeat(np.arange(len(lengths)), windows)
             nth = np.arange(len(doc)) - np.repeat(np.cumsum(windows) - windows, windows)
             first = starts[doc] + nth * step
-            end = np.minimum(first + length, starts[doc] + lengths[doc])
-            share = (known_mass[end] - known_mass[first]) / (all_mass[end] - all_mass[first] + 1e-9)
-            some = np.flatnonzero(share >= KNOWN_SHARE)
+            end = np.minimum(first + length, (starts + lengths)[doc])
+            some = np.flatnonzero(known_mass[end] - known_mass[first] >= KNOWN_SHARE * (all_mass[end] - all_mass[first]) + 1e-9)
             for part in (some[at : at + 20_000] for at in range(0, len(some), 20_000)):
                 spans = end[part] - first[part]
                 cell = np.repeat(first[part] - np.cumsum(spans) + spans, spans) + np.arange(spans.sum())
-                found = number[cell]
-                vectors = np.where(known[cell][:, None], self.vectors[np.where(known[cell], found, 0)], 0)
-                latent = np.add.reduceat(vectors, np.cumsum(spans) - spans, axis=0)
+                latent = np.add.reduceat(self.vectors[known[cell]], np.cumsum(spans) - spans, axis=0)
                 latent /= np.linalg.norm(latent, axis=1, keepdims=True) + 1e-9
                 cosine = latent @ queries.T
                 for row, query in zip(*np.nonzero(cosine >= COSINE), strict=True):
                     at, i = part[row], int(owners[query])
-                    item = self.index.items[i]
                     d = int(doc[at])
-                    base, n = int(starts[d]), len(item.words)
+                    base, n = int(starts[d]), len(self.items[i])
                     left = max(base, int(first[at]) - n // 2)
                     right = min(base + int(lengths[d]), int(first[at]) + max(length, n) + n // 2)
-                    region = [plain(word) for word in tokens[left:right]]
-                    in_order = common_length(item.words, region) / n
+                    region = number[left:right].tolist()
+                    in_order = common_length(self.items[i], region) / n
                     if in_order < PARAPHRASE:
                         continue
-                    answer = common_length(item.answer, region) >= ANSWER * len(item.answer)
+                    answer = common_length(self.answers[i], region) >= ANSWER * len(self.answers[i])
                     if in_order >= COPY or answer:
-                        row_found = (in_order, float(cosine[row, query]), left - base, right - base, answer)
-                        if row_found > best.get((d, i), (-1.0,)):
-                            best[d, i] = row_found
-        for (d, i), (in_order, cos, left, right, answer) in sorted(best.items()):
-            yield d, i, left, right, cos, in_order, answer
+                        found = (in_order, float(cosine[row, query]), left - base, right - base, answer)
+                        if found > best.get((d, i), (-1.0,)):
+                            best[d, i] = found
+        for (d, i), (in_order, cosine, left, right, answer) in sorted(best.items()):
+            yield d, i, left, right, cosine, in_order, answer
 
 
 def item_blocks(benchmark: DataFrame) -> Iterator[list[Item]]:
@@ -288,15 +298,13 @@ def item_blocks(benchmark: DataFrame) -> Iterator[list[Item]]:
             yield made
 
 
-def build_index(docs: DataFrame, items: list[Item], rank: int = RANK, seed: int = 29) -> Index:
-    """Weights and latent space of a block of items from all documents."""
-    words = sorted({word for item in items for word in item.words})
-    df, rows = document_frequencies(docs, words)
+def build_index(ids: DataFrame, items: list[Item], words: list[str], rank: int = RANK, seed: int = 29) -> Index:
+    """Weights and latent space of a block of items from all documents; a word that no document has weighs most."""
+    df, rows = document_frequencies(ids, words)
     weights = np.log((rows + 1) / (df + 1))
     weights = np.where(weights >= LEAST_WEIGHT, weights, 0.0)
-    # Benchmark words that no document has are as rare as the rarest word.
     directions = np.random.default_rng(seed).normal(size=(len(words), min(rank, len(words))))
-    sketch = passage_sketch(docs, words, weights, directions)
+    sketch = passage_sketch(ids, words, weights, directions)
     return Index(items, words, weights, latent_space(sketch, directions))
 
 
@@ -319,29 +327,30 @@ def leaked_items(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     )
     found = None
     for items in item_blocks(benchmark):
-        part = search(narrow, build_index(narrow, items))
+        words = sorted({word for item in items for word in item.words})
+        ids = numbered(narrow, words)
+        part = search(ids, build_index(ids, items, words))
         found = part if found is None else found.unionByName(part)
     return docs.sparkSession.createDataFrame([], LEAKS) if found is None else found
 
 
-def search(docs: DataFrame, index: Index) -> DataFrame:
-    shared = docs.sparkSession.sparkContext.broadcast(index)
+def search(ids: DataFrame, index: Index) -> DataFrame:
+    shared = ids.sparkSession.sparkContext.broadcast(index)
+    kind = number_type(index.words)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         searcher = Searcher(shared.value)
         names = ["doc_id", "row", "item_id", "first_word", "end_word", "cosine", "in_order", "answer"]
         kinds = [pa.int64()] * 5 + [pa.float64()] * 2 + [pa.bool_()]
         for batch in batches:
-            rows, at = [], 0
-            keys = batch.column("row").to_pylist()
-            for ids, texts in batches_of(batch):
-                for d, i, first, end, cosine, in_order, answer in searcher.leaks(texts):
-                    rows.append((ids[d], keys[at + d], searcher.index.items[i].item_id, first, end, cosine, in_order, answer))
-                at += len(ids)
+            rows = []
+            for doc_ids, keys, lengths, number in batches_of(batch, kind):
+                for d, i, *found in searcher.leaks(lengths, number):
+                    rows.append((doc_ids[d], keys[d], searcher.index.items[i].item_id, *found))
             columns = list(zip(*rows, strict=True)) or [()] * 8
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names)
 
-    return docs.mapInArrow(run, LEAKS)
+    return ids.mapInArrow(run, LEAKS)
 
 
 def leak_report(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
