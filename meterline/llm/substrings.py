@@ -262,7 +262,7 @@ def first_windows(candidates: DataFrame, hot_segments: int = HOT_SEGMENTS, shard
     segments = candidates.mapInArrow(_segments, schema)
     merged = segments.groupBy("anchor", "hash").agg(F.min(F.struct("d", "s", "start", "n")).alias("at"), F.first("content").alias("content"))
     merged = written(merged.select("anchor", "at.*", "content"))
-    crowds = merged.groupBy("anchor").agg(F.count(F.lit(1)).alias("crowd"))
+    crowds = written(merged.groupBy("anchor").agg(F.count(F.lit(1)).alias("crowd")))
     sized = merged.join(crowds, "anchor")
     all_bits = F.expr("shiftleft(1L, cast(n as int)) - 1")
     alone = sized.filter("crowd = 1").select("d", "s", "start", all_bits.alias("bits"))
@@ -281,7 +281,7 @@ def remove_repeats(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """What is left of every text, and the counts.
 
     The first frame has d, s, n_removed, kept_sha256 and kept (the words that
-    stay, joined by a space) for each text that shares an anchor and is no copy;
+    stay, joined by a space) for each row whose text shares an anchor and is no copy;
     the second d, s, n_words, n_removed, kept_sha256 for every row of `docs`.
     """
     keyed = text_key(docs)
@@ -296,13 +296,13 @@ def remove_repeats(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     repeated = written(anchors.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("anchor"))
     shared = anchors.join(repeated, "anchor", "left_semi").distinct()
     lists = written(shared.groupBy("d").agg(F.collect_list("anchor").alias("repeated")))
-    texts = keyed.join(originals.select(F.col("od").alias("d"), F.col("os").alias("s")), ["d", "s"], "left_semi")
+    wanted = lists.join(originals.select(F.col("od").alias("d"), F.col("os").alias("s")), "d")
     schema = "d long, s long, text binary, anchors array<long>, first array<long>, count array<long>"
-    candidates = written(texts.join(lists, "d").mapInArrow(_candidates, schema)).dropDuplicates(["d", "s"])
+    candidates = written(keyed.join(wanted, ["d", "s"]).mapInArrow(_candidates, schema))
     fresh = first_windows(candidates).groupBy("d").agg(F.collect_list(F.struct("s", "start", "bits")).alias("fresh"))
     judged = candidates.select("d", "s", "text", "first", "count").join(fresh, "d", "left")
     kept = judged.mapInArrow(_kept, "d long, s long, n_removed long, kept_sha256 string, kept binary")
-    changed = written(kept.select("d", "s", "n_removed", "kept_sha256"))
+    changed = written(kept.select("d", "s", "n_removed", "kept_sha256")).dropDuplicates(["d", "s"])
     counts = seen.select("d", "s", "n_words", "sha").join(originals, "sha").join(changed, ["d", "s"], "left")
     copy = (F.col("n_words") >= WINDOW) & ((F.col("d") != F.col("od")) | (F.col("s") != F.col("os")))
     report = counts.select(
