@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from meterline.llm.frames import pick, written
+from meterline.llm.frames import pick, row_key, rows_of, written
 
 RANK = 64
 PASSAGE = 48
@@ -323,7 +323,7 @@ def leaked_items(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """
     text = F.coalesce("text", F.lit(""))
     narrow = pick(docs, "doc_id", "text").select(
-        F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("doc_id").cast("long"), text).alias("row"), text.alias("text")
+        F.col("doc_id").cast("long").alias("doc_id"), row_key(F.col("doc_id"), text).alias("row"), text.alias("text")
     )
     found = None
     for items in item_blocks(benchmark):
@@ -360,6 +360,4 @@ def leak_report(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 def drop_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of `docs` in which no benchmark item is found."""
     leaks = written(leaked_items(docs, benchmark).select(F.col("doc_id").alias("_id"), F.col("row").alias("_key")).distinct())
-    own = docs.withColumn("_row", F.xxhash64(F.col("doc_id").cast("long"), F.coalesce("text", F.lit(""))))
-    matches = F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.col("_row") == F.col("_key"))
-    return own.join(leaks, matches, "left_anti").select(*docs.columns)
+    return rows_of(docs, leaks, "left_anti")

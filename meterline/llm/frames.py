@@ -11,13 +11,40 @@ MAX_BUCKETS = 65_536
 BUCKET_ROWS = 500
 
 
-def pick(df: DataFrame, *names: str) -> DataFrame:
-    """The first column of each exact name; other columns may repeat or differ only in case."""
+def relabelled(df: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """`df` with columns c0, c1, ... and the label of the first column of each exact name."""
     labels = [f"c{i}" for i in range(len(df.columns))]
     place: dict[str, str] = {}
     for label, name in zip(labels, df.columns, strict=True):
         place.setdefault(name, label)
-    return df.toDF(*labels).select(*[F.col(place[name]).alias(name) for name in names])
+    return df.toDF(*labels), place
+
+
+def pick(df: DataFrame, *names: str) -> DataFrame:
+    """The first column of each exact name; other columns may repeat or differ only in case."""
+    plain, place = relabelled(df)
+    return plain.select(*[F.col(place[name]).alias(name) for name in names])
+
+
+def row_key(doc_id: Column, text: Column) -> Column:
+    """Hash of an id and its text, by which a row is found again."""
+    return F.xxhash64(doc_id.cast("long"), F.coalesce(text, F.lit("")))
+
+
+def rows_of(docs: DataFrame, keys: DataFrame, how: str, once: bool = False) -> DataFrame:
+    """The rows of `docs` whose id and `row_key` are in `keys` (_id, _key): left_semi, or left_anti for the others.
+
+    With `once`, of the rows that share both only the one with the smallest
+    hash over all columns. Columns and their names stay as in `docs`.
+    """
+    plain, place = relabelled(docs)
+    doc_id = F.col(place["doc_id"]).cast("long")
+    own = plain.withColumn("_row", row_key(doc_id, F.col(place["text"])))
+    found = own.join(keys, doc_id.eqNullSafe(F.col("_id")) & (F.col("_row") == F.col("_key")), how)
+    if once:
+        order = Window.partitionBy(place["doc_id"], "_row").orderBy(F.xxhash64(*plain.columns))
+        found = found.withColumn("_nth", F.row_number().over(order)).filter("_nth = 1")
+    return found.select(*plain.columns).toDF(*docs.columns)
 
 
 def written(df: DataFrame) -> DataFrame:

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from meterline.llm.frames import pick
+from meterline.llm.frames import pick, relabelled
 
 # The base patterns, their least lengths and their order.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
@@ -446,16 +446,19 @@ def blot(text: str, found: dict[str, list[tuple[int, int]]], mark: str = "[SECRE
 def redact_secrets(docs: DataFrame, field: Field | None = None) -> DataFrame:
     """`docs` with every secret replaced in its text and n_chars counted again; all rows and columns stay."""
     shared = docs.sparkSession.sparkContext.broadcast(learn_field(docs) if field is None else field)
+    plain, place = relabelled(docs)
+    label = place["text"]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tagger = Tagger(shared.value)
         for batch in batches:
-            old = batch.column("text").to_pylist()
+            old = batch.column(label).to_pylist()
             new = [None if text is None else blot(text, scan(text, tagger)) for text in old]
-            at = batch.schema.get_field_index("text")
+            at = batch.schema.get_field_index(label)
             yield batch.set_column(at, batch.schema.field(at), pa.array(new, batch.schema.field(at).type))
 
-    cleaned = docs.mapInArrow(run, docs.schema)
-    if "n_chars" in docs.columns:
-        cleaned = cleaned.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
-    return cleaned.select(*docs.columns)
+    cleaned = plain.mapInArrow(run, plain.schema)
+    if "n_chars" in place:
+        kind = plain.schema[place["n_chars"]].dataType
+        cleaned = cleaned.withColumn(place["n_chars"], F.char_length(label).cast(kind))
+    return cleaned.toDF(*docs.columns)

@@ -16,11 +16,11 @@ from typing import NamedTuple
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from meterline.llm.components import connected
-from meterline.llm.frames import pick
+from meterline.llm.frames import pick, row_key, rows_of
 from meterline.session import cut_lineage
 
 SEED = 42
@@ -68,7 +68,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     narrow = pick(docs, "doc_id", "text").select(
         F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")
     )
-    narrow = narrow.withColumn("row", F.xxhash64("doc_id", "text")).select("doc_id", "row", "text")
+    narrow = narrow.withColumn("row", row_key(F.col("doc_id"), F.col("text"))).select("doc_id", "row", "text")
     return narrow.mapInArrow(run, "doc_id long, row long, fp long")
 
 
@@ -265,8 +265,5 @@ def drop_near_copies(docs: DataFrame) -> DataFrame:
     """The row of each component with the smallest id (null last), and of equal rows one; columns as in `docs`."""
     found = simhash_components(docs)
     kept = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "row")).alias("k"))
-    kept = kept.select(F.col("k.doc_id").alias("_kept_id"), F.col("k.row").alias("_kept_row")).distinct()
-    own = docs.withColumn("_row", F.xxhash64(F.col("doc_id").cast("long"), F.coalesce("text", F.lit(""))))
-    chosen = own.join(kept, F.col("doc_id").eqNullSafe(F.col("_kept_id")) & (F.col("_row") == F.col("_kept_row")))
-    nth = F.row_number().over(Window.partitionBy("_kept_id", "_kept_row").orderBy(F.xxhash64(*docs.columns)))
-    return chosen.withColumn("_nth", nth).filter("_nth = 1").select(*docs.columns)
+    kept = kept.select(F.col("k.doc_id").alias("_id"), F.col("k.row").alias("_key")).distinct()
+    return rows_of(docs, kept, "left_semi", once=True)
