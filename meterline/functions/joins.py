@@ -75,7 +75,7 @@ def lookup_join(
     attributes = dim.withColumn("_found", F.lit(True))
     if how in ("left_semi", "left_anti"):
         attributes = attributes.select(*keys, "_found")
-    weighed = weights.join(attributes, keys, "left")
+    weighed = cut_lineage(weights.join(attributes, keys, "left"))
     joined = spread_left_join(rows, weighed, keys, "_weight", spread_by or rows.columns)
     if how in ("inner", "left_semi"):
         joined = joined.filter("_found")
@@ -104,7 +104,9 @@ def running_total(
     same = F.col("o._range") == F.col("l._range")
     for key in keys:
         same = same & F.col(f"o.{key}").eqNullSafe(F.col(f"l.{key}"))
-    joined = local.alias("l").join(offsets.alias("o"), same, "left")
+    # A key reaches a range from the one before only as its first key: one row per range at most.
+    carried = offsets.filter("_before is not null")
+    joined = local.alias("l").join(F.broadcast(carried).alias("o"), same, "left")
     total = F.col("l._local") + F.coalesce(F.col("o._before"), F.lit(0))
     return joined.select(*[F.col(f"l.{c}") for c in df.columns], total.alias(out))
 

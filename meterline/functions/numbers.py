@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Fixed value: plain decimal or exponent text. Spark's own cast also takes 1d, 1f, NaN and inf.
+LARGEST = 1e15  # measures beyond this are no readings; sums of decimals hold far more
 PLAIN_NUMBER = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"
 
 
@@ -14,8 +15,8 @@ def col_of(value: Column | str) -> Column:
 
 
 def exact(value: Column | str) -> Column:
-    """Feed measures carry two decimals; decimals add up the same in any order."""
-    return col_of(value).cast("decimal(18,2)")
+    """A measure as decimal with eight places, so that sums are the same in any order; beyond `LARGEST` null."""
+    return col_of(value).try_cast("decimal(28,8)")
 
 
 def exact_sum(value: Column | str) -> Column:
@@ -55,12 +56,14 @@ def is_number(text: Column | str) -> Column:
 
 
 def parse_number(text: Column | str) -> Column:
-    return F.when(is_number(text), col_of(text).try_cast("double"))
+    """The number in a text, null when it is none or beyond `LARGEST`."""
+    number = F.when(is_number(text), col_of(text).try_cast("double"))
+    return F.when(F.abs(number) <= LARGEST, number)
 
 
 def number_text(value: Column | str) -> Column:
     """Shortest plain text of a double: -12.5, -12, 0.25."""
-    plain = col_of(value).cast("decimal(38,18)").cast("string")
+    plain = col_of(value).try_cast("decimal(38,18)").cast("string")
     return F.coalesce(F.regexp_replace(plain, r"^(-?[0-9]+(?:\.[0-9]*[1-9])?)\.?0*$", "$1"), col_of(value).cast("string"))
 
 

@@ -64,3 +64,9 @@ def calendar(df: DataFrame, last_day: Column | str, days: int, name: str = "day"
     """One row per day of the trend window, independent of what `df` holds."""
     one = df.sparkSession.range(1)
     return one.select(F.explode(trend_days(last_day, days)).alias(name))
+
+
+def batch_place(batch_id: Column) -> Column:
+    """What orders batches: the text before the number, then the number itself, so 100 comes after 99."""
+    number = F.regexp_extract(batch_id, r"([0-9]+)$", 1).try_cast("long")
+    return F.struct(F.regexp_replace(batch_id, r"[0-9]+$", "").alias("before"), number.alias("number"))

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from meterline.config import INCIDENT_RUNBOOK, Config, FeedRules
 from meterline.functions.joins import lookup_join, number_rows
 from meterline.functions.numbers import pad_left
-from meterline.functions.times import batch_date
+from meterline.functions.times import batch_date, batch_place
 
 TEXT_FIELDS = [
     "batch_id", "business_date", "dataset", "check_name", "status", "table_name", "column_name", "expected_value",
@@ -245,7 +245,7 @@ def freshness_check(batches: DataFrame, fact: DataFrame, days: int = 1, label: i
     batch before the running maximum, so the only global window is batch-sized.
     """
     loaded = fact.groupBy("batch_id").agg(F.max("reading_date").alias("newest"))
-    earlier = Window.orderBy("batch_id").rowsBetween(Window.unboundedPreceding, -1)
+    earlier = Window.orderBy(batch_place(F.col("batch_id"))).rowsBetween(Window.unboundedPreceding, -1)
     line = batches.select("batch_id", "business_date").join(loaded, "batch_id", "full_outer")
     seen = line.withColumn("latest", F.max("newest").over(earlier)).filter(F.col("business_date").isNotNull())
     floor = F.date_sub("business_date", days)

@@ -32,7 +32,8 @@ def _step_table() -> Column:
 
 
 def _apply(table: Column, state: Column, wanted: Column) -> Column:
-    return F.element_at(table, (state * len(STATES) + wanted + 1).cast("int"))
+    """The next state; an unknown request changes nothing."""
+    return F.when(wanted.isNull(), state).otherwise(F.element_at(table, (state * len(STATES) + wanted + 1).cast("int")))
 
 
 def _identity() -> Column:
@@ -58,7 +59,7 @@ def apply_transitions(
     leaf = cut_lineage(
         numbered.select(
             F.col(incident).alias("k"), (F.col("n") - 1).alias("pos"), F.col(at).alias("at"), F.col(seq).alias("seq"),
-            codes[F.col(wanted)].alias("wanted"),
+            F.try_element_at(codes, F.col(wanted)).alias("wanted"), F.col(wanted).alias("asked"),
         )
     )
     longest = leaf.agg(F.max("pos")).first()[0]
@@ -101,10 +102,11 @@ def apply_transitions(
 
     done = leaf.join(start, ["k", "pos"])
     after = _apply(table, F.col("s"), F.col("wanted"))
-    outcome = F.when(F.col("wanted") == F.col("s"), "unchanged").when(after == F.col("s"), "rejected").otherwise("applied")
+    unchanged, rejected = F.col("wanted") == F.col("s"), after == F.col("s")
+    outcome = F.when(unchanged, "unchanged").when(rejected, "rejected").otherwise("applied")
     return done.select(
         F.col("k").alias(incident), (F.col("pos") + 1).alias("step"), "at", "seq",
-        F.element_at(names, F.col("s") + 1).alias("from_status"), F.element_at(names, F.col("wanted") + 1).alias("to_status"),
+        F.element_at(names, F.col("s") + 1).alias("from_status"), F.col("asked").alias("to_status"),
         F.element_at(names, after + 1).alias("status"), outcome.alias("outcome"),
     )
 
@@ -243,13 +245,14 @@ def incident_detail(incidents: DataFrame, notes: DataFrame, evidence: DataFrame)
 
 
 def incident_query(
-    incidents: DataFrame, status: str | None = None, severity: str | None = None, incident_type: str | None = None, limit: int = 300
+    incidents: DataFrame, status: str | None = None, severity: str | None = None, incident_type: str | None = None, limit: int | None = None
 ) -> DataFrame:
-    """Newest matching incidents, at most 300."""
+    """Matching incidents, newest first; all of them unless a limit is asked for."""
     for column, wanted in (("status", status), ("severity", severity), ("incident_type", incident_type)):
         if wanted is not None:
             incidents = incidents.filter(F.col(column) == wanted)
-    return incidents.orderBy(F.col("created_at").desc(), F.col("incident_id").desc()).limit(min(int(limit), 300))
+    ordered = incidents.orderBy(F.col("created_at").desc(), F.col("incident_id").desc())
+    return ordered if limit is None else ordered.limit(int(limit))
 
 
 def likely_causes(incidents: DataFrame, checks: DataFrame, considered: int = 8, shown: int = 3) -> DataFrame:

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from meterline.functions.numbers import exact_sum, half_up
-from meterline.functions.times import batch_date
+from meterline.functions.numbers import exact, exact_sum, half_up
+from meterline.functions.times import as_date, batch_date
 
 
 def side_totals(rows: DataFrame, side: str, key: str = "batch_id") -> DataFrame:
@@ -48,7 +48,7 @@ def cross_dataset(
 ) -> DataFrame:
     """Deviation of one feed's total from another's, for batches where both delivered."""
     is_base, is_other = F.col(dataset) == base, F.col(dataset) == other
-    value = F.col(measure).cast("decimal(18,2)")
+    value = exact(measure)
     totals = (
         rows.filter(is_base | is_other)
         .groupBy(key)
@@ -99,27 +99,27 @@ def recon_history(totals: DataFrame, starts: DataFrame, newest: int | None = 15,
     return ordered if newest is None else ordered.limit(newest)
 
 
-LAYER_SQL = """
-SELECT 'STAGING' AS layer, to_date(load_timestamp) AS load_date, dataset, count(*) AS record_count,
-       count(DISTINCT site_id) AS unique_sites, min(load_timestamp) AS first_load, max(load_timestamp) AS last_load
-FROM {staging} WHERE {staging_day}
-GROUP BY to_date(load_timestamp), dataset, load_timestamp
-UNION ALL
-SELECT 'WAREHOUSE', to_date(loaded_at), 'energy_emissions', count(*), count(DISTINCT site_id), min(loaded_at), max(loaded_at)
-FROM {fact} WHERE {fact_day}
-GROUP BY to_date(loaded_at)
-"""
+def layer_counts(
+    rows: DataFrame, layer: str, loaded: str, dataset: Column, site: str = "site_id", per_load: bool = False, day: str | None = None
+) -> DataFrame:
+    """Rows, sites and load times of one layer per day and feed, or per single load."""
+    load_date = F.to_date(loaded)
+    if day is not None:
+        rows = rows.filter(load_date == as_date(day))
+    keys = [load_date.alias("load_date"), dataset.alias("dataset"), *([F.col(loaded).alias("_load")] if per_load else [])]
+    counted = rows.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("record_count"),
+        F.countDistinct(site).alias("unique_sites"),
+        F.min(loaded).alias("first_load"),
+        F.max(loaded).alias("last_load"),
+    )
+    return counted.select(F.lit(layer).alias("layer"), "load_date", "dataset", "record_count", "unique_sites", "first_load", "last_load")
 
 
-def layer_recon(staging: DataFrame, fact: DataFrame, day: str | None = None) -> DataFrame:
+def layer_recon(staging: DataFrame, fact: DataFrame, day: str | None = None, fact_name: str = "energy_emissions") -> DataFrame:
     """Counts per layer, feed and load; one day or every day."""
-    spark = staging.sparkSession
-    args = {} if day is None else {"day": day}
-    where = {"staging_day": "true", "fact_day": "true"}
-    if day is not None:
-        where = {"staging_day": "to_date(load_timestamp) = to_date(:day)", "fact_day": "to_date(loaded_at) = to_date(:day)"}
-    text = LAYER_SQL.replace("{staging_day}", where["staging_day"]).replace("{fact_day}", where["fact_day"])
-    return spark.sql(text, args=args, staging=staging, fact=fact)
+    staged = layer_counts(staging, "STAGING", "load_timestamp", F.col("dataset"), per_load=True, day=day)
+    return staged.unionByName(layer_counts(fact, "WAREHOUSE", "loaded_at", F.lit(fact_name), day=day))
 
 
 def balanced(recon: DataFrame) -> DataFrame:

@@ -52,26 +52,33 @@ def rejection_breakdown(staging: DataFrame) -> DataFrame:
     return counts.orderBy(F.col("row_count").desc())
 
 
-def repeated(df: DataFrame, keys: Sequence[str], limit: int | None = 20) -> DataFrame:
+def repeated(df: DataFrame, keys: Sequence[str], limit: int | None = None) -> DataFrame:
     """Keys occurring more than once, most frequent first."""
     counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("occurrences")).filter("occurrences > 1")
     ordered = counts.orderBy(F.col("occurrences").desc(), *keys)
     return ordered if limit is None else ordered.limit(limit)
 
 
-def defective_rows(staging: DataFrame, limit: int | None = 50, order: Sequence[str] = ("record_id",)) -> DataFrame:
+def defective_rows(
+    staging: DataFrame,
+    limit: int | None = None,
+    order: Sequence[str] = ("record_id",),
+    required: Sequence[str] = ("record_id", "site_id", "reading_date"),
+    measures: Sequence[str] = ("energy_kwh", "emissions_co2e"),
+) -> DataFrame:
     """Rows with a missing key or date, or a missing or negative measure."""
-    bad = F.expr(
-        "record_id IS NULL OR site_id IS NULL OR reading_date IS NULL OR energy_kwh IS NULL OR energy_kwh < 0 "
-        "OR emissions_co2e IS NULL OR emissions_co2e < 0"
-    )
+    bad = F.lit(False)
+    for column in required:
+        bad = bad | F.col(column).isNull()
+    for column in measures:
+        bad = bad | F.col(column).isNull() | (F.col(column) < 0)
     kept = staging.filter(bad)
     return kept if limit is None else kept.orderBy(*order).limit(limit)
 
 
 def feeds_of_day(files: DataFrame, business_date: str) -> DataFrame:
     start = as_timestamp(f"{business_date} 00:00:00")
-    inside = (F.col("expected_arrival_at") >= start) & (F.col("expected_arrival_at") < as_timestamp(f"{business_date} 23:59:59"))
+    inside = (F.col("expected_arrival_at") >= start) & (F.col("expected_arrival_at") < start + F.expr("INTERVAL 1 DAY"))
     return files.filter(inside).orderBy("dataset")
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from meterline.functions.joins import fits_broadcast, lookup_join, number_rows, running_total, spread_left_join
 from meterline.functions.numbers import exact, exact_sum, pad_left
+from meterline.functions.times import batch_place
 from meterline.session import cut_lineage
 
 MART_COLUMNS = ["reading_date", "site_id", "region", "daily_total_kwh", "avg_intensity", "meter_count", "region_rank"]
@@ -37,9 +38,11 @@ def dim_upsert(current: DataFrame, staged: DataFrame, fields: Sequence[str] = SI
     fields = list(fields)
     valid = staged.filter(F.col("validation_status") == "VALID")
     snapshot = newest_per_key(
-        valid.select("site_id", *fields, F.col("batch_id").alias("loaded_batch"), "row_index"),
-        ["site_id"], ["loaded_batch", "row_index"],
-    ).drop("row_index")
+        valid.select(
+            "site_id", *fields, F.col("batch_id").alias("loaded_batch"), batch_place(F.col("batch_id")).alias("_place"), "row_index"
+        ),
+        ["site_id"], ["_place", "row_index"],
+    ).drop("_place", "row_index")
     kept = current.select("site_id", "site_key", *[F.col(f).alias(f"_{f}") for f in [*fields, "loaded_batch"]], "active_flag")
     both = kept.join(snapshot, "site_id", "full_outer")
     changed = F.col("loaded_batch").isNotNull()
@@ -140,13 +143,14 @@ def mart_daily_energy(fact: DataFrame, dim: DataFrame) -> DataFrame:
     daily = fact.groupBy("reading_date", "site_id").agg(
         exact_sum("energy_kwh").alias("daily_total_kwh"),
         exact_sum("emissions_co2e").alias("_emissions"),
+        F.count("emissions_co2e").alias("_measured"),
         F.count(F.lit(1)).alias("meter_count"),
     )
     placed = lookup_join(daily, dim.select("site_id", "region"), ["site_id"], "left", ["reading_date"])
     mart = cut_lineage(
         placed.select(
             "reading_date", "site_id", "region", "daily_total_kwh",
-            (F.col("_emissions").cast("double") / F.col("meter_count")).alias("avg_intensity"), "meter_count",
+            (F.col("_emissions").cast("double") / F.col("_measured")).alias("avg_intensity"), "meter_count",
             F.coalesce("region", F.lit("")).alias("_place"),
         )
     )

@@ -245,7 +245,7 @@ ORACLE = {
        FROM incidents JOIN b USING (incident_type)))""",
     "i7_incident_query": with_roles(INCIDENTS)
     + f"""SELECT incident_id, {_TS.format('created_at')} AS created_at FROM (SELECT * FROM incidents WHERE status = 'OPEN' AND severity = 'P1'
-     ORDER BY created_at DESC, incident_id DESC LIMIT 300)""",
+     ORDER BY created_at DESC, incident_id DESC)""",
     "i8_bulk_lifecycle": with_roles(INCIDENTS)
     + """SELECT incident_id, CASE WHEN h THEN 'CLOSED' ELSE status END AS status, CASE WHEN h THEN 'checked' END AS resolution_notes,
      CASE WHEN h THEN 'Closed after monitoring window: checked' END AS note FROM
@@ -280,14 +280,14 @@ ORACLE = {
     "j7_rejection_breakdown": with_roles(STAGED)
     + "SELECT batch_id, validation_status, rejection_reason, count(*) AS row_count FROM staged GROUP BY 1, 2, 3",
     "j8_staging_duplicates": with_roles(STAGED)
-    + """SELECT batch_id, record_id, count(*) AS occurrences FROM feed GROUP BY 1, 2 HAVING count(*) > 1 ORDER BY occurrences DESC, batch_id, record_id LIMIT 20""",
+    + """SELECT batch_id, record_id, count(*) AS occurrences FROM feed GROUP BY 1, 2 HAVING count(*) > 1 ORDER BY occurrences DESC, batch_id, record_id""",
     "j9_fact_duplicates": with_roles(FACT)
     + """SELECT record_id, strftime(reading_date, '%Y-%m-%d') AS reading_date, count(*) AS occurrences FROM fact GROUP BY 1, 2 HAVING count(*) > 1
-     ORDER BY occurrences DESC, record_id, reading_date LIMIT 20""",
+     ORDER BY occurrences DESC, record_id, reading_date""",
     "j10_defective_rows": with_roles(STAGED)
     + """SELECT row_index, record_id, nullif(site_id, '') AS site_id, CASE WHEN date_reason IS NULL THEN reading_date END AS reading_date,
      CAST(energy_num AS DOUBLE) AS energy_kwh, CAST(emissions_num AS DOUBLE) AS emissions_co2e, rejection_reason FROM staged
-     WHERE site_id = '' OR date_reason IS NOT NULL OR energy_num IS NULL OR energy_num < 0 OR emissions_num IS NULL ORDER BY file_name, row_index LIMIT 50""",
+     WHERE site_id = '' OR date_reason IS NOT NULL OR energy_num IS NULL OR energy_num < 0 OR emissions_num IS NULL ORDER BY file_name, row_index""",
     "j11_feeds_of_day": with_roles(FILES)
     + f"""SELECT file_name, dataset, {_TS.format('expected_arrival_at')} AS expected_arrival_at, {_TS.format('received_at')} AS received_at, size_bytes, file_status
      FROM files WHERE business_date = '{DAY}'""",

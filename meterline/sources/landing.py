@@ -12,8 +12,10 @@ from meterline.session import cut_lineage
 
 SIDECAR_SUFFIX = ".manifest.json"  # fixed value
 LISTING = "path string, size_bytes long, received_at timestamp"
-# Everything between quotes, doubled quotes included; what is left holds only separating commas.
-QUOTED = r'"([^"]|"")*"'
+# Text between quotes; a doubled quote ends one stretch and starts the next. What is left holds only separating commas.
+QUOTED = r'"[^"]*"'
+# A comma with an even number of quotes behind it.
+SEPARATOR = r',(?=[^"]*+(?:"[^"]*+"[^"]*+)*+$)'
 
 
 def base_name(path: Column) -> Column:
@@ -98,7 +100,9 @@ def raw_records(spark: SparkSession, folder: str, glob: str = "*.csv", quoted_ne
 def index_records(records: DataFrame, name: Column | None = None) -> tuple[DataFrame, DataFrame]:
     """Split records into fields, number the data rows of each file and profile the files.
 
-    A file may span many splits: rows are counted per split, the counts of
+    The lines are written once with their place, and counts and rows both come
+    from that copy, so another cut into splits between two scans cannot lose
+    rows. A file may span many splits: rows are counted per split, the counts of
     earlier splits are added, and the position inside the split gives the rest,
     so no window ever covers a file. Blank lines do not count.
 
@@ -107,17 +111,21 @@ def index_records(records: DataFrame, name: Column | None = None) -> tuple[DataF
     """
     text = F.regexp_replace("raw", r"[\r\n]+$", "")
     lines = records.select("path", "block", text.alias("raw")).filter(F.trim("raw") != "")
-    lines = lines.withColumn("mid", F.monotonically_increasing_id())
+    lines = cut_lineage(lines.withColumn("mid", F.monotonically_increasing_id()))
     blocks = lines.groupBy("path", "block").agg(
         F.count(F.lit(1)).alias("n"), F.min("mid").alias("first_mid"), F.min_by("raw", "mid").alias("first_raw")
     )
     earlier = Window.partitionBy("path").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.partitionBy("path").orderBy("block").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    bare = F.regexp_replace("header_raw", '^\ufeff|"', "")
+    bare = F.regexp_replace("header_raw", "^\ufeff", "")
+
+    def unquoted(name: Column) -> Column:
+        return F.trim(F.replace(F.regexp_replace(F.trim(name), '^"(.*)"$', "$1"), F.lit('""'), F.lit('"')))
+
     placed = blocks.select(
         "path", "block", "first_mid", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"),
         F.first("first_raw").over(whole).alias("header_raw"), F.sum("n").over(whole).alias("lines"),
-    ).withColumn("header", F.transform(F.split(bare, ","), lambda h: F.trim(h)))
+    ).withColumn("header", F.transform(F.split(bare, SEPARATOR), unquoted))
     placed = cut_lineage(placed)  # a row per split, read several times below
 
     widest = placed.agg(F.max(F.size("header"))).first()[0] or 1

@@ -82,3 +82,14 @@ def test_bulk_close_skips_the_transition_check(spark):
 def test_no_resolved_incident_has_no_mean(spark):
     r = ops.mttr(incidents(spark).filter("status = 'OPEN'")).first()
     assert (r.resolved, r.mttr_minutes) == (0, None)
+
+
+def test_unknown_status_is_rejected_and_changes_nothing(spark):
+    from meterline.operators.incidents import apply_transitions
+
+    asked = [("A", 1, 1, "IN_PROGRESS"), ("A", 2, 2, "BOGUS"), ("A", 3, 3, "RESOLVED"), ("B", 1, 1, "BOGUS")]
+    rows = apply_transitions(spark.createDataFrame(asked, "incident_id string, at long, seq long, to_status string")).collect()
+    found = {(row.incident_id, row.seq): (row.from_status, row.to_status, row.status, row.outcome) for row in rows}
+    assert found["A", 2] == ("IN_PROGRESS", "BOGUS", "IN_PROGRESS", "rejected")
+    assert found["A", 3][0] == "IN_PROGRESS" and found["A", 3][2:] == ("RESOLVED", "applied")
+    assert found["B", 1][2:] == ("OPEN", "rejected")

@@ -118,3 +118,25 @@ def test_config_documents_overlay_defaults(tmp_path):
     assert config.feeds["m"].primary_key == ["record_id"] and config.checks["c"].category == "OPERATIONS"
     assert config.settings.rejected_threshold_pct == 9 and config.settings.aggregate_tolerance == 0.01
     assert config.severity["SLA_BREACH"] == "P4" and config.severity["LOAD_FAILURE"] == "P1"
+
+
+def test_long_quoted_field_and_quoted_header(spark, tmp_path):
+    text = "x" * 50_000
+    (tmp_path / "a.csv").write_text(f'"id","last, first",note\n1,"Doe, Jane","{text}"\n2,"a ""b"" c",n\n')
+    rows, profiles = landing.read_feed(spark, str(tmp_path))
+    found = {row.row_index: row for row in landing.feed_columns(rows, ["id", "last, first", "note"]).collect()}
+    assert profiles.first().header == ["id", "last, first", "note"]
+    assert found[0]["last, first"] == "Doe, Jane" and found[0].note == text and found[1]["last, first"] == 'a "b" c'
+    assert all(row.n_fields == 3 for row in found.values())
+
+
+def test_split_size_may_change_between_call_and_action(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("id,v\n" + "".join(f"{i},{i % 7}\n" for i in range(100_000)))
+    rows, _ = landing.read_feed(spark, str(tmp_path))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "100k")
+    try:
+        numbers = rows.agg({"row_index": "max", "*": "count"}).first()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert sorted(numbers) == [99_999, 100_000]

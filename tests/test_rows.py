@@ -138,3 +138,25 @@ def test_dates_and_ids(spark):
         pad_left(F.lit(12345678), 6).alias("d"),
     ).first()
     assert (r.a, r.b, r.c, r.d) == ("2026-01-31", "unknown", "000007", "12345678")
+
+
+def test_measures_keep_small_digits_and_refuse_huge_numbers(spark):
+    from meterline.functions.numbers import exact_sum
+
+    small = spark.range(1000).withColumn("v", F.lit(0.004))
+    assert float(small.agg(exact_sum("v")).first()[0]) == 4.0
+    texts = spark.createDataFrame([("-1e25",), ("1e17",), ("12.5",)], "t string")
+    assert [row[0] for row in texts.select(parse_number("t")).collect()] == [None, None, 12.5]
+    assert spark.createDataFrame([(-1e25,)], "v double").select(number_text("v")).first()[0].startswith("-")
+
+
+def test_batches_are_ordered_by_number(spark):
+    from meterline.operators.warehouse import dim_upsert, SITE_FIELDS
+
+    fields = ", ".join(f"{f} string" for f in SITE_FIELDS)
+    staged = spark.createDataFrame(
+        [(b, "S1", 0, "VALID", *[b] * len(SITE_FIELDS)) for b in ("B-20260101-99", "B-20260101-100")],
+        f"batch_id string, site_id string, row_index long, validation_status string, {fields}",
+    )
+    current = spark.createDataFrame([], f"site_key long, site_id string, {fields}, loaded_batch string, active_flag boolean")
+    assert dim_upsert(current, staged).first().loaded_batch == "B-20260101-100"
