@@ -9,7 +9,7 @@ from meterline.operators import rowchecks as rc
 from meterline.operators import runbook as rb
 from meterline.plans import roles
 from meterline.plans.catalog_ops import CONFIG, FILES, _feed_batches, file_log
-from meterline.plans.catalog_rows import staged, validated
+from meterline.plans.catalog_rows import judged, staged, validated
 from meterline.plans.oracle_roles import ALERTS, CHECKS, FACT, INCIDENTS, STAGED, TASKS, TRANSITIONS, with_roles
 from meterline.plans.shape import flat
 
@@ -133,11 +133,11 @@ def j5_failed_tasks(spark, sf):
 
 
 def j6_staging_status_counts(spark, sf):
-    return rb.staging_status(validated(spark, sf))
+    return rb.staging_status(judged(spark, sf))
 
 
 def j7_rejection_breakdown(spark, sf):
-    return rb.rejection_breakdown(validated(spark, sf))
+    return rb.rejection_breakdown(judged(spark, sf))
 
 
 def j8_staging_duplicates(spark, sf):

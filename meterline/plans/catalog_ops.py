@@ -9,7 +9,7 @@ from meterline.operators import ops
 from meterline.operators import sites as st
 from meterline.operators.recon import rowcount_recon
 from meterline.plans import roles
-from meterline.plans.catalog_rows import staged, validated
+from meterline.plans.catalog_rows import judged, staged, validated
 from meterline.plans.catalog_sites import sql_round, two
 from meterline.plans.catalog_warehouse import _TOTALS, _sides, _starts
 from meterline.plans.oracle_roles import ALERTS, CHECKS, DELIVERIES, FACT, INCIDENTS, STAGED, TASKS, with_roles
@@ -260,7 +260,7 @@ def _performance(spark, sf):
 
 
 def _quality(spark, sf):
-    return mt.quality_metrics(validated(spark, sf).withColumnRenamed("ts", "load_timestamp"))
+    return mt.quality_metrics(judged(spark, sf).withColumnRenamed("ts", "load_timestamp"))
 
 
 def h26_perf_summary(spark, sf):

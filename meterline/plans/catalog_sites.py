@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from meterline.operators import sites as st
 from meterline.plans import roles
-from meterline.plans.catalog_rows import validated
+from meterline.plans.catalog_rows import judged
 from meterline.plans.oracle_roles import FACT, SITES, STAGED, with_roles
 from meterline.plans.shape import flat
 
@@ -15,7 +15,7 @@ GAP_DAY = "2001-11-10"  # the window runs past the last reading, so its end is e
 
 
 def g1_dq_metrics_by_dataset(spark, sf):
-    return flat(st.quality_by_dataset(validated(spark, sf).withColumnRenamed("ts", "load_timestamp")))
+    return flat(st.quality_by_dataset(judged(spark, sf).withColumnRenamed("ts", "load_timestamp")))
 
 
 def g2_time_series(spark, sf):
