@@ -147,7 +147,7 @@ def escalation_notes(due: DataFrame, as_of: str, settings: Settings = Settings()
     minutes, group = settings.escalation_threshold_minutes, settings.escalation_group
     return due.select(
         "incident_id",
-        F.lit(f"Auto-escalated: unresolved for more than {minutes} minutes. Handed over to {group}.").alias("note"),
+        F.lit(f"Open longer than {minutes} minutes; now with {group}.").alias("note"),
         F.lit("escalation-manager").alias("author"),
         as_timestamp(as_of).alias("created_at"),
     )
@@ -168,7 +168,7 @@ def incident_alerts(incidents: DataFrame, settings: Settings = Settings()) -> Da
 
 def escalation_alerts(due: DataFrame, as_of: str, settings: Settings = Settings()) -> DataFrame:
     text = F.concat(
-        F.col("incident_id"), F.lit(f" auto-escalated after {settings.escalation_threshold_minutes} min: "), F.col("short_description")
+        F.col("incident_id"), F.lit(f" open longer than {settings.escalation_threshold_minutes} min: "), F.col("short_description")
     )
     return due.select(*_alert(F.lit("INCIDENT_ESCALATED"), F.col("severity"), text, as_timestamp(as_of), settings))
 
@@ -176,7 +176,7 @@ def escalation_alerts(due: DataFrame, as_of: str, settings: Settings = Settings(
 def completion_alerts(batches: DataFrame, as_of: Column | str, settings: Settings = Settings()) -> DataFrame:
     """One summary per batch; `batches` has batch_id, business_date, files, incidents, escalations."""
     extra = F.when(
-        F.col("escalations") > 0, F.concat(F.lit(", "), F.col("escalations").cast("string"), F.lit(" auto-escalation(s)"))
+        F.col("escalations") > 0, F.concat(F.lit(", "), F.col("escalations").cast("string"), F.lit(" handed over"))
     ).otherwise("")
     text = F.concat(
         F.format_string("Batch %s (%s) completed: %d file(s), %d incident(s)", "batch_id", "business_date", "files", "incidents"), extra
@@ -204,7 +204,7 @@ def acknowledge(alerts: DataFrame, requests: DataFrame | None, as_of: str) -> Da
 def bulk_lifecycle(incidents: DataFrame, ids: DataFrame, action: str, notes: str, as_of: str) -> tuple[DataFrame, DataFrame]:
     """Resolve or close the given incidents without a transition check, with a note for each."""
     target = {"resolve": "RESOLVED", "close": "CLOSED"}[action]
-    lead = {"resolve": "Resolved: ", "close": "Closed after monitoring window: "}[action]
+    lead = {"resolve": "Resolution: ", "close": "Closed: "}[action]
     wanted = ids.select("incident_id").distinct().withColumn("_hit", F.lit(True))
     marked = lookup_join(incidents, wanted, ["incident_id"], "left", ["incident_id"])
     hit = F.coalesce(F.col("_hit"), F.lit(False))
@@ -270,7 +270,7 @@ def likely_causes(incidents: DataFrame, checks: DataFrame, considered: int = 8,
     )
     per_batch = cut_lineage(per_batch)
     joined = lookup_join(incidents.select("incident_id", "batch_id"), per_batch, ["batch_id"], "left", ["incident_id"])
-    none = "- No failed DQ checks were recorded for this batch"
+    none = "- every check of this batch passed"
     text = F.array_join(F.transform("lines", lambda x: x["line"]), "\n")
     return joined.select(
         "incident_id", F.coalesce("considered", F.lit(0)).alias("checks_considered"), F.coalesce(text, F.lit(none)).alias("causes")
@@ -286,7 +286,7 @@ def handoff_lines(incidents: DataFrame, playbook: dict[str, tuple[str, Sequence[
     book = runbook_of(F.col("incident_type"))
     advice = playbook or {}
     kind = F.col("incident_type")
-    impact = F.coalesce(*[F.when(kind == t, F.lit(i)) for t, (i, _) in advice.items()], F.lit("Impact assessment pending."))
+    impact = F.coalesce(*[F.when(kind == t, F.lit(i)) for t, (i, _) in advice.items()], F.lit("Impact not assessed yet."))
     steps = F.coalesce(
         *[F.when(kind == t, F.array(*[F.lit(f"- {x}") for x in s])) for t, (_, s) in advice.items()],
         F.array().cast("array<string>"),

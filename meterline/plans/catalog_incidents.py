@@ -198,10 +198,10 @@ ORACLE = {
      FROM (SELECT *, {_DUE} AS d FROM incidents)""",
     "i3_alert_derive": with_roles(INCIDENTS)
     + f""", a AS (SELECT {_TS.format('created_at')} AS created_at, batch_id, incident_type AS alert_type, severity, incident_id || ': ' || short_description AS message
-      FROM incidents UNION ALL SELECT '{SWEEP}', batch_id, 'INCIDENT_ESCALATED', severity, incident_id || ' auto-escalated after 240 min: ' || short_description
+      FROM incidents UNION ALL SELECT '{SWEEP}', batch_id, 'INCIDENT_ESCALATED', severity, incident_id || ' open longer than 240 min: ' || short_description
       FROM incidents WHERE {_DUE}
       UNION ALL SELECT '{SWEEP}', batch_id, 'PIPELINE_COMPLETED', 'WARN', 'Batch ' || batch_id || ' (' || substr(batch_id, 3, 8) || ') completed: 3 file(s), '
-      || count(*) || ' incident(s)' || CASE WHEN count(*) FILTER (escalated_flag) > 0 THEN ', ' || count(*) FILTER (escalated_flag) || ' auto-escalation(s)' ELSE '' END
+      || count(*) || ' incident(s)' || CASE WHEN count(*) FILTER (escalated_flag) > 0 THEN ', ' || count(*) FILTER (escalated_flag) || ' handed over' ELSE '' END
       FROM incidents GROUP BY batch_id)
      SELECT *, 'console,email_stub,webhook_stub' AS channels FROM a""",
     "i4_alert_ack": with_roles(ALERTS)
@@ -239,7 +239,7 @@ ORACLE = {
      SELECT batch_id, incident_id, 'escalation_handoff.md' AS artefact, lpad(CAST(n - 1 AS VARCHAR), 4, '0') AS key, lines[n] AS line FROM
       (SELECT *, unnest(range(1, len(lines) + 1)) AS n FROM (SELECT batch_id, incident_id, ['# Escalation handoff: ' || incident_id,
        '**Incident:** ' || short_description, '**Type:** ' || incident_type || ' | **Severity:** ' || severity || ' | **Status:** ' || status,
-       '**Runbook:** ' || book, '**Impact:** ' || CASE WHEN incident_type = 'SLA_BREACH' THEN 'Consumers may read stale data.' ELSE 'Impact assessment pending.' END,
+       '**Runbook:** ' || book, '**Impact:** ' || CASE WHEN incident_type = 'SLA_BREACH' THEN 'Consumers may read stale data.' ELSE 'Impact not assessed yet.' END,
        '- File: ' || affected_file, '- Table: ' || affected_table, '- Check: ' || coalesce(affected_check, 'n/a')] ||
        CASE WHEN incident_type = 'SLA_BREACH' THEN ['- Compare arrival with the window', '- Ask the owner'] ELSE [] END AS lines
        FROM incidents JOIN b USING (incident_type)))""",
@@ -248,14 +248,14 @@ ORACLE = {
      ORDER BY created_at DESC, incident_id DESC)""",
     "i8_bulk_lifecycle": with_roles(INCIDENTS)
     + """SELECT incident_id, CASE WHEN h THEN 'CLOSED' ELSE status END AS status, CASE WHEN h THEN 'checked' END AS resolution_notes,
-     CASE WHEN h THEN 'Closed after monitoring window: checked' END AS note FROM
+     CASE WHEN h THEN 'Closed: checked' END AS note FROM
      (SELECT *, incident_number IN (SELECT c_custkey FROM customer) AS h FROM incidents)""",
     "i9_likely_causes": with_roles(INCIDENTS, CHECKS) + _SHIFTED
     + """, w AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY batch_id ORDER BY executed_at DESC, check_id DESC) AS place FROM checks
       WHERE status <> 'PASS') WHERE place <= 8),
      b AS (SELECT batch_id, count(*) AS n, string_agg('- ' || check_name || ': ' || coalesce(error_details, status), chr(10) ORDER BY place)
       FILTER (place <= 3) AS t FROM w GROUP BY 1)
-     SELECT incident_id, coalesce(n, 0) AS checks_considered, coalesce(t, '- No failed DQ checks were recorded for this batch') AS causes
+     SELECT incident_id, coalesce(n, 0) AS checks_considered, coalesce(t, '- every check of this batch passed') AS causes
      FROM si LEFT JOIN b USING (batch_id)""",
     "j1_files_of_batch": with_roles(FILES)
     + f"SELECT file_name, dataset, file_status, size_bytes, computed_checksum FROM files WHERE batch_id = '{BATCH}'",

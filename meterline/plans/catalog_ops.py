@@ -359,10 +359,10 @@ ORACLE = {
       {_SEV} FROM incidents),
      y AS (SELECT *, failed OR P1 > 0 OR P2 > 0 OR recon = 'FAIL' AS red FROM x)
      SELECT last_batch_id, CASE WHEN red THEN 'RED' WHEN P3 > 0 OR weak > 0 THEN 'AMBER' ELSE 'GREEN' END AS health,
-     coalesce(nullif(concat_ws(',', CASE WHEN failed THEN 'Latest batch has failed task(s)' END, CASE WHEN P1 > 0 THEN P1 || ' open P1 incident(s)' END,
-      CASE WHEN P2 > 0 THEN P2 || ' open P2 incident(s)' END, CASE WHEN recon = 'FAIL' THEN 'Latest reconciliation mismatch' END,
-      CASE WHEN NOT red AND P3 > 0 THEN P3 || ' open P3 incident(s)' END, CASE WHEN NOT red AND weak > 0 THEN weak || ' non-pass check(s) in latest batch' END), ''),
-      'All pipeline signals nominal') AS reasons FROM y""",
+     coalesce(nullif(concat_ws(',', CASE WHEN failed THEN 'a task of the newest batch failed' END, CASE WHEN P1 > 0 THEN P1 || ' unresolved at P1' END,
+      CASE WHEN P2 > 0 THEN P2 || ' unresolved at P2' END, CASE WHEN recon = 'FAIL' THEN 'the newest reconciliation does not balance' END,
+      CASE WHEN NOT red AND P3 > 0 THEN P3 || ' unresolved at P3' END, CASE WHEN NOT red AND weak > 0 THEN weak || ' checks of the newest batch not passed' END), ''),
+      'nothing to report') AS reasons FROM y""",
     "h9_sla_status_today": with_roles(FILES)
     + """, d AS (SELECT DISTINCT business_date AS day FROM files), m AS (SELECT DISTINCT unnest(['click','view','purchase','error','signup']) AS dataset),
      x AS (SELECT d.day, CAST(d.day AS TIMESTAMP) + INTERVAL 630 MINUTE AS deadline, coalesce(string_agg(m.dataset, ',' ORDER BY m.dataset)
@@ -498,9 +498,9 @@ ORACLE = {
     "h24_queue_lines": with_roles(INCIDENTS)
     + f""", q AS (SELECT count(*) AS n, count(*) FILTER ({_OPEN}) AS a, {', '.join(f"count(*) FILTER (severity = 'P{i}') AS p{i}" for i in (1, 2, 3, 4))},
       count(*) FILTER (escalated_flag) AS e FROM incidents)
-     SELECT CAST(0 AS BIGINT) AS line_number, '- **Incidents in view:** ' || n || ' (' || a || ' active)' AS line FROM q UNION ALL
-     SELECT 1, '- **By severity:** P1 ' || p1 || ' · P2 ' || p2 || ' · P3 ' || p3 || ' · P4 ' || p4 FROM q UNION ALL
-     SELECT 2, '- **Escalated to L2:** ' || e FROM q""",
+     SELECT CAST(0 AS BIGINT) AS line_number, '- Listed: ' || n || ' (' || a || ' active)' AS line FROM q UNION ALL
+     SELECT 1, '- Severities: P1 ' || p1 || ' · P2 ' || p2 || ' · P3 ' || p3 || ' · P4 ' || p4 FROM q UNION ALL
+     SELECT 2, '- Handed over: ' || e FROM q""",
     "h24_queue_summary": with_roles(INCIDENTS)
     + f"""SELECT count(*) AS in_view, count(*) FILTER ({_OPEN}) AS active, {', '.join(f"count(*) FILTER (severity = 'P{i}') AS P{i}" for i in (1, 2, 3, 4))},
      count(*) FILTER (escalated_flag) AS escalated FROM incidents""",

@@ -55,7 +55,7 @@ def test_escalation_threshold_is_strict(spark):
     due = inc.escalation_due(incidents(spark), "2026-01-01 12:00:00")
     assert inc.escalation_notes(due, "2026-01-01 12:00:00").first().author == "escalation-manager"
     alert = inc.escalation_alerts(due, "2026-01-01 12:00:00").first()
-    assert (alert.alert_type, alert.message) == ("INCIDENT_ESCALATED", "I2 auto-escalated after 240 min: d")
+    assert (alert.alert_type, alert.message) == ("INCIDENT_ESCALATED", "I2 open longer than 240 min: d")
 
 
 def test_ages_never_go_negative(spark):
@@ -76,7 +76,7 @@ def test_acknowledging_again_changes_nothing(spark):
 def test_bulk_close_skips_the_transition_check(spark):
     changed, notes = inc.bulk_lifecycle(incidents(spark), spark.createDataFrame([("I1",), ("I4",)], "incident_id string"), "close", "ok", "2026-01-02 00:00:00")
     assert {r.incident_id for r in changed.filter("status = 'CLOSED'").collect()} == {"I1", "I4"}
-    assert [r.note for r in notes.collect()] == ["Closed after monitoring window: ok"] * 2
+    assert [r.note for r in notes.collect()] == ["Closed: ok"] * 2
 
 
 def test_no_resolved_incident_has_no_mean(spark):
