@@ -40,6 +40,13 @@ def m2_stream_dedupe(spark, sf):
     return spark.read.schema("file_name string, record_id string, epoch long").parquet(out).drop("epoch")
 
 
+def m2_stream_rejects(spark, sf):
+    out = new_path(spark, "rejected")
+    rejected = feeds.rejected_readings(_readings(spark, sf), ENERGY_RULE).select("row_index", "file_name", "rejection_reason")
+    feeds.write_updates(rejected, out, new_path(spark, "state"), "append").awaitTermination()
+    return spark.read.schema("row_index long, file_name string, rejection_reason string, epoch long").parquet(out).drop("epoch")
+
+
 def m3_rolling_quality_stream(spark, sf):
     out = new_path(spark, "quality")
     scores = feeds.rolling_quality(_readings(spark, sf), ENERGY_RULE, "ts")
@@ -50,7 +57,7 @@ def m3_rolling_quality_stream(spark, sf):
     return flat(feeds.latest_updates(written, ["load_date", "dataset"]))
 
 
-QUERIES = {f.__name__: f for f in (m1_landing_stream, m2_stream_dedupe, m3_rolling_quality_stream)}
+QUERIES = {f.__name__: f for f in (m1_landing_stream, m2_stream_dedupe, m2_stream_rejects, m3_rolling_quality_stream)}
 
 _PLAIN = "null_reason IS NULL AND date_reason IS NULL AND energy_reason IS NULL"
 
@@ -64,6 +71,9 @@ ORACLE = {
      FROM (SELECT *, CASE WHEN row_index % 53 = 0 THEN 'a,"q" b' ELSE site_id END AS s,
       CASE WHEN row_index % 53 <> 0 THEN null_reason END AS n FROM staged)""",
     "m2_stream_dedupe": with_roles(STAGED) + f"SELECT DISTINCT file_name, record_id FROM staged WHERE {_PLAIN}",
+    "m2_stream_rejects": with_roles(STAGED)
+    + f"""SELECT row_index, file_name, coalesce(null_reason, date_reason, energy_reason) AS rejection_reason
+     FROM staged WHERE NOT ({_PLAIN})""",
     "m3_rolling_quality_stream": with_roles(STAGED)
     + f"""SELECT business_date AS load_date, dataset, count(*) AS total_records, count(*) FILTER ({_PLAIN}) AS valid_records,
      {sql_round(f'100.0 * count(*) FILTER ({_PLAIN}) / count(*)')} AS quality_score FROM staged GROUP BY 1, 2""",

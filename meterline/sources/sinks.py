@@ -10,8 +10,12 @@ from meterline.schemas import INCIDENT_COLUMNS, REJECTED_COLUMNS, REPORT_COLUMNS
 
 
 def write_batches(df: DataFrame, path: str, partitions: tuple[str, ...] = ("batch_id",)) -> None:
-    """Replace exactly the partitions present in `df`, so a replayed batch lands once."""
-    df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*partitions).parquet(path)
+    """Replace exactly the partitions present in `df`, so a replayed batch lands once.
+
+    Rows are dealt by partition first, large ones over several tasks, so a
+    batch gets few files.
+    """
+    df.hint("rebalance", *partitions).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*partitions).parquet(path)
 
 
 def _csv(df: DataFrame, path: str, partitions: tuple[str, ...] = ()) -> None:

@@ -69,6 +69,11 @@ def deduplicated(readings: DataFrame, rules: FeedRules, event_time: str, keys: l
     return valid.withWatermark(event_time, delay).dropDuplicatesWithinWatermark(keys)
 
 
+def rejected_readings(readings: DataFrame, rules: FeedRules) -> DataFrame:
+    """Readings that fail a test which looks at one row only, with the first reason; the other half of `deduplicated`."""
+    return readings.withColumn("rejection_reason", plain_reason(readings, rules)).filter("rejection_reason is not null")
+
+
 def rolling_quality(readings: DataFrame, rules: FeedRules, event_time: str, delay: str = "1 day") -> DataFrame:
     """Valid and total readings per feed and day, updated as readings arrive.
 
