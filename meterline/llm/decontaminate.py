@@ -36,7 +36,7 @@ COSINE = 0.4
 COPY = 0.8
 PARAPHRASE = 0.6
 ANSWER = 0.8
-BLOCK_WORDS = 500_000
+BLOCK_WORDS = 200_000
 BATCH_WORDS = 100_000
 CACHE_WORDS = 500_000
 ENDS = ".,;:!?\"'()[]"
