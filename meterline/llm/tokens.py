@@ -17,7 +17,7 @@ from array import array
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
-CACHE_PIECES = 900_000
+CACHE_PIECES = 600_000
 CHUNK_CHARS = 4_000_000
 SAFE_SPACE = re.compile(r"(?<=\S) (?=\S)")
 ASCII_SPACE = re.compile(r"[ \t\n\x0b\x0c\r]+")
