@@ -142,17 +142,17 @@ def text_key(docs: DataFrame) -> DataFrame:
 def _seen(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part in (batch.slice(at, 500) for at in range(0, batch.num_rows, 500)):
-            counts, shas, anchors = [], [], []
+            counts, shas, anchors, twice = [], [], [], []
             for text in part.column("text").to_pylist():
                 words = text.split()
                 counts.append(len(words))
                 shas.append(hashlib.sha256(b" ".join(words)).digest())
-                anchors.append(segments_of(words)[0].view(np.int64))
-            lists = pa.ListArray.from_arrays(
-                np.cumsum([0, *map(len, anchors)]).astype(np.int32), pa.array(np.concatenate(anchors) if anchors else [], pa.int64())
-            )
-            columns = [part.column("d"), part.column("s"), pa.array(counts, pa.int64()), pa.array(shas, pa.binary()), lists]
-            yield pa.RecordBatch.from_arrays(columns, names=["d", "s", "n_words", "sha", "anchors"])
+                found, often = np.unique(segments_of(words)[0].view(np.int64), return_counts=True)
+                anchors.append(found)
+                twice.append(found[often > 1])
+            lists = [pa.array(x, pa.list_(pa.int64())) for x in (anchors, twice)]
+            columns = [part.column("d"), part.column("s"), pa.array(counts, pa.int64()), pa.array(shas, pa.binary()), *lists]
+            yield pa.RecordBatch.from_arrays(columns, names=["d", "s", "n_words", "sha", "anchors", "twice"])
 
 
 def _candidates(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -285,16 +285,18 @@ def remove_repeats(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     the second d, s, n_words, n_removed, kept_sha256 for every row of `docs`.
     """
     keyed = text_key(docs)
-    seen = written(keyed.mapInArrow(_seen, "d long, s long, n_words long, sha binary, anchors array<long>"))
+    seen = written(keyed.mapInArrow(_seen, "d long, s long, n_words long, sha binary, anchors array<long>, twice array<long>"))
     originals = seen.groupBy("sha").agg(F.min(F.struct("d", "s")).alias("o")).select("sha", F.col("o.d").alias("od"), F.col("o.s").alias("os"))
     originals = written(originals)
     own = seen.filter(F.size("anchors") > 0).join(
         originals.select(F.col("od").alias("d"), F.col("os").alias("s"), F.lit(True).alias("original")), ["d", "s"], "left_semi"
     )
     own = own.dropDuplicates(["d", "s"])
-    anchors = written(own.select("d", F.explode("anchors").alias("anchor")))
-    repeated = written(anchors.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("anchor"))
-    shared = anchors.join(repeated, "anchor", "left_semi").distinct()
+    each = own.select("d", "twice", F.explode("anchors").alias("anchor"))
+    anchors = written(each.select("d", "anchor", F.array_contains("twice", F.col("anchor")).alias("twice")))
+    counts = anchors.groupBy("anchor").agg(F.count(F.lit(1)).alias("n"), F.max("twice").alias("twice"))
+    repeated = written(counts.filter("n > 1 or twice").select("anchor"))
+    shared = anchors.join(repeated, "anchor", "left_semi")
     lists = written(shared.groupBy("d").agg(F.collect_list("anchor").alias("repeated")))
     wanted = lists.join(originals.select(F.col("od").alias("d"), F.col("os").alias("s")), "d")
     schema = "d long, s long, text binary, anchors array<long>, first array<long>, count array<long>"
