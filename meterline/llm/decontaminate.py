@@ -1,20 +1,21 @@
-"""Benchmark decontamination: latent retrieval of passages, then order and answer checks.
-
-The vocabulary of the latent space is that of the benchmark, weighted by inverse
-document frequencies counted over all documents. A randomised SVD of the TF-IDF
-passages of all documents gives the space: tasks sketch their passages, a
-grouped sum adds the sketches word by word, and the driver factorises what has
-one row per benchmark word. Windows of every document are compared with the
-items by cosine in that space; a window whose weight lies mostly in words that no
-item has cannot be a copy and is passed over. Candidates are settled by the
-longest common subsequence of words and, for paraphrases, by whether the answer
-of the item occurs.
+"""Benchmark decontamination: exact retrieval of passages, order and answer checks, latent scores.
+
+A copy misses few words of its item, so it holds several of any set of its words
+that is larger than what it may miss. The words of an item that fewest documents
+hold are such a set: wherever enough of them lie close together, the longest
+common subsequence of words decides, and for paraphrases whether the answer of
+the item occurs. No passage that these would accept is passed over.
+
+Every finding is scored by its cosine in a latent space. The vocabulary of the
+space is that of the benchmark, weighted by inverse document frequencies counted
+over all documents. A randomised SVD of the TF-IDF passages of all documents
+gives the space: tasks sketch their passages, a grouped sum adds the sketches
+word by word, and the driver factorises what has one row per benchmark word.
 """
 
 from __future__ import annotations
 
 import re
-import zlib
 from collections.abc import Iterable, Iterator
 from typing import NamedTuple
 
@@ -27,12 +28,7 @@ from meterline.llm.frames import pick, row_key, rows_of, written
 
 RANK = 64
 PASSAGE = 48
-LENGTH_STEP = 1.5
-LONGEST = 96
-OTHER_BUCKETS = 1 << 15
-LEAST_WEIGHT = 1.0
-KNOWN_SHARE = 0.36
-COSINE = 0.4
+LEAST_WEIGHT = 0.1
 COPY = 0.8
 PARAPHRASE = 0.6
 ANSWER = 0.8
@@ -62,7 +58,7 @@ def item_of(item_id: int | None, text: str) -> Item:
 
 
 class Vocabulary:
-    """Numbers of words: those of the benchmark first, all others in hashed buckets after them."""
+    """Numbers of words: those of the benchmark first, one number after them for all others."""
 
     def __init__(self, words: list[str]):
         self.known = {word: i for i, word in enumerate(words)}
@@ -76,11 +72,7 @@ class Vocabulary:
         if None in found:
             for i, x in enumerate(found):
                 if x is None:
-                    word = plain(tokens[i])
-                    number = self.known.get(word)
-                    if number is None:
-                        number = self.size + (zlib.crc32(word.encode()) & (OTHER_BUCKETS - 1))
-                    found[i] = self.cache[tokens[i]] = number
+                    found[i] = self.cache[tokens[i]] = self.known.get(plain(tokens[i]), self.size)
         return np.array(found, np.int64)
 
 
@@ -99,7 +91,7 @@ def numbered(docs: DataFrame, words: list[str]) -> DataFrame:
 
 
 def number_type(words: list[str]) -> str:
-    return "<u2" if len(words) + OTHER_BUCKETS <= 1 << 16 else "<u4"
+    return "<u2" if len(words) < 1 << 16 else "<u4"
 
 
 def batches_of(batch: pa.RecordBatch, kind: str) -> Iterator[tuple[list, list, np.ndarray, np.ndarray]]:
@@ -119,8 +111,8 @@ def batches_of(batch: pa.RecordBatch, kind: str) -> Iterator[tuple[list, list, n
 
 
 def document_frequencies(ids: DataFrame, words: list[str]) -> tuple[np.ndarray, int]:
-    """Documents that hold each benchmark word or bucket of other words, and the number of documents."""
-    size, kind = len(words) + OTHER_BUCKETS, number_type(words)
+    """Documents that hold each benchmark word, and the number of documents."""
+    size, kind = len(words) + 1, number_type(words)
 
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(size + 1, np.int64)
@@ -137,25 +129,24 @@ def document_frequencies(ids: DataFrame, words: list[str]) -> tuple[np.ndarray,
     df = np.zeros(size + 1, np.int64)
     for row in counts:
         df[row[0]] = row[1]
-    return df[:-1], int(df[-1])
+    return df[: len(words)], int(df[-1])
 
 
 def passage_sketch(ids: DataFrame, words: list[str], weights: np.ndarray, directions: np.ndarray) -> np.ndarray:
     """A^T A directions for the TF-IDF matrix A of all passages, one row per benchmark word."""
-    weights = weights[: len(words)].astype(np.float32)
+    weights = weights.astype(np.float32)
     shared = ids.sparkSession.sparkContext.broadcast((weights, (directions * weights[:, None]).astype(np.float32)))
     width, kind = directions.shape[1], number_type(words)
 
     def sketch(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weights, scaled = shared.value
         sums = np.zeros((len(weights), width))
-        useful = np.concatenate([weights > 0, np.zeros(OTHER_BUCKETS, bool)])
         for batch in batches:
             for _, _, lengths, number in batches_of(batch, kind):
                 passages = -(-lengths // PASSAGE)
                 place = np.arange(lengths.sum()) - np.repeat(np.cumsum(lengths) - lengths, lengths)
                 passage = place // PASSAGE + np.repeat(np.cumsum(passages) - passages, lengths)
-                known = np.flatnonzero(useful[number])
+                known = np.flatnonzero(number < len(weights))
                 if not len(known):
                     continue
                 number, passage = number[known], passage[known]
@@ -186,19 +177,29 @@ def latent_space(sketch: np.ndarray, directions: np.ndarray) -> np.ndarray:
     return vectors / np.maximum(values, 1e-3 * max(values[0], 1e-9))
 
 
-def common_length(left: list, right: list) -> int:
-    """Length of the longest common subsequence, bit-parallel over `left`."""
+def places_of(words: list) -> dict:
+    """Bits of the places at which each word stands."""
     places: dict = {}
-    for i, word in enumerate(left):
+    for i, word in enumerate(words):
         places[word] = places.get(word, 0) | (1 << i)
-    full = (1 << len(left)) - 1
+    return places
+
+
+def length_in_order(places: dict, n: int, right: list) -> int:
+    """Length of the longest common subsequence of the n words in `places` and `right`, bit-parallel over the former."""
+    full = (1 << n) - 1
     state = full
     for word in right:
         match = places.get(word)
         if match is not None:
             update = state & match
             state = ((state + update) | (state - update)) & full
-    return len(left) - state.bit_count()
+    return n - state.bit_count()
+
+
+def common_length(left: list, right: list) -> int:
+    """Length of the longest common subsequence."""
+    return length_in_order(places_of(left), len(left), right)
 
 
 class Index(NamedTuple):
@@ -208,16 +209,15 @@ class Index(NamedTuple):
     words: list[str]
     weights: np.ndarray
     latent: np.ndarray
+    df: np.ndarray
 
 
-def window_lengths(items: list[Item]) -> dict[int, list[int]]:
-    """Items by window length; the lengths grow by `LENGTH_STEP` and end at `LONGEST`, longer items match by their parts."""
-    lengths: dict[int, list[int]] = {}
-    for i, item in enumerate(items):
-        n = min(len(item.words), LONGEST)
-        rung = round(np.log(max(n, 4) / 8) / np.log(LENGTH_STEP))
-        lengths.setdefault(int(round(8 * LENGTH_STEP ** max(rung, -1))), []).append(i)
-    return lengths
+def telling_words(numbers: list[int], df: np.ndarray) -> tuple[set[int], int]:
+    """Words of an item that fewest documents hold, and how many of their places a paraphrase keeps at least."""
+    n = len(numbers)
+    missing = n - int(np.ceil(PARAPHRASE * n - 1e-9))
+    kept = max(1, n // 5)
+    return set(sorted(numbers, key=lambda word: (df[word], word))[: missing + kept]), kept
 
 
 class Searcher:
@@ -227,61 +227,79 @@ class Searcher:
         self.index = index
         self.size = len(index.words)
         place = {word: i for i, word in enumerate(index.words)}
-        self.items = [[place[word] for word in item.words] for item in index.items]
-        self.answers = [[place[word] for word in item.answer] for item in index.items]
+        numbers = [[place[word] for word in item.words] for item in index.items]
+        answers = [[place[word] for word in item.answer] for item in index.items]
+        self.places = [(places_of(words), len(words)) for words in numbers]
+        self.answers = [(places_of(words), len(words)) for words in answers]
         self.vectors = np.zeros((self.size + 1, index.latent.shape[1]), np.float32)
-        self.vectors[:-1] = index.latent * index.weights[: self.size, None]
-        self.mass = index.weights.astype(np.float64) ** 2
-        self.queries = {}
-        for length, members in window_lengths(index.items).items():
-            rows, owners = [], []
-            for i in members:
-                numbers = self.items[i]
-                for at in range(0, max(1, len(numbers) - LONGEST // 2), LONGEST // 2):
-                    rows.append(self.vectors[numbers[at : at + LONGEST]].sum(axis=0))
-                    owners.append(i)
-            matrix = np.array(rows, np.float32)
-            self.queries[length] = (matrix / (np.linalg.norm(matrix, axis=1, keepdims=True) + 1e-9), np.array(owners))
+        self.vectors[:-1] = index.latent * index.weights[:, None]
+        self.queries = np.array([self.direction(words) for words in numbers])
+        told = [telling_words(words, index.df) for words in numbers]
+        self.lengths = np.array([len(words) for words in numbers])
+        self.least = np.array([kept for _, kept in told])
+        word = np.array([w for words, _ in told for w in words], np.int64)
+        owner = np.repeat(np.arange(len(told)), [len(words) for words, _ in told])
+        self.owners = owner[np.argsort(word, kind="stable")]
+        self.held = np.bincount(word, minlength=self.size + 1)
+        self.start = np.cumsum(self.held) - self.held
+
+    def direction(self, number) -> np.ndarray:
+        latent = self.vectors[number].sum(axis=0)
+        return latent / (np.linalg.norm(latent) + 1e-9)
+
+    def regions(self, lengths: np.ndarray, number: np.ndarray) -> np.ndarray:
+        """Document, item and window of all places that can hold a paraphrase or copy, as rows.
+
+        A window starts at a multiple of a quarter of the item; the region around
+        it has half the item's length before it and after it. Any passage of at
+        most 7/4 of the item's length lies in a region; one that keeps enough of
+        the item holds `least` telling words within twice the item's length.
+        """
+        starts = np.cumsum(lengths) - lengths
+        times = self.held[number]
+        at = np.repeat(np.arange(len(number)), times)
+        nth = np.arange(len(at)) - np.repeat(np.cumsum(times) - times, times)
+        item = self.owners[self.start[number[at]] + nth]
+        order = np.argsort(item, kind="stable")
+        item, at = item[order], at[order]
+        doc = np.searchsorted(np.cumsum(lengths), at, side="right")
+        first = np.arange(len(at))
+        last = first + self.least[item] - 1
+        first, last = first[last < len(at)], last[last < len(at)]
+        near = (item[first] == item[last]) & (doc[first] == doc[last]) & (at[last] - at[first] < 2 * self.lengths[item[first]])
+        first, last = first[near], last[near]
+        doc, item = doc[first], item[first]
+        n = self.lengths[item]
+        step = np.maximum(1, n // 4)
+        low = np.maximum(0, at[last] - starts[doc] - 2 * n + 1 + n // 2) // step
+        high = (at[first] - starts[doc] + n // 2) // step
+        # Runs of one item come in order, so a window that the run before them has is left out.
+        same = np.flatnonzero((np.diff(item) == 0) & (np.diff(doc) == 0)) + 1
+        low[same] = np.maximum(low[same], high[same - 1] + 1)
+        count = np.maximum(0, high - low + 1)
+        window = np.repeat(low - np.cumsum(count) + count, count) + np.arange(count.sum())
+        return np.stack([np.repeat(doc, count), np.repeat(item, count), window], axis=1)
 
     def leaks(self, lengths: np.ndarray, number: np.ndarray) -> Iterator[tuple[int, int, int, int, float, float, bool]]:
         """Document, item, first word, end, cosine, share of the item in order, and whether its answer occurs."""
         if not len(number):
             return
         starts = np.cumsum(lengths) - lengths
-        known = np.minimum(number, self.size)
-        mass = self.mass[number]
-        all_mass = np.concatenate([[0.0], np.cumsum(mass)])
-        known_mass = np.concatenate([[0.0], np.cumsum(np.where(number < self.size, mass, 0.0))])
         best: dict[tuple[int, int], tuple] = {}
-        for length, (queries, owners) in self.queries.items():
-            step = max(1, length // 4)
-            windows = np.maximum(1, -(-(lengths - length) // step) + 1) * (lengths > 0)
-            doc = np.repeat(np.arange(len(lengths)), windows)
-            nth = np.arange(len(doc)) - np.repeat(np.cumsum(windows) - windows, windows)
-            first = starts[doc] + nth * step
-            end = np.minimum(first + length, (starts + lengths)[doc])
-            some = np.flatnonzero(known_mass[end] - known_mass[first] >= KNOWN_SHARE * (all_mass[end] - all_mass[first]) + 1e-9)
-            for part in (some[at : at + 20_000] for at in range(0, len(some), 20_000)):
-                spans = end[part] - first[part]
-                cell = np.repeat(first[part] - np.cumsum(spans) + spans, spans) + np.arange(spans.sum())
-                latent = np.add.reduceat(self.vectors[known[cell]], np.cumsum(spans) - spans, axis=0)
-                latent /= np.linalg.norm(latent, axis=1, keepdims=True) + 1e-9
-                cosine = latent @ queries.T
-                for row, query in zip(*np.nonzero(cosine >= COSINE), strict=True):
-                    at, i = part[row], int(owners[query])
-                    d = int(doc[at])
-                    base, n = int(starts[d]), len(self.items[i])
-                    left = max(base, int(first[at]) - n // 2)
-                    right = min(base + int(lengths[d]), int(first[at]) + max(length, n) + n // 2)
-                    region = number[left:right].tolist()
-                    in_order = common_length(self.items[i], region) / n
-                    if in_order < PARAPHRASE:
-                        continue
-                    answer = common_length(self.answers[i], region) >= ANSWER * len(self.answers[i])
-                    if in_order >= COPY or answer:
-                        found = (in_order, float(cosine[row, query]), left - base, right - base, answer)
-                        if found > best.get((d, i), (-1.0,)):
-                            best[d, i] = found
+        for d, i, window in self.regions(lengths, number).tolist():
+            n = int(self.lengths[i])
+            base, size, first = int(starts[d]), int(lengths[d]), window * max(1, n // 4)
+            left, right = max(0, first - n // 2), min(size, first + n + n // 2)
+            region = number[base + left : base + right].tolist()
+            in_order = length_in_order(*self.places[i], region) / n
+            if in_order < max(PARAPHRASE, best.get((d, i), (0.0,))[0]):
+                continue
+            answer = length_in_order(*self.answers[i], region) >= ANSWER * self.answers[i][1]
+            if in_order >= COPY or answer:
+                cosine = float(self.direction(number[base + first : base + min(size, first + n)]) @ self.queries[i])
+                found = (in_order, cosine, left, right, answer)
+                if found > best.get((d, i), (-1.0,)):
+                    best[d, i] = found
         for (d, i), (in_order, cosine, left, right, answer) in sorted(best.items()):
             yield d, i, left, right, cosine, in_order, answer
 
@@ -299,13 +317,15 @@ def item_blocks(benchmark: DataFrame) -> Iterator[list[Item]]:
 
 
 def build_index(ids: DataFrame, items: list[Item], words: list[str], rank: int = RANK, seed: int = 29) -> Index:
-    """Weights and latent space of a block of items from all documents; a word that no document has weighs most."""
+    """Weights and latent space of a block of items from all documents.
+
+    A word that no document has weighs most, one that most documents have `LEAST_WEIGHT`.
+    """
     df, rows = document_frequencies(ids, words)
-    weights = np.log((rows + 1) / (df + 1))
-    weights = np.where(weights >= LEAST_WEIGHT, weights, 0.0)
+    weights = np.maximum(np.log((rows + 1) / (df + 1)), LEAST_WEIGHT)
     directions = np.random.default_rng(seed).normal(size=(len(words), min(rank, len(words))))
     sketch = passage_sketch(ids, words, weights, directions)
-    return Index(items, words, weights, latent_space(sketch, directions))
+    return Index(items, words, weights, latent_space(sketch, directions), df)
 
 
 LEAKS = "doc_id long, row long, item_id long, first_word long, end_word long, cosine double, in_order double, answer boolean"
@@ -317,7 +337,7 @@ def leaked_items(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     doc_id, a hash `row` of id and text, item_id, the words searched (first_word to end_word), the latent cosine, the
     share of the item's words that occur in order, and whether its answer occurs.
     A copy has at least `COPY` of the item in order; a paraphrase at least
-    `PARAPHRASE` and the answer. Null texts and empty ones hold nothing, items
+    `PARAPHRASE` and the answer, both within 7/4 of the item's length. Null texts and empty ones hold nothing, items
     without words are never found; null ids and repeated rows are reported like
     others; empty tables give no rows; further columns are ignored.
     """

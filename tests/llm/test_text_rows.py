@@ -278,6 +278,66 @@ def test_paraphrases(spark, documents, texts, sf):
     assert sum((i, item) in found for i, item, _ in rows) >= 0.9 * len(rows)
 
 
+def item_windows(words, item):
+    """Share of the item in order in the best of all spans of 7/4 of its length."""
+    span = len(item) * 7 // 4
+    return max(decontaminate.common_length(item, words[at : at + span]) for at in range(max(1, len(words) - span + 1))) / len(item)
+
+
+@pytest.mark.parametrize("share", [1, 3, 40, 60])
+def test_copies_shared_by_many_documents(spark, share):
+    """One copy of each item in 1, 3, a third or half of 120 documents, whatever its words then weigh."""
+    chance = random.Random(share)
+    stock = [f"w{k}" for k in range(400)]
+    items = [" ".join(chance.choices(stock, k=n)) for n in (15, 20, 38, 59, 140)]
+    rows, planted = [], set()
+    for k in range(120):
+        words = chance.choices(stock, k=300)
+        if k < share:
+            for i, item in enumerate(items):
+                at = chance.randrange(len(words))
+                words[at:at] = item.split()
+        rows.append((k, " ".join(words)))
+        # A later item may be put inside an earlier one.
+        planted |= {(k, i) for i, item in enumerate(items) if item in rows[-1][1]}
+    assert len({i for _, i in planted}) > 1
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    benchmark = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    found = decontaminate.leak_report(docs, benchmark).collect()
+    assert planted <= {(row.doc_id, row.item_id) for row in found}
+    assert all(row.cosine > 0.3 for row in found if row.in_order == 1.0)
+
+
+def test_retrieval_loses_nothing_brute_force_finds(documents, texts, spark, sf):
+    """Copies with words replaced, left out and put in between, against all spans of all documents."""
+    chance = random.Random(3)
+    texts_of = {row.item_id: row.text for row in spark.read.parquet(f"{sf}/benchmark.parquet").collect()}
+    items = {k: decontaminate.item_of(k, text).words for k, text in texts_of.items()}
+    hosts = [text.split()[:200] for text in texts.values() if len(text.split()) > 60]
+    stock = [word for host in hosts for word in host]
+    rows = []
+    for k, host in enumerate(hosts):
+        for change in (0.0, 0.05, 0.1, 0.2):
+            words = []
+            for word in texts_of[chance.choice(sorted(items))].split():
+                kind = chance.random() / change if change else 1
+                words += [chance.choice(stock)] if kind < 0.5 else [] if kind < 0.75 else [word, chance.choice(stock)] if kind < 1 else [word]
+            at = chance.randrange(len(host))
+            rows.append((len(rows), " ".join(host[:at] + words + host[at:])))
+    chosen = chance.sample(rows, 60)
+    wanted = set()
+    for k, text in chosen:
+        words = [decontaminate.plain(word) for word in text.split()]
+        held = Counter(words)
+        for i, item in items.items():
+            if sum((held & Counter(item)).values()) >= 0.8 * len(item) and item_windows(words, item) >= 0.8:
+                wanted.add((k, i))
+    assert len(wanted) > 20
+    docs = spark.createDataFrame(chosen, "doc_id long, text string")
+    benchmark = spark.createDataFrame(list(texts_of.items()), "item_id long, text string")
+    assert wanted <= {(row.doc_id, row.item_id) for row in decontaminate.leak_report(docs, benchmark).collect()}
+
+
 def test_common_length():
     chance = random.Random(2)
     for _ in range(200):
