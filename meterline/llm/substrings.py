@@ -231,12 +231,11 @@ def _kept(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 for start, n in zip(first, count, strict=True):
                     stale[start : start + n] = 1
                 for mark in fresh or ():
-                    if mark["s"] == s:
-                        bits, at = mark["bits"], mark["start"]
-                        while bits:
-                            if bits & 1:
-                                stale[at] = 0
-                            bits, at = bits >> 1, at + 1
+                    bits, at = mark["bits"], mark["start"]
+                    while bits:
+                        if bits & 1:
+                            stale[at] = 0
+                        bits, at = bits >> 1, at + 1
                 edges = np.zeros(len(words) + WINDOW + 1, np.int64)
                 edges[: len(stale)] += stale
                 edges[WINDOW : WINDOW + len(stale)] -= stale
@@ -292,17 +291,17 @@ def remove_repeats(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         originals.select(F.col("od").alias("d"), F.col("os").alias("s"), F.lit(True).alias("original")), ["d", "s"], "left_semi"
     )
     own = own.dropDuplicates(["d", "s"])
-    each = own.select("d", "twice", F.explode("anchors").alias("anchor"))
-    anchors = written(each.select("d", "anchor", F.array_contains("twice", F.col("anchor")).alias("twice")))
+    each = own.select("d", "s", "twice", F.explode("anchors").alias("anchor"))
+    anchors = written(each.select("d", "s", "anchor", F.array_contains("twice", F.col("anchor")).alias("twice")))
     counts = anchors.groupBy("anchor").agg(F.count(F.lit(1)).alias("n"), F.max("twice").alias("twice"))
     repeated = written(counts.filter("n > 1 or twice").select("anchor"))
     shared = anchors.join(repeated, "anchor", "left_semi")
-    lists = written(shared.groupBy("d").agg(F.collect_list("anchor").alias("repeated")))
-    wanted = lists.join(originals.select(F.col("od").alias("d"), F.col("os").alias("s")), "d")
+    # Many texts may share an id or have none: a list belongs to one text.
+    lists = written(shared.groupBy("d", "s").agg(F.collect_list("anchor").alias("repeated")))
     schema = "d long, s long, text binary, anchors array<long>, first array<long>, count array<long>"
-    candidates = written(keyed.join(wanted, ["d", "s"]).mapInArrow(_candidates, schema))
-    fresh = first_windows(candidates).groupBy("d").agg(F.collect_list(F.struct("s", "start", "bits")).alias("fresh"))
-    judged = candidates.select("d", "s", "text", "first", "count").join(fresh, "d", "left")
+    candidates = written(keyed.join(lists, ["d", "s"]).mapInArrow(_candidates, schema))
+    fresh = first_windows(candidates).groupBy("d", "s").agg(F.collect_list(F.struct("start", "bits")).alias("fresh"))
+    judged = candidates.select("d", "s", "text", "first", "count").join(fresh, ["d", "s"], "left")
     kept = judged.mapInArrow(_kept, "d long, s long, n_removed long, kept_sha256 string, kept binary")
     changed = written(kept.select("d", "s", "n_removed", "kept_sha256")).dropDuplicates(["d", "s"])
     counts = seen.select("d", "s", "n_words", "sha").join(originals, "sha").join(changed, ["d", "s"], "left")

@@ -6,10 +6,12 @@ import hashlib
 import re
 
 import numpy as np
+import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 LONG = " ".join(f"word{i % 977} filler{i % 31}" for i in range(25_000))
-from meterline.llm import simhash
+from meterline.llm import simhash, substrings
 from meterline.llm.simhash import close_links, drop_near_copies, fingerprint, roots_of, route, simhash_report, vantage_tree
 from meterline.llm.substrings import SuffixAutomaton, first_windows, repeat_report
 
@@ -147,6 +149,31 @@ def test_repeats_in_low_variety_and_hot_anchors(spark, monkeypatch):
         assert found == expected
 
 
+@pytest.mark.parametrize("shared_id", [None, 7])
+def test_lists_of_texts_that_share_an_id(spark, monkeypatch, shared_id):
+    """A third of the rows without an id or with one id: no array holds more than the anchors of one text."""
+    passage = " ".join(f"p{i}" for i in range(30))
+    texts = [f"{' '.join(f'a{k}b{i}' for i in range(20))} {passage}" for k in range(60)]
+    rows = [(shared_id if k % 3 == 0 else 100 + k, text) for k, text in enumerate(texts)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    sizes, plain = [], substrings.written
+
+    def recorded(df):
+        out = plain(df)
+        if "repeated" in out.columns:
+            sizes.extend(row[0] for row in out.select(F.size("repeated")).collect())
+        return out
+
+    monkeypatch.setattr(substrings, "written", recorded)
+    keyed = docs.select("doc_id", F.xxhash64("text").alias("s"), "text").collect()
+    ordered = {(-1 if row.doc_id is None else row.doc_id, row.s): row.text for row in keyed}
+    expected = sorted((max(key[0], -1), *values) for key, values in brute_repeats(ordered).items())
+    found = repeat_report(docs).collect()
+    assert sorted((-1 if row.doc_id is None else row.doc_id, row.n_words, row.n_removed, row.kept_sha256) for row in found) == expected
+    most = max(len(set(substrings.segments_of(text.encode().split())[0].tolist())) for text in texts)
+    assert len(sizes) == len(texts) and max(sizes) <= most
+
+
 def test_repeats_on_odd_rows(odd, nothing):
     rows = repeat_report(odd).collect()
     assert len(rows) == odd.count()
