@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from meterline.config import Config
 from meterline.functions.joins import lookup_join
+from meterline.functions.times import batch_place
 from meterline.operators import dq, filechecks, incidents, ops, recon
 from meterline.operators import rowchecks as rc
 from meterline.session import cut_lineage
@@ -132,13 +133,21 @@ def recon_checks(readings: DataFrame, fact: DataFrame, batches: DataFrame, confi
 
 def run_batches(
     spark: SparkSession, folder: str, days: DataFrame, config: Config, arrivals: DataFrame | None = None, log: DataFrame | None = None,
-    quoted_newlines: bool = False,
+    quoted_newlines: bool = False, stored_sites: DataFrame | None = None, stored_fact: DataFrame | None = None,
+    stored_incidents: DataFrame | None = None,
 ) -> BatchResult:
     """Run every batch of `days` (batch_id, business_date text, as_of) over the landing folder.
 
-    `arrivals` may state when files were received; `log` holds files handled by earlier runs.
+    `arrivals` may state when files were received; `log` holds files handled by earlier runs. `stored_sites`, `stored_fact`
+    and `stored_incidents` are the tables `sites`, `fact` and `incidents` that earlier runs returned: their sites stay known,
+    freshness looks at their readings, and incident numbers go on after theirs. What they hold of the batches of `days` is
+    replaced by this run.
     """
     days = days.select("batch_id", "business_date", "as_of")
+
+    def before(stored: DataFrame) -> DataFrame:
+        return stored.join(F.broadcast(days.select("batch_id")), "batch_id", "left_anti")
+
     log = log if log is not None else spark.createDataFrame([], FILE_LOG)
     delivered, rows = receive(spark, folder, config, arrivals, quoted_newlines)
 
@@ -178,10 +187,13 @@ def run_batches(
     going = status.filter("not load_failed").select("batch_id", "business_date")
 
     # Warehouse: a site is known from the first batch that staged it as valid.
-    first_valid = sites.filter("validation_status = 'VALID'").groupBy("site_id").agg(F.min("batch_id").alias("since"))
+    valid_sites = sites.filter("validation_status = 'VALID'").select("batch_id", "site_id")
+    if stored_sites is not None:
+        valid_sites = valid_sites.unionByName(before(stored_sites.filter("validation_status = 'VALID'").select("batch_id", "site_id")))
+    first_valid = valid_sites.groupBy("site_id").agg(F.min(batch_place(F.col("batch_id"))).alias("since"))
     known_now = lookup_join(readings, first_valid, ["site_id"], "left", ["record_id"])
     accepted = known_now.filter(
-        (F.col("validation_status") == "VALID") & (F.col("dataset") == ENERGY) & (F.col("since") <= F.col("batch_id"))
+        (F.col("validation_status") == "VALID") & (F.col("dataset") == ENERGY) & (F.col("since") <= batch_place(F.col("batch_id")))
     )
     fact = lookup_join(accepted, going.select("batch_id"), ["batch_id"], "left_semi", ["record_id"]).select(
         "batch_id", "record_id", "site_id", "reading_date", F.coalesce("energy_kwh", F.lit(0.0)).alias("energy_kwh"),
@@ -195,7 +207,7 @@ def run_batches(
     orphans = (
         lookup_join(per_site, first_valid, ["site_id"], "left", ["batch_id"])
         .join(in_master, ["batch_id", "site_id"], "left")
-        .filter(F.coalesce(F.col("since") >= F.col("batch_id"), F.lit(True)) & F.col("_listed").isNull())
+        .filter(F.coalesce(F.col("since") >= batch_place(F.col("batch_id")), F.lit(True)) & F.col("_listed").isNull())
         .groupBy("batch_id", "dataset")
         .agg(F.sum("n").alias("orphans"))
     )
@@ -209,13 +221,16 @@ def run_batches(
     )
     dated = days.select("batch_id", F.to_date("business_date").alias("business_date"))
     ran = going.select("batch_id")
+    dates = fact.select("batch_id", "reading_date")
+    if stored_fact is not None:
+        dates = dates.unionByName(before(stored_fact.select("batch_id", "reading_date")))
     parts = [
         filechecks.sla_checks(matched),
         filechecks.arrival_checks(matched, log),
         filechecks.file_checks(files, config),
         dq.staging_checks(stats, config, violations, orphans),
         dq.quarantine_check(quarantine_rows).join(ran, "batch_id", "left_semi"),
-        dq.freshness_check(dated, fact, config.settings.freshness_days, config.settings.freshness_label_hours).join(ran, "batch_id", "left_semi"),
+        dq.freshness_check(dated, dates, config.settings.freshness_days, config.settings.freshness_label_hours).join(ran, "batch_id", "left_semi"),
         recon_checks(readings, fact, going, config),
     ]
     place = F.array_position(F.array(*[F.lit(c) for c in CHECK_ORDER]), F.col("check_name"))
@@ -224,9 +239,14 @@ def run_batches(
     checks = cut_lineage(stamped)
 
     # Incidents, alerts, audit and report.
-    order = ["batch_id", "check_order", "dataset"]
-    raised = dq.derive_incidents(checks, config, order).withColumn("failed_by", F.col("affected_check"))
-    already = raised.count()
+    last = 0
+    if stored_incidents is not None:
+        number = F.regexp_extract("incident_id", "([0-9]+)$", 1).try_cast("long")
+        last = before(stored_incidents).agg(F.max(number)).first()[0] or 0
+    placed = checks.withColumn("_place", batch_place(F.col("batch_id"))).select("*", "_place.before", "_place.number")
+    order = ["before", "number", "check_order", "dataset"]
+    raised = dq.derive_incidents(placed, config, order, last).withColumn("failed_by", F.col("affected_check"))
+    already = last + raised.count()
     loads = dq.load_failure_incidents(status, config, already).withColumn("status", F.lit("OPEN"))
     both = raised.unionByName(loads, allowMissingColumns=True).drop("business_date")
     incident_log = cut_lineage(
