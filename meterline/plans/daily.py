@@ -57,13 +57,13 @@ def dataset_of(config: Config, file_name: Column) -> Column:
     return found
 
 
-def receive(spark: SparkSession, folder: str, config: Config, arrivals: DataFrame | None, quoted_newlines: bool):
+def receive(spark: SparkSession, folder: str, config: Config, arrivals: DataFrame | None):
     """Delivered CSV files with content profile, digest and control record, and their rows."""
     listed = landing.list_zone(spark, folder).filter(F.col("file_name").endswith(".csv")).select("file_name", "size_bytes", "received_at")
     if arrivals is not None:
         given = arrivals.select("file_name", F.col("received_at").alias("_at"))
         listed = listed.join(given, "file_name", "left").withColumn("received_at", F.coalesce("_at", "received_at")).drop("_at")
-    rows, profiles = landing.read_feed(spark, folder, quoted_newlines=quoted_newlines)
+    rows, profiles = landing.read_feed(spark, folder)
     sums = landing.checksums(spark, folder).select("file_name", "computed_checksum")
     sidecars = landing.read_sidecars(spark, folder).select(
         F.col("feed_file").alias("file_name"), "expected_rows", F.col("checksum_sha256").alias("manifest_checksum")
@@ -133,7 +133,7 @@ def recon_checks(readings: DataFrame, fact: DataFrame, batches: DataFrame, confi
 
 def run_batches(
     spark: SparkSession, folder: str, days: DataFrame, config: Config, arrivals: DataFrame | None = None, log: DataFrame | None = None,
-    quoted_newlines: bool = False, stored_sites: DataFrame | None = None, stored_fact: DataFrame | None = None,
+    stored_sites: DataFrame | None = None, stored_fact: DataFrame | None = None,
     stored_incidents: DataFrame | None = None,
 ) -> BatchResult:
     """Run every batch of `days` (batch_id, business_date text, as_of) over the landing folder.
@@ -149,7 +149,7 @@ def run_batches(
         return stored.join(F.broadcast(days.select("batch_id")), "batch_id", "left_anti")
 
     log = log if log is not None else spark.createDataFrame([], FILE_LOG)
-    delivered, rows = receive(spark, folder, config, arrivals, quoted_newlines)
+    delivered, rows = receive(spark, folder, config, arrivals)
 
     # Sensor and file gate.
     matched = filechecks.match_files(filechecks.expected_feeds(days, config), delivered.select("file_name", "received_at"))

@@ -6,16 +6,20 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from meterline.functions.joins import fits_broadcast
+from meterline.functions.joins import fits_broadcast, lookup_join
 from meterline.schemas import SIDECAR
 from meterline.session import cut_lineage
 
 SIDECAR_SUFFIX = ".manifest.json"  # fixed value
 LISTING = "path string, size_bytes long, received_at timestamp"
-# Text between quotes; a doubled quote ends one stretch and starts the next. What is left holds only separating commas.
-QUOTED = r'"[^"]*"'
-# A comma with an even number of quotes behind it.
-SEPARATOR = r',(?=[^"]*+(?:"[^"]*+"[^"]*+)*+$)'
+# What counts as white space around a field.
+BLANKS = " \t\n\v\f\r\u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000\ufeff"
+#: Stands for a separating comma while a record is split; the code point never stands for a character.
+MARK = "\uffff"
+#: A split with more blank lines is numbered by a window instead of a list of them.
+FEW_BLANKS = 100
+#: Headers of at most so many files are broadcast.
+HEADED_FILES = 20_000
 
 
 def base_name(path: Column) -> Column:
@@ -74,92 +78,137 @@ def checksums(spark: SparkSession, folder: str, name: Column | None = None, glob
     return named.select("file_name", F.sha2("content", 256).alias("computed_checksum"), F.col("length").alias("size_bytes"))
 
 
-def field_count(raw: Column) -> Column:
-    """Fields of a CSV record: commas outside quotes plus one."""
-    bare = F.regexp_replace(raw, QUOTED, "")
-    return F.length(bare) - F.length(F.replace(bare, F.lit(","), F.lit(""))) + 1
+def split_fields(raw: Column) -> Column:
+    """Trimmed fields of a CSV record: commas outside quotes separate, a doubled quote inside quotes is one quote.
 
+    Every second piece between quotes lies inside them; an empty piece between
+    two of those is a doubled quote. Works in one pass whatever the length.
+    """
+    pieces = F.split(F.translate(raw, MARK, "\ufffd"), '"')
+
+    def piece(text: Column, at: Column) -> Column:
+        doubled = (text == "") & (at > 0) & (at < F.size(pieces) - 1)
+        return F.when(at % 2 == 1, text).when(doubled, F.lit('"')).otherwise(F.replace(text, F.lit(","), F.lit(MARK)))
+
+    quoted = F.split(F.array_join(F.transform(pieces, piece), ""), MARK)
+    fields = F.when(F.contains(raw, F.lit('"')), quoted).otherwise(F.split(raw, ","))
+    return F.transform(fields, lambda field: F.btrim(field, F.lit(BLANKS)))
+
+
+def text_lines(reader, folder: str, glob: str = "*.csv") -> DataFrame:
+    """Lines of all feed files with path, split and line ending; `reader` is `spark.read` or `spark.readStream`."""
+    files = reader.format("text").option("recursiveFileLookup", "true").option("pathGlobFilter", glob).option("lineSep", "\n").load(folder)
+    # A line ends with LF, CR LF or a lone CR; which one matters only inside quotes.
+    bare = F.regexp_replace("value", "\r$", "")
+    cut = F.when(F.contains(bare, F.lit("\r")), F.split(bare, "\r")).otherwise(F.array(bare))
+    end = F.when(F.col("value").endswith("\r"), "\r\n").otherwise("\n")
+    parts = files.select(
+        F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"), end.alias("end"),
+        F.size(cut).alias("parts"), F.posexplode(cut).alias("part", "raw"),
+    )
+    return parts.select("path", "block", "raw", F.when(F.col("part") < F.col("parts") - 1, "\r").otherwise(F.col("end")).alias("end"))
 
-def raw_records(spark: SparkSession, folder: str, glob: str = "*.csv", quoted_newlines: bool = False) -> DataFrame:
-    """Records of all feed files as raw text with their path and split."""
-    if quoted_newlines:
-        # With one declared column every delivered row is "malformed", which keeps its raw text.
-        reader = spark.read.schema("_only string, _raw string").option("columnNameOfCorruptRecord", "_raw")
-        rows = (
-            reader.option("multiLine", "true").option("quote", '"').option("escape", '"').option("mode", "PERMISSIVE")
-            .option("recursiveFileLookup", "true").option("pathGlobFilter", glob).csv(folder)
-        )
-        single = F.concat(F.lit('"'), F.replace(F.coalesce("_only", F.lit("")), F.lit('"'), F.lit('""')), F.lit('"'))
-        raw = F.coalesce(F.col("_raw"), F.when(F.col("_only").isNull(), F.lit("")).otherwise(single))
-    else:
-        rows = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", glob).text(folder)
-        raw = F.col("value")
-    return rows.select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"), raw.alias("raw"))
+
+def joined_records(lines: DataFrame, splits: DataFrame) -> DataFrame:
+    """Records of files in which quotes span lines: path, row_index (header is -1), raw.
+
+    A line lies inside quotes if an odd number of quotes comes before it in its
+    file. Quotes are counted per split, so each split knows the state it starts
+    in, and one window over a split finds the lines that start a record; the
+    record that a split starts inside belongs to the last start before it. A
+    quote that is never closed takes the rest of its file into its record.
+    """
+    inside = Window.partitionBy("path", "block").orderBy("mid")
+    before, through = inside.rowsBetween(Window.unboundedPreceding, -1), inside.rowsBetween(Window.unboundedPreceding, 0)
+    quotes = F.col("odd_before") + F.coalesce(F.sum(F.col("odd").cast("long")).over(before), F.lit(0))
+    starts = (F.col("continues") == 0) & ~F.col("blank")
+    marked = (
+        lines.join(splits.select("path", "block", "odd_before"), ["path", "block"])
+        .withColumn("continues", quotes % 2)
+        .withColumn("starts", starts)
+        .withColumn("local", F.sum(F.col("starts").cast("long")).over(through))
+    )
+    marked = cut_lineage(marked.filter("continues = 1 or starts"))
+    counts = marked.groupBy("path", "block").agg(F.max("local").alias("records"))
+    earlier = Window.partitionBy("path").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select("path", "block", F.coalesce(F.sum("records").over(earlier), F.lit(0)).alias("records_before"))
+    # A continuing line has the number of the record that started last.
+    numbered = marked.join(offsets, ["path", "block"]).withColumn("row_index", F.col("records_before") + F.col("local") - 2)
+    single = (F.col("continues") == 0) & ~F.col("odd")
+    pieces = numbered.filter(~single).groupBy("path", "row_index").agg(
+        F.sort_array(F.collect_list(F.struct("block", "mid", "raw", "end"))).alias("p")
+    )
+    last = F.size("p") - 1
+    text = F.array_join(F.transform("p", lambda x, i: F.concat(x["raw"], F.when(i < last, x["end"]).otherwise(""))), "")
+    return numbered.filter(single).select("path", "row_index", "raw").unionByName(pieces.select("path", "row_index", text.alias("raw")))
 
 
 def index_records(records: DataFrame, name: Column | None = None) -> tuple[DataFrame, DataFrame]:
-    """Split records into fields, number the data rows of each file and profile the files.
+    """Split lines into records and fields, number the data rows of each file and profile the files.
 
-    The lines are written once with their place, and counts and rows both come
-    from that copy, so another cut into splits between two scans cannot lose
-    rows. A file may span many splits: rows are counted per split, the counts of
-    earlier splits are added, and the position inside the split gives the rest,
-    so no window ever covers a file. Blank lines do not count.
+    The lines are written once with their place, and everything else comes from
+    that copy, so another cut into splits between two scans cannot lose rows. A
+    file may span many splits: lines are counted per split, the counts of earlier
+    splits are added, and the position inside the split gives the rest, so no
+    window ever covers a file and most lines are never shuffled. Only files in
+    which quotes span lines, or with many blank lines, are shuffled once, split
+    by split (`joined_records`). Blank records do not count.
 
     Rows: file_name, row_index (0-based), header, fields, n_fields.
-    Profiles: file_name, header, lines (non-blank, header included).
+    Profiles: file_name, header, lines (records, header included).
     """
-    text = F.regexp_replace("raw", r"[\r\n]+$", "")
-    lines = records.select("path", "block", text.alias("raw")).filter(F.trim("raw") != "")
-    lines = cut_lineage(lines.withColumn("mid", F.monotonically_increasing_id()))
+    quotes = F.when(F.contains("raw", F.lit('"')), F.length("raw") - F.length(F.replace("raw", F.lit('"'), F.lit("")))).otherwise(0)
+    lines = records.select("path", "block", "raw", "end").withColumns(
+        {"odd": quotes % 2 == 1, "blank": F.btrim("raw", F.lit(BLANKS)) == "", "mid": F.monotonically_increasing_id()}
+    )
+    lines = cut_lineage(lines)
     blocks = lines.groupBy("path", "block").agg(
-        F.count(F.lit(1)).alias("n"), F.min("mid").alias("first_mid"), F.min_by("raw", "mid").alias("first_raw")
+        F.min("mid").alias("first_mid"), F.count_if("odd").alias("odd"), F.count_if("blank").alias("blanks"),
+        F.count_if(~F.col("blank")).alias("n"),
     )
     earlier = Window.partitionBy("path").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    whole = Window.partitionBy("path").orderBy("block").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    bare = F.regexp_replace("header_raw", "^\ufeff", "")
-
-    def unquoted(name: Column) -> Column:
-        return F.trim(F.replace(F.regexp_replace(F.trim(name), '^"(.*)"$', "$1"), F.lit('""'), F.lit('"')))
-
-    placed = blocks.select(
-        "path", "block", "first_mid", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"),
-        F.first("first_raw").over(whole).alias("header_raw"), F.sum("n").over(whole).alias("lines"),
-    ).withColumn("header", F.transform(F.split(bare, SEPARATOR), unquoted))
-    placed = cut_lineage(placed)  # a row per split, read several times below
-
-    widest = placed.agg(F.max(F.size("header"))).first()[0] or 1
-    side = F.broadcast(placed) if fits_broadcast(placed) else placed
-    numbered = lines.join(side, ["path", "block"]).withColumn(
-        "row_index", F.col("mid") - F.col("first_mid") + F.col("before") - 1
+    whole = Window.partitionBy("path")
+    splits = cut_lineage(
+        blocks.select(
+            "path", "block", "first_mid", "blanks", F.coalesce(F.sum("odd").over(earlier), F.lit(0)).alias("odd_before"),
+            F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"),
+            ((F.sum("odd").over(whole) == 0) & (F.max("blanks").over(whole) <= FEW_BLANKS)).alias("plain"),
+        )
     )
-    schema = ", ".join(f"f{i} string" for i in range(widest))
-    parsed = F.from_csv("raw", schema, {"quote": '"', "escape": '"', "mode": "PERMISSIVE"})
-    named = name if name is not None else base_name(F.col("path"))
-    rows = (
-        numbered.filter("row_index >= 0")
-        .withColumn("p", parsed)
-        .select(
-            named.alias("file_name"),
-            "row_index",
-            "header",
-            F.array(*[F.coalesce(F.trim(F.col(f"p.f{i}")), F.lit("")) for i in range(widest)]).alias("fields"),
-            field_count(F.col("raw")).cast("long").alias("n_fields"),
+    kinds = splits.agg(F.max(~F.col("plain")).alias("joined"), F.max(F.col("plain") & (F.col("blanks") > 0)).alias("gaps")).first()
+
+    # In plain files a record is a line; at most FEW_BLANKS blank lines of its split may come before it.
+    plain = splits.filter("plain").withColumn("gaps", F.array().cast("array<long>"))
+    if kinds.gaps:
+        blank = lines.filter("blank").select("path", "block", "mid")
+        gaps = blank.join(splits.filter("plain"), ["path", "block"], "left_semi").groupBy("path", "block").agg(F.collect_list("mid").alias("gaps"))
+        plain = cut_lineage(
+            splits.filter("plain").join(gaps, ["path", "block"], "left").withColumn("gaps", F.coalesce("gaps", F.array().cast("array<long>")))
         )
+    side = F.broadcast(plain) if fits_broadcast(plain) else plain
+    skipped = F.when(F.size("gaps") == 0, 0).otherwise(F.size(F.filter("gaps", lambda gap: gap < F.col("mid"))))
+    whole_lines = lines.filter("not blank").join(side, ["path", "block"]).select(
+        "path", (F.col("mid") - F.col("first_mid") - skipped + F.col("before") - 1).alias("row_index"), "raw"
     )
-    profiles = placed.filter("before = 0").select(named.alias("file_name"), "header", "lines")
-    return rows, profiles
+    found = whole_lines
+    if kinds.joined:
+        found = whole_lines.unionByName(cut_lineage(joined_records(lines.join(
+            splits.filter("not plain").select("path").distinct(), "path", "left_semi"), splits.filter("not plain"))))
 
+    named = name if name is not None else base_name(F.col("path"))
+    heads = cut_lineage(
+        found.groupBy("path").agg(F.max(F.when(F.col("row_index") == -1, F.col("raw"))).alias("head"), F.count(F.lit(1)).alias("lines"))
+    )
+    heads = heads.select("path", split_fields(F.regexp_replace("head", "^\ufeff", "")).alias("header"), "lines")
+    data = found.filter("row_index >= 0").withColumn("fields", split_fields(F.col("raw")))
+    headed = lookup_join(data, heads.select("path", "header"), ["path"], "inner", ["row_index"], HEADED_FILES)
+    rows = headed.select(named.alias("file_name"), "row_index", "header", "fields", F.size("fields").cast("long").alias("n_fields"))
+    return rows, heads.select(named.alias("file_name"), "header", "lines")
 
-def read_feed(
-    spark: SparkSession, folder: str, name: Column | None = None, glob: str = "*.csv", quoted_newlines: bool = False
-) -> tuple[DataFrame, DataFrame]:
-    """Numbered rows and file profiles of a feed folder.
 
-    Feeds that declare quoted newlines are read one file per task, as any
-    multi-line CSV must be.
-    """
-    return index_records(raw_records(spark, folder, glob, quoted_newlines), name)
+def read_feed(spark: SparkSession, folder: str, name: Column | None = None, glob: str = "*.csv") -> tuple[DataFrame, DataFrame]:
+    """Numbered rows and file profiles of a feed folder."""
+    return index_records(text_lines(spark.read, folder, glob), name)
 
 
 def field_of(column: str) -> Column:

@@ -32,14 +32,7 @@ def landing_stream(
     sees all its rows, exactly as in a batch run.
     """
     rules = list(rules)
-    lines = (
-        spark.readStream.format("text")
-        .option("recursiveFileLookup", "true")
-        .option("pathGlobFilter", glob)
-        .option("maxFilesPerTrigger", files_per_batch)
-        .load(folder)
-        .select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"), F.col("value").alias("raw"))
-    )
+    lines = landing.text_lines(spark.readStream.option("maxFilesPerTrigger", files_per_batch), folder, glob)
 
     def stage(batch: DataFrame, epoch: int) -> None:
         rows, _ = landing.index_records(batch, name)

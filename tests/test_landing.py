@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import random
 
 from pyspark.sql import functions as F
 
@@ -38,12 +39,104 @@ def test_blank_extra_field_is_a_long_record(spark, tmp_path):
     assert [r.n_fields for r in rows.orderBy("row_index").collect()] == [3, 2]
 
 
+def plain_csv(text):
+    """Records and fields by a character scan: a quote toggles, line ends count outside quotes."""
+    records, record, inside, at = [], "", False, 0
+    while at < len(text):
+        ch = text[at]
+        if ch == '"':
+            inside = not inside
+        if ch in "\r\n" and not inside:
+            at += ch == "\r" and text[at + 1 : at + 2] == "\n"
+            records.append(record)
+            record = ""
+        else:
+            record += ch
+        at += 1
+    records.append(record)
+    out = []
+    for record in records:
+        if not record.strip():
+            continue
+        fields, field, inside, at = [], "", False, 0
+        while at < len(record):
+            ch = record[at]
+            if ch == '"' and inside and record[at + 1 : at + 2] == '"':
+                field += ch
+                at += 1
+            elif ch == '"':
+                inside = not inside
+            elif ch == "," and not inside:
+                fields.append(field.strip())
+                field = ""
+            else:
+                field += ch
+            at += 1
+        out.append([*fields, field.strip()])
+    return out
+
+
+def read_back(spark, folder):
+    rows, profiles = landing.read_feed(spark, str(folder))
+    got = {}
+    for r in rows.collect():
+        got.setdefault(r.file_name, {})[r.row_index] = (list(r.fields), r.n_fields)
+    return got, {r.file_name: (list(r.header), r.lines) for r in profiles.collect()}
+
+
+def check_files(spark, folder):
+    got, profiles = read_back(spark, folder)
+    for path in folder.iterdir():
+        with open(path, encoding="utf-8", newline="") as f:
+            wanted = plain_csv(f.read())
+        if not wanted:
+            assert path.name not in profiles
+            continue
+        assert profiles[path.name] == (wanted[0], len(wanted))
+        assert got.get(path.name, {}) == {i: (fields, len(fields)) for i, fields in enumerate(wanted[1:])}
+
+
+def put_bytes(folder, name, text):
+    (folder / name).write_bytes(text.encode())
+
+
 def test_quoted_newlines(spark, tmp_path):
-    put(tmp_path, "a.csv", 'id,note\n1,"two\nlines"\n2,plain\n3,"a, b"\n')
-    rows, profiles = landing.read_feed(spark, str(tmp_path), quoted_newlines=True)
-    got = [(r.id, r.note) for r in landing.feed_columns(rows, ["id", "note"]).orderBy("row_index").collect()]
-    assert got == [("1", "two\nlines"), ("2", "plain"), ("3", "a, b")]
-    assert profiles.first().lines == 4
+    put_bytes(tmp_path, "a.csv", 'id,note\n1,"two\nlines"\n2,plain\n\n3,"a, b"\n4,"x\n\n ""y"" \n"\n')
+    put_bytes(tmp_path, "crlf.csv", 'id,note\r\n1,"two\r\nlines"\r\n2,b\r\n')
+    put_bytes(tmp_path, "cr.csv", 'id,note\r1,"two\rlines"\r2,b\r')
+    put_bytes(tmp_path, "head.csv", '"id\nof it",note\n1,x\n')
+    put_bytes(tmp_path, "open.csv", 'id,note\n1,x\n2,"never closed\n3,y\n')
+    put_bytes(tmp_path, "odd.csv", 'id,note\n1,5" pipe\n2,6" pipe\n3,a"b,c"d\n')
+    put_bytes(tmp_path, "blank.csv", "id,note\n" + "\n" * 150 + "1,x\n\n \t\n2,y")
+    put_bytes(tmp_path, "empty.csv", "")
+    check_files(spark, tmp_path)
+
+
+def test_quoted_newlines_across_splits(spark, tmp_path):
+    """Records that span lines, in files of many splits; some records are longer than a split."""
+    rng = random.Random(3)
+    for name, share in (("few.csv", 0.01), ("many.csv", 0.5), ("none.csv", 0.0)):
+        rows = ["id,note,more"]
+        for i in range(4_000):
+            note = "\n".join(rng.choice(['a ""b""', "x,y", "", "plain words"]) for _ in range(rng.randint(2, 6))) if rng.random() < share else "one"
+            rows.append(f'{i},"{note}",z' if share else f"{i},{note},z")
+            if rng.random() < 0.01:
+                rows.append("")
+        if share:
+            rows[2_000] = '1999,"' + "long line\n" * 5_000 + '",z'
+        put_bytes(tmp_path, name, "\n".join(rows) + "\n")
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "10000")
+    try:
+        check_files(spark, tmp_path)
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+
+
+def test_files_without_quoted_newlines_are_not_shuffled(spark, tmp_path):
+    put(tmp_path, "a.csv", 'id,note\n1,"a, ""b"""\n\n2,c\n')
+    rows, _ = landing.read_feed(spark, str(tmp_path))
+    assert "Exchange hashpartitioning" not in rows._jdf.queryExecution().executedPlan().toString()
 
 
 def test_row_numbers_across_splits(spark, tmp_path):
