@@ -143,7 +143,25 @@ def escalate(incidents: DataFrame, as_of: str, settings: Settings = Settings())
     )
 
 
-def escalation_notes(due: DataFrame, as_of: str, settings: Settings = Settings()) -> DataFrame:
+def swept(incidents: DataFrame, sweeps: Column, settings: Settings = Settings()) -> DataFrame:
+    """The incident table after a series of sweeps, with `escalated_at`, null where none found the incident overdue.
+
+    `sweeps` is an array of times. Each open, unescalated incident goes to the first sweep strictly after its threshold.
+    """
+    threshold = F.col("created_at") + F.make_dt_interval(mins=F.lit(settings.escalation_threshold_minutes))
+    first = F.array_min(F.filter("_sweeps", lambda at: at > threshold))
+    due = F.when(F.col("status").isin(OPEN_STATES) & ~F.col("escalated_flag"), first)
+    return (
+        incidents.withColumn("_sweeps", sweeps)
+        .withColumn("escalated_at", due)
+        .drop("_sweeps")
+        .withColumn("escalated_flag", F.col("escalated_flag") | F.col("escalated_at").isNotNull())
+        .withColumn("assigned_to", F.when(F.col("escalated_at").isNotNull(), settings.escalation_group).otherwise(F.col("assigned_to")))
+        .withColumn("updated_at", F.coalesce("escalated_at", "updated_at"))
+    )
+
+
+def escalation_notes(due: DataFrame, as_of: Column | str, settings: Settings = Settings()) -> DataFrame:
     minutes, group = settings.escalation_threshold_minutes, settings.escalation_group
     return due.select(
         "incident_id",
@@ -166,7 +184,7 @@ def incident_alerts(incidents: DataFrame, settings: Settings = Settings()) -> Da
     return incidents.select(*_alert(F.col("incident_type"), F.col("severity"), text, F.col("created_at"), settings))
 
 
-def escalation_alerts(due: DataFrame, as_of: str, settings: Settings = Settings()) -> DataFrame:
+def escalation_alerts(due: DataFrame, as_of: Column | str, settings: Settings = Settings()) -> DataFrame:
     text = F.concat(
         F.col("incident_id"), F.lit(f" open longer than {settings.escalation_threshold_minutes} min: "), F.col("short_description")
     )

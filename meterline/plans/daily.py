@@ -35,7 +35,10 @@ CHECK_ORDER = [
 
 @dataclass(frozen=True)
 class BatchResult:
-    """Tables a run produces; all of them lazy or already written."""
+    """Tables a run produces; all of them lazy or already written.
+
+    `escalated` holds stored incidents that the run's sweeps handed over, as they are now; `notes` those of all hand-overs.
+    """
 
     files: DataFrame
     checks: DataFrame
@@ -47,6 +50,8 @@ class BatchResult:
     incidents: DataFrame
     alerts: DataFrame
     report: DataFrame
+    escalated: DataFrame
+    notes: DataFrame
 
 
 def dataset_of(config: Config, file_name: Column) -> Column:
@@ -81,6 +86,72 @@ def receive(spark: SparkSession, folder: str, config: Config, arrivals: DataFram
     return files, rows
 
 
+def stray_files(delivered: DataFrame, days: DataFrame, log: DataFrame, config: Config) -> DataFrame:
+    """Delivered files that match no feed, quarantined by the first batch of the call unless an earlier call did so."""
+    handled = log.filter("file_status = 'QUARANTINED'").select("file_name").distinct()
+    stray = filechecks.naming_violations(delivered.drop("dataset", "business_date"), config).join(handled, "file_name", "left_anti")
+    first = days.agg(F.min(F.struct(batch_place(F.col("batch_id")).alias("place"), "batch_id", "business_date")).alias("b"))
+    return stray.join(F.broadcast(first.select("b.batch_id", "b.business_date").withColumn("dataset", F.lit("unknown"))), "dataset").withColumn(
+        "expected_arrival_at", F.col("business_date").cast("timestamp")
+    )
+
+
+def known_since(sites: DataFrame) -> DataFrame:
+    """The place of the first batch that staged each site as valid; `sites` has batch_id and site_id of valid rows."""
+    return sites.groupBy("site_id").agg(F.min(batch_place(F.col("batch_id"))).alias("since"))
+
+
+def fact_of(readings: DataFrame, since: DataFrame, going: DataFrame) -> DataFrame:
+    """Accepted energy readings of batches that load, for sites known by then; missing measures load as 0."""
+    accepted = lookup_join(readings, since, ["site_id"], "left", ["record_id"]).filter(
+        (F.col("validation_status") == "VALID") & (F.col("dataset") == ENERGY) & (F.col("since") <= batch_place(F.col("batch_id")))
+    )
+    return lookup_join(accepted, going.select("batch_id"), ["batch_id"], "left_semi", ["record_id"]).select(
+        "batch_id", "record_id", "site_id", "reading_date", F.coalesce("energy_kwh", F.lit(0.0)).alias("energy_kwh"),
+        F.coalesce("emissions_co2e", F.lit(0.0)).alias("emissions_co2e"), "source_file_name", "source_system",
+    )
+
+
+def orphans_of(readings: DataFrame, sites: DataFrame, since: DataFrame) -> DataFrame:
+    """Accepted readings per batch and feed whose site neither an earlier batch nor the batch's own site feed has."""
+    per_site = readings.filter("validation_status = 'VALID'").groupBy("batch_id", "dataset", "site_id").agg(F.count(F.lit(1)).alias("n"))
+    in_master = sites.select("batch_id", "site_id").distinct().withColumn("_listed", F.lit(True))
+    return (
+        lookup_join(per_site, since, ["site_id"], "left", ["batch_id"])
+        .join(in_master, ["batch_id", "site_id"], "left")
+        .filter(F.coalesce(F.col("since") >= batch_place(F.col("batch_id")), F.lit(True)) & F.col("_listed").isNull())
+        .groupBy("batch_id", "dataset")
+        .agg(F.sum("n").alias("orphans"))
+    )
+
+
+def finished_checks(parts: list[DataFrame], days: DataFrame, config: Config) -> DataFrame:
+    """Checks with catalogue entry, order and time of their batch."""
+    place = F.array_position(F.array(*[F.lit(c) for c in CHECK_ORDER]), F.col("check_name"))
+    named = dq.with_catalogue(dq.union_checks(parts), config).withColumn("check_order", place)
+    return named.join(days.select("batch_id", F.col("as_of").alias("executed_at")), "batch_id", "left")
+
+
+def raised_incidents(checks: DataFrame, config: Config, already: int) -> DataFrame:
+    """Incidents of failed checks, numbered by batch and order of checks."""
+    placed = checks.withColumn("_place", batch_place(F.col("batch_id"))).select("*", "_place.before", "_place.number")
+    return dq.derive_incidents(placed, config, ["before", "number", "check_order", "dataset"], already).drop("business_date")
+
+
+def last_number(stored: DataFrame) -> int:
+    """The highest incident number in use."""
+    return stored.agg(F.max(F.regexp_extract("incident_id", "([0-9]+)$", 1).try_cast("long"))).first()[0] or 0
+
+
+def report_of(files: DataFrame, tasks: DataFrame, checks: DataFrame, incident_log: DataFrame, config: Config) -> DataFrame:
+    """Daily reports as of the report task, while it runs itself."""
+    at_report = tasks.filter("task_id <> 'notify_incident_task'").withColumn(
+        "status", F.when(F.col("task_id") == "generate_ops_report_task", "RUNNING").otherwise(F.col("status"))
+    )
+    mandatory = [d.name for d in config.manifest.values() if d.mandatory]
+    return ops.daily_report(files, at_report, checks.withColumn("check_id", F.col("check_order")), incident_log, mandatory)
+
+
 def recon_checks(readings: DataFrame, fact: DataFrame, batches: DataFrame, config: Config) -> DataFrame:
     """The three source-to-target checks of every batch."""
     valid = readings.filter("validation_status = 'VALID'")
@@ -190,27 +261,11 @@ def run_batches(
     valid_sites = sites.filter("validation_status = 'VALID'").select("batch_id", "site_id")
     if stored_sites is not None:
         valid_sites = valid_sites.unionByName(before(stored_sites.filter("validation_status = 'VALID'").select("batch_id", "site_id")))
-    first_valid = valid_sites.groupBy("site_id").agg(F.min(batch_place(F.col("batch_id"))).alias("since"))
-    known_now = lookup_join(readings, first_valid, ["site_id"], "left", ["record_id"])
-    accepted = known_now.filter(
-        (F.col("validation_status") == "VALID") & (F.col("dataset") == ENERGY) & (F.col("since") <= batch_place(F.col("batch_id")))
-    )
-    fact = lookup_join(accepted, going.select("batch_id"), ["batch_id"], "left_semi", ["record_id"]).select(
-        "batch_id", "record_id", "site_id", "reading_date", F.coalesce("energy_kwh", F.lit(0.0)).alias("energy_kwh"),
-        F.coalesce("emissions_co2e", F.lit(0.0)).alias("emissions_co2e"), "source_file_name", "source_system",
-    )
-    fact = cut_lineage(fact)
+    since = known_since(valid_sites)
+    fact = cut_lineage(fact_of(readings, since, going))
 
     # Checks.
-    per_site = readings.filter("validation_status = 'VALID'").groupBy("batch_id", "dataset", "site_id").agg(F.count(F.lit(1)).alias("n"))
-    in_master = sites.select("batch_id", "site_id").distinct().withColumn("_listed", F.lit(True))
-    orphans = (
-        lookup_join(per_site, first_valid, ["site_id"], "left", ["batch_id"])
-        .join(in_master, ["batch_id", "site_id"], "left")
-        .filter(F.coalesce(F.col("since") >= batch_place(F.col("batch_id")), F.lit(True)) & F.col("_listed").isNull())
-        .groupBy("batch_id", "dataset")
-        .agg(F.sum("n").alias("orphans"))
-    )
+    orphans = orphans_of(readings, sites, since)
     names = F.array(*[F.lit(n) for n in config.feeds])
     every = going.select("*", F.explode(names).alias("dataset"))
     stats = every.join(rc.load_stats(checked, ["batch_id", "dataset"], config.feeds.values()), ["batch_id", "dataset"], "left")
@@ -233,33 +288,46 @@ def run_batches(
         dq.freshness_check(dated, dates, config.settings.freshness_days, config.settings.freshness_label_hours).join(ran, "batch_id", "left_semi"),
         recon_checks(readings, fact, going, config),
     ]
-    place = F.array_position(F.array(*[F.lit(c) for c in CHECK_ORDER]), F.col("check_name"))
-    named = dq.with_catalogue(dq.union_checks(parts), config).withColumn("check_order", place)
-    stamped = named.join(days.select("batch_id", F.col("as_of").alias("executed_at")), "batch_id", "left")
-    checks = cut_lineage(stamped)
+    checks = cut_lineage(finished_checks(parts, days, config))
 
     # Incidents, alerts, audit and report.
-    last = 0
-    if stored_incidents is not None:
-        number = F.regexp_extract("incident_id", "([0-9]+)$", 1).try_cast("long")
-        last = before(stored_incidents).agg(F.max(number)).first()[0] or 0
-    placed = checks.withColumn("_place", batch_place(F.col("batch_id"))).select("*", "_place.before", "_place.number")
-    order = ["before", "number", "check_order", "dataset"]
-    raised = dq.derive_incidents(placed, config, order, last).withColumn("failed_by", F.col("affected_check"))
+    last = last_number(before(stored_incidents)) if stored_incidents is not None else 0
+    raised = raised_incidents(checks, config, last).withColumn("failed_by", F.col("affected_check"))
     already = last + raised.count()
     loads = dq.load_failure_incidents(status, config, already).withColumn("status", F.lit("OPEN"))
     both = raised.unionByName(loads, allowMissingColumns=True).drop("business_date")
-    incident_log = cut_lineage(
-        both.join(days.select("batch_id", "business_date", F.col("as_of").alias("created_at")), "batch_id").withColumn(
-            "escalated_flag", F.lit(False)
-        )
+    created = both.join(days.select("batch_id", "business_date", F.col("as_of").alias("created_at")), "batch_id").withColumns(
+        {"escalated_flag": F.lit(False), "updated_at": F.col("created_at")}
     )
-    alerts = incidents.incident_alerts(incident_log, config.settings)
+
+    # The sweep at the end of each batch hands over what has been open too long.
+    sweeps = days.agg(F.sort_array(F.collect_set("as_of"))).scalar()
+    swept = cut_lineage(incidents.swept(created, sweeps, config.settings))
+    incident_log = swept.drop("escalated_at")
+    earlier = before(stored_incidents) if stored_incidents is not None else incident_log.limit(0)
+    taken = cut_lineage(incidents.swept(earlier, sweeps, config.settings).filter("escalated_at is not null"))
+    due = swept.filter("escalated_at is not null").unionByName(taken, allowMissingColumns=True)
+    notes = incidents.escalation_notes(due, F.col("escalated_at"), config.settings)
+    by_sweep = due.groupBy(F.col("escalated_at").alias("as_of")).agg(F.count(F.lit(1)).alias("escalations"))
+    first_at = days.groupBy("as_of").agg(F.min(F.struct(batch_place(F.col("batch_id")).alias("place"), "batch_id")).alias("b"))
+    handed_over = by_sweep.join(first_at, "as_of").select("b.batch_id", "escalations")
+    per_batch = [
+        receipts.groupBy("batch_id").agg(F.count(F.lit(1)).alias("files")),
+        incident_log.groupBy("batch_id").agg(F.count(F.lit(1)).alias("incidents")),
+        handed_over,
+    ]
+    summary = days
+    for counts in per_batch:
+        summary = summary.join(counts, "batch_id", "left")
+    alerts = dq.union_checks([
+        incidents.incident_alerts(incident_log, config.settings),
+        incidents.escalation_alerts(due, F.col("escalated_at"), config.settings),
+        incidents.completion_alerts(summary.na.fill(0, ["files", "incidents", "escalations"]), F.col("as_of"), config.settings),
+    ])
     tasks = dq.task_audit(status).join(days.select("batch_id", F.col("as_of").alias("start_time")), "batch_id")
-    at_report = tasks.filter("task_id <> 'notify_incident_task'").withColumn(
-        "status", F.when(F.col("task_id") == "generate_ops_report_task", "RUNNING").otherwise(F.col("status"))
+    strays = stray_files(delivered, days, log, config)
+    every_file = cut_lineage(files.unionByName(strays, allowMissingColumns=True))
+    report = report_of(every_file, tasks, checks, incident_log, config)
+    return BatchResult(
+        every_file, checks, readings, sites, fact, rejected, tasks, incident_log, alerts, report, taken.drop("escalated_at"), notes
     )
-    mandatory = [d.name for d in config.manifest.values() if d.mandatory]
-    numbered = checks.withColumn("check_id", F.col("check_order"))
-    report = ops.daily_report(files, at_report, numbered, incident_log, mandatory)
-    return BatchResult(files, checks, readings, sites, fact, rejected, tasks, incident_log, alerts, report)

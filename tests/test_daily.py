@@ -132,8 +132,23 @@ def test_rows_balance(fortnight):
 
 
 def test_alerts_follow_incidents(fortnight):
-    assert fortnight.alerts.count() == 10
-    assert fortnight.alerts.filter("channels = 'console,email_stub,webhook_stub'").count() == 10
+    raised = fortnight.alerts.filter("alert_type not in ('INCIDENT_ESCALATED', 'PIPELINE_COMPLETED')")
+    assert raised.count() == 10
+    assert fortnight.alerts.filter("channels = 'console,email_stub,webhook_stub'").count() == fortnight.alerts.count()
+
+
+def test_each_batch_ends_with_a_sweep_and_a_summary(fortnight):
+    """An incident is handed over by the batch of the day after; the last day's incidents stay where they are."""
+    alerts = fortnight.alerts.collect()
+    done = {r.batch_id: (r.severity, r.message) for r in alerts if r.alert_type == "PIPELINE_COMPLETED"}
+    assert len(done) == 15
+    assert done["B-20260816-01"] == ("INFO", "Batch B-20260816-01 (2026-08-16) completed: 3 file(s), 0 incident(s)")
+    assert done["B-20260826-01"] == ("WARN", "Batch B-20260826-01 (2026-08-26) completed: 3 file(s), 2 incident(s), 1 handed over")
+    over = [r for r in alerts if r.alert_type == "INCIDENT_ESCALATED"]
+    assert len(over) == 10 and all(str(r.created_at)[8:10] == f"{int(r.batch_id[8:10]) + 1:02d}" for r in over)
+    rows = fortnight.incidents.collect()
+    assert all(r.escalated_flag and r.assigned_to == CONFIG.settings.escalation_group for r in rows)
+    assert fortnight.notes.count() == 10 and fortnight.escalated.count() == 0
 
 
 @pytest.fixture(scope="module")
@@ -171,6 +186,11 @@ def test_empty_file_is_quarantined(odd_days):
     assert bad[("empty_file_check", ENERGY)] == ("FAIL", "0")
     assert bad[("quarantined_file_check", None)] == ("WARN", "1")
     row = odd_days.files.filter("batch_id = 'B-20260901-01' and dataset = 'energy_consumption'").first()
+    stray = odd_days.files.filter("dataset = 'unknown'").collect()
+    assert [(r.batch_id, r.file_name, r.file_status, r.zone) for r in stray] == [
+        ("B-20260901-01", "energy_consumption_2026-09.csv", "QUARANTINED", "QUARANTINE")
+    ]
+    assert odd_days.report.filter("report_date = '2026-09-01'").first().files_quarantined == 2
     assert (row.file_status, row.zone, row.error_message) == ("QUARANTINED", "QUARANTINE", "EMPTY_FILE — no data rows")
 
 
