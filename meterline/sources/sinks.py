@@ -9,13 +9,20 @@ from meterline.functions.numbers import half_up
 from meterline.schemas import INCIDENT_COLUMNS, REJECTED_COLUMNS, REPORT_COLUMNS
 
 
-def write_batches(df: DataFrame, path: str, partitions: tuple[str, ...] = ("batch_id",)) -> None:
+def write_batches(df: DataFrame, path: str, partitions: tuple[str, ...] = ("batch_id",), batches: DataFrame | None = None) -> None:
     """Replace exactly the partitions present in `df`, so a replayed batch lands once.
 
     Rows are dealt by partition first, large ones over several tasks, so a
-    batch gets few files.
+    batch gets few files. `batches` (batch_id) are those that were run: one that
+    has no row any more loses the rows it had.
     """
     df.hint("rebalance", *partitions).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*partitions).parquet(path)
+    if batches is None:
+        return
+    empty = df.drop(*partitions).limit(0)
+    # A run has as many batches as it was asked for; an empty file takes the place of the rows of those left without any.
+    for row in batches.select("batch_id").distinct().join(df.select("batch_id"), "batch_id", "left_anti").toLocalIterator():
+        empty.write.mode("overwrite").parquet(f"{path}/batch_id={row.batch_id}")
 
 
 def _csv(df: DataFrame, path: str, partitions: tuple[str, ...] = ()) -> None:

@@ -10,6 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from meterline.config import default_config
+from meterline.plans.backfill import backfill
 from meterline.plans.daily import ENERGY, run_batches
 from meterline.sources import sinks
 
@@ -280,3 +281,127 @@ def test_batch_100_comes_after_99(spark, tmp_path):
     deliver(tmp_path, day, "site_master", lines_of(day, "site_master")[1:])
     second = run_batches(spark, str(tmp_path), days_table(spark, [day], 100), CONFIG, arrivals_of(spark, [day]), **stored(first))
     assert second.fact.filter("site_id = 'SITE-001'").count() == 1
+
+
+SHOWN = {
+    "fact": ["batch_id", "record_id", "site_id", "energy_kwh"],
+    "checks": ["batch_id", "check_name", "dataset", "status", "actual_value", "error_details", "executed_at"],
+    "report": None,
+}
+
+
+def shown(frame, columns):
+    return sorted(map(str, frame.select(*(columns or frame.columns)).collect()))
+
+
+def incidents_of(frame):
+    """Incidents without their numbers, which a backfill leaves as they are."""
+    rows = frame.select("batch_id", "business_date", "incident_type", "severity", "short_description", "error_message", "created_at").collect()
+    return sorted(map(str, rows))
+
+
+def saved(result, path, names=("fact", "checks")):
+    for name in names:
+        sinks.write_batches(getattr(result, name), f"{path}/{name}")
+
+
+def written_batches(path):
+    """Batch folders and the files in them."""
+    return {p.name: sorted(f.name for f in p.iterdir() if f.suffix == ".parquet") for p in path.iterdir() if p.is_dir()}
+
+
+def test_backfill_equals_a_fresh_run(spark, tmp_path):
+    """Day 1 again after day 5, with other sites and another day's readings: as if all five days were run now."""
+    days = [dt.date(2026, 10, d) for d in (1, 2, 3, 4, 5)]
+    zone = tmp_path / "zone"
+    zone.mkdir()
+    for day in days:
+        for dataset in HEADERS:
+            rows = lines_of(day, dataset)
+            if dataset == "site_master":
+                # SITE-024 is known from day 1 only, SITE-023 from day 3 on, SITE-022 is never in a later file.
+                rows = [r for r in rows if "SITE-024" not in r or day == days[0]]
+                rows = [r for r in rows if "SITE-023" not in r or day >= days[2]]
+                rows = [r for r in rows if "SITE-022" not in r]
+            deliver(zone, day, dataset, rows)
+    at = arrivals_of(spark, days)
+    first = run_batches(spark, str(zone), days_table(spark, days), CONFIG, at)
+    saved(first, str(tmp_path / "kept"))
+    before = written_batches(tmp_path / "kept" / "fact")
+
+    # The new file of day 1 lists SITE-022 and SITE-023 but not SITE-024; its energy feed is a day old.
+    deliver(zone, days[0], "site_master", [r for r in lines_of(days[0], "site_master") if "SITE-024" not in r])
+    done = backfill(spark, str(zone), days_table(spark, days[:1]), CONFIG, first, at)
+    fresh = run_batches(spark, str(zone), days_table(spark, days), CONFIG, at)
+
+    out = str(tmp_path / "kept")
+    sinks.write_batches(done.run.fact, f"{out}/fact", batches=days_table(spark, days[:1]))
+    sinks.write_batches(done.run.checks, f"{out}/checks")
+    sinks.write_batches(done.fact, f"{out}/fact", batches=done.fact_batches)
+    sinks.write_batches(done.checks, f"{out}/checks")
+    for name in ("fact", "checks"):
+        assert shown(spark.read.parquet(f"{out}/{name}"), SHOWN[name]) == shown(getattr(fresh, name), SHOWN[name]), name
+    dates = {r.report_date for r in done.report.collect()}
+    assert shown(done.report, None) == shown(fresh.report.filter(F.col("report_date").isin(*dates)), None)
+    rest = first.report.filter(~F.col("report_date").isin(*dates))
+    assert shown(rest, None) == shown(fresh.report.filter(~F.col("report_date").isin(*dates)), None)
+    gone = done.dropped.unionByName(done.incidents.select("incident_id"))
+    log = first.incidents.filter("batch_id <> 'B-20261001-01'").join(gone, "incident_id", "left_anti")
+    log = log.unionByName(done.incidents, allowMissingColumns=True).unionByName(done.run.incidents, allowMissingColumns=True)
+    assert incidents_of(log) == incidents_of(fresh.incidents)
+    assert log.select("incident_id").distinct().count() == log.count()
+
+    # SITE-022 and SITE-024 change days 2 to 5, SITE-023 day 2 only.
+    after = written_batches(tmp_path / "kept" / "fact")
+    assert {b for b in after if after[b] != before.get(b)} == {f"batch_id=B-202610{d:02d}-01" for d in (1, 2, 3, 4, 5)}
+
+
+def test_backfill_without_new_sites_touches_no_later_batch(spark, tmp_path):
+    days = [dt.date(2026, 10, d) for d in (11, 12, 13)]
+    zone = tmp_path / "zone"
+    zone.mkdir()
+    for day in days:
+        plant(zone, day)
+    at = arrivals_of(spark, days)
+    first = run_batches(spark, str(zone), days_table(spark, days), CONFIG, at)
+    # Day 11 comes again as a second batch of its date, with one changed reading and one site more than ever used.
+    rows = [r.replace("101.50", "999.50") for r in lines_of(days[0], "energy_consumption")]
+    deliver(zone, days[0], "energy_consumption", rows)
+    deliver(zone, days[0], "site_master", [*lines_of(days[0], "site_master"), "SITE-900,Site 900,Country 1,EMEA,Office,2023-01-01"])
+    again = days_table(spark, days[:1], 2)
+    done = backfill(spark, str(zone), again, CONFIG, first, at)
+    assert done.run.fact.filter("energy_kwh = 999.5").count() == 1
+    assert done.fact_batches.count() == done.check_batches.count() == done.fact.count() == done.incidents.count() == done.dropped.count() == 0
+    # Only the freshness of a later batch depends on this batch, and it stays as it was.
+    assert {r.report_date for r in done.report.collect()} == {"2026-10-11"}
+
+
+def test_backfill_of_a_late_delivery_mends_freshness(spark, tmp_path):
+    """Day 3 came without energy, so day 4 found a stale warehouse and raised an incident; the file arrives later."""
+    days = [dt.date(2026, 10, d) for d in (21, 22, 23, 24)]
+    zone = tmp_path / "zone"
+    zone.mkdir()
+    for day in days:
+        for dataset in HEADERS:
+            if (day, dataset) != (days[2], ENERGY):
+                deliver(zone, day, dataset, lines_of(day, dataset))
+    at = arrivals_of(spark, days)
+    first = run_batches(spark, str(zone), days_table(spark, days), CONFIG, at)
+    stale = first.incidents.filter("incident_type = 'FRESHNESS_FAILURE'").collect()
+    assert [r.batch_id for r in stale] == ["B-20261024-01"]
+    deliver(zone, days[2], ENERGY, lines_of(days[2], ENERGY))
+    done = backfill(spark, str(zone), days_table(spark, days[2:3]), CONFIG, first, at)
+    assert [r.batch_id for r in done.check_batches.collect()] == ["B-20261024-01"]
+    assert done.fact_batches.count() == 0
+    assert [r.incident_id for r in done.dropped.collect()] == [r.incident_id for r in stale]
+    assert done.report.filter("report_date = '2026-10-24'").first().overall_health == "GREEN"
+
+
+def test_a_batch_left_without_rows_loses_its_partition(spark, tmp_path):
+    rows = spark.createDataFrame([("B-1", 1), ("B-2", 2)], "batch_id string, v int")
+    out = str(tmp_path / "t")
+    sinks.write_batches(rows, out)
+    sinks.write_batches(rows.filter("batch_id = 'B-1'"), out, batches=rows)
+    assert [tuple(r) for r in spark.read.parquet(out).select("batch_id", "v").collect()] == [("B-1", 1)]
+    sinks.write_batches(rows.filter("v > 5"), out, batches=rows.filter("batch_id = 'B-1'"))
+    assert spark.read.schema(rows.schema).parquet(out).count() == 0
