@@ -5,14 +5,15 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from meterline.plans import roles
-from meterline.plans.catalog_files import _LINES, HEADER, feed_dir, write_feed_files
+from meterline.plans.catalog_files import HEADER, ORACLE as FILE_ORACLE, feed_dir, write_feed_files
+from meterline.plans.catalog_ops import CONFIG, file_log
 from meterline.plans.catalog_rows import ENERGY_RULE
 from meterline.plans.catalog_sites import sql_round
 from meterline.plans.oracle_roles import STAGED, with_roles
 from meterline.plans.shape import flat
 from meterline.schemas import STAGING_READINGS, TABLES
 from meterline.session import new_path
-from meterline.streaming import feeds
+from meterline.streaming import feeds, stateful
 
 
 def m1_landing_stream(spark, sf):
@@ -57,8 +58,36 @@ def m3_rolling_quality_stream(spark, sf):
     return flat(feeds.latest_updates(written, ["load_date", "dataset"]))
 
 
-QUERIES = {f.__name__: f for f in (m1_landing_stream, m2_stream_dedupe, m2_stream_rejects, m3_rolling_quality_stream)}
+def m2_stream_outcomes(spark, sf):
+    """Every reading as accepted, rejected (repeated keys included) or late."""
+    out = new_path(spark, "outcomes")
+    judged = stateful.judged(_readings(spark, sf), ENERGY_RULE, "ts").select("row_index", "file_name", "record_id", "outcome", "rejection_reason")
+    stateful.write_judged(judged, out, new_path(spark, "state")).awaitTermination()
+    schema = "row_index long, file_name string, record_id string, outcome string, rejection_reason string, epoch long"
+    return spark.read.schema(schema).parquet(out).drop("epoch")
+
+
+def b1_feed_sensor_stream(spark, sf):
+    """The arrival and SLA checks of the deliveries, each as soon as its file comes or its deadline passes."""
+    folder, out = new_path(spark, "arrivals"), new_path(spark, "sensed")
+    d = roles.deliveries(spark, sf)
+    as_of = (F.to_timestamp("business_date") + F.expr("interval 60 days")).alias("as_of")
+    d.select("batch_id", "business_date", as_of).distinct().write.parquet(f"{folder}/days")
+    d.filter("in_landing").select("file_name", "received_at").write.parquet(f"{folder}/files")
+    days = spark.readStream.schema("batch_id string, business_date string, as_of timestamp").parquet(f"{folder}/days")
+    files = spark.readStream.schema("file_name string, received_at timestamp").parquet(f"{folder}/files")
+    sensed = stateful.feed_sensor(days, files, CONFIG)
+    stateful.write_sensor_checks(sensed, file_log(spark, sf).filter("in_log"), out, new_path(spark, "state")).awaitTermination()
+    return spark.read.schema(", ".join(f"{c} string" for c in SENSED)).parquet(out).select(*SENSED)
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (m1_landing_stream, m2_stream_dedupe, m2_stream_rejects, m2_stream_outcomes, m3_rolling_quality_stream, b1_feed_sensor_stream)
+}
 
+SENSED = ["check_name", "batch_id", "dataset", "status", "expected_value", "actual_value", "threshold_value", "error_details"]
+_SENSED = ", ".join(SENSED[1:])
 _PLAIN = "null_reason IS NULL AND date_reason IS NULL AND energy_reason IS NULL"
 
 ORACLE = {
@@ -75,6 +104,11 @@ ORACLE = {
     "m2_stream_rejects": with_roles(STAGED)
     + f"""SELECT row_index, file_name, coalesce(null_reason, date_reason, energy_reason) AS rejection_reason
      FROM staged WHERE NOT ({_PLAIN})""",
+    "m2_stream_outcomes": with_roles(STAGED)
+    + """SELECT row_index, file_name, record_id, CASE WHEN rejection_reason IS NULL THEN 'accepted' ELSE 'rejected' END AS outcome, rejection_reason
+     FROM staged""",
+    "b1_feed_sensor_stream": f"""SELECT 'file_arrival_check' AS check_name, {_SENSED} FROM ({FILE_ORACLE['b1_feed_arrival']})
+     UNION ALL SELECT 'sla_check', {_SENSED} FROM ({FILE_ORACLE['b2_sla_check']})""",
     "m3_rolling_quality_stream": with_roles(STAGED)
     + f"""SELECT business_date AS load_date, dataset, count(*) AS total_records, count(*) FILTER ({_PLAIN}) AS valid_records,
      {sql_round(f'100.0 * count(*) FILTER ({_PLAIN}) / count(*)')} AS quality_score FROM staged GROUP BY 1, 2""",
