@@ -116,6 +116,26 @@ def number_rows(df: DataFrame, keys: Sequence[str], order: Sequence[Column], out
     return running_total(df, keys, order, F.lit(1).cast("long"), out).withColumn(out, F.col(out).cast("long"))
 
 
+def next_mark(df: DataFrame, key: str, order: Sequence[str], mark: Column, out: str) -> DataFrame:
+    """The `order` values (a struct) of the next row of the same key for which `mark` holds; null after the last.
+
+    Rows are range-partitioned by key and order, each range looks ahead in its
+    own rows, and the first marked row of each later range comes from a small
+    table, so a hot key is spread over many ranges.
+    """
+    place = F.struct(*order)
+    placed = df.withColumn("_mark", F.when(mark, place)).repartitionByRange(key, *order)
+    placed = cut_lineage(placed.withColumn("_range", F.spark_partition_id()))
+    ahead = Window.partitionBy("_range", key).orderBy(*order).rowsBetween(1, Window.unboundedFollowing)
+    firsts = placed.groupBy("_range", key).agg(F.min("_mark").alias("_first"))
+    later = Window.partitionBy(key).orderBy("_range").rowsBetween(1, Window.unboundedFollowing)
+    # A key lies in several ranges only if it fills them, so this has a row per range at most.
+    carried = firsts.select("_range", key, F.min("_first").over(later).alias("_later")).filter("_later is not null")
+    local = placed.withColumn("_next", F.min("_mark").over(ahead))
+    joined = local.join(F.broadcast(carried), ["_range", key], "left")
+    return joined.select(*df.columns, F.coalesce("_next", "_later").alias(out))
+
+
 def mark_repeats(df: DataFrame, keys: Sequence[str], position: str, out: str) -> DataFrame:
     """True on every row whose key already appeared at a lower `position`.
 

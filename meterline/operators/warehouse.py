@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from meterline.functions.joins import fits_broadcast, lookup_join, number_rows, running_total, spread_left_join
+from meterline.functions.joins import fits_broadcast, lookup_join, next_mark, number_rows, running_total, spread_left_join
 from meterline.functions.numbers import exact, exact_sum, pad_left
 from meterline.functions.times import batch_place
 from meterline.session import cut_lineage
@@ -164,62 +164,98 @@ def mart_daily_energy(fact: DataFrame, dim: DataFrame) -> DataFrame:
     return spread_left_join(mart, places, keys, "n", ["site_id", "reading_date"]).select(*MART_COLUMNS)
 
 
-def lineage_edges(accepted: DataFrame, file: str, position: str, transform_id: str, stage: str = "STAGING") -> DataFrame:
-    """One edge per accepted row, numbered through the transformation."""
+def lineage_edges(
+    accepted: DataFrame, file: str, position: str, transform_id: str, stage: str = "STAGING", kind: str = "STAGING_CLEANSE",
+    logic: str = "types checked, formats unified, rules applied",
+) -> DataFrame:
+    """One edge per accepted row, numbered through the transformation, with what kind of step it is and what the step did."""
     numbered = number_rows(accepted, [], [F.col(file).asc(), F.col(position).asc()], "_n")
     return numbered.select(
         F.lit(stage).alias("stage"),
         F.col("_n").alias("edge_number"),
         F.concat_ws("-", F.lit("SRC"), F.col(file), F.col(position).cast("string")).alias("source_id"),
         F.concat(F.lit(f"STG-{transform_id}-"), (F.col("_n") - 1).cast("string")).alias("target_id"),
+        F.lit(kind).alias("transformation_type"),
+        F.lit(logic).alias("transformation_logic"),
     )
 
 
-def lineage_trace(starts: DataFrame, stages: Sequence[DataFrame], id_column: str = "record") -> DataFrame:
-    """Follow edges stage by stage from each start id.
+def lineage_trace(starts: DataFrame, stages: Sequence[DataFrame], id_column: str = "record", max_hops: int = 100) -> DataFrame:
+    """Follow edges stage by stage from each start id: its path of ids and the chain of steps.
+
+    `stages` have edge_number, source_id, target_id, and stage and
+    transformation_logic for the chain. An edge applies when the path's last id
+    equals its source or starts with it (the first `*` of the source is
+    dropped). Edges are tried in order, so of several matches the earliest wins
+    and only later ones may continue the path.
 
-    An edge applies when the path's last id equals its source or starts with
-    it (a `*` in the source is dropped). Of several matches in a stage the
-    lowest edge number wins and later edges of that stage may continue the path.
-    Only prefixes as long as some source are tried, so the match is an equality
-    join on a handful of prefixes per id.
+    After its first edge a path depends on that edge alone. So every edge gets
+    its successor once: all sources that are a prefix of an id are found by
+    equality on the prefixes of that id which have the length of some source, and
+    the next edge of each source by order. A recursive query then walks from
+    edge to edge, and the starts take over the path of their first edge. A path
+    of more than `max_hops` edges raises an error.
     """
-    path = starts.select(
-        id_column, F.col(id_column).alias("last_id"), F.array(F.col(id_column)).alias("path"),
-        F.lit(-1).cast("long").alias("at"), F.lit(False).alias("done"),
-    )
-    for edges in stages:
-        keyed = edges.select(
-            F.regexp_replace("source_id", r"\*", "").alias("prefix"), F.struct(F.col("edge_number").alias("number"), "target_id").alias("edge")
+    spark = starts.sparkSession
+    numbered = None
+    for at, stage in enumerate(stages):
+        texts = [F.col(c) if c in stage.columns else F.lit(None).cast("string") for c in ("stage", "transformation_logic")]
+        star = F.instr("source_id", "*")
+        prefix = F.when(star > 0, F.concat(F.expr("substring(source_id, 1, instr(source_id, '*') - 1)"), F.expr("substring(source_id, instr(source_id, '*') + 1)")))
+        part = stage.select(
+            F.lit(at).alias("stage_at"), F.col("edge_number").cast("long").alias("number"), F.coalesce(prefix, "source_id").alias("prefix"),
+            F.when(star > 0, F.col("source_id")).alias("whole"), "target_id", F.concat_ws(": ", *texts).alias("step"),
         )
-        # At most one number per possible id length.
-        lengths = [r[0] for r in keyed.select(F.length("prefix").alias("n")).distinct().collect()]
-        first_edges = cut_lineage(keyed.groupBy("prefix").agg(F.min("edge").alias("edge")))
-        path, first = cut_lineage(path), True
-        while True:
-            cuts = F.array(*[F.when(F.length("last_id") >= n, F.substring("last_id", 1, n)) for n in lengths]).cast("array<string>")
-            prefixes = F.array_compact(cuts)
-            reach = path.filter("not done").select(id_column, "at", F.explode(prefixes).alias("prefix"))
-            if first:
-                hit = lookup_join(reach, first_edges, ["prefix"], "inner", [id_column])
-            else:
-                hit = reach.join(keyed, "prefix").filter(F.col("edge.number") > F.col("at"))
-            found = cut_lineage(hit.groupBy(id_column).agg(F.min("edge").alias("hop")))
-            if found.isEmpty():
-                break
-            moved = F.col("hop").isNotNull()
-            path = cut_lineage(
-                path.join(found, id_column, "left").select(
-                    id_column,
-                    F.coalesce("hop.target_id", "last_id").alias("last_id"),
-                    F.when(moved, F.array_append("path", F.col("hop.target_id"))).otherwise(F.col("path")).alias("path"),
-                    F.when(moved, F.col("hop.number")).otherwise(F.col("at")).alias("at"),
-                    (~moved).alias("done"),
-                )
-            )
-            first = False
-        path = path.withColumn("at", F.lit(-1).cast("long")).withColumn("done", F.lit(False))
-    return path.select(id_column, "path")
+        numbered = part if numbered is None else numbered.unionByName(part)
+    edges = cut_lineage(numbered)
+    place = ["stage_at", "number"]
+
+    # Who asks: every start, before all edges, and every edge's target, after the edge itself.
+    before_all = [F.lit(-1).alias("stage_at"), F.lit(-1).cast("long").alias("number")]
+    ids = starts.select(F.col(id_column).alias("id"), *before_all).distinct().unionByName(edges.select(F.col("target_id").alias("id"), *place))
+    lengths = edges.agg(F.collect_set(F.length("prefix"))).scalar()
+    cut = F.transform(F.filter("lengths", lambda n: n <= F.length("id")), lambda n: F.concat(F.lit("<"), F.substring("id", F.lit(1), n)))
+    # An id also matches a source that it equals with the star still in it.
+    keys = F.array_append(cut, F.concat(F.lit("="), F.col("id")))
+    asked = ids.withColumn("lengths", lengths).select("id", *place, F.explode(keys).alias("key"))
+    offered = F.array_compact(F.array(F.concat(F.lit("<"), F.col("prefix")), F.concat(F.lit("="), F.col("whole"))))
+    sources = edges.select(*place, F.explode(offered).alias("key"))
+    known = lookup_join(asked, sources.select("key").distinct(), ["key"], "left_semi", ["id"])
+    # A target asks after its own edge, which it may match itself.
+    both = known.withColumn("asks", F.lit(True)).unionByName(
+        sources.select(F.lit(None).cast("string").alias("id"), *place, "key", F.lit(False).alias("asks"))
+    )
+    answered = next_mark(both, "key", [*place, "asks", "id"], ~F.col("asks"), "next").filter("asks and next is not null")
+    following = answered.groupBy("id", *place).agg(F.min(F.struct(*[F.col(f"next.{c}") for c in place])).alias("next"))
+    following = cut_lineage(following)
+
+    # Walk from every edge that something leads to.
+    entries = following.select("next.*").distinct()
+    walk = edges.join(
+        following.filter("stage_at >= 0").select(*place, F.col("next.stage_at").alias("next_stage"), F.col("next.number").alias("next_number")), place, "left"
+    )
+    walked = spark.sql(
+        f"""with recursive hops(stage_at, number, to_stage, to_number, path, chain, hop) max recursion level {max_hops} as (
+          select stage_at, number, stage_at, number, cast(array() as array<string>), cast(array() as array<string>), 0 from {{entries}}
+          union all
+          select h.stage_at, h.number, w.next_stage, w.next_number, array_append(h.path, w.target_id), array_append(h.chain, w.step), h.hop + 1
+          from hops h join {{walk}} w on h.to_stage = w.stage_at and h.to_number = w.number)
+        select stage_at, number, path, chain from hops where to_stage is null""",
+        entries=entries, walk=cut_lineage(walk),
+    )
+    limit = "spark.sql.cteRecursionRowLimit"
+    before = spark.conf.get(limit)
+    spark.conf.set(limit, "-1")
+    try:
+        walked = cut_lineage(walked)
+    finally:
+        spark.conf.set(limit, before)
+    first = following.filter("stage_at < 0").select(F.col("id").alias(id_column), "next.*")
+    taken = lookup_join(starts.select(id_column).join(first, id_column, "left"), walked, place, "left", [id_column])
+    empty = F.array().cast("array<string>")
+    return taken.select(
+        id_column, F.concat(F.array(id_column), F.coalesce("path", empty)).alias("path"), F.coalesce("chain", empty).alias("chain")
+    )
 
 
 def next_batch_ids(runs: DataFrame, day: str = "business_date") -> DataFrame:

@@ -93,11 +93,13 @@ def e8_lineage_trace(spark, sf):
         F.concat_ws("-", F.lit("SRC"), "file_name", F.col("row_index").cast("string")).alias("record")
     )
 
-    def wild(source: str, target: str):
-        return spark.createDataFrame([(0, source, target)], "edge_number long, source_id string, target_id string")
+    def wild(stage: str, source: str, target: str):
+        columns = "stage string, edge_number long, source_id string, target_id string, transformation_logic string"
+        return spark.createDataFrame([(stage, 0, source, target, f"{source} to {target}")], columns)
 
-    stages = [edges, wild("STG-*", "ENR-*"), wild("ENR-*", "FACT-*"), wild("FACT-*", "MART-*")]
-    return wh.lineage_trace(starts, stages).select("record", F.array_join("path", ">").alias("path"))
+    stages = [edges, wild("ENRICHMENT", "STG-*", "ENR-*"), wild("DIMENSION", "ENR-*", "FACT-*"), wild("AGGREGATION", "FACT-*", "MART-*")]
+    traced = wh.lineage_trace(starts, stages)
+    return traced.select("record", F.array_join("path", ">").alias("path"), F.array_join("chain", "; ").alias("chain"))
 
 
 def e9_replay_backfill(spark, sf):
@@ -234,10 +236,12 @@ ORACLE = {
      FROM (SELECT reading_date, fact.site_id, region, sum(energy_kwh) AS total, sum(emissions_co2e) AS em, count(*) AS n
       FROM fact LEFT JOIN sites ON fact.site_id = sites.site_id GROUP BY 1, 2, 3)""",
     "e7_lineage_edges": with_roles(FEED) + _ACCEPTED[0:]
-    + "SELECT 'STAGING' AS stage, n AS edge_number, source_id, 'STG-X1-' || (n - 1) AS target_id FROM accepted",
+    + """SELECT 'STAGING' AS stage, n AS edge_number, source_id, 'STG-X1-' || (n - 1) AS target_id, 'STAGING_CLEANSE' AS transformation_type,
+     'types checked, formats unified, rules applied' AS transformation_logic FROM accepted""",
     "e8_lineage_trace": with_roles(FEED) + _ACCEPTED
     + """, r AS (SELECT 'SRC-' || file_name || '-' || row_index AS record, file_name FROM feed)
-     SELECT record, record || coalesce('>STG-X1-' || (min(n) - 1) || '>ENR-*>FACT-*>MART-*', '') AS path
+     SELECT record, record || coalesce('>STG-X1-' || (min(n) - 1) || '>ENR-*>FACT-*>MART-*', '') AS path, CASE WHEN min(n) IS NULL THEN '' ELSE
+     'STAGING: types checked, formats unified, rules applied; ENRICHMENT: STG-* to ENR-*; DIMENSION: ENR-* to FACT-*; AGGREGATION: FACT-* to MART-*' END AS chain
      FROM r LEFT JOIN accepted a ON a.file_name = r.file_name AND starts_with(record, source_id) GROUP BY 1""",
     "e9_replay_backfill": with_roles(FACT)
     + """SELECT batch_id, count(*) AS n, CAST(sum(energy_kwh) AS DOUBLE) AS kwh FROM fact GROUP BY 1 UNION ALL
