@@ -163,6 +163,8 @@ def staged_violations(staged: DataFrame, rules: Iterable[FeedRules]) -> DataFram
     count = F.lit(0).cast("long")
     for r in rules:
         for column, limits in r.numeric_range.items():
+            if column not in staged.columns:
+                continue
             bad = F.lit(False)
             if limits.get("min") is not None:
                 bad = bad | (F.col(column) < float(limits["min"]))

@@ -18,8 +18,7 @@ from meterline.functions.joins import mark_repeats, number_rows
 from meterline.functions.numbers import number_text, parse_number
 from meterline.functions.times import strict_date
 
-# Fixed value: only these columns can carry a mandatory-value rejection.
-NULL_TESTED = ["record_id", "site_id", "reading_date", "energy_kwh", "emissions_co2e", "site_name", "country"]
+# Fixed value: ranges of these columns are tested in this order, before those of any others in configured order.
 NUMERIC_ORDER = ["energy_kwh", "emissions_co2e"]
 DUPLICATE = "duplicate_record_id"
 BAD_DATE = "invalid_date_format"
@@ -33,7 +32,7 @@ def text_of(df: DataFrame, column: str) -> Column:
 def null_reason(df: DataFrame, rules: FeedRules) -> Column:
     """`null:<column>` for the first blank mandatory column, in configured order."""
     tests = [
-        F.when(text_of(df, c) == "", F.lit(f"null:{c}")) for c in rules.mandatory_not_null if c in NULL_TESTED
+        F.when(text_of(df, c) == "", F.lit(f"null:{c}")) for c in rules.mandatory_not_null
     ]
     return F.coalesce(*tests) if tests else F.lit(None).cast("string")
 
@@ -90,7 +89,7 @@ def validate_rows(
     once per row.
     """
     rules = list(rules)
-    used = [c for c in dict.fromkeys(c for r in rules for c in (*r.required_columns, *r.mandatory_not_null, r.date_column)) if c in df.columns]
+    used = [c for c in dict.fromkeys(c for r in rules for c in (*r.required_columns, *r.mandatory_not_null, *r.numeric_range, r.date_column)) if c in df.columns]
     clean = df.withColumns({c: text_of(df, c) for c in used})
     keys = {r.primary_key[0] for r in rules}
     if len(keys) == 1:
@@ -116,7 +115,11 @@ def validate_rows(
     )
 
     def blank(r: FeedRules) -> Column:
-        tests = [F.when(column(c) == "", F.lit(f"null:{c}")) for c in r.mandatory_not_null if c in NULL_TESTED]
+        tests = [F.when(column(c) == "", F.lit(f"null:{c}")) for c in r.mandatory_not_null]
+        return F.coalesce(*tests, F.lit(None).cast("string"))
+
+    def others(r: FeedRules) -> Column:
+        tests = [_range_reason(r, c, column(c), parse_number(column(c))) for c in r.numeric_range if c not in NUMERIC_ORDER]
         return F.coalesce(*tests, F.lit(None).cast("string"))
 
     tested = parsed.withColumns(
@@ -126,9 +129,10 @@ def validate_rows(
             "date_reason": F.when(F.col("_day").isNull(), F.lit(BAD_DATE)),
             "energy_reason": stage(lambda r: _range_reason(r, "energy_kwh", column("energy_kwh"), F.col("_energy"))),
             "emissions_reason": stage(lambda r: _range_reason(r, "emissions_co2e", column("emissions_co2e"), F.col("_emissions"))),
+            "other_reason": stage(others),
         }
     )
-    reason = F.coalesce("null_reason", "repeat_reason", "date_reason", "energy_reason", "emissions_reason")
+    reason = F.coalesce("null_reason", "repeat_reason", "date_reason", "energy_reason", "emissions_reason", "other_reason")
     judged = tested.withColumn("rejection_reason", reason)
     return judged.withColumn(
         "validation_status", F.when(F.col("rejection_reason").isNull(), "VALID").otherwise("REJECTED")
@@ -200,7 +204,7 @@ def assign_staging_ids(staged: DataFrame, order: list[Column], batch: str = "bat
 
 def load_stats(validated: DataFrame, keys: list[str], rules: Iterable[FeedRules]) -> DataFrame:
     """Per group: rows read, valid, rejected and the count of each kind of rejection, in one pass."""
-    mandatory = list(dict.fromkeys(c for r in rules for c in r.mandatory_not_null if c in NULL_TESTED))
+    mandatory = list(dict.fromkeys(c for r in rules for c in r.mandatory_not_null))
     reason = F.col("rejection_reason")
     nulls = [F.count_if(reason == f"null:{c}").alias(f"_null_{c}") for c in mandatory]
     stats = validated.groupBy(*keys).agg(

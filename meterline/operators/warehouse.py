@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from meterline.functions.joins import fits_broadcast, lookup_join, next_mark, number_rows, running_total, spread_left_join
@@ -77,38 +77,48 @@ def fact_load(staged: DataFrame, dim: DataFrame, dataset: str | None = "energy_c
     )
 
 
-def scd2_apply(history: DataFrame, snapshot: DataFrame, key: str, fields: Sequence[str], as_of: str) -> DataFrame:
-    """Type-2 history: close changed versions and open new ones.
+def scd2_start(snapshot: DataFrame, key: str, fields: Sequence[str], as_of: str) -> DataFrame:
+    """The history of a first snapshot, with the day it was delivered."""
+    day = F.lit(as_of).cast("date")
+    return snapshot.select(
+        key, *fields, day.alias("valid_from"), F.lit(None).cast("date").alias("valid_to"), F.lit(True).alias("is_current"), F.array(day).alias("seen_on")
+    )
 
-    `history` has the key, fields, valid_from, valid_to and is_current;
-    `snapshot` has the key and fields, one row per key. Attributes are compared
-    value by value, null-safe. Keys missing from the snapshot stay open.
+
+def scd2_apply(history: DataFrame, snapshot: DataFrame, key: str, fields: Sequence[str], as_of: str) -> DataFrame:
+    """Type-2 history with a snapshot of any day: close, open, insert or join versions.
+
+    `history` has the key, fields, valid_from, valid_to and is_current, and may
+    have seen_on, the days on which a version was delivered; without it a version
+    counts as delivered on its first day only. `snapshot` has the key and fields,
+    one row per key. Attributes are compared value by value, null-safe. Keys
+    missing from the snapshot stay as they are.
+
+    A version lasts until the day before another one is delivered. So each key
+    of the snapshot is laid out as its deliveries by day, the snapshot takes the
+    place of an earlier delivery of its own day, and equal neighbours become one
+    version again. With seen_on, snapshots of different days give the same
+    history in any order and as often as they come.
     """
     fields = list(fields)
     today = F.lit(as_of).cast("date")
-    old = history.filter(~F.col("is_current"))
-    pairs = history.filter("is_current").alias("h").join(snapshot.alias("s"), F.col(f"h.{key}") == F.col(f"s.{key}"), "full_outer")
-    same = F.lit(True)
-    for f in fields:
-        same = same & F.col(f"h.{f}").eqNullSafe(F.col(f"s.{f}"))
-    has_old, has_new = F.col(f"h.{key}").isNotNull(), F.col(f"s.{key}").isNotNull()
-    changed = has_old & has_new & ~same
-
-    def version(side: str, start: Column, end: Column, current: Column) -> Column:
-        return F.struct(
-            F.col(f"{side}.{key}").alias(key), *[F.col(f"{side}.{f}").alias(f) for f in fields],
-            start.alias("valid_from"), end.alias("valid_to"), current.alias("is_current"),
-        )
-
-    kept = F.when(
-        has_old,
-        version("h", F.col("h.valid_from"), F.when(changed, F.date_sub(today, 1)).otherwise(F.col("h.valid_to")), ~changed),
-    )
-    opened = F.when(
-        has_new & (~has_old | changed), version("s", today, F.lit(None).cast("date"), F.lit(True))
+    seen = F.col("seen_on") if "seen_on" in history.columns else F.array("valid_from")
+    touched = history.join(snapshot.select(key), key, "left_semi")
+    rest = history.join(snapshot.select(key), key, "left_anti")
+    delivered = touched.select(key, *fields, F.explode(seen).alias("_day")).filter(F.col("_day") != today)
+    # A key has one delivery per day, which bounds what its window and its lists hold.
+    days = delivered.unionByName(snapshot.select(key, *fields, today.alias("_day")))
+    by_day = Window.partitionBy(key).orderBy("_day")
+    values = F.struct(*fields)
+    opens = (F.row_number().over(by_day) == 1) | ~values.eqNullSafe(F.lag(values).over(by_day))
+    numbered = days.withColumn("_opens", opens).withColumn("_version", F.count_if("_opens").over(by_day.rowsBetween(Window.unboundedPreceding, 0)))
+    versions = numbered.groupBy(key, "_version").agg(
+        *[F.min_by(f, "_day").alias(f) for f in fields], F.min("_day").alias("valid_from"), F.sort_array(F.collect_list("_day")).alias("seen_on")
     )
-    rows = pairs.select(F.explode(F.filter(F.array(kept, opened), lambda v: v.isNotNull())).alias("v")).select("v.*")
-    return old.select(*rows.columns).unionByName(rows)
+    following = F.lead("valid_from").over(Window.partitionBy(key).orderBy("_version"))
+    columns = [key, *fields, "valid_from", "valid_to", "is_current", *(["seen_on"] if "seen_on" in history.columns else [])]
+    rebuilt = versions.withColumn("valid_to", F.date_sub(following, 1)).withColumn("is_current", F.col("valid_to").isNull())
+    return rest.select(*columns).unionByName(rebuilt.select(*columns))
 
 
 def fact_merge(target: DataFrame, source: DataFrame, keys: Sequence[str], value: str) -> DataFrame:

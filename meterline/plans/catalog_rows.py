@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -64,6 +66,19 @@ def c5_first_reason(spark, sf):
     return judged(spark, sf).select("row_index", "validation_status", "rejection_reason")
 
 
+METER_RULE = replace(
+    ENERGY_RULE, mandatory_not_null=["site_id", "meter"], numeric_range={"energy_kwh": {"min": 0}, "meter": {"min": 3, "max": 450}}
+)
+
+
+def c5_rules_on_any_column(spark, sf):
+    """First reason under rules that name a column of their own: a mandatory meter number within a range."""
+    i = F.col("row_index")
+    meter = F.when(i % 71 == 0, " ").when(i % 73 == 0, "n/a").otherwise((i % 500).cast("string"))
+    rules = [replace(METER_RULE, name=rule.name) for rule in RULES]
+    return rc.validate_rows(roles.feed(spark, sf).withColumn("meter", meter), rules).select("row_index", "rejection_reason")
+
+
 def c6_staging_project(spark, sf):
     ids = rc.assign_staging_ids(staged(spark, sf), [F.col("dataset").asc(), F.col("row_index").asc()])
     return flat(
@@ -96,6 +111,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         c1_mandatory_null, c2_duplicate_pk, c3_strict_iso_date, c4_numeric_cast_range, c5_first_reason,
+        c5_rules_on_any_column,
         c6_staging_project, c7_load_stats, c8_rejected_rows, c9_raw_to_staging_rules,
     )
 }
@@ -111,6 +127,10 @@ ORACLE = {
     "c4_numeric_cast_range": with_roles(STAGED)
     + "SELECT row_index, energy_kwh, energy_reason AS reason FROM marked WHERE energy_reason IS NOT NULL",
     "c5_first_reason": with_roles(STAGED) + "SELECT row_index, validation_status, rejection_reason FROM staged",
+    "c5_rules_on_any_column": with_roles(STAGED)
+    + """SELECT row_index, coalesce(null_reason, CASE WHEN row_index % 71 = 0 THEN 'null:meter' END, repeat_reason, date_reason, energy_reason,
+     CASE WHEN row_index % 73 = 0 THEN 'invalid_value:meter' WHEN row_index % 500 NOT BETWEEN 3 AND 450
+     THEN 'range_violation:meter=' || (row_index % 500) END) AS rejection_reason FROM staged""",
     "c6_staging_project": with_roles(STAGED)
     + """SELECT 'S-' || batch_id || '-' || row_number() OVER (PARTITION BY batch_id ORDER BY dataset, row_index) AS staging_id,
      dataset, record_id, nullif(site_id, '') AS site_id,

@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import pyarrow as pa
+import pyarrow.fs
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -18,6 +23,10 @@ BLANKS = " \t\n\v\f\r\u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u200
 MARK = "\uffff"
 #: A split with more blank lines is numbered by a window instead of a list of them.
 FEW_BLANKS = 100
+#: Files up to so many bytes are hashed as one value, longer ones in pieces of so many, in at most so many tasks.
+WHOLE_FILE = 64 << 20
+PIECE = 4 << 20
+MAX_LONG_TASKS = 10_000
 #: Headers of at most so many files are broadcast.
 HEADED_FILES = 20_000
 
@@ -26,6 +35,21 @@ def base_name(path: Column) -> Column:
     return F.regexp_extract(path, r"([^/]+)$", 1)
 
 
+def empty_files(files: DataFrame) -> DataFrame:
+    """Listing of the files without a byte, which Spark's readers know by name but never return."""
+    spark = files.sparkSession
+    plain = F.regexp_replace("path", "^([a-z]+):/+", "$1:/")
+    names = spark.createDataFrame([(path,) for path in files.inputFiles()], "name string").select(F.url_decode(F.replace("name", F.lit("+"), F.lit("%2B"))).alias("path"))
+    missing = names.withColumn("key", plain).join(files.select(plain.alias("key")), "key", "left_anti").select("path").collect()
+    conf, path_of = spark.sparkContext._jsc.hadoopConfiguration(), spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    found = []
+    for row in missing:
+        path = path_of(row.path)
+        found.append((path.toString(), path.getFileSystem(conf).getFileStatus(path).getModificationTime()))
+    rows = spark.createDataFrame(found, "path string, at long")
+    return rows.select("path", F.lit(0).cast("long").alias("size_bytes"), F.timestamp_millis("at").alias("received_at"))
+
+
 def list_zone(
     spark: SparkSession, folder: str, name: Column | None = None, suffixes: str = r"\.(csv|json)$"
 ) -> DataFrame:
@@ -40,6 +64,7 @@ def list_zone(
         empty = spark.createDataFrame([], LISTING)
         return empty.withColumn("file_name", base_name(F.col("path")))
     listed = files.select("path", F.col("length").alias("size_bytes"), F.col("modificationTime").alias("received_at"))
+    listed = listed.unionByName(empty_files(files))
     named = listed.withColumn("file_name", name if name is not None else base_name(F.col("path")))
     return named.filter(F.col("path").rlike(suffixes)).orderBy(F.col("received_at").desc(), "file_name")
 
@@ -64,18 +89,49 @@ def read_sidecars(
     return docs.select(path, "*").select(feed.alias("feed_file"), "expected_rows", "checksum_sha256", "source_system")
 
 
-def checksums(spark: SparkSession, folder: str, name: Column | None = None, glob: str = "*.csv") -> DataFrame:
-    """SHA-256 of every file's content.
+def streamed_digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """SHA-256 of the files named in `path`, a few megabytes at a time."""
+    for batch in batches:
+        digests = []
+        for path in batch.column("path").to_pylist():
+            system, inner = pa.fs.FileSystem.from_uri(path)
+            state = hashlib.sha256()
+            with system.open_input_stream(inner) as stream:
+                while piece := stream.read(PIECE):
+                    state.update(piece)
+            digests.append(state.hexdigest())
+        yield pa.RecordBatch.from_arrays([batch.column("path"), pa.array(digests, pa.string())], ["path", "computed_checksum"])
+
 
-    A checksum covers a whole file, so one task holds one file at a time;
-    Spark's binary reader refuses files beyond 2 GB, and feeds above that must
-    be delivered in parts.
+def checksums(
+    spark: SparkSession, folder: str, name: Column | None = None, glob: str = "*.csv", whole: int = WHOLE_FILE
+) -> DataFrame:
+    """SHA-256 of every file's content, whatever its size.
+
+    A digest covers a file from start to end, so a file is one task's work. Files
+    of at most `whole` bytes are hashed as values; longer ones are read in
+    pieces by a task of their own, on storage that Arrow can open (local and
+    shared folders, HDFS, object stores).
     """
     files = (
         spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", glob).load(folder)
     )
-    named = files.withColumn("file_name", name if name is not None else base_name(F.col("path")))
-    return named.select("file_name", F.sha2("content", 256).alias("computed_checksum"), F.col("length").alias("size_bytes"))
+
+    def named(found: DataFrame) -> DataFrame:
+        shown = found.withColumn("file_name", name if name is not None else base_name(F.col("path")))
+        return shown.select("file_name", "computed_checksum", "size_bytes")
+
+    # The reader drops files by length before it opens them.
+    short = files.filter(F.col("length") <= whole).select("path", F.sha2("content", 256).alias("computed_checksum"), F.col("length").alias("size_bytes"))
+    long = cut_lineage(files.filter(F.col("length") > whole).select("path", F.col("length").alias("size_bytes")))
+    nothing = empty_files(files).select("path", F.sha2(F.lit("").cast("binary"), 256).alias("computed_checksum"), "size_bytes")
+    short = short.unionByName(nothing)
+    n = long.count()
+    if n == 0:
+        return named(short)
+    dealt = long.select("path").repartitionByRange(min(n, MAX_LONG_TASKS), "path")
+    digests = long.join(dealt.mapInArrow(streamed_digests, "path string, computed_checksum string"), "path")
+    return named(short.unionByName(digests.select(*short.columns)))
 
 
 def split_fields(raw: Column) -> Column:

@@ -195,6 +195,17 @@ def test_empty_file_is_quarantined(odd_days):
     assert (row.file_status, row.zone, row.error_message) == ("QUARANTINED", "QUARANTINE", "EMPTY_FILE — no data rows")
 
 
+def test_file_without_a_byte_is_received_and_quarantined(spark, tmp_path):
+    day = dt.date(2026, 9, 25)
+    for dataset in HEADERS:
+        deliver(tmp_path, day, dataset, lines_of(day, dataset))
+    (tmp_path / f"{ENERGY}_{day}.csv").write_bytes(b"")
+    result = run_batches(spark, str(tmp_path), days_table(spark, [day]), CONFIG, arrivals_of(spark, [day]))
+    row = result.files.filter(F.col("dataset") == ENERGY).first()
+    assert (row.file_status, row.error_message) == ("QUARANTINED", "EMPTY_FILE — no data rows")
+    assert result.checks.filter("check_name = 'file_arrival_check'").count() == 0
+
+
 def test_broken_record_fails_the_load(odd_days):
     row = odd_days.files.filter("batch_id = 'B-20260902-01' and dataset = 'energy_consumption'").first()
     assert row.file_status == "FAILED" and row.load_error == "Row 6 has 6 fields but header declares 5"

@@ -161,8 +161,10 @@ def test_listing_checksums_and_sidecars(spark, tmp_path):
     put(tmp_path, "b.csv", "x\n")
     put(tmp_path, "b.csv.manifest.json", "{not json")
     put(tmp_path, "c.txt", "no")
+    put(tmp_path, "a file+100%.csv", "")
+    put(tmp_path, "a file+é 50%.csv", "x\n")
     names = [r.file_name for r in landing.list_zone(spark, str(tmp_path)).collect()]
-    assert sorted(names) == ["a.csv", "a.csv.manifest.json", "b.csv", "b.csv.manifest.json"]
+    assert sorted(names) == ["a file+100%.csv", "a file+é 50%.csv", "a.csv", "a.csv.manifest.json", "b.csv", "b.csv.manifest.json"]
     sums = {r.file_name: r.computed_checksum for r in landing.checksums(spark, str(tmp_path)).collect()}
     assert sums["a.csv"] == hashlib.sha256(b"x\n1\n").hexdigest()
     cards = {r.feed_file: (r.expected_rows, r.checksum_sha256) for r in landing.read_sidecars(spark, str(tmp_path)).collect()}
@@ -233,3 +235,33 @@ def test_split_size_may_change_between_call_and_action(spark, tmp_path):
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", before)
     assert sorted(numbers) == [99_999, 100_000]
+
+
+def test_checksums_of_files_of_any_size(spark, tmp_path):
+    """A sparse file of 3 GB, beyond what one value can hold, in little memory; short files as before."""
+    (tmp_path / "short.csv").write_bytes(b"a,b\n1,2\n")
+    (tmp_path / "middle.csv").write_bytes(b"x" * 100_000)
+    (tmp_path / "none.csv").write_bytes(b"")
+    size = 3 * 1024**3
+    with open(tmp_path / "long.csv", "wb") as f:
+        f.truncate(size)
+    state, piece = hashlib.sha256(), bytes(1 << 20)
+    for _ in range(3 * 1024):
+        state.update(piece)
+    wanted = {n: hashlib.sha256((tmp_path / n).read_bytes()).hexdigest() for n in ("short.csv", "middle.csv", "none.csv")}
+    got = {r.file_name: (r.computed_checksum, r.size_bytes) for r in landing.checksums(spark, str(tmp_path), whole=50_000).collect()}
+    assert {n: c for n, (c, _) in got.items()} == {**wanted, "long.csv": state.hexdigest()}
+    assert got["long.csv"][1] == size
+
+
+def test_streamed_digests_hold_one_piece(tmp_path):
+    with open(tmp_path / "long.csv", "wb") as f:
+        f.truncate(400 << 20)
+    import resource
+
+    import pyarrow as pa
+
+    batch = pa.RecordBatch.from_pydict({"path": [f"file://{tmp_path}/long.csv"]})
+    before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+    assert len(list(landing.streamed_digests(iter([batch])))) == 1
+    assert resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before < 100_000
