@@ -84,7 +84,7 @@ def null_check() -> Column:
         check_name="null_check_mandatory", status=fail_if(found), table_name=F.col("staging_table"),
         column_name=F.when(found, F.array_join(F.map_keys("nulls_by_column"), ",")).otherwise(F.col("mandatory_text")),
         expected_value=0, actual_value=total,
-        error_details=F.when(found, F.concat(F.lit("Null/missing values in mandatory column(s): "), named)),
+        error_details=F.when(found, F.concat(F.lit("blank where a value is required: "), named)),
         mandatory=found,
     )
 
@@ -92,7 +92,7 @@ def null_check() -> Column:
 def duplicate_check() -> Column:
     n = F.col("duplicates")
     details = F.concat(
-        n.cast("string"), F.lit(" duplicate "), F.col("key_text"), F.lit(" occurrence(s) rejected during staging load")
+        n.cast("string"), F.lit(" rows repeat an earlier "), F.col("key_text")
     )
     return check_row(
         batch_id=F.col("batch_id"), business_date=F.col("business_date"), dataset=F.col("dataset"),
@@ -107,7 +107,7 @@ def date_check() -> Column:
         batch_id=F.col("batch_id"), business_date=F.col("business_date"), dataset=F.col("dataset"),
         check_name="date_validity_check", status=fail_if(n > 0), table_name=F.col("staging_table"),
         column_name=F.col("date_text"), expected_value=0, actual_value=n,
-        error_details=F.when(n > 0, F.concat(n.cast("string"), F.lit(" row(s) with invalid date format rejected"))),
+        error_details=F.when(n > 0, F.concat(n.cast("string"), F.lit(" rows have no readable date"))),
     )
 
 
@@ -115,8 +115,8 @@ def range_check() -> Column:
     """Violations rejected at load plus violations found in the accepted rows."""
     total = F.col("range_violations") + F.coalesce(F.col("staged_violations"), F.lit(0))
     details = F.concat(
-        F.col("range_violations").cast("string"), F.lit(" rejected at load + "),
-        F.coalesce(F.col("staged_violations"), F.lit(0)).cast("string"), F.lit(" found in staged valid rows"),
+        F.col("range_violations").cast("string"), F.lit(" refused on loading, "),
+        F.coalesce(F.col("staged_violations"), F.lit(0)).cast("string"), F.lit(" among accepted rows"),
     )
     return check_row(
         batch_id=F.col("batch_id"), business_date=F.col("business_date"), dataset=F.col("dataset"),
@@ -133,7 +133,7 @@ def orphan_check() -> Column:
         check_name="referential_integrity_check", status=fail_if(n > 0), table_name=F.col("staging_table"),
         column_name="site_id", expected_value=0, actual_value=n,
         error_details=F.when(
-            n > 0, F.concat(n.cast("string"), F.lit(" row(s) reference site_id not present in site master / dim_site"))
+            n > 0, F.concat(n.cast("string"), F.lit(" rows name a site that no site feed has delivered"))
         ),
     )
     return F.when(F.col("staging_table") != "staging_site_master", row)
@@ -152,7 +152,7 @@ def rejected_share_check(threshold_pct: float) -> Column:
         error_details=F.when(
             over,
             F.concat_ws("", F.col("total_rejected").cast("string"), F.lit("/"), F.col("total_read").cast("string"),
-                        F.lit(" rows rejected during staging load")),
+                        F.lit(" rows refused")),
         ),
     )
     return F.when(F.col("total_read") > 0, row)
@@ -253,7 +253,7 @@ def freshness_check(batches: DataFrame, fact: DataFrame, days: int = 1, label: i
     floor = F.date_sub("business_date", days)
     stale = F.coalesce(F.col("latest") < floor, F.lit(False))
     details = F.concat(
-        F.lit("Warehouse is stale: latest reading_date "), F.col("latest").cast("string"), F.lit(" is older than "),
+        F.lit("newest reading is of "), F.col("latest").cast("string"), F.lit(", too old for "),
         floor.cast("string"),
     )
     return emit(
@@ -262,7 +262,7 @@ def freshness_check(batches: DataFrame, fact: DataFrame, days: int = 1, label: i
             batch_id=F.col("batch_id"), business_date=F.col("business_date"), check_name="freshness_check",
             status=fail_if(stale), table_name="fact_energy_emissions", column_name="reading_date",
             expected_value=F.concat(F.lit(">= "), floor.cast("string")),
-            actual_value=F.coalesce(F.col("latest").cast("string"), F.lit("initial load (warehouse empty)")),
+            actual_value=F.coalesce(F.col("latest").cast("string"), F.lit("nothing loaded yet")),
             threshold_value=label, error_details=F.when(stale, details), incident_table="fact_energy_emissions",
         ),
     )
@@ -369,7 +369,7 @@ def load_failure_incidents(batches: DataFrame, config: Config, already: int = 0)
         "batch_id",
         F.lit("LOAD_FAILURE").alias("incident_type"),
         F.lit(config.severity.get("LOAD_FAILURE", "P1")).alias("severity"),
-        F.concat(F.lit("Load failure in load_staging_task"), in_file, F.lit(" - batch "), F.col("batch_id")).alias(
+        F.concat(F.lit("Staging stopped"), in_file, F.lit(" in batch "), F.col("batch_id")).alias(
             "short_description"
         ),
         "error_message",

@@ -197,7 +197,7 @@ def completion_alerts(batches: DataFrame, as_of: Column | str, settings: Setting
         F.col("escalations") > 0, F.concat(F.lit(", "), F.col("escalations").cast("string"), F.lit(" handed over"))
     ).otherwise("")
     text = F.concat(
-        F.format_string("Batch %s (%s) completed: %d file(s), %d incident(s)", "batch_id", "business_date", "files", "incidents"), extra
+        F.format_string("Run %s of %s: files %d, incidents %d", "batch_id", "business_date", "files", "incidents"), extra
     )
     severity = F.when(F.col("incidents") > 0, "WARN").otherwise("INFO")
     return batches.select(*_alert(F.lit("PIPELINE_COMPLETED"), severity, text, as_timestamp(as_of), settings))

@@ -125,36 +125,36 @@ ORACLE = {
     "d1_null_check_mandatory": with_roles(STAGED)
     + _COUNT.format(
         column="CASE WHEN n > 0 THEN 'site_id' ELSE 'record_id,site_id,reading_date,energy_kwh' END", threshold=_NULL,
-        details="'Null/missing values in mandatory column(s): site_id=' || n",
+        details="'blank where a value is required: site_id=' || n",
         n="count(*) FILTER (rejection_reason = 'null:site_id')", join="",
     ),
     "d2_duplicate_record_check": with_roles(STAGED)
     + _COUNT.format(
-        column="'record_id'", threshold=_NULL, details="n || ' duplicate record_id occurrence(s) rejected during staging load'",
+        column="'record_id'", threshold=_NULL, details="n || ' rows repeat an earlier record_id'",
         n="count(*) FILTER (rejection_reason = 'duplicate_record_id')", join="",
     ),
     "d3_date_validity_check": with_roles(STAGED)
     + _COUNT.format(
-        column="'reading_date'", threshold=_NULL, details="n || ' row(s) with invalid date format rejected'",
+        column="'reading_date'", threshold=_NULL, details="n || ' rows have no readable date'",
         n="count(*) FILTER (rejection_reason = 'invalid_date_format')", join="",
     ),
     "d4_numeric_range_check": with_roles(STAGED)
     + _COUNT.format(
         column="'energy_kwh,emissions_co2e'", threshold="'energy_kwh>=0,emissions_co2e>=0'",
-        details="n || ' rejected at load + 0 found in staged valid rows'",
+        details="n || ' refused on loading, 0 among accepted rows'",
         n="count(*) FILTER (rejection_reason LIKE '%energy_kwh%')", join="",
     ),
     "d5_referential_integrity": with_roles(STAGED, SITES)
     + _COUNT.format(
         column="'site_id'", threshold=_NULL,
-        details="n || ' row(s) reference site_id not present in site master / dim_site'",
+        details="n || ' rows name a site that no site feed has delivered'",
         n="count(*) FILTER (validation_status = 'VALID' AND s IS NULL)",
         join="LEFT JOIN (SELECT DISTINCT site_id AS s FROM sites) ON staged.site_id = s",
     ),
     "d6_rejected_threshold": with_roles(STAGED)
     + """SELECT batch_id, dataset, CASE WHEN pct > 5 THEN 'FAIL' ELSE 'PASS' END AS status, CAST(NULL AS VARCHAR) AS column_name,
      '<= 5%' AS expected_value, format('{:.1f}', CAST(pct AS DOUBLE)) || '%' AS actual_value, '5' AS threshold_value,
-     CASE WHEN pct > 5 THEN rejected || '/' || total || ' rows rejected during staging load' END AS error_details
+     CASE WHEN pct > 5 THEN rejected || '/' || total || ' rows refused' END AS error_details
      FROM (SELECT batch_id, dataset, count(*) AS total, count(rejection_reason) AS rejected,
       CAST(count(rejection_reason) AS DOUBLE) / count(*) * 100.0 AS pct FROM staged GROUP BY 1, 2)""",
     "d7_quarantined_file_check": with_roles(DELIVERIES)
@@ -164,8 +164,8 @@ ORACLE = {
     "d8_freshness_check": with_roles(FACT)
     + """SELECT b.batch_id, CASE WHEN max(f.d) < b.d - 1 THEN 'FAIL' ELSE 'PASS' END AS status,
      '>= ' || CAST(b.d - 1 AS VARCHAR) AS expected_value,
-     coalesce(CAST(max(f.d) AS VARCHAR), 'initial load (warehouse empty)') AS actual_value,
-     CASE WHEN max(f.d) < b.d - 1 THEN 'Warehouse is stale: latest reading_date ' || max(f.d) || ' is older than ' || (b.d - 1) END
+     coalesce(CAST(max(f.d) AS VARCHAR), 'nothing loaded yet') AS actual_value,
+     CASE WHEN max(f.d) < b.d - 1 THEN 'newest reading is of ' || max(f.d) || ', too old for ' || (b.d - 1) END
       AS error_details
      FROM (SELECT DISTINCT batch_id, reading_date AS d FROM fact) b
      LEFT JOIN (SELECT DISTINCT batch_id, reading_date - 1 AS d FROM fact) f ON f.batch_id < b.batch_id GROUP BY b.batch_id, b.d""",
@@ -187,7 +187,7 @@ ORACLE = {
     + """, b AS (SELECT batch_id, bool_or(header = 'garbage') AS bad, min(file_name) FILTER (header = 'garbage') AS f
       FROM deliveries GROUP BY 1),
      i AS (SELECT batch_id, 'INC-' || lpad(CAST(row_number() OVER (ORDER BY batch_id) AS VARCHAR), 6, '0') AS incident_id,
-      'P1' AS severity, 'Load failure in load_staging_task (' || f || ') - batch ' || batch_id AS short_description FROM b WHERE bad)
+      'P1' AS severity, 'Staging stopped (' || f || ') in batch ' || batch_id AS short_description FROM b WHERE bad)
      SELECT b.batch_id, t.task_id, t.sequence, CASE WHEN bad AND t.sequence = 2 THEN 'FAILED' WHEN bad AND t.sequence BETWEEN 3 AND 5
       THEN 'SKIPPED' ELSE 'SUCCESS' END AS status, CASE WHEN bad AND t.sequence = 2 THEN 'bad rows in ' || f END AS error_message,
       i.incident_id, i.severity, i.short_description

@@ -283,8 +283,8 @@ ORACLE = {
      CASE WHEN row_index % 61 = 0 THEN '' ELSE emissions_co2e END AS emissions_co2e FROM lines""".replace("THEN 4 WHEN", "THEN CAST(4 AS BIGINT) WHEN"),
     "a4_structural_corruption": with_roles(_LINES)
     + """, n AS (SELECT *, row_number() OVER (PARTITION BY feed_name ORDER BY row_index) + 1 AS line_no FROM lines)
-     SELECT feed_name AS file_name, count(*) AS data_rows, 'Row ' || min(line_no) FILTER (row_index % 1997 = 5 AND row_index % 61 <> 0)
-     || ' has 6 fields but header declares 5' AS load_error FROM n GROUP BY 1""",
+     SELECT feed_name AS file_name, count(*) AS data_rows, 'record ' || min(line_no) FILTER (row_index % 1997 = 5 AND row_index % 61 <> 0)
+     || ' holds 6 fields, the header 5' AS load_error FROM n GROUP BY 1""",
     "a5_checksum": with_roles(_LINES)
     + f"SELECT feed_name AS file_name, sha256({_BODY}) AS computed_checksum, strlen({_BODY}) AS size_bytes FROM lines GROUP BY 1",
     "a6_config_tables": """SELECT event_type AS dataset, count(*) AS rows, 'record_id,site_id,reading_date,energy_kwh,emissions_co2e' AS required_columns,
@@ -311,19 +311,18 @@ ORACLE = {
      CAST(emissions_co2e AS DOUBLE) AS emissions_co2e, rejection_reason, file_name AS source_file FROM staged WHERE rejection_reason IS NOT NULL""",
     "a13_report_csv": OPS_ORACLE["h10_daily_ops_report"],
     "a13_report_md": "WITH r AS (" + OPS_ORACLE["h10_daily_ops_report"] + """), l AS (SELECT report_date, [
-      '# Daily operations report ' || report_date, '**Overall health: ' || overall_health || '**', '',
-      files_received || '/' || files_expected || ' expected feeds received; ' || jobs_succeeded || '/' || jobs_executed || ' jobs succeeded; ' ||
-       dq_checks_passed || '/' || dq_checks_executed || ' validation checks passed; ' || open_incidents || ' open incident(s) (' || p1_incidents || ' P1, ' ||
-       p2_incidents || ' P2). Reconciliation: ' || reconciliation_status || '.',
-      '', '## File ingestion', '| Metric | Value |', '|---|---|', '| Files expected | ' || files_expected || ' |', '| Files received | ' || files_received || ' |',
-      '| Files quarantined | ' || files_quarantined || ' |',
-      '', '## Pipeline runs', '| Metric | Value |', '|---|---|', '| Jobs executed | ' || jobs_executed || ' |', '| Jobs succeeded | ' || jobs_succeeded || ' |',
-      '| Jobs failed | ' || jobs_failed || ' |',
-      '', '## Data quality', '| Metric | Value |', '|---|---|', '| Checks executed | ' || dq_checks_executed || ' |', '| Checks passed | ' || dq_checks_passed || ' |',
-      '| Checks failed | ' || dq_checks_failed || ' |',
-      '', '## Incidents', '| Metric | Value |', '|---|---|', '| Open incidents | ' || open_incidents || ' |', '| P1 incidents | ' || p1_incidents || ' |',
-      '| P2 incidents | ' || p2_incidents || ' |',
-      '', '## Reconciliation', 'Source-to-target status: **' || reconciliation_status || '**'] AS lines FROM r)
+      '# Daily operations report ' || report_date, 'Health: **' || overall_health || '**', '',
+      'Feeds ' || files_received || ' of ' || files_expected || ', tasks ' || jobs_succeeded || ' of ' || jobs_executed || ', checks ' || dq_checks_passed || ' of ' ||
+       dq_checks_executed || '; incidents open: ' || open_incidents || ', P1 ' || p1_incidents || ', P2 ' || p2_incidents || '; totals: ' || reconciliation_status,
+      '', '## Files', '| Figure | Count |', '|---|---|', '| Expected | ' || files_expected || ' |', '| Received | ' || files_received || ' |',
+      '| Set aside | ' || files_quarantined || ' |',
+      '', '## Tasks', '| Figure | Count |', '|---|---|', '| Run | ' || jobs_executed || ' |', '| Done | ' || jobs_succeeded || ' |',
+      '| Failed | ' || jobs_failed || ' |',
+      '', '## Checks', '| Figure | Count |', '|---|---|', '| Made | ' || dq_checks_executed || ' |', '| Passed | ' || dq_checks_passed || ' |',
+      '| Broken | ' || dq_checks_failed || ' |',
+      '', '## Incidents', '| Figure | Count |', '|---|---|', '| Open | ' || open_incidents || ' |', '| P1 | ' || p1_incidents || ' |',
+      '| P2 | ' || p2_incidents || ' |',
+      '', '## Reconciliation', 'Source against target: ' || reconciliation_status] AS lines FROM r)
      SELECT report_date, n - 1 AS line_number, lines[n] AS line FROM (SELECT *, unnest(range(1, len(lines) + 1)) AS n FROM l)""",
     "a14_incident_csv": with_roles(INCIDENTS)
     + """SELECT incident_id, batch_id, severity, short_description, affected_check, CAST(escalated_flag AS VARCHAR) AS escalated,
@@ -342,23 +341,23 @@ ORACLE = {
      p AS (SELECT dataset, business_date, arg_max(file_status, created_at) AS st, arg_max(batch_id, created_at) AS pb FROM files
       WHERE in_log AND file_status IN ('PROCESSED', 'QUARANTINED', 'VALIDATED', 'FAILED') GROUP BY 1, 2)
      SELECT e.batch_id, e.dataset, CASE WHEN st IS NULL THEN 'FAIL' ELSE 'PASS' END AS status, e.dataset || '_' || e.business_date || '.csv' AS expected_value,
-     CASE WHEN st IS NULL THEN 'not received' ELSE 'already handled (' || st || ' in batch ' || pb || ')' END AS actual_value, CAST(NULL AS VARCHAR) AS threshold_value,
-     CASE WHEN st IS NULL THEN 'Expected feed ' || e.dataset || '_' || e.business_date || '.csv (source: SRC-' || e.dataset || ') not found in landing zone' END AS error_details
+     CASE WHEN st IS NULL THEN 'not received' ELSE 'handled before: ' || st || ' by batch ' || pb END AS actual_value, CAST(NULL AS VARCHAR) AS threshold_value,
+     CASE WHEN st IS NULL THEN e.dataset || '_' || e.business_date || '.csv from SRC-' || e.dataset || ' has not come' END AS error_details
      FROM e LEFT JOIN p USING (dataset, business_date) WHERE NOT EXISTS (SELECT 1 FROM files f WHERE f.dataset = e.dataset AND f.business_date = e.business_date AND in_landing)""",
     "b2_sla_check": with_roles(DELIVERIES)
     + """, x AS (SELECT *, CAST(business_date AS TIMESTAMP) + INTERVAL 630 MINUTE AS deadline FROM deliveries WHERE in_landing)
      SELECT batch_id, dataset, CASE WHEN received_at > deadline THEN 'FAIL' ELSE 'PASS' END AS status, '<= 06:30+4h' AS expected_value,
      CASE WHEN received_at > deadline THEN 'late arrival' ELSE 'on time' END AS actual_value, '4' AS threshold_value, CASE WHEN received_at > deadline THEN
-     'File arrived at ' || strftime(received_at, '%Y-%m-%dT%H:%M:%S.000Z') || ' — after SLA deadline ' || strftime(deadline, '%Y-%m-%dT%H:%M:%S.000Z') END AS error_details,
-     CASE WHEN received_at > deadline THEN 'SLA breach: ' || file_name || ' arrived ' || date_diff('minute', deadline, received_at) || ' min after the 4h SLA window' END
+     'came ' || strftime(received_at, '%Y-%m-%dT%H:%M:%S.000Z') || ', due by ' || strftime(deadline, '%Y-%m-%dT%H:%M:%S.000Z') END AS error_details,
+     CASE WHEN received_at > deadline THEN file_name || ' came ' || date_diff('minute', deadline, received_at) || ' minutes past its 4 hours' END
       AS incident_description FROM x""",
     "b3_naming_violation": with_roles(DELIVERIES)
     + """SELECT 'x_' || file_name AS file_name, 'unknown' AS dataset, 'QUARANTINED' AS file_status, 'SKIPPED' AS checksum_status, 'QUARANTINE' AS zone,
-     'File naming convention violation — does not match any expected feed pattern' AS error_message FROM deliveries WHERE data_rows % 5 = 1""",
+     'No feed delivers files of this name' AS error_message FROM deliveries WHERE data_rows % 5 = 1""",
     "b4_empty_file": with_roles(DELIVERIES)
     + _ROW.format(
         status="CASE WHEN data_rows = 0 THEN 'FAIL' ELSE 'PASS' END", expected="'>= 1 data row'", actual="CAST(data_rows AS VARCHAR)", threshold=_NULL,
-        details="CASE WHEN data_rows = 0 THEN 'File contains no data rows (header-only or zero bytes)' END", mandatory="'false'", where="",
+        details="CASE WHEN data_rows = 0 THEN 'nothing after the header' END", mandatory="'false'", where="",
     ),
     "b5_checksum_validation": with_roles(DELIVERIES)
     + _ROW.format(
@@ -367,7 +366,7 @@ ORACLE = {
         actual="CASE WHEN manifest_checksum IS NULL THEN 'no manifest sidecar' WHEN manifest_checksum = computed_checksum THEN 'match' ELSE substr(computed_checksum, 1, 16) || '…' END",
         threshold=_NULL,
         details="CASE WHEN manifest_checksum IS NULL THEN 'No checksum manifest delivered — integrity could not be verified' WHEN manifest_checksum <> computed_checksum "
-        "THEN 'SHA256 mismatch — file content does not match the manifest control record (possible corruption/truncation in transit)' END",
+        "THEN 'content and control record have different digests' END",
         mandatory="'false'", where="WHERE data_rows > 0",
     ),
     "b6_schema_header": with_roles(DELIVERIES)
@@ -376,15 +375,15 @@ ORACLE = {
         expected=f"'{_FULL}'",
         actual="CASE WHEN header = 'garbage' OR header NOT LIKE '%site_id%' OR header NOT LIKE '%emissions_co2e%' THEN header ELSE 'all required columns present' END",
         threshold=_NULL,
-        details="CASE WHEN header = 'garbage' THEN 'Header row is not parseable as CSV — file treated as corrupted' WHEN header NOT LIKE '%site_id%' THEN 'Missing column(s): site_id' "
-        "WHEN header NOT LIKE '%emissions_co2e%' THEN 'Missing column(s): emissions_co2e' END",
+        details="CASE WHEN header = 'garbage' THEN 'header cannot be read' WHEN header NOT LIKE '%site_id%' THEN 'columns not delivered: site_id' "
+        "WHEN header NOT LIKE '%emissions_co2e%' THEN 'columns not delivered: emissions_co2e' END",
         mandatory="CASE WHEN header <> 'garbage' AND header NOT LIKE '%site_id%' THEN 'true' ELSE 'false' END", where="WHERE data_rows > 0",
     ),
     "b7_row_count_control": with_roles(DELIVERIES)
     + _ROW.format(
         status="CASE WHEN data_rows = expected_rows THEN 'PASS' ELSE 'FAIL' END", expected="CAST(expected_rows AS VARCHAR)",
         actual="CAST(data_rows AS VARCHAR)", threshold="'0'",
-        details="CASE WHEN data_rows <> expected_rows THEN 'Row count variance ' || (data_rows - expected_rows) || ' vs manifest expected_rows' END",
+        details="CASE WHEN data_rows <> expected_rows THEN (data_rows - expected_rows) || ' rows off the control record' END",
         mandatory="'false'", where="WHERE data_rows > 0 AND expected_rows IS NOT NULL",
     ),
     "b8_quarantine_decision": with_roles(DELIVERIES)

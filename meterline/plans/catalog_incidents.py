@@ -200,8 +200,8 @@ ORACLE = {
     + f""", a AS (SELECT {_TS.format('created_at')} AS created_at, batch_id, incident_type AS alert_type, severity, incident_id || ': ' || short_description AS message
       FROM incidents UNION ALL SELECT '{SWEEP}', batch_id, 'INCIDENT_ESCALATED', severity, incident_id || ' open longer than 240 min: ' || short_description
       FROM incidents WHERE {_DUE}
-      UNION ALL SELECT '{SWEEP}', batch_id, 'PIPELINE_COMPLETED', 'WARN', 'Batch ' || batch_id || ' (' || substr(batch_id, 3, 8) || ') completed: 3 file(s), '
-      || count(*) || ' incident(s)' || CASE WHEN count(*) FILTER (escalated_flag) > 0 THEN ', ' || count(*) FILTER (escalated_flag) || ' handed over' ELSE '' END
+      UNION ALL SELECT '{SWEEP}', batch_id, 'PIPELINE_COMPLETED', 'WARN', 'Run ' || batch_id || ' of ' || substr(batch_id, 3, 8) || ': files 3, incidents '
+      || count(*) || CASE WHEN count(*) FILTER (escalated_flag) > 0 THEN ', ' || count(*) FILTER (escalated_flag) || ' handed over' ELSE '' END
       FROM incidents GROUP BY batch_id)
      SELECT *, 'console,email_stub,webhook_stub' AS channels FROM a""",
     "i4_alert_ack": with_roles(ALERTS)

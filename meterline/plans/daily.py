@@ -172,7 +172,7 @@ def recon_checks(readings: DataFrame, fact: DataFrame, batches: DataFrame, confi
         expected_value=F.col("source_count"), actual_value=F.col("target_count"), threshold_value=0,
         error_details=F.when(
             diff != 0,
-            F.format_string("Row count mismatch: staging(valid)=%d vs fact=%d (diff %d) for batch %s", F.col("source_count"), F.col("target_count"),
+            F.format_string("%d accepted rows staged, %d loaded: %d apart in batch %s", F.col("source_count"), F.col("target_count"),
                             diff, F.col("batch_id")),
         ),
         incident_table="fact_energy_emissions",
@@ -183,7 +183,7 @@ def recon_checks(readings: DataFrame, fact: DataFrame, batches: DataFrame, confi
         expected_value=pair("source_energy", "source_emissions"), actual_value=pair("target_energy", "target_emissions"),
         threshold_value=config.settings.aggregate_tolerance,
         error_details=F.when(
-            ~ok, F.format_string("Aggregate mismatch: energy diff %.3f kWh, emissions diff %.3f kgCO2e", energy.cast("double"), emissions.cast("double"))
+            ~ok, F.format_string("totals differ by %.3f kWh and %.3f kgCO2e", energy.cast("double"), emissions.cast("double"))
         ),
         incident_table="fact_energy_emissions",
     )
@@ -192,11 +192,11 @@ def recon_checks(readings: DataFrame, fact: DataFrame, batches: DataFrame, confi
     drift = dq.check_row(
         batch_id=F.col("batch_id"), business_date=F.col("business_date"), check_name="cross_dataset_emissions_consistency",
         status=F.col("status"), table_name="staging_energy_data", column_name="emissions_co2e",
-        expected_value=F.format_string("%.2f (energy feed)", "base_total"), actual_value=F.format_string("%.2f (carbon ledger)", "other_total"),
+        expected_value=F.format_string("%.2f by energy", "base_total"), actual_value=F.format_string("%.2f by carbon", "other_total"),
         threshold_value=f"{config.settings.cross_pass_pct:g}%",
         error_details=F.when(
             F.col("status") != "PASS",
-            F.format_string("Carbon ledger deviates %.1f%% from energy-derived emissions — investigate source alignment", "variance_pct"),
+            F.format_string("the two feeds disagree by %.1f%%", "variance_pct"),
         ),
     )
     return dq.emit(line, counts, sums).unionByName(dq.emit(both, drift))

@@ -288,7 +288,7 @@ def structural_errors(rows: DataFrame) -> DataFrame:
     first = long.groupBy("file_name").agg(F.min(F.struct("row_index", "n_fields", F.size("header").alias("declared"))).alias("e"))
     return first.select(
         "file_name",
-        F.format_string("Row %d has %d fields but header declares %d", F.col("e.row_index") + 2, F.col("e.n_fields"), F.col("e.declared")).alias(
+        F.format_string("record %d holds %d fields, the header %d", F.col("e.row_index") + 2, F.col("e.n_fields"), F.col("e.declared")).alias(
             "load_error"
         ),
     )

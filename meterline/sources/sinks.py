@@ -62,26 +62,25 @@ def report_lines(report: DataFrame) -> DataFrame:
     """Markdown of each daily report, one row per line."""
 
     def table(title: str, rows: list[tuple[str, str]]) -> list[Column]:
-        head = [F.lit(""), F.lit(f"## {title}"), F.lit("| Metric | Value |"), F.lit("|---|---|")]
+        head = [F.lit(""), F.lit(f"## {title}"), F.lit("| Figure | Count |"), F.lit("|---|---|")]
         return head + [F.format_string(f"| {label} | %d |", F.col(c)) for label, c in rows]
 
     lines = [
         F.concat(F.lit("# Daily operations report "), F.col("report_date")),
-        F.concat(F.lit("**Overall health: "), F.col("overall_health"), F.lit("**")),
+        F.concat(F.lit("Health: **"), F.col("overall_health"), F.lit("**")),
         F.lit(""),
         F.format_string(
-            "%d/%d expected feeds received; %d/%d jobs succeeded; %d/%d validation checks passed; "
-            "%d open incident(s) (%d P1, %d P2). Reconciliation: %s.",
+            "Feeds %d of %d, tasks %d of %d, checks %d of %d; incidents open: %d, P1 %d, P2 %d; totals: %s",
             "files_received", "files_expected", "jobs_succeeded", "jobs_executed", "dq_checks_passed", "dq_checks_executed",
             "open_incidents", "p1_incidents", "p2_incidents", "reconciliation_status",
         ),
-        *table("File ingestion", [("Files expected", "files_expected"), ("Files received", "files_received"), ("Files quarantined", "files_quarantined")]),
-        *table("Pipeline runs", [("Jobs executed", "jobs_executed"), ("Jobs succeeded", "jobs_succeeded"), ("Jobs failed", "jobs_failed")]),
-        *table("Data quality", [("Checks executed", "dq_checks_executed"), ("Checks passed", "dq_checks_passed"), ("Checks failed", "dq_checks_failed")]),
-        *table("Incidents", [("Open incidents", "open_incidents"), ("P1 incidents", "p1_incidents"), ("P2 incidents", "p2_incidents")]),
+        *table("Files", [("Expected", "files_expected"), ("Received", "files_received"), ("Set aside", "files_quarantined")]),
+        *table("Tasks", [("Run", "jobs_executed"), ("Done", "jobs_succeeded"), ("Failed", "jobs_failed")]),
+        *table("Checks", [("Made", "dq_checks_executed"), ("Passed", "dq_checks_passed"), ("Broken", "dq_checks_failed")]),
+        *table("Incidents", [("Open", "open_incidents"), ("P1", "p1_incidents"), ("P2", "p2_incidents")]),
         F.lit(""),
         F.lit("## Reconciliation"),
-        F.concat(F.lit("Source-to-target status: **"), F.col("reconciliation_status"), F.lit("**")),
+        F.concat(F.lit("Source against target: "), F.col("reconciliation_status")),
     ]
     return report.select("report_date", F.posexplode(F.array(*lines)).alias("line_number", "line"))
 

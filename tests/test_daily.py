@@ -143,8 +143,8 @@ def test_each_batch_ends_with_a_sweep_and_a_summary(fortnight):
     alerts = fortnight.alerts.collect()
     done = {r.batch_id: (r.severity, r.message) for r in alerts if r.alert_type == "PIPELINE_COMPLETED"}
     assert len(done) == 15
-    assert done["B-20260816-01"] == ("INFO", "Batch B-20260816-01 (2026-08-16) completed: 3 file(s), 0 incident(s)")
-    assert done["B-20260826-01"] == ("WARN", "Batch B-20260826-01 (2026-08-26) completed: 3 file(s), 2 incident(s), 1 handed over")
+    assert done["B-20260816-01"] == ("INFO", "Run B-20260816-01 of 2026-08-16: files 3, incidents 0")
+    assert done["B-20260826-01"] == ("WARN", "Run B-20260826-01 of 2026-08-26: files 3, incidents 2, 1 handed over")
     over = [r for r in alerts if r.alert_type == "INCIDENT_ESCALATED"]
     assert len(over) == 10 and all(str(r.created_at)[8:10] == f"{int(r.batch_id[8:10]) + 1:02d}" for r in over)
     rows = fortnight.incidents.collect()
@@ -208,7 +208,7 @@ def test_file_without_a_byte_is_received_and_quarantined(spark, tmp_path):
 
 def test_broken_record_fails_the_load(odd_days):
     row = odd_days.files.filter("batch_id = 'B-20260902-01' and dataset = 'energy_consumption'").first()
-    assert row.file_status == "FAILED" and row.load_error == "Row 6 has 6 fields but header declares 5"
+    assert row.file_status == "FAILED" and row.load_error == "record 6 holds 6 fields, the header 5"
     audit = {r.task_id: r.status for r in odd_days.tasks.filter("batch_id = 'B-20260902-01'").collect()}
     assert audit["load_staging_task"] == "FAILED"
     assert {t for t, s in audit.items() if s == "SKIPPED"} == {

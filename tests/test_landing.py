@@ -30,7 +30,7 @@ def test_records_and_profiles(spark, tmp_path):
         ("b.csv", 0): ("9", "nine", "n1", 3),
     }
     assert {r.file_name: r.lines for r in profiles.collect()} == {"a.csv": 5, "b.csv": 2}
-    assert [tuple(r) for r in landing.structural_errors(rows).collect()] == [("a.csv", "Row 4 has 4 fields but header declares 3")]
+    assert [tuple(r) for r in landing.structural_errors(rows).collect()] == [("a.csv", "record 4 holds 4 fields, the header 3")]
 
 
 def test_blank_extra_field_is_a_long_record(spark, tmp_path):
@@ -200,7 +200,7 @@ def test_prior_handling_counts_as_arrival(spark):
     ).withColumn("expected_arrival_at", F.col("at").cast("timestamp")).withColumn("created_at", F.col("at").cast("timestamp"))
     rows = fc.arrival_checks(fc.match_files(fc.expected_feeds(days, config), none), log).collect()
     got = {r.dataset: r.actual_value for r in rows}
-    assert got["energy_consumption"] == "already handled (PROCESSED in batch B-20260101-01)"
+    assert got["energy_consumption"] == "handled before: PROCESSED by batch B-20260101-01"
     assert got["carbon_emissions"] == got["site_master"] == "not received"
 
 
