@@ -365,7 +365,7 @@ ORACLE = {
         expected="coalesce(substr(manifest_checksum, 1, 16) || '…', 'manifest checksum')",
         actual="CASE WHEN manifest_checksum IS NULL THEN 'no manifest sidecar' WHEN manifest_checksum = computed_checksum THEN 'match' ELSE substr(computed_checksum, 1, 16) || '…' END",
         threshold=_NULL,
-        details="CASE WHEN manifest_checksum IS NULL THEN 'No checksum manifest delivered — integrity could not be verified' WHEN manifest_checksum <> computed_checksum "
+        details="CASE WHEN manifest_checksum IS NULL THEN 'no digest to compare with' WHEN manifest_checksum <> computed_checksum "
         "THEN 'content and control record have different digests' END",
         mandatory="'false'", where="WHERE data_rows > 0",
     ),
