@@ -35,14 +35,16 @@ def rows_of(docs: DataFrame, keys: DataFrame, how: str, once: bool = False) -> D
     """The rows of `docs` whose id and `row_key` are in `keys` (_id, _key): left_semi, or left_anti for the others.
 
     With `once`, of the rows that share both only the one with the smallest
-    hash over all columns. Columns and their names stay as in `docs`.
+    hash over the other columns, as JSON text, so columns of any type will do.
+    Columns and their names stay as in `docs`.
     """
     plain, place = relabelled(docs)
     doc_id = F.col(place["doc_id"]).cast("long")
     own = plain.withColumn("_row", row_key(doc_id, F.col(place["text"])))
     found = own.join(keys, doc_id.eqNullSafe(F.col("_id")) & (F.col("_row") == F.col("_key")), how)
     if once:
-        order = Window.partitionBy(place["doc_id"], "_row").orderBy(F.xxhash64(*plain.columns))
+        others = [c for c in plain.columns if c != place["text"]]
+        order = Window.partitionBy(place["doc_id"], "_row").orderBy(F.xxhash64(F.to_json(F.struct(*others))))
         found = found.withColumn("_nth", F.row_number().over(order)).filter("_nth = 1")
     return found.select(*plain.columns).toDF(*docs.columns)
 

@@ -18,6 +18,8 @@ from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 CACHE_PIECES = 600_000
+#: Longer pieces (whole texts without a space, data in one run) hardly come again and are not kept.
+LONGEST_KEPT = 64
 CHUNK_CHARS = 4_000_000
 SAFE_SPACE = re.compile(r"(?<=\S) (?=\S)")
 ASCII_SPACE = re.compile(r"[ \t\n\x0b\x0c\r]+")
@@ -35,8 +37,8 @@ def plain_word(word: str) -> bool:
 class Encoder:
     """Ids of texts as little-endian unsigned 16-bit or 32-bit bytes.
 
-    For byte-level BPE, with or without spaces kept. The cache has two generations of at most `cache_pieces` pieces each: a full
-    young one becomes the old one, from which pieces in use come back.
+    For byte-level BPE, with or without spaces kept. The cache has two generations of at most `cache_pieces` pieces each, none longer
+    than `LONGEST_KEPT` characters: a full young one becomes the old one, from which pieces in use come back.
     """
 
     def __init__(self, name: str, spaced: bool, cache_pieces: int = CACHE_PIECES):
@@ -95,7 +97,7 @@ class Encoder:
 
         A piece with such an end is only kept if its word was known before.
         """
-        young, old = self.young, self.old
+        young, old, keep = self.young, self.old, self.keep
         known: dict[str, bytes] = {}
         others = []
         for piece in pieces:
@@ -108,7 +110,7 @@ class Encoder:
                 ids = young.get(stem)
                 fresh = ids is None
                 if fresh:
-                    ids = young[stem] = old.get(stem) or self.modelled(stem)
+                    ids = keep(stem, old.get(stem) or self.modelled(stem))
                 if len(stem) == len(piece):
                     known[piece] = ids
                     continue
@@ -116,17 +118,26 @@ class Encoder:
                 if fresh:
                     known[piece] = ids
                     continue
-            known[piece] = young[piece] = ids
+            known[piece] = keep(piece, ids)
         for at in range(0, len(others), 10_000):
             some = others[at : at + 10_000]
             known.update(zip(some, self.alone([piece if piece[:1] == "\n" else self.lead + piece for piece in some]), strict=True))
-            young.update((piece, known[piece]) for piece in some)
+            for piece in some:
+                keep(piece, known[piece])
         return known
 
+    def keep(self, piece: str, ids: bytes) -> bytes:
+        if len(piece) <= LONGEST_KEPT:
+            self.young[piece] = ids
+        return ids
+
     def ends(self, tail: str) -> bytes:
-        if tail not in self.tails:
-            self.tails[tail] = self.alone([tail])[0]
-        return self.tails[tail]
+        if tail in self.tails:
+            return self.tails[tail]
+        ids = self.alone([tail])[0]
+        if len(tail) <= LONGEST_KEPT and len(self.tails) < self.cache_pieces:
+            self.tails[tail] = ids
+        return ids
 
     def encode(self, texts: Iterable[str | None]) -> Iterator[bytes]:
         """Ids of each text; a null text counts as empty. Works on about `CHUNK_CHARS` characters at a time."""

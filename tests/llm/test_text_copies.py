@@ -191,3 +191,11 @@ def test_matching_statistics():
     text = "qabcabcabxabcdzab"
     brute = [i for i in range(3, len(text) + 1) if any(text[i - 3 : i] in k for k in known)]
     assert automaton.matches(text, 3) == brute
+
+
+def test_one_of_equal_rows_stays_whatever_their_columns_hold(spark):
+    rows = [(1, "the same words in every row of this table", {"a": i}, [i], None if i % 2 else "x") for i in range(6)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, tags map<string, int>, list array<int>, text_2 string")
+    kept = drop_near_copies(docs)
+    assert kept.columns == docs.columns and kept.count() == 1
+    assert [tuple(r) for r in kept.collect()] == [tuple(r) for r in drop_near_copies(docs.orderBy(F.rand(3))).collect()]

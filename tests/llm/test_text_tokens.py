@@ -15,7 +15,7 @@ from tokenizers import Tokenizer
 
 from meterline.llm.bitpack import ShardReader, ShardWriter, id_width, pack_ids, token_file_report, unpack_ids
 from meterline.llm.packing import best_fit_decreasing, pack_documents
-from meterline.llm.tokens import Encoder
+from meterline.llm.tokens import LONGEST_KEPT, Encoder
 
 FILES = (("byte_bpe_50k.json", True), ("word_bpe_49k.json", False))
 PARTS = ["a", "the", "B", " ", "  ", "\n", "\n\n", ".", ",", "\t", "'s", "é", "İ", "ŉ", "1", "\xa0", "<|endoftext|>", "!", "\x0b", "中", "é", "..,"]
@@ -133,3 +133,15 @@ def test_packing_of_odd_rows(odd, nothing):
     tokens = check_packing(rows, {})
     assert tokens[1] == tokens[2] == tokens[3] == 1 and sum(row.doc_id == 5 for row in rows) == 2
     assert pack_documents(nothing).count() == 0
+
+
+@pytest.mark.parametrize("name, spaced", [("byte_bpe_50k.json", True), ("word_bpe_49k.json", False)])
+def test_texts_without_spaces_do_not_fill_the_cache(name, spaced):
+    """Thousands of long texts in one piece each: ids as the library's, and nothing of them is kept."""
+    draw = np.random.default_rng(2)
+    texts = ["".join(map(chr, draw.integers(0x4E00, 0x9FA5, 600))) for _ in range(1_500)] + ["a" * 9_000, "x" + "!" * 5_000, "x" * 70 + "!" * 70]
+    own = Encoder(name, spaced)
+    got = [np.frombuffer(ids, own.dtype).tolist() for ids in own.encode(texts)]
+    assert got == [found.ids for found in own.tokenizer.encode_batch(texts, add_special_tokens=False)]
+    kept = [*own.young, *own.old, *own.tails]
+    assert all(len(piece) <= LONGEST_KEPT for piece in kept) and len(kept) < 200
