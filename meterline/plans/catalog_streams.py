@@ -58,6 +58,12 @@ def m3_rolling_quality_stream(spark, sf):
     return flat(feeds.latest_updates(written, ["load_date", "dataset"]))
 
 
+def m3_counted_quality_stream(spark, sf):
+    out = new_path(spark, "counted")
+    feeds.count_quality(_readings(spark, sf), ENERGY_RULE, "ts", out, new_path(spark, "state"), ["row_index", "file_name"]).awaitTermination()
+    return flat(feeds.counted_quality(spark, out))
+
+
 def m2_stream_outcomes(spark, sf):
     """Every reading as accepted, rejected (repeated keys included) or late."""
     out = new_path(spark, "outcomes")
@@ -83,7 +89,7 @@ def b1_feed_sensor_stream(spark, sf):
 
 QUERIES = {
     f.__name__: f
-    for f in (m1_landing_stream, m2_stream_dedupe, m2_stream_rejects, m2_stream_outcomes, m3_rolling_quality_stream, b1_feed_sensor_stream)
+    for f in (m1_landing_stream, m2_stream_dedupe, m2_stream_rejects, m2_stream_outcomes, m3_rolling_quality_stream, m3_counted_quality_stream, b1_feed_sensor_stream)
 }
 
 SENSED = ["check_name", "batch_id", "dataset", "status", "expected_value", "actual_value", "threshold_value", "error_details"]
@@ -109,7 +115,7 @@ ORACLE = {
      FROM staged""",
     "b1_feed_sensor_stream": f"""SELECT 'file_arrival_check' AS check_name, {_SENSED} FROM ({FILE_ORACLE['b1_feed_arrival']})
      UNION ALL SELECT 'sla_check', {_SENSED} FROM ({FILE_ORACLE['b2_sla_check']})""",
-    "m3_rolling_quality_stream": with_roles(STAGED)
+    **dict.fromkeys(("m3_rolling_quality_stream", "m3_counted_quality_stream"), with_roles(STAGED)
     + f"""SELECT business_date AS load_date, dataset, count(*) AS total_records, count(*) FILTER ({_PLAIN}) AS valid_records,
-     {sql_round(f'100.0 * count(*) FILTER ({_PLAIN}) / count(*)')} AS quality_score FROM staged GROUP BY 1, 2""",
+     {sql_round(f'100.0 * count(*) FILTER ({_PLAIN}) / count(*)')} AS quality_score FROM staged GROUP BY 1, 2"""),
 }

@@ -84,6 +84,48 @@ def rolling_quality(readings: DataFrame, rules: FeedRules, event_time: str, dela
     )
 
 
+def count_quality(
+    readings: DataFrame, rules: FeedRules, event_time: str, out: str, checkpoint: str, keep: list[str], delay: str = "1 day"
+) -> StreamingQuery:
+    """Valid and total readings per feed and day under `counts`, readings behind the watermark under `late`.
+
+    The watermark of a micro-batch is the newest event time of the earlier ones
+    less `delay`, as in `rolling_quality`, but what lies behind it is kept: late
+    rows come out with their `keep` columns instead of vanishing, so counted and
+    late rows add up to all that was read. Counts are combined before they are
+    written and added up by `counted_quality`. Everything is written under its
+    micro-batch, so a repeated one replaces itself and sees the same watermark.
+    """
+
+    def save(batch: DataFrame, epoch: int) -> None:
+        spark = batch.sparkSession
+        marks = f"{out}/marks"
+        known = None
+        if epoch > 0:
+            earlier = spark.read.schema("newest timestamp, epoch long").parquet(marks).filter(F.col("epoch") < epoch)
+            known = earlier.agg((F.max("newest") - F.expr(f"interval {delay}")).alias("mark")).first().mark
+        late = F.col(event_time) < F.lit(known) if known is not None else F.lit(False)
+        rows = batch.withColumns(
+            {"_ok": plain_reason(batch, rules).isNull(), "_late": F.coalesce(late, F.lit(False)), "epoch": F.lit(epoch).cast("long")}
+        ).persist()
+        counts = rows.filter("not _late").groupBy(F.to_date(event_time).alias("load_date"), "dataset", "epoch").agg(
+            F.count(F.lit(1)).alias("total_records"), F.count_if("_ok").alias("valid_records")
+        )
+        sinks.write_batches(counts, f"{out}/counts", ("epoch",))
+        sinks.write_batches(rows.filter("_late").select(*keep, "epoch"), f"{out}/late", ("epoch",))
+        sinks.write_batches(rows.groupBy("epoch").agg(F.max(event_time).alias("newest")), marks, ("epoch",))
+        rows.unpersist()
+
+    return _run(readings.writeStream.foreachBatch(save), checkpoint)
+
+
+def counted_quality(spark: SparkSession, out: str) -> DataFrame:
+    """Quality per feed and day over all micro-batches that `count_quality` has written."""
+    counts = spark.read.schema("load_date date, dataset string, total_records long, valid_records long, epoch long").parquet(f"{out}/counts")
+    totals = counts.groupBy("load_date", "dataset").agg(*[F.sum(c).alias(c) for c in ("total_records", "valid_records")])
+    return totals.withColumn("quality_score", sql_round(F.lit(100.0) * F.col("valid_records") / F.col("total_records")))
+
+
 def write_updates(stream: DataFrame, out: str, checkpoint: str, mode: str) -> StreamingQuery:
     """Write each micro-batch's rows under its epoch."""
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from meterline.config import default_config
 from meterline.operators import filechecks as fc
 from meterline.operators import rowchecks as rc
-from meterline.streaming import stateful
+from meterline.streaming import feeds, stateful
 
 CONFIG = default_config()
 RULES = CONFIG.feeds["energy_consumption"]
@@ -65,6 +65,27 @@ def test_repeats_and_late_rows_across_micro_batches(spark, tmp_path):
     assert {o for o, _ in got.values()} == {"accepted", "rejected", "late"}
 
 
+def count(spark, folder):
+    stream = spark.readStream.schema(READING).option("maxFilesPerTrigger", 1).parquet(str(folder / "in")).withColumn("dataset", F.lit("energy"))
+    feeds.count_quality(stream, RULES, "ts", str(folder / "out"), str(folder / "state"), ["row_index"]).awaitTermination()
+    scores = {str(r.load_date): (r.total_records, r.valid_records, r.quality_score) for r in feeds.counted_quality(spark, str(folder / "out")).collect()}
+    late = spark.read.schema("row_index long, epoch long").parquet(str(folder / "out" / "late")).collect()
+    return scores, sorted(r.row_index for r in late)
+
+
+def test_counted_and_late_readings_add_up(spark, tmp_path):
+    put(spark, tmp_path / "in", [reading(1, "R1", 3), reading(2, "R2", 3, site=""), reading(3, "R3", 2)], READING)
+    assert count(spark, tmp_path) == ({"2026-01-03": (2, 1, 50.0), "2026-01-02": (1, 1, 100.0)}, [])
+    # The watermark is day 2: day 1 is late, day 2 itself is not.
+    put(spark, tmp_path / "in", [reading(4, "R4", 1), reading(5, "R5", 2), reading(6, "R6", 9)], READING)
+    wanted = {"2026-01-03": (2, 1, 50.0), "2026-01-02": (2, 2, 100.0), "2026-01-09": (1, 1, 100.0)}
+    assert count(spark, tmp_path) == (wanted, [4])
+    assert count(spark, tmp_path) == (wanted, [4])
+    put(spark, tmp_path / "in", [reading(7, "R7", 3), reading(8, "R8", 8)], READING)
+    scores, late = count(spark, tmp_path)
+    assert late == [4, 7] and sum(total for total, _, _ in scores.values()) + len(late) == 8
+
+
 DAY = "batch_id string, business_date string, as_of timestamp"
 FILE = "file_name string, received_at timestamp"
 
