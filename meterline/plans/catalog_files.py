@@ -9,6 +9,7 @@ from meterline.operators import filechecks as fc
 from meterline.operators import metrics as mt
 from meterline.operators import ops
 from meterline.operators import rowchecks as rc
+from meterline.operators.incidents import incident_alerts
 from meterline.plans import roles
 from meterline.plans.catalog_ops import (
     _PERF, _QUALITY, CONFIG, FILES, ORACLE as OPS_ORACLE, _feed_batches, _performance, _quality, file_log, h10_daily_ops_report,
@@ -179,7 +180,9 @@ def a15_batch_lineage_md(spark, sf):
         tasks, file_log(spark, sf), rows, checks, incidents, rows.filter("validation_status = 'VALID'"), incidents.select("batch_id"),
         energy="click", carbon="view",
     )
-    lines = sinks.lineage_lines(summary, tasks, file_log(spark, sf), checks, ops.rejection_reasons(rows))
+    lines = sinks.lineage_lines(
+        summary, tasks, file_log(spark, sf), checks, ops.rejection_reasons(rows), incidents, incident_alerts(incidents)
+    )
     path = new_path(spark, "lineage")
     sinks.write_lines(lines, path)
     back = spark.read.option("header", "true").option("escape", '"').schema("batch_id string, section int, key string, line string").csv(path)
@@ -334,7 +337,7 @@ ORACLE = {
      x AS (SELECT batch_id, count(*) AS n, 0 AS r, 0 AS h FROM st GROUP BY 1 UNION ALL SELECT batch_id, count(*), 0, 0 FROM files GROUP BY 1
       UNION ALL SELECT batch_id, count(*), 0, 0 FROM checks GROUP BY 1
       UNION ALL SELECT batch_id, count(DISTINCT rejection_reason), count(DISTINCT rejection_reason), 0 FROM staged WHERE rejection_reason IS NOT NULL GROUP BY 1
-      UNION ALL SELECT batch_id, 21, 0, 5 FROM k)
+      UNION ALL SELECT batch_id, 2 * count(*), 0, 0 FROM si GROUP BY 1 UNION ALL SELECT batch_id, 41, 0, 9 FROM k)
      SELECT batch_id, CAST(sum(n) AS BIGINT) AS lines, CAST(sum(r) AS BIGINT) AS reasons, CAST(sum(h) AS BIGINT) AS headings FROM x GROUP BY 1""",
     "b1_feed_arrival": with_roles(FILES)
     + """, e AS (SELECT DISTINCT business_date, batch_id, unnest(['click','view','purchase','error','signup']) AS dataset FROM files),

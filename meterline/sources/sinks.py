@@ -38,8 +38,10 @@ def export_query(spark: SparkSession, sql: str, path: str, args: dict | None = N
 
 
 def write_rejected(rejected: DataFrame, path: str) -> None:
-    """Rejected rows as seven-column CSV files per batch."""
-    _csv(rejected.select("batch_id", *REJECTED_COLUMNS), path, ("batch_id",))
+    """Rejected rows as seven-column CSV files per batch; a batch that comes again replaces its own."""
+    rows = rejected.select("batch_id", *REJECTED_COLUMNS).hint("rebalance", "batch_id")
+    writer = rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch_id")
+    writer.option("header", "true").option("quote", '"').option("escape", '"').option("emptyValue", "").csv(path)
 
 
 def write_metrics(lines: DataFrame, path: str) -> None:
@@ -97,11 +99,15 @@ def write_incidents(aged: DataFrame, path: str) -> None:
     _csv(incident_table(aged), path)
 
 
-def lineage_lines(summary: DataFrame, tasks: DataFrame, files: DataFrame, checks: DataFrame, reasons: DataFrame) -> DataFrame:
+def lineage_lines(
+    summary: DataFrame, tasks: DataFrame, files: DataFrame, checks: DataFrame, reasons: DataFrame, incidents: DataFrame, alerts: DataFrame
+) -> DataFrame:
     """Batch lineage as Markdown: batch, section, key within the section and line.
 
-    Every task, file, check and reason is its own row, so a large batch is never
-    gathered; sort by section and key when writing one batch.
+    Sections: overview, tasks, files, rejection reasons, checks, warehouse,
+    source against target, incidents, alerts. Every task, file, check, reason,
+    incident and alert is its own row, so a large batch is never gathered; sort
+    by section and key when writing one batch.
     """
 
     def section(df: DataFrame, number: int, key: Column, line: Column) -> DataFrame:
@@ -124,14 +130,28 @@ def lineage_lines(summary: DataFrame, tasks: DataFrame, files: DataFrame, checks
         ("Fact rows", F.col("target_count")), ("Reconciliation", F.col("recon_status")),
         ("Checks", F.format_string("%d executed, %d passed, %d failed, %d warn", "dq_executed", "dq_passed", "dq_failed", "dq_warn")),
     ]
-    overview = summary.select(
-        "batch_id", F.lit(1).alias("section"), F.posexplode(F.array(*[cells(F.lit(label), value) for label, value in facts])).alias("n", "line")
-    ).select("batch_id", "section", F.concat(F.lit("0"), F.col("n").cast("string")).alias("key"), "line")
+
+    def figures(number: int, pairs: list[tuple[str, Column]]) -> DataFrame:
+        lines = F.posexplode(F.array(*[cells(F.lit(label), value) for label, value in pairs])).alias("n", "line")
+        return summary.select("batch_id", F.lit(number).alias("section"), lines).select(
+            "batch_id", "section", F.concat(F.lit("0"), F.col("n").cast("string")).alias("key"), "line"
+        )
+
+    def both(source: str, target: str) -> Column:
+        return F.concat_ws(" -> ", F.col(source).cast("string"), F.col(target).cast("string"))
+
+    loaded = [
+        ("Rows", F.col("target_count")), ("Sites", F.col("sites_covered")), ("kWh", F.col("target_energy")), ("kgCO2e", F.col("target_emissions")),
+    ]
+    sides = [
+        ("Rows", both("source_count", "target_count")), ("kWh", both("source_energy", "target_energy")), ("kWh apart", F.col("energy_diff")),
+        ("Result", F.col("recon_status")),
+    ]
     target = F.concat_ws(".", "table_name", "column_name")
     moved = F.concat_ws(" -> ", "expected_value", "actual_value")
     parts = [
         heads(1, "# Batch lineage", "| Field | Value |", "|---|---|"),
-        overview,
+        figures(1, facts),
         heads(2, "## Tasks", "| # | Task | Duration | Read | Loaded | Rejected | Status |", "|---|---|---|---|---|---|---|"),
         section(
             tasks, 2, F.lpad(F.col("sequence").cast("string"), 20, "0"),
@@ -147,6 +167,20 @@ def lineage_lines(summary: DataFrame, tasks: DataFrame, files: DataFrame, checks
             checks, 5, F.lpad(F.col("check_id").cast("string"), 20, "0"),
             cells(F.col("check_name"), target, moved, F.col("severity"), F.col("status")),
         ),
+        heads(6, "## Warehouse", "| Figure | Value |", "|---|---|"),
+        figures(6, loaded),
+        heads(7, "## Source -> target", "| Figure | Value |", "|---|---|"),
+        figures(7, sides),
+        heads(8, "## Incidents", "| Incident | Type | Severity | Status | What |", "|---|---|---|---|---|"),
+        section(
+            incidents, 8, F.col("incident_id"),
+            cells(F.col("incident_id"), F.col("incident_type"), F.col("severity"), F.col("status"), F.col("short_description")),
+        ),
+        heads(9, "## Alerts", "| At | Type | Severity | Message |", "|---|---|---|---|"),
+        section(
+            alerts, 9, F.concat_ws(" ", "created_at", "message"),
+            cells(F.col("created_at"), F.col("alert_type"), F.col("severity"), F.col("message")),
+        ),
     ]
     out = parts[0]
     for part in parts[1:]:
