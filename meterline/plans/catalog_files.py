@@ -34,7 +34,8 @@ def feed_lines(spark, sf) -> DataFrame:
     f = roles.feed(spark, sf)
     i = F.col("row_index")
     name = F.format_string("readings_%07d", F.floor(i / ROWS_PER_FILE).cast("long"))
-    site = F.when(i % 106 == 0, F.lit('"a,""q""\n\n b"')).when(i % 53 == 0, F.lit('"a,""q"" b"')).otherwise(F.col("site_id"))
+    # Every fourth file has values of several lines.
+    site = F.when((i % 106 == 0) & (F.floor(i / ROWS_PER_FILE) % 4 == 0), F.lit('"a,""q""\n\n b"')).when(i % 53 == 0, F.lit('"a,""q"" b"')).otherwise(F.col("site_id"))
     tail = F.when(i % 61 == 0, "").when(i % 1997 == 5, F.concat(F.lit(","), "emissions_co2e", F.lit(","))).otherwise(
         F.concat(F.lit(","), "emissions_co2e")
     )
@@ -262,7 +263,7 @@ QUERIES = {
 }
 
 _LINES = FEED + """, lines AS (SELECT *, 'readings_' || lpad(CAST(row_index // 1000 AS VARCHAR), 7, '0') AS feed_name, record_id || ',' ||
- CASE WHEN row_index % 106 = 0 THEN '"a,""q""' || chr(10) || chr(10) || ' b"' WHEN row_index % 53 = 0 THEN '"a,""q"" b"' ELSE site_id END || ',' || reading_date || ',' || energy_kwh ||
+ CASE WHEN row_index % 106 = 0 AND row_index // 1000 % 4 = 0 THEN '"a,""q""' || chr(10) || chr(10) || ' b"' WHEN row_index % 53 = 0 THEN '"a,""q"" b"' ELSE site_id END || ',' || reading_date || ',' || energy_kwh ||
  CASE WHEN row_index % 61 = 0 THEN '' WHEN row_index % 1997 = 5 THEN ',' || emissions_co2e || ',' ELSE ',' || emissions_co2e END AS line FROM feed)"""
 _BODY = f"'{HEADER}' || chr(10) || string_agg(line, chr(10) ORDER BY row_index) || chr(10)"
 _FULL = "record_id,site_id,reading_date,energy_kwh,emissions_co2e"
@@ -282,7 +283,7 @@ ORACLE = {
     "a3_feed_read_csv": with_roles(_LINES)
     + """SELECT feed_name AS file_name, row_number() OVER (PARTITION BY feed_name ORDER BY row_index) - 1 AS row_index,
      CASE WHEN row_index % 61 = 0 THEN 4 WHEN row_index % 1997 = 5 THEN 6 ELSE 5 END AS n_fields, record_id,
-     CASE WHEN row_index % 106 = 0 THEN 'a,"q"' || chr(10) || chr(10) || ' b' WHEN row_index % 53 = 0 THEN 'a,"q" b' ELSE site_id END AS site_id, reading_date, energy_kwh,
+     CASE WHEN row_index % 106 = 0 AND row_index // 1000 % 4 = 0 THEN 'a,"q"' || chr(10) || chr(10) || ' b' WHEN row_index % 53 = 0 THEN 'a,"q" b' ELSE site_id END AS site_id, reading_date, energy_kwh,
      CASE WHEN row_index % 61 = 0 THEN '' ELSE emissions_co2e END AS emissions_co2e FROM lines""".replace("THEN 4 WHEN", "THEN CAST(4 AS BIGINT) WHEN"),
     "a4_structural_corruption": with_roles(_LINES)
     + """, n AS (SELECT *, row_number() OVER (PARTITION BY feed_name ORDER BY row_index) + 1 AS line_no FROM lines)

@@ -103,7 +103,7 @@ ORACLE = {
      CASE WHEN energy_kwh <> '1d' AND coalesce(n, repeat_reason, date_reason) IS NULL THEN CAST(nullif(energy_kwh, '1d') AS DOUBLE) END AS energy_kwh,
      CASE WHEN coalesce(n, repeat_reason, date_reason, energy_reason) IS NULL THEN 'VALID' ELSE 'REJECTED' END AS validation_status,
      coalesce(n, repeat_reason, date_reason, energy_reason) AS rejection_reason
-     FROM (SELECT *, CASE WHEN row_index % 106 = 0 THEN 'a,"q"' || chr(10) || chr(10) || ' b' WHEN row_index % 53 = 0 THEN 'a,"q" b'
+     FROM (SELECT *, CASE WHEN row_index % 106 = 0 AND row_index // 1000 % 4 = 0 THEN 'a,"q"' || chr(10) || chr(10) || ' b' WHEN row_index % 53 = 0 THEN 'a,"q" b'
       ELSE site_id END AS s,
       CASE WHEN row_index % 53 <> 0 THEN null_reason END AS n FROM staged)""",
     "m2_stream_dedupe": with_roles(STAGED) + f"SELECT DISTINCT file_name, record_id FROM staged WHERE {_PLAIN}",
