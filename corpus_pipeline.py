@@ -6,10 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 
 from meterline.llm.decontaminate import drop_leaks
 from meterline.llm.frames import written
+from meterline.llm.nearcopies import drop_near_copies
 from meterline.llm.packing import pack_documents
 from meterline.llm.quality import keep_good
 from meterline.llm.secrets import redact_secrets
-from meterline.llm.simhash import drop_near_copies
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
