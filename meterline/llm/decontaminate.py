@@ -1,13 +1,16 @@
-"""Benchmark decontamination: exact retrieval of passages, order and answer checks, latent scores.
+"""Benchmark decontamination: latent semantic retrieval of passages, order and answer checks.
 
-A copy misses few words of its item, so it holds several of any set of its words
-that is larger than what it may miss. The words of an item that fewest documents
-hold are such a set: wherever enough of them lie close together, the longest
-common subsequence of words decides, and for paraphrases whether the answer of
-the item occurs. No passage that these would accept is passed over.
+Windows of every text are compared with the benchmark items by their cosine in a
+latent space. Around those close to an item the longest common subsequence of
+words decides, and for paraphrases whether the answer of the item occurs.
 
-Every finding is scored by its cosine in a latent space. The vocabulary of the
-space is that of the benchmark, weighted by inverse document frequencies counted
+What the cosine misses comes by a second, exact path. A copy misses few words of
+its item, so it holds several of any set of its words that is larger than what
+it may miss. The words that fewest documents hold are such a set: wherever enough
+of them lie close together, the same checks decide. The column `latent` says what
+the cosine found.
+
+The vocabulary of the space is that of the benchmark, weighted by inverse document frequencies counted
 over all documents. A randomised SVD of the TF-IDF passages of all documents
 gives the space: tasks sketch their passages, a grouped sum adds the sketches
 word by word, and the driver factorises what has one row per benchmark word.
@@ -28,12 +31,23 @@ from meterline.llm.frames import pick, row_key, rows_of, written
 
 RANK = 64
 PASSAGE = 48
+LENGTH_STEP = 1.5
+LONGEST = 96
 LEAST_WEIGHT = 0.1
+COSINE = 0.4
 COPY = 0.8
 PARAPHRASE = 0.6
 ANSWER = 0.8
 BLOCK_WORDS = 200_000
 BATCH_WORDS = 100_000
+#: Items of fewer words are found by what a copy or their answer keeps, longer ones by what any paraphrase keeps.
+SHORT = 15
+#: Word lists of at most so many words fit a 64-bit lane.
+LANES = 63
+#: Rows of one step of work: hits of telling words, regions, cosines.
+HITS, REGIONS, COSINES = 2_000_000, 200_000, 4_000_000
+#: Longer words are not kept in the cache.
+CACHE_LENGTH = 64
 CACHE_WORDS = 500_000
 ENDS = ".,;:!?\"'()[]"
 SENTENCE = re.compile(r"[.!?]\s+")
@@ -72,7 +86,9 @@ class Vocabulary:
         if None in found:
             for i, x in enumerate(found):
                 if x is None:
-                    found[i] = self.cache[tokens[i]] = self.known.get(plain(tokens[i]), self.size)
+                    found[i] = self.known.get(plain(tokens[i]), self.size)
+                    if len(tokens[i]) <= CACHE_LENGTH:
+                        self.cache[tokens[i]] = found[i]
         return np.array(found, np.int64)
 
 
@@ -202,6 +218,45 @@ def common_length(left: list, right: list) -> int:
     return length_in_order(places_of(left), len(left), right)
 
 
+class Orders:
+    """Longest common subsequences of many word lists with many regions, bit-parallel in both the words and the pairs."""
+
+    def __init__(self, lists: list[list[int]], size: int):
+        self.places = [places_of(words) for words in lists]
+        self.lengths = np.array([len(words) for words in lists], np.int64)
+        self.size = size
+        short = [(i * size + word, bits) for i, places in enumerate(self.places) if len(lists[i]) <= LANES for word, bits in places.items()]
+        short.sort()
+        self.keys = np.array([key for key, _ in short] + [np.iinfo(np.int64).max], np.int64)
+        self.bits = np.array([bits for _, bits in short] + [0], np.uint64)
+
+    def in_order(self, owner: np.ndarray, left: np.ndarray, right: np.ndarray, number: np.ndarray) -> np.ndarray:
+        """Length of the longest common subsequence of list `owner` and the words from left to right, for every triple."""
+        out = np.zeros(len(owner), np.int64)
+        n = self.lengths[owner]
+        for k in np.flatnonzero(n > LANES).tolist():
+            out[k] = length_in_order(self.places[owner[k]], int(n[k]), number[left[k] : right[k]].tolist())
+        lanes = np.flatnonzero(n <= LANES)
+        # The longest regions first, so that those still open are the front of every array.
+        lanes = lanes[np.argsort(left[lanes] - right[lanes], kind="stable")]
+        base, start, span = owner[lanes] * self.size, left[lanes], right[lanes] - left[lanes]
+        full = (np.uint64(1) << n[lanes].astype(np.uint64)) - np.uint64(1)
+        state = full.copy()
+        for offset in range(int(span.max(initial=0))):
+            open_ = np.searchsorted(-span, -offset, side="left")
+            word = number[start[:open_] + offset]
+            some = np.flatnonzero(word < self.size)
+            key = base[some] + word[some]
+            at = np.searchsorted(self.keys, key)
+            hit = self.keys[at] == key
+            some, match = some[hit], self.bits[at[hit]]
+            now = state[some]
+            update = now & match
+            state[some] = ((now + update) | (now - update)) & full[some]
+        out[lanes] = n[lanes] - np.bitwise_count(state)
+        return out
+
+
 class Index(NamedTuple):
     """What the tasks need to search: bounded by the words of one block of items."""
 
@@ -212,14 +267,19 @@ class Index(NamedTuple):
     df: np.ndarray
 
 
-def telling_words(numbers: list[int], df: np.ndarray) -> tuple[set[int], int]:
-    """Words of an item that fewest documents hold, and how many of their places a paraphrase keeps at least."""
+def telling_words(numbers: list[int], df: np.ndarray, share: float) -> tuple[set[int], int]:
+    """Words that fewest documents hold, and at how many of their places at least a text agrees that keeps `share` of all."""
     n = len(numbers)
-    missing = n - int(np.ceil(PARAPHRASE * n - 1e-9))
+    missing = n - int(np.ceil(share * n - 1e-9))
     kept = max(1, n // 5)
     return set(sorted(numbers, key=lambda word: (df[word], word))[: missing + kept]), kept
 
 
+def window_length(n: int) -> int:
+    """Power of `LENGTH_STEP` next to an item's length, at most `LONGEST`."""
+    return min(LONGEST, max(1, round(LENGTH_STEP ** round(np.log(n) / np.log(LENGTH_STEP)))))
+
+
 class Searcher:
     """Finds and checks candidates in batches of documents."""
 
@@ -229,79 +289,154 @@ class Searcher:
         place = {word: i for i, word in enumerate(index.words)}
         numbers = [[place[word] for word in item.words] for item in index.items]
         answers = [[place[word] for word in item.answer] for item in index.items]
-        self.places = [(places_of(words), len(words)) for words in numbers]
-        self.answers = [(places_of(words), len(words)) for words in answers]
+        self.lengths = np.array([len(words) for words in numbers])
         self.vectors = np.zeros((self.size + 1, index.latent.shape[1]), np.float32)
         self.vectors[:-1] = index.latent * index.weights[:, None]
-        self.queries = np.array([self.direction(words) for words in numbers])
-        told = [telling_words(words, index.df) for words in numbers]
-        self.lengths = np.array([len(words) for words in numbers])
-        self.least = np.array([kept for _, kept in told])
-        word = np.array([w for words, _ in told for w in words], np.int64)
-        owner = np.repeat(np.arange(len(told)), [len(words) for words, _ in told])
-        self.owners = owner[np.argsort(word, kind="stable")]
-        self.held = np.bincount(word, minlength=self.size + 1)
-        self.start = np.cumsum(self.held) - self.held
+        self.items, self.answers = Orders(numbers, self.size), Orders(answers, self.size)
+        self.directions = np.array([self.direction(words) for words in numbers])
+        self.queries = self.latent_queries(numbers)
+        self.probes(numbers, answers)
 
     def direction(self, number) -> np.ndarray:
         latent = self.vectors[number].sum(axis=0)
         return latent / (np.linalg.norm(latent) + 1e-9)
 
-    def regions(self, lengths: np.ndarray, number: np.ndarray) -> np.ndarray:
-        """Document, item and window of all places that can hold a paraphrase or copy, as rows.
+    def latent_queries(self, numbers: list[list[int]]) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+        """By window length the directions of items, long ones in overlapping parts, and the items they belong to."""
+        found: dict[int, tuple[list, list]] = {}
+        for i, words in enumerate(numbers):
+            rows, owners = found.setdefault(window_length(len(words)), ([], []))
+            for at in range(0, max(1, len(words) - LONGEST // 2), LONGEST // 2):
+                rows.append(self.direction(words[at : at + LONGEST]))
+                owners.append(i)
+        return {length: (np.array(rows, np.float32), np.array(owners)) for length, (rows, owners) in found.items()}
+
+    def probes(self, numbers: list[list[int]], answers: list[list[int]]) -> None:
+        """Words by which the exact path finds an item.
+
+        Longer items have one probe for all they can be found by. In short ones
+        it would name common words, so a copy has a probe and a paraphrase one
+        for the answer it must hold.
+        """
+        told, owner = [], []
+        for i, words in enumerate(numbers):
+            if len(words) >= SHORT:
+                parts = [telling_words(words, self.index.df, PARAPHRASE)]
+            else:
+                parts = [telling_words(words, self.index.df, COPY), telling_words(answers[i], self.index.df, ANSWER)]
+            told += parts
+            owner += [i] * len(parts)
+        self.probe_item = np.array(owner, np.int64)
+        self.least = np.array([kept for _, kept in told])
+        word = np.array([w for words, _ in told for w in words], np.int64)
+        probe = np.repeat(np.arange(len(told)), [len(words) for words, _ in told])
+        self.keys = np.sort(word * len(told) + probe)
+        self.held = np.bincount(word, minlength=self.size + 1)
+
+    def runs(self, lengths: np.ndarray, number: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
+        """Document, item, first and last window of all places that hold enough telling words, some millions of hits at a time.
 
         A window starts at a multiple of a quarter of the item; the region around
         it has half the item's length before it and after it. Any passage of at
         most 7/4 of the item's length lies in a region; one that keeps enough of
         the item holds `least` telling words within twice the item's length.
         """
+        starts, ends = np.cumsum(lengths) - lengths, np.cumsum(lengths)
+        probes = len(self.least)
+        telling = np.flatnonzero(self.held[number])
+        parts = min(probes, 1 + int(self.held[number].sum()) // HITS)
+        cuts = np.linspace(0, probes, parts + 1).astype(np.int64)
+        for low_probe, high_probe in zip(cuts[:-1], cuts[1:], strict=True):
+            base = number[telling] * probes
+            low, high = np.searchsorted(self.keys, base + low_probe), np.searchsorted(self.keys, base + high_probe)
+            times = high - low
+            at = np.repeat(telling, times)
+            probe = self.keys[np.repeat(low - np.cumsum(times) + times, times) + np.arange(len(at))] % probes
+            order = np.argsort(probe, kind="stable")
+            probe, at = probe[order], at[order]
+            doc = np.searchsorted(ends, at, side="right")
+            n = self.lengths[self.probe_item[probe]]
+            first = np.arange(len(at))
+            last = first + self.least[probe] - 1
+            first, last = first[last < len(at)], last[last < len(at)]
+            near = (probe[first] == probe[last]) & (doc[first] == doc[last]) & (at[last] - at[first] < 2 * n[first])
+            first, last = first[near], last[near]
+            doc, probe, n = doc[first], probe[first], n[first]
+            step = np.maximum(1, n // 4)
+            low = np.maximum(0, at[last] - starts[doc] - 2 * n + 1 + n // 2) // step
+            high = (at[first] - starts[doc] + n // 2) // step
+            # Runs of one probe come in order, so a window that the run before them has is left out.
+            same = np.flatnonzero((np.diff(probe) == 0) & (np.diff(doc) == 0)) + 1
+            low[same] = np.maximum(low[same], high[same - 1] + 1)
+            some = low <= high
+            yield doc[some], self.probe_item[probe[some]], low[some], high[some]
+
+    def exact_regions(self, lengths: np.ndarray, number: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
+        """Document, item, first word and end of all regions that can hold a paraphrase or copy.
+
+        The words of all regions of a run are checked at once before they are told apart.
+        """
+        starts = np.cumsum(lengths) - lengths
+        for found in self.runs(lengths, number):
+            for at in range(0, len(found[0]), REGIONS):
+                doc, item, low, high = (column[at : at + REGIONS] for column in found)
+                n = self.lengths[item]
+                step = np.maximum(1, n // 4)
+                left, right = np.maximum(0, low * step - n // 2), np.minimum(lengths[doc], high * step + n + n // 2)
+                able = self.items.in_order(item, starts[doc] + left, starts[doc] + right, number) >= PARAPHRASE * n - 1e-9
+                doc, item, low, high, n, step = (column[able] for column in (doc, item, low, high, n, step))
+                count = high - low + 1
+                first = (np.repeat(low - np.cumsum(count) + count, count) + np.arange(count.sum())) * np.repeat(step, count)
+                doc, item, n = np.repeat(doc, count), np.repeat(item, count), np.repeat(n, count)
+                yield doc, item, np.maximum(0, first - n // 2), np.minimum(lengths[doc], first + n + n // 2)
+
+    def latent_regions(self, lengths: np.ndarray, number: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
+        """Document, item, first word and end around all windows whose cosine with an item reaches `COSINE`."""
         starts = np.cumsum(lengths) - lengths
-        times = self.held[number]
-        at = np.repeat(np.arange(len(number)), times)
-        nth = np.arange(len(at)) - np.repeat(np.cumsum(times) - times, times)
-        item = self.owners[self.start[number[at]] + nth]
-        order = np.argsort(item, kind="stable")
-        item, at = item[order], at[order]
-        doc = np.searchsorted(np.cumsum(lengths), at, side="right")
-        first = np.arange(len(at))
-        last = first + self.least[item] - 1
-        first, last = first[last < len(at)], last[last < len(at)]
-        near = (item[first] == item[last]) & (doc[first] == doc[last]) & (at[last] - at[first] < 2 * self.lengths[item[first]])
-        first, last = first[near], last[near]
-        doc, item = doc[first], item[first]
-        n = self.lengths[item]
-        step = np.maximum(1, n // 4)
-        low = np.maximum(0, at[last] - starts[doc] - 2 * n + 1 + n // 2) // step
-        high = (at[first] - starts[doc] + n // 2) // step
-        # Runs of one item come in order, so a window that the run before them has is left out.
-        same = np.flatnonzero((np.diff(item) == 0) & (np.diff(doc) == 0)) + 1
-        low[same] = np.maximum(low[same], high[same - 1] + 1)
-        count = np.maximum(0, high - low + 1)
-        window = np.repeat(low - np.cumsum(count) + count, count) + np.arange(count.sum())
-        return np.stack([np.repeat(doc, count), np.repeat(item, count), window], axis=1)
-
-    def leaks(self, lengths: np.ndarray, number: np.ndarray) -> Iterator[tuple[int, int, int, int, float, float, bool]]:
-        """Document, item, first word, end, cosine, share of the item in order, and whether its answer occurs."""
+        sums = np.zeros((len(number) + 1, self.vectors.shape[1]))
+        np.cumsum(self.vectors[number], axis=0, out=sums[1:])
+        for length, (queries, owners) in self.queries.items():
+            step = max(1, length // 4)
+            windows = np.maximum(1, -(-(lengths - length) // step) + 1) * (lengths > 0)
+            doc = np.repeat(np.arange(len(lengths)), windows)
+            first = (np.arange(len(doc)) - np.repeat(np.cumsum(windows) - windows, windows)) * step
+            block = max(256, COSINES // len(owners))
+            for at in range(0, len(doc), block):
+                d, f = doc[at : at + block], first[at : at + block]
+                latent = sums[starts[d] + np.minimum(f + length, lengths[d])] - sums[starts[d] + f]
+                latent = (latent / (np.linalg.norm(latent, axis=1, keepdims=True) + 1e-9)).astype(np.float32)
+                row, query = np.divmod(np.flatnonzero(latent @ queries.T >= COSINE), len(owners))
+                d, f, item = d[row], f[row], owners[query]
+                n = self.lengths[item]
+                yield d, item, np.maximum(0, f - n // 2), np.minimum(lengths[d], f + np.maximum(length, n) + n // 2)
+
+    def leaks(self, lengths: np.ndarray, number: np.ndarray) -> Iterator[tuple[int, int, int, int, float, float, bool, bool]]:
+        """Document, item, first word, end, cosine, share of the item in order, whether its answer occurs and whether the cosine found it."""
         if not len(number):
             return
         starts = np.cumsum(lengths) - lengths
         best: dict[tuple[int, int], tuple] = {}
-        for d, i, window in self.regions(lengths, number).tolist():
-            n = int(self.lengths[i])
-            base, size, first = int(starts[d]), int(lengths[d]), window * max(1, n // 4)
-            left, right = max(0, first - n // 2), min(size, first + n + n // 2)
-            region = number[base + left : base + right].tolist()
-            in_order = length_in_order(*self.places[i], region) / n
-            if in_order < max(PARAPHRASE, best.get((d, i), (0.0,))[0]):
-                continue
-            answer = length_in_order(*self.answers[i], region) >= ANSWER * self.answers[i][1]
-            if in_order >= COPY or answer:
-                cosine = float(self.direction(number[base + first : base + min(size, first + n)]) @ self.queries[i])
-                found = (in_order, cosine, left, right, answer)
-                if found > best.get((d, i), (-1.0,)):
-                    best[d, i] = found
-        for (d, i), (in_order, cosine, left, right, answer) in sorted(best.items()):
-            yield d, i, left, right, cosine, in_order, answer
+        latent = set()
+        for way in (self.latent_regions, self.exact_regions):
+            for regions in way(lengths, number):
+                for at in range(0, len(regions[0]), REGIONS):
+                    doc, item, left, right = (column[at : at + REGIONS] for column in regions)
+                    share = self.items.in_order(item, starts[doc] + left, starts[doc] + right, number) / self.lengths[item]
+                    doc, item, left, right, share = (column[share >= PARAPHRASE] for column in (doc, item, left, right, share))
+                    answer = self.answers.in_order(item, starts[doc] + left, starts[doc] + right, number) >= ANSWER * self.answers.lengths[item]
+                    taken = np.flatnonzero((share >= COPY) | answer)
+                    for d, i, l, r, in_order, full in zip(*(c[taken].tolist() for c in (doc, item, left, right, share, answer)), strict=True):
+                        if way == self.latent_regions:
+                            latent.add((d, i))
+                        if (in_order, -l) > best.get((d, i), (-1.0, 0))[:2]:
+                            best[d, i] = (in_order, -l, r, full)
+        for (d, i), (in_order, left, right, answer) in sorted(best.items()):
+            yield d, i, -left, right, self.cosine(number[starts[d] - left : starts[d] + right], i), in_order, answer, (d, i) in latent
+
+    def cosine(self, region: np.ndarray, i: int) -> float:
+        """Best cosine of an item and the windows of its length in a region."""
+        n = int(self.lengths[i])
+        return max(float(self.direction(region[at : at + n]) @ self.directions[i]) for at in range(0, max(1, len(region) - n + 1), max(1, n // 4)))
 
 
 def item_blocks(benchmark: DataFrame) -> Iterator[list[Item]]:
@@ -328,14 +463,14 @@ def build_index(ids: DataFrame, items: list[Item], words: list[str], rank: int =
     return Index(items, words, weights, latent_space(sketch, directions), df)
 
 
-LEAKS = "doc_id long, row long, item_id long, first_word long, end_word long, cosine double, in_order double, answer boolean"
+LEAKS = "doc_id long, row long, item_id long, first_word long, end_word long, cosine double, in_order double, answer boolean, latent boolean"
 
 
 def leaked_items(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """One row per document and benchmark item found in it.
 
     doc_id, a hash `row` of id and text, item_id, the words searched (first_word to end_word), the latent cosine, the
-    share of the item's words that occur in order, and whether its answer occurs.
+    share of the item's words that occur in order, whether its answer occurs, and whether the cosine search found it.
     A copy has at least `COPY` of the item in order; a paraphrase at least
     `PARAPHRASE` and the answer, both within 7/4 of the item's length. Null texts and empty ones hold nothing, items
     without words are never found; null ids and repeated rows are reported like
@@ -360,14 +495,14 @@ def search(ids: DataFrame, index: Index) -> DataFrame:
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         searcher = Searcher(shared.value)
-        names = ["doc_id", "row", "item_id", "first_word", "end_word", "cosine", "in_order", "answer"]
-        kinds = [pa.int64()] * 5 + [pa.float64()] * 2 + [pa.bool_()]
+        names = ["doc_id", "row", "item_id", "first_word", "end_word", "cosine", "in_order", "answer", "latent"]
+        kinds = [pa.int64()] * 5 + [pa.float64()] * 2 + [pa.bool_()] * 2
         for batch in batches:
             rows = []
             for doc_ids, keys, lengths, number in batches_of(batch, kind):
                 for d, i, *found in searcher.leaks(lengths, number):
                     rows.append((doc_ids[d], keys[d], searcher.index.items[i].item_id, *found))
-            columns = list(zip(*rows, strict=True)) or [()] * 8
+            columns = list(zip(*rows, strict=True)) or [()] * 9
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names)
 
     return ids.mapInArrow(run, LEAKS)

@@ -122,8 +122,8 @@ def similar_pairs(pairs: DataFrame, narrow: DataFrame, sources: DataFrame) -> Da
 def band_links(nodes: DataFrame, narrow: DataFrame) -> DataFrame | None:
     """Links (a, b) between similar sets that share a band.
 
-    In every band each set is compared with the one of the smallest name that has
-    its key, so comparisons grow with the sets, not with the pairs of a group.
+    In every band each set is compared with one that has its key, drawn anew for
+    each key, so comparisons grow with the sets, not with the pairs of a group.
     Those not similar to it form the group of the next round, until a round of
     comparisons finds no new link.
     """
@@ -132,7 +132,7 @@ def band_links(nodes: DataFrame, narrow: DataFrame) -> DataFrame | None:
     links = None
     compared = None
     while True:
-        heads = todo.groupBy("key").agg(F.min(F.struct("node", "n")).alias("head"), F.count(F.lit(1)).alias("held")).filter("held > 1")
+        heads = todo.groupBy("key").agg(F.min(F.struct(F.xxhash64("node", "key").alias("h"), "node", "n")).alias("head"), F.count(F.lit(1)).alias("held")).filter("held > 1")
         met = written(
             todo.join(heads, "key").filter("node != head.node")
             .select("key", "node", "n", F.col("head.node").alias("rep"), F.col("head.n").alias("rep_n"))

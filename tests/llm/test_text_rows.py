@@ -338,6 +338,48 @@ def test_retrieval_loses_nothing_brute_force_finds(documents, texts, spark, sf):
     assert wanted <= {(row.doc_id, row.item_id) for row in decontaminate.leak_report(docs, benchmark).collect()}
 
 
+def test_cosine_search_finds_most_by_itself(documents, spark, sf):
+    """The exact path adds what the cosine misses; that is at most a tenth."""
+    rows = decontaminate.leak_report(documents, spark.read.parquet(f"{sf}/benchmark.parquet")).collect()
+    assert sum(row.latent for row in rows) >= 0.9 * len(rows) > 0
+
+
+def test_short_questions_of_one_form(spark):
+    """Seven-word items that share all words but two, against brute force; the search stays small."""
+    chance = random.Random(8)
+    nouns = [f"noun{k}" for k in range(60)]
+    items = [f"what is the {a} of the {b}" for a, b in (chance.sample(nouns, 2) for _ in range(300))]
+    rows = [(k, " ".join(chance.choices([*nouns, "what", "is", "the", "of", "a", "in"], k=100))) for k in range(40)]
+    rows += [(100 + k, f"{rows[k][1]} {items[k]} {rows[k + 1][1]}") for k in range(20)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    benchmark = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    found = {(row.doc_id, row.item_id) for row in decontaminate.leak_report(docs, benchmark).collect()}
+    made = [decontaminate.item_of(i, text) for i, text in enumerate(items)]
+    wanted = set()
+    for k, text in rows:
+        words = text.split()
+        for i, item in enumerate(made):
+            if any(word in words for word in item.words if word.startswith("noun")):
+                for at in range(len(words) - 11):
+                    span = words[at : at + 12]
+                    in_order = decontaminate.common_length(item.words, span)
+                    if in_order >= 5.6 or in_order >= 4.2 and decontaminate.common_length(item.answer, span) >= 2.4:
+                        wanted.add((k, i))
+                        break
+    assert {(100 + k, k) for k in range(20)} <= wanted <= found
+
+
+def test_orders_of_many_pairs():
+    chance = np.random.default_rng(4)
+    lists = [chance.integers(0, 6, n).tolist() for n in (1, 3, 7, 40, 63, 64, 90)]
+    number = chance.integers(0, 8, 500)
+    owner, left = chance.integers(0, len(lists), 300), chance.integers(0, 400, 300)
+    right = left + chance.integers(0, 100, 300)
+    found = decontaminate.Orders(lists, 6).in_order(owner, left, right, number)
+    wanted = [decontaminate.common_length(lists[o], number[a:b].tolist()) for o, a, b in zip(owner, left, right, strict=True)]
+    assert found.tolist() == wanted
+
+
 def test_common_length():
     chance = random.Random(2)
     for _ in range(200):
