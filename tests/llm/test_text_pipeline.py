@@ -9,9 +9,10 @@ import numpy as np
 from pyspark.sql import functions as F
 
 import corpus_pipeline
+from meterline.llm import nearcopies
 from meterline.llm.decontaminate import leak_report
 from meterline.llm.frames import pick, written
-from meterline.llm.nearcopies import BANDS, band_keys, near_copy_groups
+from meterline.llm.nearcopies import BANDS, band_keys, folded, near_copy_groups, parities
 from meterline.llm.quality import quality_report
 from meterline.llm.secrets import base_spans
 
@@ -83,6 +84,46 @@ def test_bands_of_similar_sets():
     assert met >= 0.97 * 300 and len(set(band_keys(both).tolist())) == BANDS
 
 
+def test_every_pair_at_the_threshold_is_linked(spark):
+    """Texts of 45 shingles of which five differ: similarities of exactly 0.8, each pair on its own and in chains."""
+    chance = random.Random(11)
+    texts = {}
+    for k in range(2_000):
+        words = [f"w{chance.randrange(1 << 40)}" for _ in range(49)]
+        for at in (0, 10, 30) if k < 200 else (0, 20):
+            words = [*words[:at], f"x{chance.randrange(1 << 40)}" if at else words[0], *words[at + 1 :]]
+            texts[k * 3 + at // 10] = " ".join(words)
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    roots = {row.doc_id: row.root for row in near_copy_groups(docs).collect()}
+    groups = {}
+    for doc_id, root in roots.items():
+        groups.setdefault(root, set()).add(doc_id // 3)
+    assert len(groups) == 2_000 and all(len(group) == 1 for group in groups.values())
+
+
+def test_lists_in_tiles(spark, monkeypatch):
+    """A passage that many texts hold nearly alone, in lists cut to tiles of three sets; groups as over all pairs."""
+    monkeypatch.setattr(nearcopies, "TILE", 3)
+    chance = random.Random(4)
+    hot = [f"h{k}" for k in range(60)]
+    rows = [hot[: chance.randrange(40, 60)] + chance.choices(hot, k=chance.randrange(0, 14)) for _ in range(120)]
+    texts = {k: " ".join(words) for k, words in enumerate(rows)}
+    groups = near_copy_groups(spark.createDataFrame(list(texts.items()), "doc_id long, text string"))
+    first = {row[1] for row in groups.groupBy("root").agg(F.min("doc_id")).collect()}
+    assert first == first_of_groups(texts)
+
+
+def test_parities_bound_the_difference():
+    chance = np.random.default_rng(8)
+    for n, other in ((3, 3), (100, 110), (120, 140), (900, 1_000), (1_000, 1_100)):
+        pool = chance.integers(0, 1 << 63, n + other, dtype=np.uint64)
+        for shared in range(0, n, max(1, n // 9)):
+            a, b = np.unique(pool[:n]), np.unique(np.append(pool[n : n + other - shared], pool[:shared]))
+            words = min(len(parities(a)), len(parities(b))) // 8
+            apart = np.bitwise_count(folded([parities(a)], words) ^ folded([parities(b)], words)).sum()
+            assert apart <= len(np.setxor1d(a, b))
+
+
 def test_stages_take_effect(spark, sf, documents, labels):
     folder, stages = sf, dict(corpus_pipeline.STAGES)
     columns = documents.columns
