@@ -10,7 +10,7 @@ global odds.
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from typing import NamedTuple
 
 import numpy as np
@@ -20,7 +20,10 @@ from pyspark.sql import functions as F
 
 from meterline.llm.frames import pick, row_key, rows_of, written
 
+#: Labelled documents for the first guess, from which the steps over all of them start.
 LABELLED = 20_000
+#: Bins of one step of a search for an order statistic, and so many values are sorted on the driver.
+BINS, SORTED = 1_024, 10_000
 EDGE = 1e-4
 CLEAN_LOSS = 0.002
 MAX_STRENGTH = 1e6
@@ -124,6 +127,55 @@ def fit_classifier(x: np.ndarray, good: np.ndarray, ridge: float = 0.1) -> Class
     return Classifier(mean, scale, beta)
 
 
+def table_sums(train: DataFrame, sums: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> np.ndarray:
+    """The arrays that `sums` makes of the measures and labels of a batch, added up over all rows; zeros without a row."""
+    width = len(MEASURES)
+    shape = sums(np.zeros((0, width)), np.zeros(0)).shape
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(shape)
+        for batch in batches:
+            x = batch.column("x").flatten().to_numpy().reshape(-1, width)
+            total += sums(x, batch.column("good").to_numpy().astype(np.float64))
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(total.size)), pa.array(total.ravel())], names=["i", "v"])
+
+    rows = train.select("x", "good").mapInArrow(run, "i long, v double").groupBy("i").agg(F.sum("v").alias("v")).collect()
+    total = np.zeros(int(np.prod(shape)))
+    for row in rows:
+        total[row["i"]] = row["v"]
+    return total.reshape(shape)
+
+
+def fit_on_all(train: DataFrame, start: Classifier, ridge: float = 0.1) -> Classifier:
+    """The classifier of `fit_classifier` for all rows of `train` (x, good), from a first guess; tasks add up the Newton steps."""
+
+    def moments(x: np.ndarray, good: np.ndarray) -> np.ndarray:
+        wide = np.concatenate([x, x * x], axis=1)
+        return np.stack([wide.sum(axis=0), (wide - start.mean).sum(axis=0), ((wide - start.mean) ** 2).sum(axis=0), np.full(wide.shape[1], len(x))])
+
+    total, shifted, squares, rows = table_sums(train, moments)
+    n = rows[0]
+    mean, scale = total / n, np.sqrt(np.maximum(squares / n - (shifted / n) ** 2, 0)) + 1e-3
+    # The same odds in the scale of all rows.
+    slopes = start.weights[:-1] / start.scale
+    beta = np.append(slopes * scale, start.weights[-1] + (slopes * (mean - start.mean)).sum())
+    penalty = ridge * np.eye(len(beta))
+    for _ in range(60):
+
+        def step_sums(x: np.ndarray, good: np.ndarray, beta: np.ndarray = beta) -> np.ndarray:
+            wide = np.concatenate([x, x * x], axis=1)
+            design = np.concatenate([(wide - mean) / scale, np.ones((len(wide), 1))], axis=1)
+            p = 1 / (1 + np.exp(-np.clip(design @ beta, -30, 30)))
+            return np.column_stack([(design * (p * (1 - p))[:, None]).T @ design, design.T @ (p - good)])
+
+        found = table_sums(train, step_sums)
+        step = np.linalg.solve(found[:, :-1] + penalty, found[:, -1] + penalty @ beta)
+        beta = beta - step * min(1.0, 3 / (np.abs(step).max() + 1e-12))
+        if np.abs(step).max() < 1e-6:
+            break
+    return Classifier(mean, scale, beta)
+
+
 def remainder(doc_id: Column) -> Column:
     return F.pmod(F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")), F.lit(4))
 
@@ -150,10 +202,10 @@ def strength(groups: DataFrame, around: Column) -> float:
 def quality_posteriors(docs: DataFrame, labels: DataFrame, host: str = "source", path: str = "lang", labelled: int = LABELLED) -> DataFrame:
     """doc_id, row, host, path, held_out, evidence, doc_p, host_p, path_p, score and kept of every row.
 
-    The classifier learns from about `labelled` labelled documents, those with
-    the smallest hashes outside a held-out quarter (crc32 of the id modulo 4 is
-    2); everything else covers all rows. A document is kept if its score is at
-    least the level that rejects `CLEAN_LOSS` of the good training documents, and
+    The classifier learns from all labelled documents outside a held-out quarter
+    (crc32 of the id modulo 4 is 2); about `labelled` of them, those with the
+    smallest hashes, give the first guess. A document is kept if its score is at
+    least the level that rejects `CLEAN_LOSS` of all good training documents, and
     never above one half. Null hosts and paths are the empty one, a null text
     counts as empty, null ids and repeated rows are kept as they are, an empty
     table gives no rows; without labels of both kinds all documents are kept.
@@ -161,13 +213,16 @@ def quality_posteriors(docs: DataFrame, labels: DataFrame, host: str = "source",
     base = written(measured(docs, host, path))
     known = pick(labels, "doc_id", "quality").filter("quality in (0, 1)").filter(remainder(F.col("doc_id")) != 2)
     known = known.groupBy("doc_id").agg(F.min("quality").cast("int").alias("good"))
+    known = written(known)
     share = min(1.0, labelled / max(1, known.count()))
-    drawn = known.filter(F.shiftrightunsigned(F.xxhash64(F.lit(13), "doc_id"), 32) < int(share * 2**32))
-    train = base.select("doc_id", "host", "path", "x").join(F.broadcast(drawn), "doc_id")
-    sample = train.select("doc_id", "x", "good").orderBy("doc_id", "x").collect()
+    train = written(base.select("doc_id", "x").join(known, "doc_id"))
+    drawn = train.filter(F.shiftrightunsigned(F.xxhash64(F.lit(13), "doc_id"), 32) < int(share * 2**32))
+    sample = drawn.select("doc_id", "x", "good").orderBy("doc_id", "x").collect()
     x = np.array([row["x"] for row in sample], np.float64).reshape(-1, len(MEASURES))
-    good = np.array([row["good"] for row in sample], np.float64)
-    model = fit_classifier(x, good)
+    model = fit_classifier(x, np.array([row["good"] for row in sample], np.float64))
+    both = train.select("good").distinct().count() == 2
+    if both:
+        model = fit_on_all(train, model)
     evidence = model.odds(F.col("x"))
     limited = F.least(F.greatest(evidence, F.lit(-30.0)), F.lit(30.0))
     doc_p = F.least(F.greatest(1 / (1 + F.exp(-limited)), F.lit(EDGE)), F.lit(1 - EDGE))
@@ -195,14 +250,38 @@ def quality_posteriors(docs: DataFrame, labels: DataFrame, host: str = "source",
         .withColumn("held_out", remainder(F.col("doc_id")) == 2)
         .select("doc_id", "row", "host", "path", "held_out", "evidence", "doc_p", "host_p", "path_p", "score")
     )
-    level = keep_level(scored, drawn) if good.size and good.min() != good.max() else 0.0
+    level = keep_level(scored, known) if both else 0.0
     return scored.withColumn("kept", F.col("score") >= level)
 
 
-def keep_level(scored: DataFrame, drawn: DataFrame) -> float:
-    """The score below which `CLEAN_LOSS` of the good training documents lie, at most one half."""
-    good = scored.join(F.broadcast(drawn.filter("good = 1")), "doc_id").select("score").collect()
-    return min(0.5, float(np.quantile([row["score"] for row in good], CLEAN_LOSS))) if good else 0.0
+def nth_smallest(scores: DataFrame, rank: int) -> float:
+    """The score (between 0 and 1) that `rank` others precede, by counts in ever narrower bins."""
+    low, high = 0.0, 1.0
+    while True:
+        inside = scores.filter(F.col("score").between(low, high))
+        place = F.least(F.floor((F.col("score") - low) / (high - low) * BINS), F.lit(BINS - 1))
+        counts = inside.groupBy(place.alias("bin")).agg(F.count(F.lit(1)).alias("n"), F.min("score").alias("low"), F.max("score").alias("high"))
+        for row in counts.orderBy("bin").collect():
+            if rank < row["n"]:
+                break
+            rank -= row["n"]
+        low, high = row["low"], row["high"]
+        if low == high:
+            return low
+        if row["n"] <= SORTED:
+            return sorted(found["score"] for found in scores.filter(F.col("score").between(low, high)).collect())[rank]
+
+
+def keep_level(scored: DataFrame, known: DataFrame) -> float:
+    """The score below which `CLEAN_LOSS` of all good training documents lie, at most one half."""
+    scores = written(scored.join(known.filter("good = 1"), "doc_id").select("score"))
+    rows = scores.count()
+    if not rows:
+        return 0.0
+    place = (rows - 1) * CLEAN_LOSS
+    below = nth_smallest(scores, int(place))
+    above = nth_smallest(scores, min(rows - 1, int(place) + 1))
+    return min(0.5, below + (above - below) * (place - int(place)))
 
 
 def quality_report(docs: DataFrame, labels: DataFrame) -> DataFrame:

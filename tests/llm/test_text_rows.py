@@ -188,6 +188,22 @@ def test_quality_shrinks_to_priors(spark):
     assert 1 <= strength < 100 and rows["big"] < 0.2 and rows["small"] > rows["big"]
 
 
+def test_quality_learns_from_all_labels(spark, documents, labels):
+    """Whatever number of documents gives the first guess, model and level are those of all labels."""
+    few, all_ = ({row.doc_id: row for row in quality.quality_posteriors(documents, labels, labelled=n).collect()} for n in (40, 10**6))
+    assert all(abs(few[k].evidence - all_[k].evidence) < 1e-6 * (1 + abs(all_[k].evidence)) and few[k].kept == all_[k].kept for k in all_)
+
+
+def test_level_is_the_quantile_of_all_scores(spark, monkeypatch):
+    monkeypatch.setattr(quality, "SORTED", 5)
+    chance = random.Random(3)
+    values = [chance.choice((0.25, 0.25000001, chance.random() / 3, chance.random())) for _ in range(3_000)]
+    scores = spark.createDataFrame(list(enumerate(values)), "doc_id long, score double")
+    assert [quality.nth_smallest(scores, rank) for rank in (0, 5, 700, 2_999)] == [sorted(values)[rank] for rank in (0, 5, 700, 2_999)]
+    known = spark.createDataFrame([(k, k % 2) for k in range(3_000)], "doc_id long, good int")
+    assert abs(quality.keep_level(scores, known) - np.quantile(values[1::2], quality.CLEAN_LOSS)) < 1e-12
+
+
 def test_quality_on_odd_rows(spark, odd, nothing, labels):
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     for known in (labels, none):
