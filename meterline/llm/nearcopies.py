@@ -64,9 +64,11 @@ def majority_bits(hashes: np.ndarray) -> int:
 def rarest(distinct: np.ndarray, known: np.ndarray, counts: np.ndarray) -> np.ndarray:
     """So many of the rarest shingles of a set that two sets of similarity `SIMILAR` share one of them."""
     n, (part, whole) = len(distinct), SIMILAR
+    wanted = n - -(-part * n // whole) + 1
     at = np.minimum(np.searchsorted(known, distinct), max(0, len(known) - 1))
     weight = np.where(known[at] == distinct, counts[at], 0) if len(known) else np.zeros(n, np.int64)
-    return distinct[np.lexsort((distinct, weight))[: n - -(-part * n // whole) + 1]]
+    found = distinct[weight == 0][:wanted]
+    return found if len(found) == wanted else distinct[np.lexsort((distinct, weight))[:wanted]]
 
 
 def parities(distinct: np.ndarray) -> bytes:
@@ -98,21 +100,23 @@ def id_and_text(docs: DataFrame) -> DataFrame:
 
 
 def sketches(narrow: DataFrame) -> DataFrame:
-    """doc_id, row, SimHash fp, the name `node` of the set of shingles and its size."""
+    """doc_id, row, SimHash fp, the name `node` of the set of shingles, its size and its parities."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fps, nodes, sizes = [], [], []
+            fps, nodes, sizes, bits = [], [], [], []
             for text in batch.column("text").cast(pa.binary()):
                 hashes = shingle_hashes(text.as_py())
                 distinct = np.unique(hashes)
                 fps.append(majority_bits(hashes))
                 nodes.append(set_name(distinct))
                 sizes.append(len(distinct))
-            columns = [batch.column("doc_id"), batch.column("row"), pa.array(fps, pa.int64()), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64())]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "row", "fp", "node", "n"])
+                bits.append(parities(distinct))
+            columns = [batch.column("doc_id"), batch.column("row"), pa.array(fps, pa.int64()), pa.array(nodes, pa.int64())]
+            columns += [pa.array(sizes, pa.int64()), pa.array(bits, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "row", "fp", "node", "n", "bits"])
 
-    return narrow.select("doc_id", "row", "text").mapInArrow(run, "doc_id long, row long, fp long, node long, n long")
+    return narrow.select("doc_id", "row", "text").mapInArrow(run, "doc_id long, row long, fp long, node long, n long, bits binary")
 
 
 def shingle_order(narrow: DataFrame, rows: int) -> tuple[np.ndarray, np.ndarray]:
@@ -127,7 +131,7 @@ def shingle_order(narrow: DataFrame, rows: int) -> tuple[np.ndarray, np.ndarray]
     share = min(1.0, ORDER_ROWS / max(1, rows))
     drawn = narrow.filter(F.shiftrightunsigned(F.xxhash64(F.lit(7), "row"), 32) < int(share * 2**32)).select("text")
     counted = drawn.mapInArrow(run, "token long").groupBy("token").agg(F.count(F.lit(1)).alias("n")).filter("n > 2")
-    often = counted.orderBy(F.desc("n"), "token").limit(ORDER_SHINGLES).toPandas()
+    often = written(counted.orderBy(F.desc("n"), "token").limit(ORDER_SHINGLES)).toPandas()
     known, counts = often["token"].to_numpy(np.int64).view(np.uint64), often["n"].to_numpy(np.int64)
     order = np.argsort(known)
     return known[order], counts[order]
@@ -154,21 +158,23 @@ def listed(narrow: DataFrame, order: tuple[np.ndarray, np.ndarray]) -> DataFrame
 
 
 def shingle_sets(narrow: DataFrame) -> DataFrame:
-    """node, its distinct shingles and their parities, once each."""
+    """node and its distinct shingles, once each."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for text in batch.column("text").cast(pa.binary()):
                 distinct = np.unique(shingle_hashes(text.as_py()))
                 shingles = pa.ListArray.from_arrays(pa.array([0, len(distinct)], pa.int32()), pa.array(distinct.view(np.int64)))
-                columns = [pa.array([set_name(distinct)], pa.int64()), shingles, pa.array([parities(distinct)], pa.binary())]
-                yield pa.RecordBatch.from_arrays(columns, names=["node", "shingles", "bits"])
+                yield pa.RecordBatch.from_arrays([pa.array([set_name(distinct)], pa.int64()), shingles], names=["node", "shingles"])
 
-    return narrow.select("text").mapInArrow(run, "node long, shingles array<long>, bits binary").dropDuplicates(["node"])
+    return narrow.select("text").mapInArrow(run, "node long, shingles array<long>").dropDuplicates(["node"])
 
 
-def similar_pairs(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Those of the pairs (a, b) whose sets are similar."""
+def similar_pairs(pairs: DataFrame, nodes: DataFrame, narrow: DataFrame) -> DataFrame:
+    """Those of the pairs (a, b) whose sets are similar; `nodes` names a row of `narrow` for each set."""
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    rows = written(nodes.join(wanted, "node", "left_semi").select("row").distinct())
+    sets = written(shingle_sets(narrow.join(rows, "row", "left_semi")))
     own = pairs.join(sets.select(F.col("node").alias("a"), "shingles"), "a")
     both = own.join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("others")), "b")
     shared = F.size(F.array_intersect("shingles", "others"))
@@ -215,7 +221,7 @@ def close_pairs(left: pa.Table, right: pa.Table) -> Iterator[tuple[np.ndarray, n
                 yield mine[at + x], theirs[y], apart[x, y]
 
 
-def apart_pairs(lists: DataFrame, roots: DataFrame, sets: DataFrame, every: bool) -> DataFrame:
+def apart_pairs(lists: DataFrame, roots: DataFrame, nodes: DataFrame, every: bool) -> DataFrame:
     """Pairs (a, b) of different groups that share a list and may be similar: all, or for each set and list the closest one.
 
     The sets outside the largest group of a list meet all sets of the list, in tiles of bounded size.
@@ -224,7 +230,7 @@ def apart_pairs(lists: DataFrame, roots: DataFrame, sets: DataFrame, every: bool
     groups = placed.groupBy("token", "root").agg(F.count(F.lit(1)).alias("n"))
     most = groups.groupBy("token").agg(F.max(F.struct("n", "root")).alias("most"), F.sum("n").alias("held")).filter("held > most.n")
     most = most.select("token", F.col("most.root").alias("main"), "held", (F.col("held") - F.col("most.n")).alias("few"))
-    met = placed.join(most, "token").join(sets.select("node", "bits"), "node")
+    met = placed.join(most, "token").join(nodes.select("node", "bits"), "node")
     chunks = lambda column: F.ceil(F.col(column) / TILE)
     own = lambda column: F.pmod(F.xxhash64("node"), chunks(column))
     every_chunk = lambda column: F.explode(F.sequence(F.lit(0).cast("long"), chunks(column) - 1))
@@ -250,6 +256,26 @@ def apart_pairs(lists: DataFrame, roots: DataFrame, sets: DataFrame, every: bool
     return written(left.unionByName(right).groupBy("token", "i", "j").applyInArrow(compare, "a long, b long").distinct())
 
 
+def able_pairs(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Those of the pairs (a, b) that their sizes and parities do not rule out."""
+    for side in ("a", "b"):
+        pairs = pairs.join(nodes.select(F.col("node").alias(side), F.col("n").alias(f"n_{side}"), F.col("bits").alias(f"bits_{side}")), side)
+    part, whole = SIMILAR
+    near = pairs.filter(F.least("n_a", "n_b") * whole >= F.greatest("n_a", "n_b") * part)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            able = []
+            sizes = zip(batch.column("n_a").to_pylist(), batch.column("n_b").to_pylist(), strict=True)
+            for (n, m), a, b in zip(sizes, batch.column("bits_a").to_pylist(), batch.column("bits_b").to_pylist(), strict=True):
+                words = min(len(a), len(b)) // 8
+                apart = int(np.bitwise_count(folded([a], words) ^ folded([b], words)).sum())
+                able.append(apart * (part + whole) <= (n + m) * (whole - part))
+            yield batch.select(["a", "b"]).filter(pa.array(able, pa.bool_()))
+
+    return written(near.select("a", "b", "n_a", "n_b", "bits_a", "bits_b").mapInArrow(run, "a long, b long"))
+
+
 def similar_links(nodes: DataFrame, narrow: DataFrame, known: DataFrame, order: tuple[np.ndarray, np.ndarray]) -> DataFrame:
     """`known` links (a, b) and links that join all similar sets with them.
 
@@ -266,18 +292,14 @@ def similar_links(nodes: DataFrame, narrow: DataFrame, known: DataFrame, order:
     single = written(named.groupBy("name", "held").agg(F.min("token").alias("token")))
     lists = written(shared.join(single.select("token", "held"), "token"))
 
-    texts = narrow.join(nodes.join(lists.select("node").distinct(), "node", "left_semi").select("row").distinct(), "row", "left_semi")
-    sets = written(shingle_sets(texts))
-    part, whole = SIMILAR
-    drawn = [F.min(F.struct(F.xxhash64(F.lit(k), "node").alias("h"), "node", "n")) for k in range(HEADS)]
+    drawn = [F.min(F.struct(F.xxhash64(F.lit(k), "node").alias("h"), "node")) for k in range(HEADS)]
     heads = lists.groupBy("token").agg(F.array(*drawn).alias("heads"))
-    pairs = lists.join(heads, "token").select("node", "n", F.explode("heads").alias("head"))
-    pairs = pairs.filter((F.col("node") != F.col("head.node")) & (F.least("n", "head.n") * whole >= F.greatest("n", "head.n") * part))
-    pairs = pairs.select(F.greatest("node", "head.node").alias("a"), F.least("node", "head.node").alias("b"))
-    links = known.unionByName(similar_pairs(written(pairs.distinct()), sets))
+    pairs = lists.join(heads, "token").select("node", F.explode("heads.node").alias("head")).filter("node != head")
+    pairs = written(pairs.select(F.greatest("node", "head").alias("a"), F.least("node", "head").alias("b")).distinct())
+    links = known.unionByName(similar_pairs(able_pairs(pairs, nodes), nodes, narrow))
     more = written(lists.filter("held > 2").select("token", "node", "n"))
     for every in (False, True):
-        links = links.unionByName(similar_pairs(apart_pairs(more, connected(links), sets, every), sets))
+        links = links.unionByName(similar_pairs(apart_pairs(more, connected(links), nodes, every), nodes, narrow))
     return links
 
 
@@ -293,7 +315,7 @@ def near_copy_groups(docs: DataFrame) -> DataFrame:
     narrow = id_and_text(docs)
     sketched = written(sketches(narrow))
     order = shingle_order(narrow, sketched.count())
-    nodes = written(sketched.groupBy("node").agg(F.min("fp").alias("fp"), F.max("n").alias("n"), F.min("row").alias("row")))
+    nodes = written(sketched.groupBy("node").agg(F.min("fp").alias("fp"), F.max("n").alias("n"), F.min("row").alias("row"), F.first("bits").alias("bits")))
     points = written(nodes.groupBy("fp").agg(F.min("node").alias("lead")))
     a, b = (points.select(F.col("fp").alias(side), F.col("lead").alias(f"lead_{side}")) for side in ("a", "b"))
     close = near_links(points.select("fp")).join(a, "a").join(b, "b").select(F.col("lead_a").alias("a"), F.col("lead_b").alias("b"))
