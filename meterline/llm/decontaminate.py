@@ -46,6 +46,8 @@ SHORT = 15
 LANES = 63
 #: Rows of one step of work: hits of telling words, regions, cosines.
 HITS, REGIONS, COSINES = 2_000_000, 200_000, 4_000_000
+#: Slots for each key of the table of places, and the factor that spreads keys over them.
+SLOTS, SPREAD = 8, np.uint64(0x9E3779B97F4A7C15)
 #: Longer words are not kept in the cache.
 CACHE_LENGTH = 64
 CACHE_WORDS = 500_000
@@ -229,6 +231,24 @@ class Orders:
         short.sort()
         self.keys = np.array([key for key, _ in short] + [np.iinfo(np.int64).max], np.int64)
         self.bits = np.array([bits for _, bits in short] + [0], np.uint64)
+        # A table by hash with one key a slot; keys that share a slot with another are found in order.
+        self.shift = np.uint64(64 - (SLOTS * len(self.keys)).bit_length())
+        slots = self.slot(self.keys)
+        self.slots = np.full(1 << int(64 - self.shift), len(self.keys) - 1)
+        self.slots[slots] = np.arange(len(self.keys))
+        self.shared = np.bincount(slots, minlength=len(self.slots)) > 1
+
+    def slot(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys.view(np.uint64) * SPREAD) >> self.shift).view(np.int64)
+
+    def places_at(self, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which of the keys are held, and their bits."""
+        slot = self.slot(key)
+        at = self.slots[slot]
+        crowded = np.flatnonzero(self.shared[slot])
+        at[crowded] = np.searchsorted(self.keys, key[crowded])
+        hit = self.keys[at] == key
+        return hit, self.bits[at[hit]]
 
     def in_order(self, owner: np.ndarray, left: np.ndarray, right: np.ndarray, number: np.ndarray) -> np.ndarray:
         """Length of the longest common subsequence of list `owner` and the words from left to right, for every triple."""
@@ -247,9 +267,8 @@ class Orders:
             word = number[start[:open_] + offset]
             some = np.flatnonzero(word < self.size)
             key = base[some] + word[some]
-            at = np.searchsorted(self.keys, key)
-            hit = self.keys[at] == key
-            some, match = some[hit], self.bits[at[hit]]
+            hit, match = self.places_at(key)
+            some = some[hit]
             now = state[some]
             update = now & match
             state[some] = ((now + update) | (now - update)) & full[some]
@@ -328,6 +347,8 @@ class Searcher:
             owner += [i] * len(parts)
         self.probe_item = np.array(owner, np.int64)
         self.least = np.array([kept for _, kept in told])
+        self.first_probe = np.searchsorted(self.probe_item, np.arange(len(numbers)))
+        self.last_probe = np.searchsorted(self.probe_item, np.arange(len(numbers)), side="right") - 1
         word = np.array([w for words, _ in told for w in words], np.int64)
         probe = np.repeat(np.arange(len(told)), [len(words) for words, _ in told])
         self.keys = np.sort(word * len(told) + probe)
@@ -371,6 +392,24 @@ class Searcher:
             some = low <= high
             yield doc[some], self.probe_item[probe[some]], low[some], high[some]
 
+    def telling_places(self, number: np.ndarray) -> np.ndarray:
+        """Probe and place of every telling word, as sorted numbers."""
+        probes = len(self.least)
+        telling = np.flatnonzero(self.held[number])
+        low, high = np.searchsorted(self.keys, number[telling] * probes), np.searchsorted(self.keys, (number[telling] + 1) * probes)
+        times = high - low
+        at = np.repeat(telling, times)
+        probe = self.keys[np.repeat(low - np.cumsum(times) + times, times) + np.arange(len(at))] % probes
+        return np.sort(probe * (len(number) + 1) + at)
+
+    def holds_enough(self, near: np.ndarray, words: int, item: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Whether the words from left to right hold as many telling words of a probe of the item as any copy or paraphrase does."""
+        able = np.zeros(len(item), bool)
+        for probe in (self.first_probe[item], self.last_probe[item]):
+            base = probe * (words + 1)
+            able |= np.searchsorted(near, base + right) - np.searchsorted(near, base + left) >= self.least[probe]
+        return able
+
     def exact_regions(self, lengths: np.ndarray, number: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
         """Document, item, first word and end of all regions that can hold a paraphrase or copy.
 
@@ -393,8 +432,11 @@ class Searcher:
     def latent_regions(self, lengths: np.ndarray, number: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
         """Document, item, first word and end around all windows whose cosine with an item reaches `COSINE`."""
         starts = np.cumsum(lengths) - lengths
-        sums = np.zeros((len(number) + 1, self.vectors.shape[1]))
-        np.cumsum(self.vectors[number], axis=0, out=sums[1:])
+        sums = np.zeros((self.vectors.shape[1], len(number) + 1))
+        for vector, out in zip(self.vectors.T, sums, strict=True):
+            np.cumsum(vector[number], dtype=np.float64, out=out[1:])
+        sums = np.ascontiguousarray(sums.T)
+        near = self.telling_places(number)
         for length, (queries, owners) in self.queries.items():
             step = max(1, length // 4)
             windows = np.maximum(1, -(-(lengths - length) // step) + 1) * (lengths > 0)
@@ -408,7 +450,9 @@ class Searcher:
                 row, query = np.divmod(np.flatnonzero(latent @ queries.T >= COSINE), len(owners))
                 d, f, item = d[row], f[row], owners[query]
                 n = self.lengths[item]
-                yield d, item, np.maximum(0, f - n // 2), np.minimum(lengths[d], f + np.maximum(length, n) + n // 2)
+                left, right = np.maximum(0, f - n // 2), np.minimum(lengths[d], f + np.maximum(length, n) + n // 2)
+                able = self.holds_enough(near, len(number), item, starts[d] + left, starts[d] + right)
+                yield d[able], item[able], left[able], right[able]
 
     def leaks(self, lengths: np.ndarray, number: np.ndarray) -> Iterator[tuple[int, int, int, int, float, float, bool, bool]]:
         """Document, item, first word, end, cosine, share of the item in order, whether its answer occurs and whether the cosine found it."""

@@ -396,6 +396,29 @@ def test_orders_of_many_pairs():
     assert found.tolist() == wanted
 
 
+def test_counts_of_telling_words_rule_out_no_leak(monkeypatch):
+    """Regions of the cosine search with too few telling words hold no copy or paraphrase; most regions are such."""
+    chance = np.random.default_rng(5)
+    words = [f"w{k}" for k in range(900)]
+    items = [decontaminate.item_of(k, " ".join(words[w] for w in chance.integers(0, 900, n))) for k, n in enumerate(chance.integers(4, 60, 80))]
+    place = {word: k for k, word in enumerate(words)}
+    parts = [chance.integers(0, 901, 4_000)]
+    for item in items:
+        kept = [place[word] if chance.random() > 0.25 else 900 for word in item.words]
+        parts += [np.array(kept), chance.integers(0, 901, 30)]
+    number = np.concatenate(parts)
+    df = np.bincount(number, minlength=901)[:900]
+    latent = chance.normal(size=(900, 16))
+    searcher = decontaminate.Searcher(decontaminate.Index(items, words, np.ones(900), latent, df))
+    lengths = np.array([5_000, len(number) - 5_000])
+    regions = [sum(len(found[0]) for found in searcher.latent_regions(lengths, number))]
+    found = [list(searcher.leaks(lengths, number))]
+    monkeypatch.setattr(decontaminate.Searcher, "holds_enough", lambda self, near, words, item, left, right: np.ones(len(item), bool))
+    regions.append(sum(len(found[0]) for found in searcher.latent_regions(lengths, number)))
+    found.append(list(searcher.leaks(lengths, number)))
+    assert found[0] == found[1] and len(found[0]) > 30 and 3 * regions[0] < regions[1]
+
+
 def test_common_length():
     chance = random.Random(2)
     for _ in range(200):
