@@ -435,7 +435,6 @@ class Searcher:
         sums = np.zeros((self.vectors.shape[1], len(number) + 1))
         for vector, out in zip(self.vectors.T, sums, strict=True):
             np.cumsum(vector[number], dtype=np.float64, out=out[1:])
-        sums = np.ascontiguousarray(sums.T)
         near = self.telling_places(number)
         for length, (queries, owners) in self.queries.items():
             step = max(1, length // 4)
@@ -445,7 +444,7 @@ class Searcher:
             block = max(256, COSINES // len(owners))
             for at in range(0, len(doc), block):
                 d, f = doc[at : at + block], first[at : at + block]
-                latent = sums[starts[d] + np.minimum(f + length, lengths[d])] - sums[starts[d] + f]
+                latent = (sums[:, starts[d] + np.minimum(f + length, lengths[d])] - sums[:, starts[d] + f]).T
                 latent = (latent / (np.linalg.norm(latent, axis=1, keepdims=True) + 1e-9)).astype(np.float32)
                 row, query = np.divmod(np.flatnonzero(latent @ queries.T >= COSINE), len(owners))
                 d, f, item = d[row], f[row], owners[query]
