@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from meterline.llm.frames import pick, row_key, rows_of, written
+from meterline.llm.frames import parts, pick, row_key, rows_of, written
 
 RANK = 64
 PASSAGE = 48
@@ -44,14 +44,12 @@ BATCH_WORDS = 100_000
 SHORT = 15
 #: Word lists of at most so many words fit a 64-bit lane.
 LANES = 63
-#: Rows of one step of work: hits of telling words, regions, cosines.
-HITS, REGIONS, COSINES = 2_000_000, 200_000, 4_000_000
+#: Rows of one step of work: hits of telling words, regions, cosines, windows.
+HITS, REGIONS, COSINES, WINDOWS = 2_000_000, 200_000, 4_000_000, 4_096
 #: Slots for each key of the table of places, and the factor that spreads keys over them.
 SLOTS, SPREAD = 8, np.uint64(0x9E3779B97F4A7C15)
-#: Longer words are not kept in the cache.
-CACHE_LENGTH = 64
-CACHE_WORDS = 500_000
 ENDS = ".,;:!?\"'()[]"
+MARKS = frozenset(ENDS)
 SENTENCE = re.compile(r"[.!?]\s+")
 
 
@@ -79,19 +77,17 @@ class Vocabulary:
     def __init__(self, words: list[str]):
         self.known = {word: i for i, word in enumerate(words)}
         self.size = len(words)
-        self.cache: dict[str, int] = {}
 
-    def of(self, tokens: list[str]) -> np.ndarray:
-        if len(self.cache) > CACHE_WORDS:
-            self.cache.clear()
-        found = list(map(self.cache.get, tokens))
-        if None in found:
-            for i, x in enumerate(found):
-                if x is None:
-                    found[i] = self.known.get(plain(tokens[i]), self.size)
-                    if len(tokens[i]) <= CACHE_LENGTH:
-                        self.cache[tokens[i]] = found[i]
-        return np.array(found, np.int64)
+    def of(self, text: str) -> np.ndarray:
+        """Numbers of the words of a text; only those that start or end with a mark are looked up a second time."""
+        tokens = text.lower().split()
+        found = list(map(self.known.get, tokens))
+        for i, number in enumerate(found):
+            if number is None:
+                token = tokens[i]
+                marked = token[-1] in MARKS or token[0] in MARKS
+                found[i] = self.known.get(token.strip(ENDS), self.size) if marked else self.size
+        return np.fromiter(found, np.int64, len(found))
 
 
 def numbered(docs: DataFrame, words: list[str]) -> DataFrame:
@@ -101,8 +97,8 @@ def numbered(docs: DataFrame, words: list[str]) -> DataFrame:
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary = Vocabulary(shared.value)
-        for batch in batches:
-            ids = [vocabulary.of(text.split()).astype(kind).tobytes() for text in batch.column("text").to_pylist()]
+        for batch in parts(batches):
+            ids = [vocabulary.of(text).astype(kind).tobytes() for text in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("row"), pa.array(ids, pa.binary())], names=["doc_id", "row", "ids"])
 
     return written(docs.mapInArrow(run, "doc_id long, row long, ids binary"))
@@ -405,9 +401,11 @@ class Searcher:
     def holds_enough(self, near: np.ndarray, words: int, item: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """Whether the words from left to right hold as many telling words of a probe of the item as any copy or paraphrase does."""
         able = np.zeros(len(item), bool)
-        for probe in (self.first_probe[item], self.last_probe[item]):
+        two = self.first_probe != self.last_probe
+        for probes, some in ((self.first_probe, np.arange(len(item))), (self.last_probe, np.flatnonzero(two[item]))):
+            probe = probes[item[some]]
             base = probe * (words + 1)
-            able |= np.searchsorted(near, base + right) - np.searchsorted(near, base + left) >= self.least[probe]
+            able[some] |= np.searchsorted(near, base + right[some]) - np.searchsorted(near, base + left[some]) >= self.least[probe]
         return able
 
     def exact_regions(self, lengths: np.ndarray, number: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
@@ -429,29 +427,61 @@ class Searcher:
                 doc, item, n = np.repeat(doc, count), np.repeat(item, count), np.repeat(n, count)
                 yield doc, item, np.maximum(0, first - n // 2), np.minimum(lengths[doc], first + n + n // 2)
 
+    def window_sums(self, lengths: np.ndarray, number: np.ndarray, length: int, most: int) -> Iterator[tuple[np.ndarray, ...]]:
+        """Document, first word and sum of word vectors of all windows of one length, about `most` windows at a time.
+
+        Windows start at a quarter of their length apart, so they are sums of
+        whole steps and the head of one more; every step is added up once, from
+        the words of its own document only. Windows that reach beyond the end
+        of a text have the words up to it.
+        """
+        step = max(1, length // 4)
+        whole, head = divmod(length, step)
+        windows = np.maximum(1, -(-(lengths - length) // step) + 1) * (lengths > 0)
+        starts, total = np.cumsum(lengths) - lengths, np.cumsum(windows)
+        for low in range(0, int(windows.sum()), most):
+            high = min(low + most, int(total[-1]))
+            docs = np.arange(np.searchsorted(total, low, side="right"), np.searchsorted(total, high - 1, side="right") + 1)
+            # The windows of each document in this part, and the steps that they are made of.
+            skipped = np.maximum(0, low - (total[docs] - windows[docs]))
+            taken = np.minimum(high, total[docs]) - np.maximum(low, total[docs] - windows[docs])
+            steps = taken + whole * (taken > 0)
+            doc = np.repeat(docs, steps)
+            nth = np.arange(len(doc)) - np.repeat(np.cumsum(steps) - steps, steps)
+            first = (nth + np.repeat(skipped, steps)) * step
+            at, left = starts[doc] + first, lengths[doc] - first
+            sums = np.zeros((len(doc), self.vectors.shape[1]), np.float32)
+            word_sums = np.empty_like(sums)
+            for offset in range(step):
+                if offset == head:
+                    latent = sums[whole:].copy()
+                # The last vector, of a word that no item has, is zero.
+                word = np.where(offset < left, number.take(at + offset, mode="clip"), self.size)
+                sums += self.vectors.take(word, axis=0, out=word_sums, mode="clip")
+            for k in range(whole):
+                latent += sums[k : len(sums) - whole + k]
+            kept = np.flatnonzero(nth[: len(latent)] < np.repeat(taken, steps)[: len(latent)])
+            yield doc[kept], first[kept], latent[kept]
+
     def latent_regions(self, lengths: np.ndarray, number: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
         """Document, item, first word and end around all windows whose cosine with an item reaches `COSINE`."""
         starts = np.cumsum(lengths) - lengths
-        sums = np.zeros((self.vectors.shape[1], len(number) + 1))
-        for vector, out in zip(self.vectors.T, sums, strict=True):
-            np.cumsum(vector[number], dtype=np.float64, out=out[1:])
         near = self.telling_places(number)
+        held: list[tuple[np.ndarray, ...]] = []
         for length, (queries, owners) in self.queries.items():
-            step = max(1, length // 4)
-            windows = np.maximum(1, -(-(lengths - length) // step) + 1) * (lengths > 0)
-            doc = np.repeat(np.arange(len(lengths)), windows)
-            first = (np.arange(len(doc)) - np.repeat(np.cumsum(windows) - windows, windows)) * step
-            block = max(256, COSINES // len(owners))
-            for at in range(0, len(doc), block):
-                d, f = doc[at : at + block], first[at : at + block]
-                latent = (sums[:, starts[d] + np.minimum(f + length, lengths[d])] - sums[:, starts[d] + f]).T
-                latent = (latent / (np.linalg.norm(latent, axis=1, keepdims=True) + 1e-9)).astype(np.float32)
+            for d, f, latent in self.window_sums(lengths, number, length, min(WINDOWS, max(256, COSINES // len(owners)))):
+                latent /= np.sqrt(np.einsum("ij,ij->i", latent, latent))[:, None] + np.float32(1e-9)
                 row, query = np.divmod(np.flatnonzero(latent @ queries.T >= COSINE), len(owners))
                 d, f, item = d[row], f[row], owners[query]
                 n = self.lengths[item]
                 left, right = np.maximum(0, f - n // 2), np.minimum(lengths[d], f + np.maximum(length, n) + n // 2)
                 able = self.holds_enough(near, len(number), item, starts[d] + left, starts[d] + right)
-                yield d[able], item[able], left[able], right[able]
+                held.append((d[able], item[able], left[able], right[able]))
+                if sum(len(part[0]) for part in held) >= REGIONS:
+                    yield tuple(map(np.concatenate, zip(*held, strict=True)))
+                    held = []
+        if held:
+            yield tuple(map(np.concatenate, zip(*held, strict=True)))
 
     def leaks(self, lengths: np.ndarray, number: np.ndarray) -> Iterator[tuple[int, int, int, int, float, float, bool, bool]]:
         """Document, item, first word, end, cosine, share of the item in order, whether its answer occurs and whether the cosine found it."""

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -9,6 +12,8 @@ from meterline.session import cut_lineage
 
 MAX_BUCKETS = 65_536
 BUCKET_ROWS = 500
+#: Rows of an Arrow batch that a task turns into Python objects at once.
+PART_ROWS = 1_000
 
 
 def relabelled(df: DataFrame) -> tuple[DataFrame, dict[str, str]]:
@@ -26,6 +31,13 @@ def pick(df: DataFrame, *names: str) -> DataFrame:
     return plain.select(*[F.col(place[name]).alias(name) for name in names])
 
 
+def parts(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """All rows of the batches, at most `PART_ROWS` at a time: a worker keeps the memory of the most Python objects it ever held."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, PART_ROWS):
+            yield batch.slice(at, PART_ROWS)
+
+
 def row_key(doc_id: Column, text: Column) -> Column:
     """Hash of an id and its text, by which a row is found again."""
     return F.xxhash64(doc_id.cast("long"), F.coalesce(text, F.lit("")))

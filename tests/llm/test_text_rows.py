@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -419,6 +420,69 @@ def test_counts_of_telling_words_rule_out_no_leak(monkeypatch):
     assert found[0] == found[1] and len(found[0]) > 30 and 3 * regions[0] < regions[1]
 
 
+def drawn_searcher(chance, words=900, items=80, rank=16):
+    names = [f"w{k}" for k in range(words)]
+    made = [decontaminate.item_of(k, " ".join(names[w] for w in chance.integers(0, words, n))) for k, n in enumerate(chance.integers(4, 60, items))]
+    index = decontaminate.Index(made, names, np.ones(words), chance.normal(size=(words, rank)), chance.integers(1, 50, words))
+    return decontaminate.Searcher(index)
+
+
+@pytest.mark.parametrize("length", [1, 2, 3, 5, 7, 11, 17, 38, 58, 96])
+def test_window_sums(length):
+    """Every window of every text once, cut anywhere into parts, with the words of its own text only."""
+    chance = np.random.default_rng(length)
+    searcher = drawn_searcher(chance)
+    lengths = np.array([0, 1, 3, 40, 0, 96, 300, 38, 37, 39, 5, 0])
+    number = chance.integers(0, 901, lengths.sum())
+    step, starts, wanted = max(1, length // 4), np.cumsum(lengths) - lengths, {}
+    for d, (n, at) in enumerate(zip(lengths.tolist(), starts.tolist(), strict=True)):
+        for first in range(0, max(1, n - length + step) if n else 0, step):
+            wanted[d, first] = searcher.vectors[number[at + first : at + min(n, first + length)]].astype(float).sum(axis=0)
+    for most in (1, 7, 10_000):
+        found = {}
+        for doc, first, sums in searcher.window_sums(lengths, number, length, most):
+            assert len(doc) <= most
+            for d, f, row in zip(doc.tolist(), first.tolist(), sums, strict=True):
+                assert (d, f) not in found
+                found[d, f] = row
+        assert found.keys() == wanted.keys()
+        assert all(np.allclose(found[k], wanted[k], atol=1e-4) for k in wanted)
+
+
+def test_memory_of_the_search():
+    """The search keeps no running sums of all dimensions, and the numbering nothing of the words it has seen."""
+    chance = np.random.default_rng(4)
+    searcher = drawn_searcher(chance, rank=64)
+    number = chance.integers(0, 901, 100_000)
+    lengths = np.full(100, 1_000)
+    texts = [" ".join(f"x{k}" for k in range(at, at + 2_000)) for at in range(0, 200_000, 2_000)]
+    vocabulary = decontaminate.Vocabulary(searcher.index.words)
+    tracemalloc.start()
+    try:
+        for _ in searcher.latent_regions(lengths, number):
+            pass
+        assert tracemalloc.get_traced_memory()[1] < 32e6
+        before = tracemalloc.get_traced_memory()[0]
+        for text in texts:
+            vocabulary.of(text)
+        assert tracemalloc.get_traced_memory()[0] < before + 1e6
+    finally:
+        tracemalloc.stop()
+
+
+def test_numbers_of_words():
+    """Those of `plain` words, whatever marks and letters of either case they have."""
+    names = sorted({"", "abc", "a.b", "\u03c3\u03b1\u03c2", "i\u0307x", "stra\u00dfe", "x'y"})
+    place = {word: k for k, word in enumerate(names)}
+    pieces = ["ABC", "abc,", "(abc)", "...", "a.b", "A.B.", "\u03a3\u0391\u03a3", "\u03a3\u0391\u03a3.", "\u0130x", "Stra\u00dfe!", "STRASSE", "x'y", "'X'y'", "z", "abc-", "\u00ababc"]
+    chance = random.Random(3)
+    for space in (" ", "\n", "\u00a0", "\x1f", "  \t"):
+        text = space.join(chance.choices(pieces, k=300))
+        wanted = [place.get(decontaminate.plain(word), len(names)) for word in text.split()]
+        assert decontaminate.Vocabulary(names).of(text).tolist() == wanted
+    assert decontaminate.Vocabulary(names).of(" \n").tolist() == []
+
+
 def test_common_length():
     chance = random.Random(2)
     for _ in range(200):
