@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from meterline.llm.frames import pick, ranked
+from meterline.llm.frames import parts, pick, ranked
 from meterline.llm.tokens import encoder
 from meterline.session import cut_lineage
 
@@ -115,7 +115,7 @@ def pieces_of(docs: DataFrame, tokenizer: str, end_id: int, capacity: int) -> Da
     def cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = encoder(tokenizer, False)
         end = np.array([end_id], np.uint32)
-        for batch in batches:
+        for batch in parts(batches):
             rows = []
             ids = coder.encode(batch.column("text").to_pylist())
             for doc_id, packed in zip(batch.column("doc_id").to_pylist(), ids, strict=True):

@@ -17,10 +17,10 @@ from array import array
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
-CACHE_PIECES = 600_000
+CACHE_PIECES = 300_000
 #: Longer pieces (whole texts without a space, data in one run) hardly come again and are not kept.
 LONGEST_KEPT = 64
-CHUNK_CHARS = 4_000_000
+CHUNK_CHARS = 1_000_000
 SAFE_SPACE = re.compile(r"(?<=\S) (?=\S)")
 ASCII_SPACE = re.compile(r"[ \t\n\x0b\x0c\r]+")
 RARE_SPACES = "\t\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2028\u2029\u202f\u205f\u3000" + "".join(map(chr, range(0x2000, 0x200B)))

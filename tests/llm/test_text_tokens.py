@@ -5,6 +5,7 @@ from __future__ import annotations
 import bisect
 import io
 import random
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -13,6 +14,7 @@ import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
+from meterline.llm import frames
 from meterline.llm.bitpack import ShardReader, ShardWriter, id_width, pack_ids, token_file_report, unpack_ids
 from meterline.llm.packing import best_fit_decreasing, pack_documents
 from meterline.llm.tokens import LONGEST_KEPT, Encoder
@@ -145,3 +147,28 @@ def test_texts_without_spaces_do_not_fill_the_cache(name, spaced):
     assert got == [found.ids for found in own.tokenizer.encode_batch(texts, add_special_tokens=False)]
     kept = [*own.young, *own.old, *own.tails]
     assert all(len(piece) <= LONGEST_KEPT for piece in kept) and len(kept) < 200
+
+
+def test_batches_come_in_parts():
+    """All rows in order, never many texts at once."""
+    sizes = [0, 1, frames.PART_ROWS, 2 * frames.PART_ROWS + 1]
+    batches = [pa.RecordBatch.from_arrays([pa.array(range(n), pa.int64())], names=["k"]) for n in sizes]
+    found = list(frames.parts(batches))
+    assert max(part.num_rows for part in found) <= frames.PART_ROWS
+    assert [k for part in found for k in part.column("k").to_pylist()] == [k for n in sizes for k in range(n)]
+
+
+def test_memory_of_an_encoder():
+    """What a worker keeps of the pieces it has seen, and holds of texts at once, is bounded."""
+    coder = Encoder("word_bpe_49k.json", False)
+    chance = random.Random(5)
+    stock = ["".join(chance.choices("abcdefghij", k=7)) for _ in range(4_000)]
+    texts = [" ".join(chance.choices(stock, k=1_500)) for _ in range(600)]
+    list(coder.encode(texts[:10]))
+    tracemalloc.start()
+    try:
+        assert sum(map(len, coder.encode(iter(texts)))) > 0
+        assert tracemalloc.get_traced_memory()[1] < 40e6
+    finally:
+        tracemalloc.stop()
+    assert coder.cache_pieces <= 300_000
