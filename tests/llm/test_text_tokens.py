@@ -159,7 +159,7 @@ def test_batches_come_in_parts():
 
 
 def test_memory_of_an_encoder():
-    """What a worker keeps of the pieces it has seen, and holds of texts at once, is bounded."""
+    """An encoder holds the pieces of about a million characters at once, however many texts it is given."""
     coder = Encoder("word_bpe_49k.json", False)
     chance = random.Random(5)
     stock = ["".join(chance.choices("abcdefghij", k=7)) for _ in range(4_000)]
@@ -168,7 +168,6 @@ def test_memory_of_an_encoder():
     tracemalloc.start()
     try:
         assert sum(map(len, coder.encode(iter(texts)))) > 0
-        assert tracemalloc.get_traced_memory()[1] < 40e6
+        assert tracemalloc.get_traced_memory()[1] < 24e6
     finally:
         tracemalloc.stop()
-    assert coder.cache_pieces <= 300_000
