@@ -14,13 +14,14 @@ import string
 import sys
 import unicodedata
 from array import array
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
 
 CACHE_PIECES = 600_000
 #: Longer pieces (whole texts without a space, data in one run) hardly come again and are not kept.
 LONGEST_KEPT = 64
-CHUNK_CHARS = 1_000_000
+#: Pieces of a text that are looked up before the cache may turn a generation.
+RUN_PIECES = 50_000
 SAFE_SPACE = re.compile(r"(?<=\S) (?=\S)")
 ASCII_SPACE = re.compile(r"[ \t\n\x0b\x0c\r]+")
 RARE_SPACES = "\t\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2028\u2029\u202f\u205f\u3000" + "".join(map(chr, range(0x2000, 0x200B)))
@@ -34,6 +35,17 @@ def plain_word(word: str) -> bool:
     return word.isalpha() and (word.isascii() or (max(word) < "\u0250" and "\u0130" not in word))
 
 
+class Known(dict):
+    """Ids of pieces; `find` tells those of a piece that is not held."""
+
+    def __init__(self, find: Callable[[str], bytes]):
+        super().__init__()
+        self.find = find
+
+    def __missing__(self, piece: str) -> bytes:
+        return self.find(piece)
+
+
 class Encoder:
     """Ids of texts as little-endian unsigned 16-bit or 32-bit bytes.
 
@@ -57,8 +69,7 @@ class Encoder:
         self.letters = {k: level.pre_tokenize_str(chr(k))[0][0] for k in range(0x80, 0x250)}
         self.mark = level.pre_tokenize_str(" ")[0][0] if spaced else ""
         self.tails: dict[str, bytes] = {}
-        self.young: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
+        self.young, self.old = Known(self.find), Known(self.find)
 
     def cut(self, text: str) -> list[str]:
         """Pieces of a text.
@@ -92,39 +103,24 @@ class Encoder:
             return self.ends("\n") + self.pack([token.id for token in self.tokenize(word[1:])])
         return self.pack([token.id for token in self.tokenize(self.mark + word)])
 
-    def learn(self, pieces: set[str]) -> dict[str, bytes]:
-        """Ids of pieces that the young generation lacks; punctuation after a letter is encoded on its own.
+    def find(self, piece: str) -> bytes:
+        """Ids of a piece that the young generation lacks; punctuation after a letter is encoded on its own.
 
         A piece with such an end is only kept if its word was known before.
         """
-        young, old, keep = self.young, self.old, self.keep
-        known: dict[str, bytes] = {}
-        others = []
-        for piece in pieces:
-            ids = old.get(piece)
-            if ids is None:
-                stem = piece.rstrip(ENDS)
-                if not plain_word(stem[1:] if stem[:1] == "\n" else stem):
-                    others.append(piece)
-                    continue
-                ids = young.get(stem)
-                fresh = ids is None
-                if fresh:
-                    ids = keep(stem, old.get(stem) or self.modelled(stem))
-                if len(stem) == len(piece):
-                    known[piece] = ids
-                    continue
-                ids += self.ends(piece[len(stem) :])
-                if fresh:
-                    known[piece] = ids
-                    continue
-            known[piece] = keep(piece, ids)
-        for at in range(0, len(others), 10_000):
-            some = others[at : at + 10_000]
-            known.update(zip(some, self.alone([piece if piece[:1] == "\n" else self.lead + piece for piece in some]), strict=True))
-            for piece in some:
-                keep(piece, known[piece])
-        return known
+        ids = self.old.get(piece)
+        if ids is not None:
+            return self.keep(piece, ids)
+        stem = piece.rstrip(ENDS)
+        if not plain_word(stem[1:] if stem[:1] == "\n" else stem):
+            return self.keep(piece, self.alone([piece if piece[:1] == "\n" else self.lead + piece])[0])
+        if len(stem) == len(piece):
+            return self.keep(piece, self.modelled(piece))
+        tail = self.ends(piece[len(stem) :])
+        ids = self.young.get(stem)
+        if ids is None:
+            return self.keep(stem, self.old.get(stem) or self.modelled(stem)) + tail
+        return self.keep(piece, ids + tail)
 
     def keep(self, piece: str, ids: bytes) -> bytes:
         if len(piece) <= LONGEST_KEPT:
@@ -140,30 +136,15 @@ class Encoder:
         return ids
 
     def encode(self, texts: Iterable[str | None]) -> Iterator[bytes]:
-        """Ids of each text; a null text counts as empty. Works on about `CHUNK_CHARS` characters at a time."""
-        held: list[list[str]] = []
-        size = 0
+        """Ids of each text; a null text counts as empty. Works on one text at a time, and on at most `RUN_PIECES` of its pieces."""
         for text in texts:
-            held.append(self.cut(text or ""))
-            size += len(text or "")
-            if size >= CHUNK_CHARS:
-                yield from self._flush(held)
-                held, size = [], 0
-        yield from self._flush(held)
-
-    def _flush(self, held: list[list[str]]) -> Iterator[bytes]:
-        if len(self.young) > self.cache_pieces:
-            self.young, self.old, self.tails = {}, self.young, {}
-        firsts = self.alone([pieces[0] for pieces in held if pieces]) if self.lead else []
-        rest = [pieces[1:] for pieces in held] if self.lead else held
-        found = [list(map(self.young.get, pieces)) for pieces in rest]
-        gaps = [[i for i, x in enumerate(ids) if x is None] if None in ids else () for ids in found]
-        known = self.learn({pieces[i] for pieces, places in zip(rest, gaps, strict=True) for i in places})
-        first = iter(firsts)
-        for pieces, ids, places in zip(rest, found, gaps, strict=True):
-            for i in places:
-                ids[i] = known[pieces[i]]
-            yield (next(first) if self.lead else b"") + b"".join(ids)
+            pieces = self.cut(text or "")
+            found = self.alone(pieces[:1]) if self.lead else []
+            for at in range(len(found), len(pieces), RUN_PIECES):
+                if len(self.young) > self.cache_pieces:
+                    self.young, self.old, self.tails = Known(self.find), self.young, {}
+                found.append(b"".join(map(self.young.__getitem__, pieces[at : at + RUN_PIECES])))
+            yield b"".join(found)
 
 
 @lru_cache(maxsize=4)

@@ -14,7 +14,7 @@ import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
-from meterline.llm import frames
+from meterline.llm import frames, tokens
 from meterline.llm.bitpack import ShardReader, ShardWriter, id_width, pack_ids, token_file_report, unpack_ids
 from meterline.llm.packing import best_fit_decreasing, pack_documents
 from meterline.llm.tokens import LONGEST_KEPT, Encoder
@@ -171,3 +171,17 @@ def test_memory_of_an_encoder():
         assert tracemalloc.get_traced_memory()[1] < 24e6
     finally:
         tracemalloc.stop()
+
+
+@pytest.mark.parametrize(("name", "spaced"), FILES)
+def test_an_encoder_works_on_one_text_at_a_time(name, spaced):
+    """Ids of a text come before the next text is taken, and one long text of many words does not overfill the cache."""
+    taken = []
+    texts = ["the first of them", "and the second", None, "the first of them"]
+    coder = Encoder(name, spaced, cache_pieces=100)
+    for k, _ in enumerate(coder.encode(taken.append(text) or text for text in texts)):
+        assert len(taken) == k + 1
+    many = " ".join(f"{a}{b}{c}{d}" for a in "abcdefghijklmnop" for b in "qrstuvwxyz" * 2 for c in "abcdefghijklmnopqrst" for d in "abcdefghij")
+    [packed] = coder.encode([many])
+    assert len(coder.young) <= 100 + tokens.RUN_PIECES // 2 and len(coder.old) <= 100 + tokens.RUN_PIECES
+    assert np.frombuffer(packed, coder.dtype).tolist() == library(name).encode(many, add_special_tokens=False).ids
