@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from meterline.llm.frames import parts, pick, row_key, rows_of, written
+from meterline.llm.frames import parts, pick, row_key, rows_of, spared, written
 
 RANK = 64
 PASSAGE = 48
@@ -97,7 +97,7 @@ def numbered(docs: DataFrame, words: list[str]) -> DataFrame:
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary = Vocabulary(shared.value)
-        for batch in parts(batches):
+        for batch in parts(spared(batches)):
             ids = [vocabulary.of(text).astype(kind).tobytes() for text in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("row"), pa.array(ids, pa.binary())], names=["doc_id", "row", "ids"])
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -14,6 +14,8 @@ MAX_BUCKETS = 65_536
 BUCKET_ROWS = 500
 #: Rows of an Arrow batch that a task turns into Python objects at once.
 PART_ROWS = 1_000
+#: Functions that drop what an operator keeps in a worker process from task to task.
+KEPT: list[Callable[[], None]] = []
 
 
 def relabelled(df: DataFrame) -> tuple[DataFrame, dict[str, str]]:
@@ -38,6 +40,14 @@ def parts(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield batch.slice(at, PART_ROWS)
 
 
+def spared(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """All batches, in a worker that first drops what other operators kept in it and gives unused memory back."""
+    for drop in KEPT:
+        drop()
+    pa.default_memory_pool().release_unused()
+    yield from batches
+
+
 def row_key(doc_id: Column, text: Column) -> Column:
     """Hash of an id and its text, by which a row is found again."""
     return F.xxhash64(doc_id.cast("long"), F.coalesce(text, F.lit("")))

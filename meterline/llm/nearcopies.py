@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from meterline.llm.components import connected
-from meterline.llm.frames import pick, row_key, rows_of, written
+from meterline.llm.frames import pick, row_key, rows_of, spared, written
 from meterline.llm.simhash import BITS, SEED, near_links
 
 SHINGLE = 5
@@ -103,7 +103,7 @@ def sketches(narrow: DataFrame) -> DataFrame:
     """doc_id, row, SimHash fp, the name `node` of the set of shingles, its size and its parities."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in spared(batches):
             fps, nodes, sizes, bits = [], [], [], []
             for text in batch.column("text").cast(pa.binary()):
                 hashes = shingle_hashes(text.as_py())
@@ -123,7 +123,7 @@ def shingle_order(narrow: DataFrame, rows: int) -> tuple[np.ndarray, np.ndarray]
     """Shingles that come often in about `ORDER_ROWS` documents, sorted, and in how many of these."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in spared(batches):
             for text in batch.column("text").cast(pa.binary()):
                 distinct = np.unique(shingle_hashes(text.as_py()))
                 yield pa.RecordBatch.from_arrays([pa.array(distinct.view(np.int64))], names=["token"])
@@ -142,7 +142,7 @@ def listed(narrow: DataFrame, order: tuple[np.ndarray, np.ndarray]) -> DataFrame
     shared = narrow.sparkSession.sparkContext.broadcast(order)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in spared(batches):
             seen = set()
             for text in batch.column("text").cast(pa.binary()):
                 distinct = np.unique(shingle_hashes(text.as_py()))
@@ -161,7 +161,7 @@ def shingle_sets(narrow: DataFrame) -> DataFrame:
     """node and its distinct shingles, once each."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in spared(batches):
             for text in batch.column("text").cast(pa.binary()):
                 distinct = np.unique(shingle_hashes(text.as_py()))
                 shingles = pa.ListArray.from_arrays(pa.array([0, len(distinct)], pa.int32()), pa.array(distinct.view(np.int64)))
@@ -264,7 +264,7 @@ def able_pairs(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     near = pairs.filter(F.least("n_a", "n_b") * whole >= F.greatest("n_a", "n_b") * part)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in spared(batches):
             able = []
             sizes = zip(batch.column("n_a").to_pylist(), batch.column("n_b").to_pylist(), strict=True)
             for (n, m), a, b in zip(sizes, batch.column("bits_a").to_pylist(), batch.column("bits_b").to_pylist(), strict=True):

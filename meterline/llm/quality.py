@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from meterline.llm.frames import parts, pick, row_key, rows_of, written
+from meterline.llm.frames import parts, pick, row_key, rows_of, spared, written
 
 #: Labelled documents for the first guess, from which the steps over all of them start.
 LABELLED = 20_000
@@ -74,7 +74,7 @@ def measured(docs: DataFrame, host: str, path: str) -> DataFrame:
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["doc_id", "row", "host", "path"]
-        for batch in parts(batches):
+        for batch in parts(spared(batches)):
             texts = batch.column("text").cast(pa.binary()).to_pylist()
             found = np.array([measures(text) for text in texts], np.float64).reshape(-1, len(MEASURES))
             lists = pa.ListArray.from_arrays(np.arange(len(texts) + 1, dtype=np.int32) * len(MEASURES), pa.array(found.ravel()))

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from meterline.llm.frames import parts, pick, relabelled
+from meterline.llm.frames import parts, pick, relabelled, spared
 
 # The base patterns, their least lengths and their order.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
@@ -412,7 +412,7 @@ def secret_report(docs: DataFrame, field: Field | None = None) -> DataFrame:
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tagger = Tagger(shared.value)
-        for batch in parts(batches):
+        for batch in parts(spared(batches)):
             rows = []
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
                 found = scan(text, tagger)
@@ -451,7 +451,7 @@ def redact_secrets(docs: DataFrame, field: Field | None = None) -> DataFrame:
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tagger = Tagger(shared.value)
-        for batch in parts(batches):
+        for batch in parts(spared(batches)):
             old = batch.column(label).to_pylist()
             new = [None if text is None else blot(text, scan(text, tagger)) for text in old]
             at = batch.schema.get_field_index(label)

@@ -15,7 +15,8 @@ import sys
 import unicodedata
 from array import array
 from collections.abc import Callable, Iterable, Iterator
-from functools import lru_cache
+
+from meterline.llm.frames import KEPT
 
 CACHE_PIECES = 600_000
 #: Longer pieces (whole texts without a space, data in one run) hardly come again and are not kept.
@@ -135,6 +136,10 @@ class Encoder:
             self.tails[tail] = ids
         return ids
 
+    def forget(self) -> None:
+        for pieces in (self.young, self.old, self.tails):
+            pieces.clear()
+
     def encode(self, texts: Iterable[str | None]) -> Iterator[bytes]:
         """Ids of each text; a null text counts as empty. Works on one text at a time, and on at most `RUN_PIECES` of its pieces."""
         for text in texts:
@@ -147,7 +152,20 @@ class Encoder:
             yield b"".join(found)
 
 
-@lru_cache(maxsize=4)
+ENCODERS: dict[tuple[str, bool], Encoder] = {}
+
+
 def encoder(name: str, spaced: bool) -> Encoder:
     """One encoder per worker process, so that its cache outlives a task."""
-    return Encoder(name, spaced)
+    if (name, spaced) not in ENCODERS:
+        ENCODERS[name, spaced] = Encoder(name, spaced)
+    return ENCODERS[name, spaced]
+
+
+def drop_encoders() -> None:
+    """Gives the memory of all encoders of this process back, for tasks that encode nothing."""
+    while ENCODERS:
+        ENCODERS.popitem()[1].forget()
+
+
+KEPT.append(drop_encoders)

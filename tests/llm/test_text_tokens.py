@@ -185,3 +185,14 @@ def test_an_encoder_works_on_one_text_at_a_time(name, spaced):
     [packed] = coder.encode([many])
     assert len(coder.young) <= 100 + tokens.RUN_PIECES // 2 and len(coder.old) <= 100 + tokens.RUN_PIECES
     assert np.frombuffer(packed, coder.dtype).tolist() == library(name).encode(many, add_special_tokens=False).ids
+
+
+def test_tasks_that_encode_nothing_drop_encoders():
+    """All batches come, after the pieces and encoders that packing left in the process have gone."""
+    coder = tokens.encoder("word_bpe_49k.json", False)
+    list(coder.encode(["what packing left", "in a worker"]))
+    assert coder.young and tokens.encoder("word_bpe_49k.json", False) is coder
+    batches = [pa.RecordBatch.from_arrays([pa.array(range(n), pa.int64())], names=["k"]) for n in (2, 0, 3)]
+    assert list(frames.spared(batches)) == batches
+    assert not tokens.ENCODERS and not coder.young and not coder.old and not coder.tails
+    assert list(tokens.encoder("word_bpe_49k.json", False).encode(["in a worker"])) == list(coder.encode(["in a worker"]))
