@@ -32,6 +32,8 @@ from meterline.session import cut_lineage, new_path
 
 MAGIC = b"MLTOKEN1"
 BLOCK_IDS = 65_536
+#: Ids that a task reads back at least, where the files are smaller.
+TASK_IDS = 1 << 20
 NULL_ID = -(2**63)
 
 
@@ -150,7 +152,9 @@ def write_token_files(
     files follow each other in id order; rows of equal id are ordered by text. A
     task writes under a name of its attempt and renames the file when it is
     whole, so a retried task leaves the same file. The manifest has one row per
-    file: shard, path, n_docs, n_ids. `folder` must be shared by all executors.
+    file: shard, path, n_docs, n_ids; it is written as one file, since Hadoop's
+    local file system starts a process for each file it makes and at that moment
+    the executor's memory counts twice. `folder` must be shared by all executors.
     """
 
     def write(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -174,14 +178,15 @@ def write_token_files(
     narrow = pick(docs, "doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("long"))
     placed = narrow.repartitionByRange("doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id", F.xxhash64("text"), "text")
     schema = "shard long, path string, n_docs long, n_ids long"
-    return cut_lineage(placed.mapInArrow(write, schema))
+    return cut_lineage(placed.mapInArrow(write, schema).repartition(1))
 
 
 def read_token_files(manifest: DataFrame, folder: str) -> DataFrame:
     """doc_id, start, n_tokens and ids_crc32 of every document, read back from the files of `manifest`.
 
-    One task reads one file, block by block. The running start of the files is
-    a window over one row per file.
+    One task reads one file, block by block, or several that hold less than
+    `TASK_IDS` ids. The running start of the files is a window over one row per
+    file.
     """
 
     def read(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -198,8 +203,10 @@ def read_token_files(manifest: DataFrame, folder: str) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=list(names))
 
     before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
-    first = manifest.filter("n_docs > 0").withColumn("first", F.coalesce(F.sum("n_ids").over(before), F.lit(0)))
-    spread = first.select("shard", "path", "first").repartition(max(1, manifest.count()), "shard")
+    full = manifest.filter("n_docs > 0")
+    files, ids = full.agg(F.count(F.lit(1)), F.coalesce(F.sum("n_ids"), F.lit(0))).first()
+    first = full.withColumn("first", F.coalesce(F.sum("n_ids").over(before), F.lit(0)))
+    spread = first.select("shard", "path", "first").repartition(max(1, min(files, -(-ids // TASK_IDS))))
     return spread.mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 

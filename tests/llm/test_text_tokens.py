@@ -15,7 +15,16 @@ import pytest
 from tokenizers import Tokenizer
 
 from meterline.llm import frames, tokens
-from meterline.llm.bitpack import ShardReader, ShardWriter, id_width, pack_ids, token_file_report, unpack_ids
+from meterline.llm.bitpack import (
+    ShardReader,
+    ShardWriter,
+    id_width,
+    pack_ids,
+    read_token_files,
+    token_file_report,
+    unpack_ids,
+    write_token_files,
+)
 from meterline.llm.packing import best_fit_decreasing, pack_documents
 from meterline.llm.tokens import LONGEST_KEPT, Encoder
 
@@ -91,6 +100,25 @@ def brute_rooms(lengths, capacity):
     return rooms
 
 
+def test_small_token_files(spark, documents, tmp_path):
+    """A manifest of many files is one file, and small files are read several to a task, with the same rows."""
+    held = {"spark.sql.shuffle.partitions": "16", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {key: spark.conf.get(key) for key in held}
+    expected = {tuple(row) for row in token_file_report(spark, documents).collect()}
+    try:
+        for key, value in held.items():
+            spark.conf.set(key, value)
+        manifest = write_token_files(documents, f"file://{tmp_path}/tokens")
+        found = read_token_files(manifest, f"file://{tmp_path}/tokens")
+        assert manifest.count() > 8 and len(manifest.inputFiles()) == 1
+        assert found.rdd.getNumPartitions() <= 2
+        rows = [tuple(row) for row in found.collect()]
+    finally:
+        for key, value in before.items():
+            spark.conf.set(key, value)
+    assert len(rows) == documents.count() and set(rows) == expected
+
+
 @pytest.mark.parametrize("seed", range(12))
 def test_best_fit_is_that_of_single_pieces(seed):
     chance = random.Random(seed)
