@@ -40,6 +40,8 @@ PARAPHRASE = 0.6
 ANSWER = 0.8
 BLOCK_WORDS = 200_000
 BATCH_WORDS = 100_000
+#: Rows of word vectors that a sketch adds up at once, so that they stay in a core's cache.
+SUM_ROWS = 8_192
 #: Items of fewer words are found by what a copy or their answer keeps, longer ones by what any paraphrase keeps.
 SHORT = 15
 #: Word lists of at most so many words fit a 64-bit lane.
@@ -48,6 +50,8 @@ LANES = 63
 HITS, REGIONS, COSINES, WINDOWS = 2_000_000, 200_000, 4_000_000, 4_096
 #: Slots for each key of the table of places, and the factor that spreads keys over them.
 SLOTS, SPREAD = 8, np.uint64(0x9E3779B97F4A7C15)
+#: Pairs of a list and a word up to which the places stand in a plain table (16 MB).
+PLAIN_PLACES = 2_000_000
 ENDS = ".,;:!?\"'()[]"
 MARKS = frozenset(ENDS)
 SENTENCE = re.compile(r"[.!?]\s+")
@@ -146,6 +150,26 @@ def document_frequencies(ids: DataFrame, words: list[str]) -> tuple[np.ndarray,
     return df[: len(words)], int(df[-1])
 
 
+def stable_order(values: np.ndarray, below: int) -> np.ndarray:
+    """Stable order of numbers from 0 up to `below`; numbers of 16 bits are sorted by their digits."""
+    return np.argsort(values.astype(np.uint16) if below <= 1 << 16 else values, kind="stable")
+
+
+def run_sums(vectors: np.ndarray, taken: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Sums of the vectors `taken` over the runs that begin at `starts`, some thousand rows at a time."""
+    cuts = np.append(starts, len(taken))
+    sums = np.empty((len(starts), vectors.shape[1]), vectors.dtype)
+    rows = np.empty((SUM_ROWS, vectors.shape[1]), vectors.dtype)
+    run = 0
+    while run < len(starts):
+        end = max(run + 1, int(np.searchsorted(cuts, cuts[run] + SUM_ROWS, side="right")) - 1)
+        part = taken[cuts[run] : cuts[end]]
+        held = rows[: len(part)] if len(part) <= SUM_ROWS else None
+        np.add.reduceat(vectors.take(part, axis=0, out=held, mode="clip"), cuts[run:end] - cuts[run], axis=0, out=sums[run:end])
+        run = end
+    return sums
+
+
 def passage_sketch(ids: DataFrame, words: list[str], weights: np.ndarray, directions: np.ndarray) -> np.ndarray:
     """A^T A directions for the TF-IDF matrix A of all passages, one row per benchmark word."""
     weights = weights.astype(np.float32)
@@ -165,11 +189,11 @@ def passage_sketch(ids: DataFrame, words: list[str], weights: np.ndarray, direct
                     continue
                 number, passage = number[known], passage[known]
                 turns = np.diff(passage, prepend=-1) > 0
-                projected = np.add.reduceat(scaled[number], np.flatnonzero(turns), axis=0)
-                order = np.argsort(number, kind="stable")
-                owner = (np.cumsum(turns) - 1)[order]
-                found, start = np.unique(number[order], return_index=True)
-                sums[found] += np.add.reduceat(projected[owner], start, axis=0) * weights[found, None]
+                projected = run_sums(scaled, number, np.flatnonzero(turns))
+                order = stable_order(number, len(weights))
+                owner, number = (np.cumsum(turns) - 1)[order], number[order]
+                start = np.flatnonzero(np.diff(number, prepend=-1))
+                sums[number[start]] += run_sums(projected, owner, start) * weights[number[start], None]
         held = np.flatnonzero(sums.any(axis=1))
         columns = [pa.array(held), *[pa.array(sums[held, k]) for k in range(width)]]
         yield pa.RecordBatch.from_arrays(columns, names=["word", *[f"y{k}" for k in range(width)]])
@@ -227,6 +251,10 @@ class Orders:
         short.sort()
         self.keys = np.array([key for key, _ in short] + [np.iinfo(np.int64).max], np.int64)
         self.bits = np.array([bits for _, bits in short] + [0], np.uint64)
+        self.plain = None
+        if len(lists) * size <= PLAIN_PLACES:
+            self.plain = np.zeros(len(lists) * size, np.uint64)
+            self.plain[self.keys[:-1]] = self.bits[:-1]
         # A table by hash with one key a slot; keys that share a slot with another are found in order.
         self.shift = np.uint64(64 - (SLOTS * len(self.keys)).bit_length())
         slots = self.slot(self.keys)
@@ -239,6 +267,10 @@ class Orders:
 
     def places_at(self, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Which of the keys are held, and their bits."""
+        if self.plain is not None:
+            bits = self.plain[key]
+            hit = bits != 0
+            return hit, bits[hit]
         slot = self.slot(key)
         at = self.slots[slot]
         crowded = np.flatnonzero(self.shared[slot])
@@ -348,7 +380,20 @@ class Searcher:
         word = np.array([w for words, _ in told for w in words], np.int64)
         probe = np.repeat(np.arange(len(told)), [len(words) for words, _ in told])
         self.keys = np.sort(word * len(told) + probe)
-        self.held = np.bincount(word, minlength=self.size + 1)
+        self.key_probe = self.keys % len(told)
+        self.first_key = np.searchsorted(self.keys, np.arange(self.size + 2) * len(told))
+        self.held = np.diff(self.first_key)
+
+    def hits(self, number: np.ndarray, telling: np.ndarray, low_probe: int, high_probe: int) -> tuple[np.ndarray, np.ndarray]:
+        """Probe and place of every telling word, for the probes from low to high."""
+        word = number[telling]
+        low, high = self.first_key[word], self.first_key[word + 1]
+        if high_probe - low_probe < len(self.least):
+            base = word * len(self.least)
+            low, high = np.searchsorted(self.keys, base + low_probe), np.searchsorted(self.keys, base + high_probe)
+        times = high - low
+        at = np.repeat(telling, times)
+        return self.key_probe[np.repeat(low - np.cumsum(times) + times, times) + np.arange(len(at))], at
 
     def runs(self, lengths: np.ndarray, number: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
         """Document, item, first and last window of all places that hold enough telling words, some millions of hits at a time.
@@ -358,20 +403,16 @@ class Searcher:
         most 7/4 of the item's length lies in a region; one that keeps enough of
         the item holds `least` telling words within twice the item's length.
         """
-        starts, ends = np.cumsum(lengths) - lengths, np.cumsum(lengths)
+        starts, document = np.cumsum(lengths) - lengths, np.repeat(np.arange(len(lengths)), lengths)
         probes = len(self.least)
         telling = np.flatnonzero(self.held[number])
         parts = min(probes, 1 + int(self.held[number].sum()) // HITS)
         cuts = np.linspace(0, probes, parts + 1).astype(np.int64)
         for low_probe, high_probe in zip(cuts[:-1], cuts[1:], strict=True):
-            base = number[telling] * probes
-            low, high = np.searchsorted(self.keys, base + low_probe), np.searchsorted(self.keys, base + high_probe)
-            times = high - low
-            at = np.repeat(telling, times)
-            probe = self.keys[np.repeat(low - np.cumsum(times) + times, times) + np.arange(len(at))] % probes
-            order = np.argsort(probe, kind="stable")
+            probe, at = self.hits(number, telling, low_probe, high_probe)
+            order = stable_order(probe, probes)
             probe, at = probe[order], at[order]
-            doc = np.searchsorted(ends, at, side="right")
+            doc = document[at]
             n = self.lengths[self.probe_item[probe]]
             first = np.arange(len(at))
             last = first + self.least[probe] - 1
@@ -390,19 +431,16 @@ class Searcher:
 
     def telling_places(self, number: np.ndarray) -> np.ndarray:
         """Probe and place of every telling word, as sorted numbers."""
-        probes = len(self.least)
-        telling = np.flatnonzero(self.held[number])
-        low, high = np.searchsorted(self.keys, number[telling] * probes), np.searchsorted(self.keys, (number[telling] + 1) * probes)
-        times = high - low
-        at = np.repeat(telling, times)
-        probe = self.keys[np.repeat(low - np.cumsum(times) + times, times) + np.arange(len(at))] % probes
+        probe, at = self.hits(number, np.flatnonzero(self.held[number]), 0, len(self.least))
         return np.sort(probe * (len(number) + 1) + at)
 
     def holds_enough(self, near: np.ndarray, words: int, item: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """Whether the words from left to right hold as many telling words of a probe of the item as any copy or paraphrase does."""
         able = np.zeros(len(item), bool)
         two = self.first_probe != self.last_probe
-        for probes, some in ((self.first_probe, np.arange(len(item))), (self.last_probe, np.flatnonzero(two[item]))):
+        # Item by item, since places that are looked up in ascending order are found faster.
+        order = stable_order(item, len(self.lengths))
+        for probes, some in ((self.first_probe, order), (self.last_probe, order[two[item[order]]])):
             probe = probes[item[some]]
             base = probe * (words + 1)
             able[some] |= np.searchsorted(near, base + right[some]) - np.searchsorted(near, base + left[some]) >= self.least[probe]

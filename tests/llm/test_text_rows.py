@@ -449,6 +449,44 @@ def test_window_sums(length):
         assert all(np.allclose(found[k], wanted[k], atol=1e-4) for k in wanted)
 
 
+def test_sums_of_a_sketch_take_little_memory():
+    """Sums of runs of any length, also one longer than a part, without all vectors of a batch at once."""
+    chance = np.random.default_rng(8)
+    vectors = chance.normal(size=(500, 64)).astype(np.float32)
+    lengths = np.array([1, 3, 20_000, 1, *chance.integers(1, 48, 6_000)])
+    taken = chance.integers(0, 500, lengths.sum())
+    starts = np.cumsum(lengths) - lengths
+    tracemalloc.start()
+    try:
+        sums = decontaminate.run_sums(vectors, taken, starts)
+        assert tracemalloc.get_traced_memory()[1] < 16e6 < taken.size * 64 * 4
+    finally:
+        tracemalloc.stop()
+    assert np.array_equal(sums, np.add.reduceat(vectors[taken], starts, axis=0))
+    assert decontaminate.run_sums(vectors, taken[:0], starts[:0]).shape == (0, 64)
+    for below in (500, 1 << 16, 1 << 20):
+        values = chance.integers(0, below, 5_000)
+        assert np.array_equal(decontaminate.stable_order(values, below), np.argsort(values, kind="stable"))
+
+
+def test_tables_of_a_search_find_the_same(monkeypatch):
+    """The plain table of places and that by hash, and hits of all probes at once or by parts, give the same rows."""
+    found = []
+    for places, hits in ((2_000_000, 2_000_000), (0, 2_000_000), (2_000_000, 300), (0, 300)):
+        monkeypatch.setattr(decontaminate, "PLAIN_PLACES", places)
+        monkeypatch.setattr(decontaminate, "HITS", hits)
+        chance = np.random.default_rng(6)
+        searcher = drawn_searcher(chance)
+        assert (searcher.items.plain is not None) == (places > 0)
+        place = {word: k for k, word in enumerate(searcher.index.words)}
+        parts = [chance.integers(0, 901, 3_000)]
+        for item in searcher.index.items:
+            parts += [np.array([place[word] if chance.random() > 0.15 else 900 for word in item.words]), chance.integers(0, 901, 30)]
+        number = np.concatenate(parts)
+        found.append(list(searcher.leaks(np.array([3_000, len(number) - 3_000]), number)))
+    assert len(found[0]) > 40 and all(rows == found[0] for rows in found[1:])
+
+
 def test_memory_of_the_search():
     """The search keeps no running sums of all dimensions, and the numbering nothing of the words it has seen."""
     chance = np.random.default_rng(4)
