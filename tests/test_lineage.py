@@ -5,6 +5,7 @@ from __future__ import annotations
 import random
 
 import pytest
+from compare import plan_of
 from pyspark.sql import functions as F
 
 from meterline.functions.joins import next_mark
@@ -69,3 +70,12 @@ def test_next_mark_of_a_hot_key(spark):
     for key, ids in by_key.items():
         for i in ids:
             assert got[key, i] == min((j for j in ids if j > i and j % 7 == 0), default=None)
+
+
+def test_next_mark_sums_no_shrinking_frame(spark):
+    rows = spark.createDataFrame([("hot", n, f"r{n}", n % 3 == 0) for n in (4, 1, 3, 2, 7, 6)] + [("hot", None, "none", False)], "key string, at long, id string, hit boolean")
+    found = next_mark(rows, "key", ["at", "id"], F.col("hit"), "next")
+    # Spark sums up a frame that ends with its partition anew for every row, so a key's rows cost their square.
+    assert "unboundedfollowing" not in plan_of(found).lower()
+    got = {r.id: r.next.id if r.next else None for r in found.collect()}
+    assert got == {"none": "r3", "r1": "r3", "r2": "r3", "r3": "r6", "r4": "r6", "r6": None, "r7": None}
