@@ -27,6 +27,9 @@ FEW_BLANKS = 100
 WHOLE_FILE = 64 << 20
 PIECE = 4 << 20
 MAX_LONG_TASKS = 10_000
+#: Lines and bytes up to which one task numbers all files, without written intermediates.
+FEW_LINES = 100_000
+FEW_BYTES = 32 << 20
 #: Headers of at most so many files are broadcast.
 HEADED_FILES = 20_000
 
@@ -199,6 +202,43 @@ def joined_records(lines: DataFrame, splits: DataFrame) -> DataFrame:
     return numbered.filter(single).select("path", "row_index", "raw").unionByName(pieces.select("path", "row_index", text.alias("raw")))
 
 
+def quotes_of(raw: Column) -> Column:
+    return F.when(F.contains(raw, F.lit('"')), F.length(raw) - F.length(F.replace(raw, F.lit('"'), F.lit("")))).otherwise(0)
+
+
+def are_few(records: DataFrame) -> bool:
+    """Whether all lines together are few enough for `index_few`, by one count of them."""
+    seen = records.agg(F.count(F.lit(1)).alias("lines"), F.coalesce(F.sum(F.octet_length("raw")), F.lit(0)).alias("size")).first()
+    return seen.lines <= FEW_LINES and seen.size <= FEW_BYTES
+
+
+def index_few(records: DataFrame, name: Column | None = None) -> DataFrame:
+    """The rows of `index_records` for lines that are few together (`are_few`).
+
+    One task sorts the lines of each file, so nothing is shuffled or written in
+    between and a small micro-batch costs one job.
+    """
+    lines = records.select("path", "block", "raw", "end").coalesce(1).withColumns(
+        {"odd": (quotes_of(F.col("raw")) % 2).cast("long"), "blank": F.btrim("raw", F.lit(BLANKS)) == "", "mid": F.monotonically_increasing_id()}
+    )
+    inside = Window.partitionBy("path").orderBy("block", "mid")
+    before, through = inside.rowsBetween(Window.unboundedPreceding, -1), inside.rowsBetween(Window.unboundedPreceding, 0)
+    marked = lines.withColumn("continues", F.coalesce(F.sum("odd").over(before), F.lit(0)) % 2 == 1)
+    marked = marked.withColumn("starts", ~F.col("continues") & ~F.col("blank"))
+    # A continuing line has the number of the record that started last; the header is -1.
+    numbered = marked.withColumn("row_index", F.sum(F.col("starts").cast("long")).over(through) - 2).filter("continues or starts")
+    pieces = numbered.groupBy("path", "row_index").agg(F.sort_array(F.collect_list(F.struct("block", "mid", "raw", "end"))).alias("p"))
+    last = F.size("p") - 1
+    text = F.array_join(F.transform("p", lambda x, i: F.concat(x["raw"], F.when(i < last, x["end"]).otherwise(""))), "")
+    found = pieces.select("path", "row_index", text.alias("raw"))
+    plain = F.when(F.col("row_index") == -1, F.regexp_replace("raw", "^\ufeff", "")).otherwise(F.col("raw"))
+    split = found.select("path", "row_index", split_fields(plain).alias("fields"))
+    header = F.max(F.when(F.col("row_index") == -1, F.col("fields"))).over(Window.partitionBy("path"))
+    rows = split.withColumn("header", header).filter("row_index >= 0")
+    named = name if name is not None else base_name(F.col("path"))
+    return rows.select(named.alias("file_name"), "row_index", "header", "fields", F.size("fields").cast("long").alias("n_fields"))
+
+
 def index_records(records: DataFrame, name: Column | None = None) -> tuple[DataFrame, DataFrame]:
     """Split lines into records and fields, number the data rows of each file and profile the files.
 
@@ -213,9 +253,8 @@ def index_records(records: DataFrame, name: Column | None = None) -> tuple[DataF
     Rows: file_name, row_index (0-based), header, fields, n_fields.
     Profiles: file_name, header, lines (records, header included).
     """
-    quotes = F.when(F.contains("raw", F.lit('"')), F.length("raw") - F.length(F.replace("raw", F.lit('"'), F.lit("")))).otherwise(0)
     lines = records.select("path", "block", "raw", "end").withColumns(
-        {"odd": quotes % 2 == 1, "blank": F.btrim("raw", F.lit(BLANKS)) == "", "mid": F.monotonically_increasing_id()}
+        {"odd": quotes_of(F.col("raw")) % 2 == 1, "blank": F.btrim("raw", F.lit(BLANKS)) == "", "mid": F.monotonically_increasing_id()}
     )
     lines = cut_lineage(lines)
     blocks = lines.groupBy("path", "block").agg(

@@ -29,16 +29,19 @@ def landing_stream(
     """Validate newly landed feed files and stage them under their micro-batch.
 
     A file always arrives in one micro-batch, so the repeated-key test of a file
-    sees all its rows, exactly as in a batch run.
+    sees all its rows, exactly as in a batch run. What a micro-batch costs besides
+    its rows counts as often as there are micro-batches, so one of few lines is
+    staged by a single job.
     """
     rules = list(rules)
     lines = landing.text_lines(spark.readStream.option("maxFilesPerTrigger", files_per_batch), folder, glob)
 
     def stage(batch: DataFrame, epoch: int) -> None:
-        rows, _ = landing.index_records(batch, name)
+        few = landing.are_few(batch)
+        rows = landing.index_few(batch, name) if few else landing.index_records(batch, name)[0]
         feed = landing.feed_columns(rows, columns).withColumn("dataset", dataset)
         staged = rc.stage_readings(
-            rc.validate_rows(feed.withColumn("batch_id", F.lit(f"M-{epoch:08d}")), rules), rules
+            rc.validate_rows(feed.withColumn("batch_id", F.lit(f"M-{epoch:08d}")), rules, few=few), rules
         )
         sinks.write_batches(staged, out)
 

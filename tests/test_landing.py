@@ -9,8 +9,10 @@ import random
 from pyspark.sql import functions as F
 
 from meterline.config import default_config, load_config
+from meterline.functions import joins
 from meterline.operators import filechecks as fc
 from meterline.sources import landing
+from meterline.streaming import feeds
 
 
 def put(folder, name, text):
@@ -265,3 +267,54 @@ def test_streamed_digests_hold_one_piece(tmp_path):
     before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
     assert len(list(landing.streamed_digests(iter([batch])))) == 1
     assert resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before < 100_000
+
+
+def test_few_lines_give_the_same_rows(spark, tmp_path):
+    put_bytes(tmp_path, "a.csv", 'id,note\n1,"two\nlines"\n2,plain\n\n3,"a, b"\n4,"x\n\n ""y"" \n"\n')
+    put_bytes(tmp_path, "cr.csv", '﻿id,note\r1,"two\rlines"\r2,b\r')
+    put_bytes(tmp_path, "crlf.csv", '"id\r\nof it",note\r\n1,"two\r\nlines"\r\n2,b\r\n')
+    put_bytes(tmp_path, "open.csv", 'id,note\n1,x\n2,"never closed\n3,y\n')
+    put_bytes(tmp_path, "blank.csv", "\n \nid,note\n" + "\n" * 150 + "1,x\n\n \t\n2,y,z\n")
+    put_bytes(tmp_path, "head.csv", "id,note\n")
+    put_bytes(tmp_path, "long.csv", "id,note\n" + "".join(f'{i},"{"a" * (i % 90)}{chr(10) * (i % 3)}"\n' for i in range(2_000)))
+    (tmp_path / "more").mkdir()
+    put_bytes(tmp_path / "more", "a.csv", "note,id\nz,1\n")
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "10000")
+    try:
+        lines = landing.text_lines(spark.read, str(tmp_path))
+        assert landing.are_few(lines)
+        few, wanted = landing.index_few(lines), landing.index_records(lines)[0]
+        assert few.columns == wanted.columns
+        got = sorted(tuple(r) for r in few.collect())
+        assert got == sorted(tuple(r) for r in wanted.collect()) and len(got) > 2_000
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    plan = few._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan
+
+
+def test_small_micro_batches_write_nothing_in_between(spark, tmp_path, monkeypatch):
+    (tmp_path / "in").mkdir()
+    for n in range(3):
+        put(tmp_path / "in", f"f{n}.csv", 'record_id,site_id,reading_date,energy_kwh\nR1,S1,2026-01-01,1\nR1,S1,2026-01-01,2\n,S1,2026-01-01,3\n,"S\n1",2026-01-01,4\nR2,S1,x,5\n')
+
+    def staged(out, files):
+        rules = default_config().feeds["energy_consumption"]
+        columns = ["record_id", "site_id", "reading_date", "energy_kwh", "emissions_co2e"]
+        feeds.landing_stream(spark, str(tmp_path / "in"), [rules], F.lit(rules.name), str(tmp_path / out), str(tmp_path / f"{out}-state"), columns, files_per_batch=files).awaitTermination()
+        rows = spark.read.parquet(str(tmp_path / out)).collect()
+        assert {r.batch_id for r in rows} == {f"M-{n:08d}" for n in range(-(-3 // files))}
+        return sorted((r.source_file_name, r.row_index, r.record_id, r.site_id, r.validation_status, r.rejection_reason) for r in rows)
+
+    monkeypatch.setattr(landing, "FEW_LINES", 0)
+    wanted = staged("many", 3)
+    assert len(wanted) == 15 and sum(r[-1] == "duplicate_record_id" for r in wanted) == 3
+    monkeypatch.setattr(landing, "FEW_LINES", 100)
+
+    def written(df):
+        raise AssertionError("written in between")
+
+    monkeypatch.setattr(landing, "cut_lineage", written)
+    monkeypatch.setattr(joins, "cut_lineage", written)
+    assert staged("few", 2) == wanted
