@@ -67,7 +67,7 @@ def m3_counted_quality_stream(spark, sf):
 def m2_stream_outcomes(spark, sf):
     """Every reading as accepted, rejected (repeated keys included) or late."""
     out = new_path(spark, "outcomes")
-    judged = stateful.judged(_readings(spark, sf), ENERGY_RULE, "ts").select("row_index", "file_name", "record_id", "outcome", "rejection_reason")
+    judged = stateful.judged(_readings(spark, sf), ENERGY_RULE, "ts").select("row_index", "file_name", "record_id", stateful.JUDGE)
     stateful.write_judged(judged, out, new_path(spark, "state")).awaitTermination()
     schema = "row_index long, file_name string, record_id string, outcome string, rejection_reason string, epoch long"
     return spark.read.schema(schema).parquet(out).drop("epoch")

@@ -1,22 +1,28 @@
 """Streams that need state of their own: repeated keys as rejected rows, and feeds that miss their deadline.
 
-Both keep a few numbers per key in the state store and pass rows through one by
-one, so no key is ever gathered, however many rows it has.
+Repeats are found by joins of each micro-batch with the first rows of earlier
+ones, deadlines by a few numbers per feed in the state store. No key is ever
+gathered, however many rows it has.
 """
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator, Sequence
 from contextlib import contextmanager
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
 from meterline.config import Config, FeedRules
+from meterline.functions.joins import fits_broadcast, lookup_join, spread_left_join
 from meterline.operators import filechecks as fc
 from meterline.operators import rowchecks as rc
 from meterline.operators.dq import union_checks
+from meterline.session import cut_lineage
 from meterline.sources import sinks
 
 ACCEPTED, REJECTED, LATE = "accepted", "rejected", "late"
@@ -48,111 +54,120 @@ def state_settings(spark: SparkSession, no_data_batches: bool) -> Iterator[None]
 
 # ---- repeated keys ------------------------------------------------------------------------------
 
-
-class FirstOfKey(StatefulProcessor):
-    """Marks rows of a key: the first one, repeats, and rows behind the watermark.
-
-    State is the event time of the first row. It counts until the watermark has
-    passed that time by the delay; a timer then frees it.
-    """
-
-    def __init__(self, names: Sequence[str], position: str, delay: int):
-        self.names, self.position, self.delay = list(names), position, delay
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.first = handle.getValueState("first", "at long")
-
-    def said(self, row: Row, late: bool, repeated: bool) -> Row:
-        return Row(**{name: row[name] for name in self.names}, _late=late, _repeated=repeated)
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
-        watermark = timerValues.getCurrentWatermarkInMs()
-        best = None
-        for row in rows:
-            if row["_at"] < watermark:
-                yield self.said(row, True, False)
-            elif row["_keyless"]:
-                yield self.said(row, False, False)
-            elif best is None or row[self.position] < best[self.position]:
-                if best is not None:
-                    yield self.said(best, False, True)
-                best = row
-            else:
-                yield self.said(row, False, True)
-        if best is None:
-            return
-        known = self.first.get() if self.first.exists() else None
-        live = known is not None and known[0] + self.delay >= watermark
-        if not live:
-            self.first.update((best["_at"],))
-            self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.delay)
-        yield self.said(best, False, live)
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
-        known = self.first.get() if self.first.exists() else None
-        if known is not None and known[0] + self.delay < timerValues.getCurrentWatermarkInMs():
-            self.first.clear()
-        elif known is not None:
-            self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.delay)
-        return iter(())
-
-    def close(self) -> None:
-        pass
+#: What `judged` has found out about a row, for `write_judged`.
+JUDGE = "_judge"
 
 
 def judged(
     readings: DataFrame, rules: FeedRules, event_time: str, keys: Sequence[str] = ("file_name", "record_id"), position: str = "row_index",
     delay: str = "2 days",
 ) -> DataFrame:
-    """Every reading of a stream with its outcome (accepted, rejected or late) and the first reason of a rejected one.
+    """Every reading of a stream with the tests that look at it alone, for `write_judged` to say whether it is accepted, rejected or late.
 
     The order of tests is that of a batch: blank values, repeated keys, dates,
     ranges. A row whose key came earlier is rejected, in the same micro-batch by
     position, for as long as the watermark has not passed the first row by
     `delay`; rejected rows count as seen. Rows behind the watermark (the newest
     event time of earlier micro-batches less `delay`) are neither tested for
-    repeats nor dropped: they come out as late. Start it with
-    `write_judged`, whose settings keep late rows.
+    repeats nor dropped: they come out as late.
     """
-    blank = F.lit(False)
-    for key in keys:
-        blank = blank | F.coalesce(F.col(key) == "", F.lit(True))
-    names = [f.name for f in readings.schema.fields]
-    tested = readings.withColumns(
-        {
-            "_null": rc.null_reason(readings, rules),
-            "_rest": F.coalesce(
-                rc.date_reason(readings, rules), rc.range_reason(readings, rules, "energy_kwh"),
-                rc.range_reason(readings, rules, "emissions_co2e"),
-            ),
-            "_keyless": blank,
-            # Rows without a key have no state, so they may go anywhere.
-            "_spread": F.when(blank, F.xxhash64(position)).otherwise(F.lit(0).cast("long")),
-            "_at": F.unix_millis(event_time),
-        }
+    rest = F.coalesce(
+        rc.date_reason(readings, rules), rc.range_reason(readings, rules, "energy_kwh"), rc.range_reason(readings, rules, "emissions_co2e"),
     )
-    kept = [*names, "_null", "_rest"]
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in tested.schema.fields if f.name in kept)
-    marked = (
-        tested.withWatermark(event_time, delay)
-        .groupBy(*keys, "_spread")
-        .transformWithState(FirstOfKey(kept, position, millis(delay)), f"{schema}, _late boolean, _repeated boolean", "Append", "ProcessingTime")
+    found = F.struct(
+        *[F.col(key).alias(f"_key_{n}") for n, key in enumerate(keys)], F.col(position).alias("_position"),
+        F.unix_millis(event_time).alias("_at"), rc.null_reason(readings, rules).alias("_null"), rest.alias("_rest"),
     )
-    reason = F.coalesce("_null", F.when(F.col("_repeated"), rc.DUPLICATE), "_rest")
-    outcome = F.when(F.col("_late"), LATE).when(reason.isNotNull(), REJECTED).otherwise(ACCEPTED)
-    return marked.select(*names, outcome.alias("outcome"), F.when(~F.col("_late"), reason).alias("rejection_reason"))
+    return readings.select("*", found.alias(JUDGE, metadata={"keys": len(keys), "delay": millis(delay)}))
 
 
 def write_judged(stream: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
-    """Write judged rows under their micro-batch and outcome, until all present files are read."""
+    """Write rows of `judged` with outcome and first reason under their micro-batch and outcome, until all present files are read.
+
+    Each micro-batch leaves two things beside its checkpoint: the first row of
+    each of its keys, and a mark with the newest event time so far and the
+    micro-batches whose first rows still count. A key is looked up in those, so
+    a micro-batch costs its own rows and one reading of the first rows that
+    count; older ones are deleted. Everything lies under its micro-batch, so a
+    repeated one replaces itself and sees the same watermark.
+    """
+    known = stream.schema[JUDGE].metadata
+    keys, delay = [f"_key_{n}" for n in range(known["keys"])], known["delay"]
+    names = [c for c in stream.columns if c != JUDGE]
+    firsts_at, marks_at = f"{checkpoint}/judged/firsts", f"{checkpoint}/judged/marks"
 
     def save(batch: DataFrame, epoch: int) -> None:
-        sinks.write_batches(batch.withColumn("epoch", F.lit(epoch)), out, ("epoch", "outcome"))
-
-    with state_settings(stream.sparkSession, no_data_batches=False):
-        writer = stream.writeStream.outputMode("append").foreachBatch(save)
-        return writer.option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+        spark = batch.sparkSession
+        newest, live = 0, []
+        if epoch > 0:
+            newest, live = spark.read.schema(MARK).parquet(f"{marks_at}/epoch={epoch - 1}").first()
+        watermark = max(0, newest - delay)
+        dead = [e.epoch for e in live if e.newest + delay < watermark]
+        live = [e for e in live if e.epoch not in dead]
+        keyed = F.lit(True)
+        for key in keys:
+            keyed = keyed & F.coalesce(F.col(key) != "", F.lit(False))
+        rows = batch.select(*names, f"{JUDGE}.*").withColumns(
+            {"_late": F.coalesce(F.col("_at") < watermark, F.lit(False)), "_id": F.monotonically_increasing_id()}
+        )
+        # A row without a time counts as one of the watermark.
+        rows = rows.withColumns({"_tested": keyed & ~F.col("_late"), "_at": F.coalesce("_at", F.lit(watermark))}).persist(StorageLevel.DISK_ONLY)
+        place = F.struct("_position", "_id")
+        firsts = rows.filter("_tested").groupBy(*keys).agg(
+            F.min(F.struct("_position", "_id", "_at")).alias("_first"), F.count(F.lit(1)).alias("_weight")
+        )
+        firsts = firsts.select(*keys, F.struct("_first._position", "_first._id").alias("_place"), F.col("_first._at").alias("_at"), "_weight")
+        kept = T.StructType([*firsts.schema.fields, T.StructField("_known", T.BooleanType())])
+        if live:
+            earlier = spark.read.schema(kept).parquet(*[f"{firsts_at}/epoch={e.epoch}" for e in live])
+            counting = earlier.filter(~F.col("_known") & (F.col("_at") + delay >= watermark)).select(*keys)
+            asked = cut_lineage(firsts)
+            asking = F.broadcast(asked.select(*keys)) if fits_broadcast(asked) else asked.select(*keys)
+            # A key gets another first row only when the one before no longer counts, so it is found once at most.
+            repeated = cut_lineage(counting.join(asking, keys, "left_semi").withColumn("_known", F.lit(True)))
+            firsts = lookup_join(asked, repeated, keys).withColumn("_known", F.coalesce("_known", F.lit(False)))
+        else:
+            firsts = firsts.withColumn("_known", F.lit(False))
+        firsts.write.mode("overwrite").parquet(f"{firsts_at}/epoch={epoch}")
+        firsts = spark.read.schema(kept).parquet(f"{firsts_at}/epoch={epoch}")
+
+        # Only keys with something to reject travel to the join.
+        several = firsts.filter("_weight > 1 or _known").select(*keys, "_place", "_known", "_weight")
+        if fits_broadcast(several):
+            found = rows.join(F.broadcast(several.drop("_weight")), keys, "left")
+        else:
+            found = spread_left_join(rows, several, keys, "_weight", ["_id"], ~F.col("_tested"))
+        is_repeat = F.col("_tested") & F.coalesce(F.col("_known") | (place != F.col("_place")), F.lit(False))
+        reason = F.coalesce("_null", F.when(is_repeat, rc.DUPLICATE), "_rest")
+        outcome = F.when(F.col("_late"), LATE).when(reason.isNotNull(), REJECTED).otherwise(ACCEPTED)
+        said = found.select(
+            *names, outcome.alias("outcome"), F.when(~F.col("_late"), reason).alias("rejection_reason"), F.lit(epoch).alias("epoch")
+        )
+        sinks.write_batches(said, out, ("epoch", "outcome"))
+
+        latest = rows.agg(F.max("_at")).first()[0]
+        last = firsts.filter("not _known").agg(F.max("_at")).first()[0]
+        live = [(e.epoch, e.newest) for e in live] + ([(epoch, last)] if last is not None else [])
+        mark = spark.range(1).select(
+            F.lit(max(newest, latest or 0)).cast("long").alias("newest"),
+            F.from_json(F.lit(json.dumps([{"epoch": e, "newest": at} for e, at in live])), "array<struct<epoch: long, newest: long>>").alias("live"),
+        )
+        mark.write.mode("overwrite").parquet(f"{marks_at}/epoch={epoch}")
+        rows.unpersist()
+        remove(spark, [f"{firsts_at}/epoch={e}" for e in dead])
+
+    return stream.writeStream.foreachBatch(save).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+MARK = "newest long, live array<struct<epoch: long, newest: long>>"
+
+
+def remove(spark: SparkSession, folders: list[str]) -> None:
+    """Delete folders of state that no later micro-batch, nor a repeated one, reads."""
+    conf, path_of = spark.sparkContext._jsc.hadoopConfiguration(), spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    for folder in folders:
+        path = path_of(folder)
+        path.getFileSystem(conf).delete(path, True)
 
 
 # ---- deadlines ----------------------------------------------------------------------------------

@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from meterline.config import default_config
+from meterline.functions import joins
 from meterline.operators import filechecks as fc
 from meterline.operators import rowchecks as rc
 from meterline.streaming import feeds, stateful
@@ -65,6 +66,35 @@ def test_repeats_and_late_rows_across_micro_batches(spark, tmp_path):
     assert {o for o, _ in got.values()} == {"accepted", "rejected", "late"}
 
 
+@pytest.mark.parametrize("small", [True, False])
+def test_outcomes_come_from_joins_with_state_under_the_micro_batch(spark, tmp_path, monkeypatch, small):
+    if not small:
+        monkeypatch.setattr(stateful, "fits_broadcast", lambda df: False)
+        monkeypatch.setattr(joins, "fits_broadcast", lambda df, max_rows=0: False)
+    put(spark, tmp_path / "in", [*FIRST, reading(12, "R9", 1), reading(12, "R9", 1)], READING)
+    stream = stateful.judged(spark.readStream.schema(READING).parquet(str(tmp_path / "in")), RULES, "ts")
+    # A call of Python for each key took too long for millions of keys.
+    assert "TransformWithState" not in stream._jdf.queryExecution().logical().toString()
+    got, n = judge(spark, tmp_path)
+    assert n == len(FIRST) + 2 and sum(reason == rc.DUPLICATE for _, reason in got.values()) >= 3
+    rows = spark.read.parquet(str(tmp_path / "out")).filter("row_index = 12").select("outcome").collect()
+    assert sorted(r.outcome for r in rows) == ["accepted", "rejected"]
+    put(spark, tmp_path / "in", [reading(21, "R1", 3), reading(22, "R7", 3), reading(23, "R7", 3), reading(24, "R8", 9)], READING)
+    wanted = {21: ("rejected", rc.DUPLICATE), 22: ("accepted", None), 23: ("rejected", rc.DUPLICATE), 24: ("accepted", None)}
+    got, n = judge(spark, tmp_path)
+    assert n == len(FIRST) + 6 and {i: got[i] for i in wanted} == wanted
+    # Repeated after a stop before its commit, a micro-batch gives what it gave.
+    for at in (tmp_path / "state" / "commits").glob("*1*"):
+        at.unlink()
+    again, n = judge(spark, tmp_path)
+    assert n == len(FIRST) + 6 and {i: again[i] for i in wanted} == wanted
+    # The watermark is day 7: the first rows of the first micro-batch are gone, R8 of the second still counts.
+    put(spark, tmp_path / "in", [reading(31, "R1", 8), reading(32, "R8", 8), reading(33, "R8", 6)], READING)
+    got, _ = judge(spark, tmp_path)
+    assert {i: got[i] for i in (31, 32, 33)} == {31: ("accepted", None), 32: ("rejected", rc.DUPLICATE), 33: ("late", None)}
+    assert sorted(p.name for p in (tmp_path / "state" / "judged" / "firsts").iterdir()) == ["epoch=1", "epoch=2"]
+
+
 def count(spark, folder):
     stream = spark.readStream.schema(READING).option("maxFilesPerTrigger", 1).parquet(str(folder / "in")).withColumn("dataset", F.lit("energy"))
     feeds.count_quality(stream, RULES, "ts", str(folder / "out"), str(folder / "state"), ["row_index"]).awaitTermination()
