@@ -22,6 +22,48 @@ def _run(writer, checkpoint: str) -> StreamingQuery:
     return writer.option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+class Noted:
+    """A DataFrame whose calls are noted in `steps`, each made on the result of the one before."""
+
+    def __init__(self, df, steps: list):
+        self.df, self.steps, self.at = df, steps, len(steps)
+
+    @property
+    def columns(self) -> list[str]:
+        return self.df.columns
+
+    def __getattr__(self, name: str):
+        def call(*args, **options):
+            if self.at != len(self.steps):
+                raise RuntimeError(f"{name} is not called on the last result")
+            done = getattr(self.df, name)(*args, **options)
+            self.steps.append((name, args, options))
+            return Noted(done, self.steps)
+
+        return call
+
+
+class Recipe:
+    """A chain of DataFrame calls whose columns are built once, for micro-batches of one schema.
+
+    Building some hundred columns takes longer than a small micro-batch; they
+    name their inputs, so those built for the first one do for all.
+    """
+
+    def __init__(self, make):
+        self.make, self.steps = make, None
+
+    def __call__(self, df: DataFrame) -> DataFrame:
+        if self.steps is None:
+            steps: list = []
+            made = self.make(Noted(df, steps)).df
+            self.steps = steps
+            return made
+        for name, args, options in self.steps:
+            df = getattr(df, name)(*args, **options)
+        return df
+
+
 def landing_stream(
     spark: SparkSession, folder: str, rules: Iterable[FeedRules], dataset: Column, out: str, checkpoint: str, columns: list[str],
     name: Column | None = None, glob: str = "*.csv", files_per_batch: int = 1000,
@@ -36,14 +78,15 @@ def landing_stream(
     rules = list(rules)
     lines = landing.text_lines(spark.readStream.option("maxFilesPerTrigger", files_per_batch), folder, glob)
 
+    def tested(rows: DataFrame, few: bool) -> DataFrame:
+        feed = landing.feed_columns(rows, columns).withColumn("dataset", dataset).withColumn("batch_id", F.lit(""))
+        return rc.stage_readings(rc.validate_rows(feed, rules, few=few), rules)
+
+    small = Recipe(lambda batch: tested(landing.index_few(batch, name), True))
+
     def stage(batch: DataFrame, epoch: int) -> None:
-        few = landing.are_few(batch)
-        rows = landing.index_few(batch, name) if few else landing.index_records(batch, name)[0]
-        feed = landing.feed_columns(rows, columns).withColumn("dataset", dataset)
-        staged = rc.stage_readings(
-            rc.validate_rows(feed.withColumn("batch_id", F.lit(f"M-{epoch:08d}")), rules, few=few), rules
-        )
-        sinks.write_batches(staged, out)
+        staged = small(batch) if landing.are_few(batch) else tested(landing.index_records(batch, name)[0], False)
+        sinks.write_batches(staged.withColumn("batch_id", F.lit(f"M-{epoch:08d}")), out)
 
     return _run(lines.writeStream.foreachBatch(stage), checkpoint)
 

@@ -168,3 +168,19 @@ def test_sensor_equals_the_batch_checks(spark, tmp_path):
 @pytest.mark.parametrize("text, wanted", [("2 days", 172_800_000), ("1 hour", 3_600_000), ("30 seconds", 30_000)])
 def test_millis(text, wanted):
     assert stateful.millis(text) == wanted
+
+
+def test_a_recipe_builds_its_columns_once(spark):
+    made = []
+
+    def make(df):
+        made.append(df)
+        return df.withColumns({"b": F.col("a") * 2, "batch": F.lit("")}).filter("b > 2").groupBy("b").agg(F.count(F.lit(1)).alias("n"))
+
+    recipe = feeds.Recipe(make)
+    for rows, wanted in ([1, 2, 2], {4: 2}), ([3, 5, 5], {6: 1, 10: 2}), ([], {}):
+        got = recipe(spark.createDataFrame([(a,) for a in rows], "a long")).collect()
+        assert {r.b: r.n for r in got} == wanted
+    assert len(made) == 1
+    with pytest.raises(RuntimeError, match="last result"):
+        feeds.Recipe(lambda df: [df.filter("a > 1"), df.filter("a > 2")][1])(spark.range(3).toDF("a"))
